@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from marginalia.llm import simhash_variants
+from marginalia.llm import ftrl_toxicity, rule_ensemble, simhash_variants, token_counts
 
 QUERIES = {
+    "op3_rule_quality": rule_ensemble.query,
+    "op4_ftrl_toxicity": ftrl_toxicity.query,
+    "op6_token_counts": token_counts.query,
     "op9_simhash_near_duplicates": simhash_variants.query,
 }
 ORACLE_SQL: dict[str, str] = {}
