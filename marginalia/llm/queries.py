@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from marginalia.llm import ftrl_toxicity, rule_ensemble, simhash_variants, token_counts
+from marginalia.llm import ftrl_toxicity, html_blocks, pareto_mix, rule_ensemble, simhash_variants, token_counts
 
 QUERIES = {
     "op3_rule_quality": rule_ensemble.query,
     "op4_ftrl_toxicity": ftrl_toxicity.query,
+    "op5_pareto_mix": pareto_mix.query,
     "op6_token_counts": token_counts.query,
     "op9_simhash_near_duplicates": simhash_variants.query,
+    "op10_html_blocks": html_blocks.query,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op5_pareto_mix": pareto_mix.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {}
