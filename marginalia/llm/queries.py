@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from marginalia.llm import ftrl_toxicity, html_blocks, pareto_mix, positional_index, rule_ensemble, simhash_variants, token_counts
+from marginalia.llm import ftrl_toxicity, html_blocks, line_dedup, pareto_mix, positional_index, rule_ensemble, simhash_variants, token_counts
 
 QUERIES = {
+    "op8_line_dedup": line_dedup.query,
     "op2_positional_index": positional_index.query,
     "op3_rule_quality": rule_ensemble.query,
     "op4_ftrl_toxicity": ftrl_toxicity.query,
@@ -14,6 +15,7 @@ QUERIES = {
     "op10_html_blocks": html_blocks.query,
 }
 ORACLE_SQL: dict[str, str] = {
+    "op8_line_dedup": line_dedup.ORACLE_SQL,
     "op2_positional_index": positional_index.ORACLE_SQL,
     "op5_pareto_mix": pareto_mix.ORACLE_SQL,
 }
