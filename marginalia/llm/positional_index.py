@@ -139,6 +139,14 @@ def contaminated() -> Column:
     return (F.col("n_hit") > 0) & (F.col("n_hit") * 20 >= F.col("n_words"))
 
 
+def keep_uncontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """``docs`` less the contaminated rows; columns and other rows as they are. Rows of equal id and text go alike."""
+    keyed = docs.select(F.struct("doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text")
+    bad = decontaminate(keyed, items, window).filter(contaminated())
+    bad = materialize(bad.select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.h").alias("_h")).distinct(), "contaminated")
+    return docs.join(small(bad), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")), "left_anti")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op2: the benchmark passages in every document."""
     found = decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))

@@ -2,23 +2,36 @@
 
 from __future__ import annotations
 
-from marginalia.llm import bloom_sketch, ftrl_toxicity, html_blocks, license_digest, line_dedup, pareto_mix, positional_index, rule_ensemble, simhash_variants, token_counts
+import corpus_pipeline
+from marginalia.llm import (
+    bloom_sketch,
+    ftrl_toxicity,
+    html_blocks,
+    license_digest,
+    line_dedup,
+    pareto_mix,
+    positional_index,
+    rule_ensemble,
+    simhash_variants,
+    token_counts,
+)
 
 QUERIES = {
     "op1_bloom_sketch": bloom_sketch.query,
-    "op7_license_digest": license_digest.query,
-    "op8_line_dedup": line_dedup.query,
     "op2_positional_index": positional_index.query,
     "op3_rule_quality": rule_ensemble.query,
     "op4_ftrl_toxicity": ftrl_toxicity.query,
     "op5_pareto_mix": pareto_mix.query,
     "op6_token_counts": token_counts.query,
+    "op7_license_digest": license_digest.query,
+    "op8_line_dedup": line_dedup.query,
     "op9_simhash_near_duplicates": simhash_variants.query,
     "op10_html_blocks": html_blocks.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
-    "op7_license_digest": license_digest.ORACLE_SQL,
-    "op8_line_dedup": line_dedup.ORACLE_SQL,
     "op2_positional_index": positional_index.ORACLE_SQL,
     "op5_pareto_mix": pareto_mix.ORACLE_SQL,
+    "op7_license_digest": license_digest.ORACLE_SQL,
+    "op8_line_dedup": line_dedup.ORACLE_SQL,
 }
