@@ -48,7 +48,8 @@ def targets(sizes: DataFrame, share: float = 1.0, cap: float = 3.0, weights: tup
     """(source, source_size, target) from (source, source_size): one row for each source, so one task suffices.
 
     With sources in the order of cap * size / weight, those up to some place stand at their caps, and the others share
-    what is left by weight; the place is the last at which the cap is no more than the share.
+    what is left by weight; the place is the last at which the cap is no more than the share. Beyond it ``level``, which
+takes the caps of all sources before as given, only falls, so the first source's that is not full is the largest.
     """
     order = W.orderBy(F.col("source").asc_nulls_last())
     w = F.element_at(F.array(*map(F.lit, weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
@@ -59,7 +60,7 @@ def targets(sizes: DataFrame, share: float = 1.0, cap: float = 3.0, weights: tup
     got = got.withColumn("left", F.sum("source_size").over(whole) * F.lit(share) - F.coalesce(F.sum("most").over(below), F.lit(0.0)))
     got = got.withColumn("rest", F.sum("w").over(up.rowsBetween(0, W.unboundedFollowing)))
     got = got.withColumn("level", F.col("left") / F.col("rest")).withColumn("full", F.col("most") <= F.col("w") * F.col("level"))
-    got = got.withColumn("water", F.min(F.when(~F.col("full"), F.col("level"))).over(whole))
+    got = got.withColumn("water", F.max(F.when(~F.col("full"), F.col("level"))).over(whole))
     target = F.when(F.col("full"), F.col("most")).otherwise(F.col("w") * F.col("water"))
     return got.select("source", "source_size", F.coalesce(target, F.lit(0.0)).alias("target"))
 
@@ -151,7 +152,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 WITH d AS (
-  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0)::BIGINT AS size,
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0)::BIGINT AS size,
          (CAST('0x' || substr(sha256(coalesce(doc_id::VARCHAR, 'null') || '/42'), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
@@ -160,7 +162,7 @@ l AS (SELECT *, (sum(source_size) OVER ())::DOUBLE
                 - coalesce(sum(most) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS lef,
              sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
 v AS (SELECT *, lef / rest AS level, most <= w * (lef / rest) AS full_ FROM l),
-t AS (SELECT source, source_size, coalesce(CASE WHEN full_ THEN most ELSE w * (min(CASE WHEN NOT full_ THEN level END) OVER ()) END, 0.0) AS target FROM v),
+t AS (SELECT source, source_size, coalesce(CASE WHEN full_ THEN most ELSE w * (max(CASE WHEN NOT full_ THEN level END) OVER ()) END, 0.0) AS target FROM v),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS times FROM t),
 q AS (SELECT *, floor(times) AS whole, times - floor(times) AS p, target - floor(times) * source_size AS lack FROM p),
 r AS (SELECT d.*, q.source_size, q.target, q.whole, q.lack,
