@@ -1,6 +1,517 @@
-"""The queries of the library's own operators and their DuckDB counterparts."""
+"""The queries of the library's own operators over the driver's tables, and their DuckDB counterparts.
+
+The tables stand in for a note library: documents are notes (lines their blocks), pages notes with links, the
+TPC-H-like tables an entity graph and manifests, conversations transcripts and events a change feed.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from marginalia.functions import text as X
+from marginalia.functions.similarity import similarity_to
+from marginalia.operators import diff, graph, intervals, ranking, rules
+from marginalia.session import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+#: The question of the ranking queries, as terms in their order, and the weights of the block queries.
+TERMS = ["stupid", "license", "token", "thought", "ing", "auf"]
+WEIGHTS = {"stupid": 2.0, "license": 3.0, "token": 1.5, "thought": 1.0, "ing": 0.25, "auf": 0.5}
+CUT = "1995-01-01"
+
+
+def _list(terms: list[str]) -> str:
+    return "[" + ", ".join(f"'{t}'" for t in terms) + "]"
+
+
+def _coverage_sql(text: str) -> str:
+    hit = " + ".join(f"(CASE WHEN contains({text}, '{t}') THEN {w} ELSE 0.0 END)::DOUBLE" for t, w in WEIGHTS.items())
+    return f"((0.0::DOUBLE + {hit}) / {sum(WEIGHTS.values())}::DOUBLE)"
+
+
+# --- scans and parsers -------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, string_split(text, chr(10))[1] AS title, len(string_split(text, chr(10)))::BIGINT AS n_lines, length(text)::BIGINT AS n_chars FROM documents")
+def inventory(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    lines = F.split("text", "\n")
+    return d.select("doc_id", lines[0].alias("title"), F.size(lines).cast("long").alias("n_lines"), F.length("text").cast("long").alias("n_chars"))
+
+
+@query(
+    """SELECT doc_id, line_no, line AS block FROM (
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS line_no FROM documents)
+    WHERE trim(line) <> ''"""
+)
+def block_explode(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "block"))
+    return d.filter(F.trim("block") != "").select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), "block")
+
+
+@query(
+    """SELECT page_id, pos, href FROM (SELECT page_id, unnest(l) AS href, generate_subscripts(l, 1)::BIGINT AS pos
+    FROM (SELECT page_id, regexp_extract_all(html, 'href="([^"]*)"', 1) AS l FROM pages))"""
+)
+def link_extract(spark: SparkSession, sf: str) -> DataFrame:
+    hrefs = F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))
+    p = table(spark, sf, "pages").select("page_id", F.posexplode(hrefs).alias("p", "href"))
+    return p.select("page_id", (F.col("p") + 1).cast("long").alias("pos"), "href")
+
+
+@query(
+    """SELECT page_id, title, heading, len(regexp_extract_all(html, '<p>'))::BIGINT AS n_paragraphs FROM (SELECT page_id, html,
+    regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) AS heading FROM pages)"""
+)
+def page_headings(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages")
+    return p.select(
+        "page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+        F.regexp_extract("html", "<h1>([^<]*)</h1>", 1).alias("heading"), F.regexp_count("html", F.lit("<p>")).cast("long").alias("n_paragraphs"),
+    )
+
+
+@query(
+    r"""SELECT page_id, regexp_extract(url, '^https?://([^/?#]+)', 1) AS host, regexp_extract(url, '[?&]page=(\d+)', 1) AS page_no,
+    CASE WHEN regexp_matches(url, '^[A-Za-z]:') THEN 'drive' END AS odd FROM pages"""
+)
+def url_keys(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages")
+    return p.select(
+        "page_id", F.regexp_extract("url", "^https?://([^/?#]+)", 1).alias("host"), F.regexp_extract("url", r"[?&]page=(\d+)", 1).alias("page_no"),
+        F.when(F.col("url").rlike("^[A-Za-z]:"), "drive").alias("odd"),
+    )
+
+
+@query(
+    """SELECT page_id, n, CASE WHEN n = '' THEN 'record' WHEN starts_with(n, '<h') THEN 'concept' WHEN contains(n, 'token') THEN 'method'
+    WHEN length(n) < 80 THEN 'navigation' ELSE 'knowledge' END AS role
+    FROM (SELECT page_id, lower(unnest(regexp_extract_all(html, '<(?:h1|p)>[^<]*'))) AS n FROM pages)"""
+)
+def role_hint(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<(?:h1|p)>[^<]*"), F.lit(0))).alias("n"))
+    p = p.withColumn("n", F.lower("n"))
+    role = F.when(F.col("n") == "", "record").when(F.col("n").startswith("<h"), "concept").when(F.col("n").contains("token"), "method")
+    return p.select("page_id", "n", role.when(F.length("n") < 80, "navigation").otherwise("knowledge").alias("role"))
+
+
+# --- ranking -------------------------------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH b AS (SELECT lower(text) AS t FROM documents), n AS (SELECT greatest(count(*), 1) AS n FROM b),
+    d AS (SELECT term, (SELECT count(*) FROM b WHERE contains(b.t, term)) AS df FROM (SELECT unnest({_list(TERMS)}) AS term))
+    SELECT term, df::BIGINT AS df, round(CASE WHEN df = 0 THEN 0.0 ELSE (ln((n + 1) / (df + 1)) + 0.35) * (CASE WHEN term = 'ing' THEN 0.25 ELSE 1.0 END)
+    * (1 + 0.35 * least(greatest(length(term) - 2, 0), 2)) END::DOUBLE, 6) AS weight FROM d, n"""
+)
+def term_idf(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select(F.lower("text").alias("t"))
+    return ranking.idf(d, "t", TERMS, frozenset({"ing"})).select("term", "df", F.round("weight", 6).alias("weight"))
+
+
+@query(f"SELECT doc_id, round({_coverage_sql('lower(text)')}, 6) AS coverage, array_to_string(list_filter({_list(TERMS)}, lambda t: contains(lower(text), t)), ',') AS hits FROM documents")
+def term_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    hits = ranking.matched(F.lower("text"), TERMS)
+    d = table(spark, sf, "documents").select("doc_id", hits.alias("h"))
+    return d.select("doc_id", F.round(ranking.coverage(F.col("h"), WEIGHTS), 6).alias("coverage"), F.array_join("h", ",").alias("hits"))
+
+
+_SCORED = f"""s AS (SELECT doc_id, round(38 * {_coverage_sql('lower(string_split(text, chr(10))[1])')} + 28 * {_coverage_sql('lower(text)')}, 6) AS score FROM documents)"""
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", F.lower("text").alias("t"))
+    title = ranking.coverage(ranking.matched(F.split("t", "\n")[0], TERMS), WEIGHTS)
+    return d.select("doc_id", F.round(38 * title + 28 * ranking.coverage(ranking.matched(F.col("t"), TERMS), WEIGHTS), 6).alias("score"))
+
+
+@query(
+    f"""WITH {_SCORED}, r AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, max(score) OVER () AS top FROM s),
+    k AS (SELECT * FROM r WHERE rank <= 3), z AS (SELECT max(CASE WHEN rank = 2 THEN score END) AS second FROM k)
+    SELECT doc_id, score, rank::INT AS rank, top, score >= greatest(4.5, 0.62 * top) AS kept, coalesce(second >= 0.88 * top, false) AS ambiguous FROM k, z"""
+)
+def lexical_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return ranking.ranked(_scored(spark, sf), "score", ["doc_id"], 3)
+
+
+_QUESTIONS = {"q1": ["stupid", "moron"], "q2": ["zzzzzz", "qqqqqq"], "q3": ["license", "apache"]}
+
+
+@query(
+    "WITH q AS (SELECT * FROM (VALUES "
+    + ", ".join(f"('{q}', {_list(t)})" for q, t in _QUESTIONS.items())
+    + """) v(question, terms)), s AS (SELECT question, doc_id, len(list_filter(terms, lambda t: contains(lower(text), t))) * 10.0 / len(terms) AS score FROM documents, q),
+    b AS (SELECT question, max(score) AS best, count(*) FILTER (WHERE score >= 4.5) AS n FROM s GROUP BY 1)
+    SELECT question, best::DOUBLE AS best, n::BIGINT AS n_matches, n = 0 AS gap FROM b"""
+)
+def retrieval_gap(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.lower("text")
+    scores = [F.struct(F.lit(q).alias("question"), (F.size(ranking.matched(t, ts)) * 10.0 / len(ts)).alias("score")) for q, ts in _QUESTIONS.items()]
+    d = table(spark, sf, "documents").select(F.explode(F.array(*scores)).alias("s")).select("s.*")
+    got = d.groupBy("question").agg(F.max("score").alias("best"), F.count_if(F.col("score") >= 4.5).alias("n_matches"))
+    return got.withColumn("gap", F.col("n_matches") == 0)
+
+
+@query(
+    """WITH f AS (SELECT * FROM (VALUES ('a', 'stupid'), ('b', 'license'), ('c', 'token')) v(facet, term)),
+    s AS (SELECT facet, doc_id, (length(lower(text)) - length(replace(lower(text), term, '')))::DOUBLE / length(term) AS score FROM documents, f),
+    r AS (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY score DESC, doc_id) AS rn, max(score) OVER (PARTITION BY facet) AS top FROM s WHERE score > 0)
+    SELECT facet, doc_id, score, CASE WHEN rn = 1 OR (rn = 2 AND score >= 0.7 * top) THEN 'primary' ELSE 'alternative' END AS role FROM r WHERE rn <= 4"""
+)
+def facet_review(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.lower("text")
+    one = [F.struct(F.lit(f).alias("facet"), ((F.length(t) - F.length(F.replace(t, F.lit(w), F.lit("")))).cast("double") / len(w)).alias("score")) for f, w in (("a", "stupid"), ("b", "license"), ("c", "token"))]
+    d = table(spark, sf, "documents").select("doc_id", F.explode(F.array(*one)).alias("s")).select("doc_id", "s.*").filter("score > 0")
+    w = W.partitionBy("facet").orderBy(F.col("score").desc(), "doc_id")
+    d = d.withColumn("rn", F.row_number().over(w)).filter("rn <= 4").withColumn("top", F.max("score").over(W.partitionBy("facet")))
+    primary = (F.col("rn") == 1) | ((F.col("rn") == 2) & (F.col("score") >= 0.7 * F.col("top")))
+    return d.select("facet", "doc_id", "score", F.when(primary, "primary").otherwise("alternative").alias("role"))
+
+
+@query(
+    f"""WITH b AS (SELECT doc_id, unnest(string_split(lower(text), chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS line_no,
+    lower(string_split(text, chr(10))[1]) AS head FROM documents)
+    SELECT doc_id, line_no, round(({_coverage_sql('t')} + 0.2 * {_coverage_sql('head')}) / (1 + 0.08 * ln(1 + length(t) / 500.0::DOUBLE)), 6) AS score
+    FROM b WHERE ({_coverage_sql('t')} + 0.2 * {_coverage_sql('head')}) / (1 + 0.08 * ln(1 + length(t) / 500.0::DOUBLE)) >= 0.025"""
+)
+def block_score(spark: SparkSession, sf: str) -> DataFrame:
+    low = F.lower("text")
+    d = table(spark, sf, "documents").select("doc_id", F.split(low, "\n")[0].alias("head"), F.posexplode(F.split(low, "\n")).alias("p", "t"))
+    score = ranking.block_score(ranking.coverage(ranking.matched(F.col("t"), TERMS), WEIGHTS), ranking.coverage(ranking.matched(F.col("head"), TERMS), WEIGHTS), F.length("t"))
+    d = d.select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), score.alias("score")).filter("score >= 0.025")
+    return d.withColumn("score", F.round("score", 6))
+
+
+# --- duplicates and containment ------------------------------------------------------------------------------------
+
+
+@query("SELECT sha256(text) AS key, count(*)::BIGINT AS n, min(doc_id) AS first_member, max(doc_id) AS last_member FROM documents GROUP BY 1 HAVING count(*) > 1")
+def exact_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.groups_above_one(table(spark, sf, "documents"), F.sha2("text", 256), "doc_id")
+
+
+@query("SELECT regexp_extract(url, '^https?://([^/?#]+)', 1) AS key, count(*)::BIGINT AS n, min(page_id) AS first_member, max(page_id) AS last_member FROM pages GROUP BY 1 HAVING count(*) > 1")
+def same_origin(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.groups_above_one(table(spark, sf, "pages"), F.regexp_extract("url", "^https?://([^/?#]+)", 1), "page_id")
+
+
+@query("SELECT lower(trim(regexp_extract(html, '<title>([^<]*)</title>', 1))) AS key, count(*)::BIGINT AS n, min(page_id) AS first_member, max(page_id) AS last_member FROM pages GROUP BY 1 HAVING count(*) > 1")
+def duplicate_titles(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.groups_above_one(table(spark, sf, "pages"), F.lower(F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1))), "page_id")
+
+
+@query()
+def similar_top5(spark: SparkSession, sf: str) -> DataFrame:
+    """The five documents most similar to a candidate (the document of the smallest id), at 0.82 or more."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    first = d.orderBy("doc_id").limit(1).collect()
+    candidate = X_key(first[0].text) if first else ""
+    got = d.select("doc_id", similarity_to(candidate, X.text_key(F.col("text")), 0.82).alias("ratio")).filter(F.col("ratio").isNotNull())
+    return got.orderBy(F.col("ratio").desc(), "doc_id").limit(5).withColumn("ratio", F.round("ratio", 4))
+
+
+def X_key(value: str) -> str:
+    """``functions.text.text_key`` of one string on the driver."""
+    import re
+
+    return re.sub(X.TOKEN, "", value.lower())
+
+
+@query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''")
+def passage_containment(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents that hold a passage: joined on the passage's first 24 characters at every word start, then compared."""
+    b = table(spark, sf, "benchmark").filter(F.length("text") > 0).select("item_id", F.col("text").alias("passage"))
+    b = b.withColumn("key", F.substring("passage", 1, 8)).withColumn("n", F.length("key"))
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    # The passages are the stated query set; documents stream past them once.
+    short = b.filter("n < 8").drop("key", "n")
+    long = b.filter("n = 8").drop("n")
+    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 7, F.lit(1))), lambda i: F.substr("text", i, F.lit(8))))
+    starts = F.filter(starts, lambda s: F.length(s) == 8)
+    heads = d.select("doc_id", "text", F.explode(starts).alias("key"))
+    found = heads.join(long, "key").filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+    rest = d.join(short, F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+    return found.unionByName(rest)
+
+
+# --- intervals and coverage ----------------------------------------------------------------------------------------
+
+_LINES = """l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1)::BIGINT AS line_no FROM documents),
+m AS (SELECT * FROM l WHERE trim(line) <> '')"""
+
+
+@query(
+    f"""WITH {_LINES}, u AS (SELECT doc_id, line_no FROM m WHERE length(line) % 5 <> 0),
+    g AS (SELECT *, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS g FROM u)
+    SELECT doc_id, min(line_no)::BIGINT AS first, max(line_no)::BIGINT AS last FROM g GROUP BY doc_id, g"""
+)
+def unregistered_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    """Ranges of lines that no registration covers; registered are the lines of a length divisible by 5."""
+    m = block_explode(spark, sf)
+    registered = m.filter(F.length("block") % 5 == 0).select("doc_id", "line_no")
+    return intervals.islands(m.select("doc_id", "line_no").join(registered, ["doc_id", "line_no"], "left_anti"), ["doc_id"], "line_no")
+
+
+@query(
+    f"""WITH {_LINES}, r AS (SELECT doc_id, line_no, length(line) % 7 = 0 AS waiting FROM m WHERE length(line) % 3 <> 0)
+    SELECT m.doc_id, count(*)::BIGINT AS meaningful, count(r.line_no)::BIGINT AS covered, 0::BIGINT AS outside, coalesce(sum(waiting::INT), 0)::BIGINT AS waiting,
+    CASE WHEN coalesce(sum(waiting::INT), 0) > 0 OR count(r.line_no) < count(*) THEN 'open' ELSE 'closed' END AS status
+    FROM m LEFT JOIN r ON m.doc_id = r.doc_id AND m.line_no = r.line_no GROUP BY 1"""
+)
+def coverage_status(spark: SparkSession, sf: str) -> DataFrame:
+    m = block_explode(spark, sf).withColumnRenamed("line_no", "line")
+    n = F.length("block")
+    r = m.filter(n % 3 != 0).select("doc_id", "line", F.when(n % 7 == 0, "waiting").otherwise("kept").alias("status"))
+    return intervals.coverage(m, r, "doc_id")
+
+
+@query(
+    """WITH c AS (SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 10.0::DOUBLE AS start,
+    length(text) / 10.0::DOUBLE AS len FROM conversations)
+    SELECT conv_id, turn, round(start, 6) AS start, round(start + len, 6) AS stop FROM c WHERE start < 60.0 AND start + len > 10.0"""
+)
+def interval_overlap_clip(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
+    c = c.select("conv_id", "turn", (intervals.running_before("n", ["conv_id"], "turn") / 10.0).alias("start"), (F.col("n") / 10.0).alias("len"))
+    c = c.filter(intervals.overlaps(F.col("start"), F.col("start") + F.col("len"), F.lit(10.0), F.lit(60.0)))
+    return c.select("conv_id", "turn", F.round("start", 6).alias("start"), F.round(F.col("start") + F.col("len"), 6).alias("stop"))
+
+
+@query("SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM conversations")
+def running_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
+    return c.select("conv_id", "turn", intervals.running_before("n", ["conv_id"], "turn").cast("long").alias("offset"))
+
+
+@query(
+    """WITH e AS (SELECT user_id, epoch_us(ts) / 1000000.0::DOUBLE AS t FROM events),
+    g AS (SELECT *, t - lag(t) OVER (PARTITION BY user_id ORDER BY t) AS gap FROM e)
+    SELECT user_id, count(*)::BIGINT AS n, round(max(gap), 3) AS max_gap, coalesce(bool_and(gap > 0 AND gap <= 3600), true) AS regular FROM g GROUP BY 1"""
+)
+def timestamp_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events").select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("t"))
+    return intervals.gap_check(e, ["user_id"], "t", 3600).withColumn("max_gap", F.round("max_gap", 3))
+
+
+@query(
+    """SELECT conv_id, CASE WHEN s >= 3600 THEN printf('%02d:%02d:%02d', s // 3600, (s // 60) % 60, s % 60) ELSE printf('%02d:%02d', s // 60, s % 60) END AS length_clock
+    FROM (SELECT conv_id, sum(length(text))::BIGINT AS s FROM conversations GROUP BY 1)"""
+)
+def transcript_clock(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations").groupBy("conv_id").agg(F.sum(F.length("text")).alias("s"))
+    return c.select("conv_id", X.clock(F.col("s")).alias("length_clock"))
+
+
+# --- differences and merges ----------------------------------------------------------------------------------------
+
+
+def _snapshots(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    o = table(spark, sf, "orders")
+    old = o.filter(F.col("o_orderkey") % 7 != 0).select("o_orderkey", F.col("o_orderstatus").alias("state"))
+    change = F.when(F.col("o_orderdate") >= CUT, F.concat("o_orderstatus", F.lit("*"))).otherwise(F.col("o_orderstatus"))
+    return old, o.filter(F.col("o_orderkey") % 11 != 0).select("o_orderkey", change.alias("state"))
+
+
+_SNAP = f"""o AS (SELECT o_orderkey, o_orderstatus AS old_state FROM orders WHERE o_orderkey % 7 <> 0),
+n AS (SELECT o_orderkey, CASE WHEN o_orderdate >= DATE '{CUT}' THEN o_orderstatus || '*' ELSE o_orderstatus END AS new_state FROM orders WHERE o_orderkey % 11 <> 0)"""
+
+
+@query(
+    f"""WITH {_SNAP} SELECT coalesce(o.o_orderkey, n.o_orderkey) AS o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'added' WHEN n.o_orderkey IS NULL THEN 'removed'
+    WHEN old_state = new_state THEN 'unchanged' ELSE 'modified' END AS kind, old_state, new_state FROM o FULL JOIN n ON o.o_orderkey = n.o_orderkey"""
+)
+def snapshot_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return diff.snapshot_diff(*_snapshots(spark, sf), "o_orderkey", "state")
+
+
+_MOVED = """o AS (SELECT c_custkey AS k, md5(c_name) AS h FROM customer WHERE c_custkey % 3 <> 0 UNION ALL SELECT -1, md5('x')),
+n AS (SELECT CASE WHEN c_custkey % 5 = 0 THEN c_custkey + 1000000000 ELSE c_custkey END AS k, md5(c_name) AS h FROM customer WHERE c_custkey % 3 <> 0
+UNION ALL SELECT -2, md5('x') UNION ALL SELECT -3, md5('x'))"""
+
+
+@query(
+    f"""WITH {_MOVED}, g AS (SELECT h, count(*) AS c, min(k) AS k FROM o WHERE k NOT IN (SELECT k FROM n) GROUP BY 1),
+    a AS (SELECT h, count(*) AS c, min(k) AS k FROM n WHERE k NOT IN (SELECT k FROM o) GROUP BY 1)
+    SELECT g.h AS state, g.k AS old_key, a.k AS new_key, CASE WHEN g.c = 1 AND a.c = 1 THEN 'renamed' ELSE 'ambiguous' END AS kind FROM g JOIN a ON g.h = a.h"""
+)
+def rename_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").filter(F.col("c_custkey") % 3 != 0).select(F.col("c_custkey").alias("k"), F.md5("c_name").alias("h"))
+    x = spark.range(1).select(F.md5(F.lit("x")).alias("h"))
+    old = c.unionByName(x.select(F.lit(-1).cast("long").alias("k"), "h"))
+    new = c.select(F.when(F.col("k") % 5 == 0, F.col("k") + 1_000_000_000).otherwise(F.col("k")).alias("k"), "h")
+    new = new.unionByName(x.select(F.explode(F.array(F.lit(-2).cast("long"), F.lit(-3).cast("long"))).alias("k"), "h"))
+    return diff.renames(diff.snapshot_diff(old, new, "k", "h"), "k")
+
+
+@query(
+    """WITH e AS (SELECT p_name || '/' || p_partkey AS path, p_size AS size, sha256(p_brand) AS h FROM part WHERE p_partkey % 10 <> 0),
+    a AS (SELECT p_name || '/' || p_partkey AS path, CASE WHEN p_partkey % 13 = 0 THEN p_size + 1 ELSE p_size END AS size, sha256(p_brand) AS h FROM part WHERE p_partkey % 9 <> 0),
+    j AS (SELECT coalesce(e.path, a.path) AS path, CASE WHEN a.h IS NULL THEN 'missing' WHEN e.h IS NULL THEN 'extra' WHEN e.size <> a.size OR e.h <> a.h THEN 'changed' END AS status
+    FROM e FULL JOIN a ON e.path = a.path) SELECT * FROM j WHERE status IS NOT NULL"""
+)
+def manifest_diff(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part").select("p_partkey", F.concat("p_name", F.lit("/"), "p_partkey").alias("path"), F.col("p_size").alias("size"), F.sha2("p_brand", 256).alias("sha256"))
+    a = p.filter("p_partkey % 9 != 0").withColumn("size", F.when(F.col("p_partkey") % 13 == 0, F.col("size") + 1).otherwise(F.col("size")))
+    return diff.manifest_diff(p.filter("p_partkey % 10 != 0"), a)
+
+
+@query(
+    """WITH r AS (SELECT source, sha256(doc_id::VARCHAR || '/' || text) AS d FROM documents),
+    i AS (SELECT source, substr(d, 1, 3) AS b, count(*) AS n, sha256(string_agg(d, chr(10) ORDER BY d)) AS h FROM r GROUP BY 1, 2)
+    SELECT source, sum(n)::BIGINT AS n_rows, sha256(string_agg(b || ':' || h, chr(10) ORDER BY b || ':' || h)) AS fingerprint FROM i GROUP BY 1"""
+)
+def corpus_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("source", F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit("/"), "text"), 256).alias("d"))
+    return diff.fingerprint(d, ["source"], "d")
+
+
+@query(
+    """WITH c AS (SELECT c_custkey, c_name, c_mktsegment, c_acctbal FROM customer WHERE c_custkey % 4 <> 0),
+    u AS (SELECT c_custkey, upper(c_mktsegment) AS c_mktsegment, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal ELSE c_acctbal + 1 END AS c_acctbal FROM customer WHERE c_custkey % 3 = 0)
+    SELECT coalesce(c.c_custkey, u.c_custkey) AS c_custkey, c_name, CASE WHEN u.c_custkey IS NOT NULL THEN u.c_mktsegment ELSE c.c_mktsegment END AS c_mktsegment,
+    CASE WHEN u.c_custkey IS NOT NULL THEN u.c_acctbal ELSE c.c_acctbal END AS c_acctbal,
+    CASE WHEN u.c_custkey IS NULL THEN 'keep' WHEN c.c_custkey IS NULL THEN 'insert' WHEN c.c_mktsegment = u.c_mktsegment AND c.c_acctbal = u.c_acctbal THEN 'same' ELSE 'update' END AS action
+    FROM c FULL JOIN u ON c.c_custkey = u.c_custkey"""
+)
+def keyed_merge(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_mktsegment", "c_acctbal")
+    bal = F.when(F.col("c_custkey") % 2 == 0, F.col("c_acctbal")).otherwise(F.col("c_acctbal") + 1)
+    u = c.filter("c_custkey % 3 = 0").select("c_custkey", F.upper("c_mktsegment").alias("c_mktsegment"), bal.alias("c_acctbal"))
+    return diff.keyed_merge(c.filter("c_custkey % 4 != 0"), u, "c_custkey", ["c_mktsegment", "c_acctbal"])
+
+
+@query("SELECT c_custkey, 'AFK-' || upper(substr(sha256(c_name || chr(0) || c_mktsegment), 1, 12)) AS key FROM customer")
+def stable_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").select("c_custkey", X.stable_key("AFK-", F.col("c_name"), F.col("c_mktsegment")).alias("key"))
+
+
+# --- graphs --------------------------------------------------------------------------------------------------------
+
+
+@query(
+    """WITH t AS (SELECT p_partkey AS id, lower(p_name || '/' || p_brand || '/' || p_type) AS f, lower(p_name || '/' || p_brand) AS p, lower(p_name) AS s FROM part),
+    l AS (SELECT p_partkey AS link_id, CASE p_partkey % 4 WHEN 0 THEN lower(p_name || '/' || p_brand || '/' || p_type) END AS f,
+    CASE p_partkey % 4 WHEN 1 THEN lower(p_name || '/' || p_brand) END AS p, CASE p_partkey % 4 WHEN 2 THEN lower(p_name) WHEN 3 THEN lower(p_name) || '?' END AS s FROM part),
+    f AS (SELECT f, min(id) AS id, count(*) AS n FROM t GROUP BY 1), p AS (SELECT p, min(id) AS id, count(*) AS n FROM t GROUP BY 1), s AS (SELECT s, min(id) AS id, count(*) AS n FROM t GROUP BY 1),
+    j AS (SELECT link_id, coalesce(CASE WHEN f.n = 1 THEN f.id END, CASE WHEN p.n = 1 THEN p.id END, CASE WHEN s.n = 1 THEN s.id END) AS target_id,
+    greatest(coalesce(f.n, 0), coalesce(p.n, 0), coalesce(s.n, 0)) AS n FROM l LEFT JOIN f ON l.f = f.f LEFT JOIN p ON l.p = p.p LEFT JOIN s ON l.s = s.s)
+    SELECT link_id, target_id, CASE WHEN target_id IS NOT NULL THEN 'hit' WHEN n > 1 THEN 'ambiguous' ELSE 'missing' END AS reason FROM j"""
+)
+def link_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    full, part, stem = (F.lower(F.concat_ws("/", *c)) for c in (["p_name", "p_brand", "p_type"], ["p_name", "p_brand"], ["p_name"]))
+    targets = p.select(F.col("p_partkey").alias("target_id"), full.alias("full"), part.alias("partial"), stem.alias("stem"))
+    way = F.col("p_partkey") % 4
+    links = p.select(
+        F.col("p_partkey").alias("link_id"), F.when(way == 0, full).alias("full"), F.when(way == 1, part).alias("partial"),
+        F.when(way == 2, stem).when(way == 3, F.concat(stem, F.lit("?"))).alias("stem"),
+    )
+    return graph.resolve_links(links, targets)
+
+
+_PAIRS = """e AS (SELECT DISTINCT l_suppkey % 50 AS a, l_partkey % 50 AS b FROM lineitem WHERE l_suppkey % 50 <> l_partkey % 50 AND l_linenumber = 1)"""
+
+
+def _pairs(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "lineitem").filter("l_linenumber = 1").select((F.col("l_suppkey") % 50).alias("a"), (F.col("l_partkey") % 50).alias("b"))
+    return e.filter("a != b").distinct()
+
+
+@query(f"WITH {_PAIRS} SELECT a, b, EXISTS (SELECT 1 FROM e r WHERE r.a = e.b AND r.b = e.a) AS mutual FROM e")
+def reciprocal_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.reciprocal(_pairs(spark, sf))
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_returnflag <> 'A'), c AS (SELECT DISTINCT l_orderkey AS a, l_partkey AS b FROM lineitem WHERE l_linenumber > 1)
+    SELECT coalesce(d.a, c.a) AS a, coalesce(d.b, c.b) AS b, CASE WHEN d.a IS NULL THEN 'declaration' ELSE 'citation' END AS missing
+    FROM d FULL JOIN c ON d.a = c.a AND d.b = c.b WHERE d.a IS NULL OR c.a IS NULL"""
+)
+def one_way_links(spark: SparkSession, sf: str) -> DataFrame:
+    item = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("a"), F.col("l_partkey").alias("b"), "l_returnflag", "l_linenumber")
+    return graph.one_way(item.filter("l_returnflag != 'A'"), item.filter("l_linenumber > 1"))
+
+
+@query(
+    """SELECT 'order_without_lines' AS kind, o_orderkey AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber > 2)
+    UNION ALL SELECT 'customer_without_orders', c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"""
+)
+def traceability_gaps(spark: SparkSession, sf: str) -> DataFrame:
+    o, c = table(spark, sf, "orders"), table(spark, sf, "customer")
+    item = table(spark, sf, "lineitem").filter("l_linenumber > 2").select(F.col("l_orderkey").alias("o_orderkey"))
+    one = o.join(item, "o_orderkey", "left_anti").select(F.lit("order_without_lines").alias("kind"), F.col("o_orderkey").alias("id"))
+    two = c.join(o, c.c_custkey == o.o_custkey, "left_anti").select(F.lit("customer_without_orders").alias("kind"), F.col("c_custkey").alias("id"))
+    return one.unionByName(two)
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def islands(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").filter("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey"))
+    return table(spark, sf, "customer").join(o, "c_custkey", "left_anti").select("c_custkey", "c_name")
+
+
+_EDGES = """edges AS (SELECT DISTINCT 'n' || n_nationkey AS dependent, 'r' || n_regionkey AS dependency FROM nation
+UNION SELECT 'c' || c_custkey, 'n' || c_nationkey FROM customer UNION SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)"""
+
+
+@query(
+    f"""WITH RECURSIVE {_EDGES}, walk AS (SELECT 'r1' AS trigger, 'r1' AS target, 0 AS depth, 'r1' AS chain
+    UNION ALL SELECT trigger, dependent, depth + 1, chain || '>' || dependent FROM walk JOIN edges ON dependency = target WHERE depth < 8)
+    SELECT trigger, target, min(depth)::INT AS depth, arg_min(chain, (depth, chain)) AS chain FROM walk GROUP BY 1, 2"""
+)
+def impact_propagation(spark: SparkSession, sf: str) -> DataFrame:
+    def side(name: str, a: str, ka: str, b: str, kb: str) -> DataFrame:
+        return table(spark, sf, name).select(F.concat(F.lit(a), ka).alias("dependent"), F.concat(F.lit(b), kb).alias("dependency"))
+
+    edges = side("nation", "n", "n_nationkey", "r", "n_regionkey").unionByName(side("customer", "c", "c_custkey", "n", "c_nationkey"))
+    edges = edges.unionByName(side("supplier", "s", "s_suppkey", "n", "s_nationkey"))
+    got = graph.impact(spark.range(1).select(F.lit("r1").alias("node")), edges)
+    return got.withColumn("chain", F.array_join("chain", ">"))
+
+
+_RING = """g AS (SELECT DISTINCT n_nationkey::BIGINT AS a, ((n_nationkey * 7 + 3) % 25)::BIGINT AS b FROM nation UNION SELECT n_nationkey, n_nationkey + 1 FROM nation WHERE n_nationkey % 6 < 3 AND n_nationkey < 24),
+walk AS (SELECT a, b FROM g UNION SELECT walk.a, g.b FROM walk JOIN g ON walk.b = g.a)"""
+
+
+def _ring(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("a"))
+    return n.select("a", ((F.col("a") * 7 + 3) % 25).alias("b")).unionByName(n.filter("a % 6 < 3 and a < 24").select("a", (F.col("a") + 1).alias("b")))
+
+
+@query(f"WITH RECURSIVE {_RING} SELECT a, b FROM walk")
+def dependency_closure(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.closure(_ring(spark, sf))
+
+
+@query(f"WITH RECURSIVE {_RING} SELECT a AS node FROM walk WHERE a = b")
+def cycle_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.closure(_ring(spark, sf)).filter("a = b").select(F.col("a").alias("node"))
+
+
+@query(
+    """WITH p AS (SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'P'), k AS (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+    SELECT o_orderkey, o_custkey FROM p WHERE o_custkey NOT IN (SELECT c_custkey FROM k)
+    UNION ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderstatus = 'O' AND o_orderpriority = '1-URGENT'"""
+)
+def pending_acknowledgement(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    known = table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    carried = o.filter("o_orderstatus = 'P'").join(known, "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
+    return carried.unionByName(o.filter("o_orderstatus = 'O' and o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey"))
