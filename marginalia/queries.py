@@ -15,6 +15,7 @@ from pyspark.sql.window import Window as W
 from marginalia.functions import text as X
 from marginalia.functions.similarity import similarity_to
 from marginalia.operators import diff, graph, intervals, ranking, rules
+from marginalia.plans.skew import small
 from marginalia.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -236,19 +237,9 @@ def X_key(value: str) -> str:
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''")
 def passage_containment(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold a passage: joined on the passage's first 24 characters at every word start, then compared."""
+    """Documents that hold a passage; the passages are a stated query set that every document is read against once."""
     b = table(spark, sf, "benchmark").filter(F.length("text") > 0).select("item_id", F.col("text").alias("passage"))
-    b = b.withColumn("key", F.substring("passage", 1, 8)).withColumn("n", F.length("key"))
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    # The passages are the stated query set; documents stream past them once.
-    short = b.filter("n < 8").drop("key", "n")
-    long = b.filter("n = 8").drop("n")
-    starts = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("text") - 7, F.lit(1))), lambda i: F.substr("text", i, F.lit(8))))
-    starts = F.filter(starts, lambda s: F.length(s) == 8)
-    heads = d.select("doc_id", "text", F.explode(starts).alias("key"))
-    found = heads.join(long, "key").filter(F.contains("text", F.col("passage"))).select("doc_id", "item_id")
-    rest = d.join(short, F.contains("text", F.col("passage"))).select("doc_id", "item_id")
-    return found.unionByName(rest)
+    return table(spark, sf, "documents").join(small(b, 20_000), F.contains("text", F.col("passage"))).select("doc_id", "item_id")
 
 
 # --- intervals and coverage ----------------------------------------------------------------------------------------
@@ -515,3 +506,270 @@ def pending_acknowledgement(spark: SparkSession, sf: str) -> DataFrame:
     known = table(spark, sf, "customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
     carried = o.filter("o_orderstatus = 'P'").join(known, "o_custkey", "left_anti").select("o_orderkey", "o_custkey")
     return carried.unionByName(o.filter("o_orderstatus = 'O' and o_orderpriority = '1-URGENT'").select("o_orderkey", "o_custkey"))
+
+
+# --- dashboards, selections, pages -----------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT source, count(*)::BIGINT AS n, count(*) FILTER (WHERE lang = 'en')::BIGINT AS n_en, count(quality)::BIGINT AS labelled,
+    count(*) FILTER (WHERE quality = 0)::BIGINT AS weak, count(*) FILTER (WHERE toxic = 1)::BIGINT AS conflicts FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1"""
+)
+def status_dashboard(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", "source", "lang").join(table(spark, sf, "labels"), "doc_id", "left")
+    return d.groupBy("source").agg(
+        F.count("*").alias("n"), F.count_if(F.col("lang") == "en").alias("n_en"), F.count("quality").alias("labelled"),
+        F.count_if(F.col("quality") == 0).alias("weak"), F.count_if(F.col("toxic") == 1).alias("conflicts"),
+    )
+
+
+@query(
+    """WITH j AS (SELECT d.doc_id, quality, toxic, text FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+    SELECT 'understanding' AS queue, doc_id FROM j WHERE quality = 0 UNION ALL SELECT 'conflict', doc_id FROM j WHERE toxic = 1
+    UNION ALL SELECT 'deposit', doc_id FROM j WHERE quality IS NULL UNION ALL SELECT 'unanswered', doc_id FROM j WHERE contains(text, '?')"""
+)
+def queue_lists(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("doc_id", F.contains("text", F.lit("?")).alias("asks")).join(table(spark, sf, "labels"), "doc_id", "left")
+    queues = {"understanding": F.col("quality") == 0, "conflict": F.col("toxic") == 1, "deposit": F.col("quality").isNull(), "unanswered": F.col("asks")}
+    return rules.violations(d, "doc_id", queues).select(F.col("code").alias("queue"), "doc_id")
+
+
+@query(
+    r"""SELECT count(*)::BIGINT AS n, count(*) FILTER (WHERE length(text) < 50)::BIGINT AS short, count(*) FILTER (WHERE contains(text, 'icense'))::BIGINT AS licensed,
+    count(*) FILTER (WHERE regexp_matches(text, '[^(]https?://'))::BIGINT AS naked_links, count(DISTINCT source)::BIGINT AS sources FROM documents"""
+)
+def audit_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").agg(
+        F.count("*").alias("n"), F.count_if(F.length("text") < 50).alias("short"), F.count_if(F.contains("text", F.lit("icense"))).alias("licensed"),
+        F.count_if(F.col("text").rlike("[^(]https?://")).alias("naked_links"), F.countDistinct("source").alias("sources"),
+    )
+
+
+@query(
+    r"""WITH i AS (SELECT 'short' AS kind FROM documents WHERE length(text) < 50 UNION ALL SELECT 'secret' FROM documents WHERE regexp_matches(text, 'token\s*=\s*"')
+    UNION ALL SELECT 'no_label' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) SELECT kind, count(*)::BIGINT AS n FROM i GROUP BY 1"""
+)
+def issue_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    seen = d.join(table(spark, sf, "labels").select("doc_id").distinct().withColumn("l", F.lit(True)), "doc_id", "left")
+    codes = {"short": F.length("text") < 50, "secret": F.col("text").rlike(r'token\s*=\s*"'), "no_label": F.col("l").isNull()}
+    return rules.violations(seen, "doc_id", codes).groupBy(F.col("code").alias("kind")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT lang, source, count(*)::BIGINT AS n, sum(strlen(text))::BIGINT AS bytes FROM documents GROUP BY ROLLUP (lang, source)")
+def storage_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").rollup("lang", "source").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+
+
+@query(
+    """WITH e AS (SELECT quality, CASE WHEN contains(text, '|') OR contains(text, '!!') OR contains(text, '$$') THEN 0 ELSE 1 END AS guess, length(text) AS n FROM documents d JOIN labels l ON d.doc_id = l.doc_id)
+    SELECT count(*)::BIGINT AS n, round(avg((guess = quality)::INT), 6) AS top1, round(avg(CASE WHEN quality = 0 THEN (guess = 0)::INT END), 6) AS gap_accuracy,
+    round(avg(n), 6) AS avg_chars, max(n)::BIGINT AS max_chars, avg((guess = quality)::INT) >= 0.9 AS passed FROM e"""
+)
+def eval_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    t = F.col("text")
+    guess = F.when(t.contains("|") | t.contains("!!") | t.contains("$$"), 0).otherwise(1)
+    e = table(spark, sf, "documents").select("doc_id", guess.alias("guess"), F.length("text").alias("n")).join(table(spark, sf, "labels"), "doc_id")
+    hit = (F.col("guess") == F.col("quality")).cast("int")
+    return e.agg(
+        F.count("*").alias("n"), F.round(F.avg(hit), 6).alias("top1"), F.round(F.avg(F.when(F.col("quality") == 0, hit)), 6).alias("gap_accuracy"),
+        F.round(F.avg("n"), 6).alias("avg_chars"), F.max("n").cast("long").alias("max_chars"), (F.avg(hit) >= 0.9).alias("passed"),
+    )
+
+
+@query(
+    """SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_acctbal < 9000
+    ORDER BY c_mktsegment <> 'BUILDING', CASE WHEN c_acctbal < 0 THEN 0 WHEN c_acctbal < 5000 THEN 1 ELSE 2 END, c_acctbal, lower(c_name), c_custkey LIMIT 1"""
+)
+def review_target(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "customer").filter("c_acctbal < 9000")
+    tier = F.when(F.col("c_acctbal") < 0, 0).when(F.col("c_acctbal") < 5000, 1).otherwise(2)
+    order = [(F.col("c_mktsegment") != "BUILDING").asc(), tier.asc(), F.col("c_acctbal").asc(), F.lower("c_name").asc(), F.col("c_custkey").asc()]
+    return rules.least(c, order, ["c_custkey", "c_name", "c_mktsegment"])
+
+
+@query(
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'blocker' WHEN o_totalprice < 1000 THEN 'invalid_source' WHEN o_orderpriority = '1-URGENT' THEN 'selected_question'
+    WHEN o_orderdate >= DATE '1998-01-01' THEN 'current_task' WHEN o_orderstatus = 'O' THEN 'focus_topic' ELSE 'none' END AS action FROM orders"""
+)
+def priority_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    action = (
+        F.when(F.col("o_orderstatus") == "P", "blocker").when(F.col("o_totalprice") < 1000, "invalid_source")
+        .when(F.col("o_orderpriority") == "1-URGENT", "selected_question").when(F.col("o_orderdate") >= "1998-01-01", "current_task")
+        .when(F.col("o_orderstatus") == "O", "focus_topic").otherwise("none")
+    )
+    return table(spark, sf, "orders").select("o_orderkey", action.alias("action"))
+
+
+@query(
+    """WITH s AS (SELECT source, doc_id, length(text) AS n, row_number() OVER (PARTITION BY source ORDER BY length(text) DESC, doc_id) AS rn, count(*) OVER (PARTITION BY source) AS c FROM documents)
+    SELECT source, doc_id, rn::INT AS rank, (c - 2)::BIGINT AS deferred FROM s WHERE rn <= 2"""
+)
+def paged_followup(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("source", "doc_id", F.length("text").alias("n"))
+    counts = d.groupBy("source").agg(F.count("*").alias("c"), F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("one"))
+    # Two a source: the largest, and the largest of what is left; both are aggregates, so a hot source is combined early.
+    rest = d.join(F.broadcast(counts), "source").filter(F.col("doc_id") != F.col("one")).groupBy("source").agg(F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("two"))
+    both = counts.join(rest, "source", "left").select("source", "c", F.posexplode(F.array("one", "two")).alias("p", "doc_id")).filter(F.col("doc_id").isNotNull())
+    return both.select("source", "doc_id", (F.col("p") + 1).alias("rank"), (F.col("c") - 2).alias("deferred"))
+
+
+@query(
+    """WITH s AS (SELECT conv_id, turn, length(text) AS n, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) AS c FROM conversations)
+    SELECT conv_id, turn, n::INT AS n, c::BIGINT AS used FROM s WHERE c <= 400"""
+)
+def budget_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
+    return c.withColumn("used", F.sum("n").over(W.partitionBy("conv_id").orderBy("turn"))).filter("used <= 400")
+
+
+@query(
+    """SELECT doc_id, substr(text, 101, 200) AS page, len(string_split(substr(text, 1, 100), chr(10)))::INT AS first_line, length(text) > 300 AS truncated,
+    sha256(text) AS document_hash FROM documents"""
+)
+def paged_read(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").select(
+        "doc_id", F.substring("text", 101, 200).alias("page"), F.size(F.split(F.substring("text", 1, 100), "\n")).alias("first_line"),
+        (F.length("text") > 300).alias("truncated"), F.sha2("text", 256).alias("document_hash"),
+    )
+
+
+# --- rules, scans, views ---------------------------------------------------------------------------------------------
+
+
+@query(
+    """SELECT o_orderkey AS id, 'price' AS code FROM orders WHERE o_totalprice < 2000 UNION ALL SELECT o_orderkey, 'status' FROM orders WHERE o_orderstatus NOT IN ('O', 'F')
+    UNION ALL SELECT o_orderkey, 'priority' FROM orders WHERE o_orderpriority = '5-LOW' AND o_totalprice > 300000 UNION ALL SELECT c_custkey, 'balance' FROM customer WHERE c_acctbal < 0
+    UNION ALL SELECT doc_id, 'text' FROM documents WHERE length(text) < 20"""
+)
+def rule_violations(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").withColumnRenamed("o_orderkey", "id")
+    codes = {
+        "price": F.col("o_totalprice") < 2000, "status": ~F.col("o_orderstatus").isin("O", "F"),
+        "priority": (F.col("o_orderpriority") == "5-LOW") & (F.col("o_totalprice") > 300000),
+    }
+    c = rules.violations(table(spark, sf, "customer").withColumnRenamed("c_custkey", "id"), "id", {"balance": F.col("c_acctbal") < 0})
+    d = rules.violations(table(spark, sf, "documents").withColumnRenamed("doc_id", "id"), "id", {"text": F.length("text") < 20})
+    return rules.violations(o, "id", codes).unionByName(c).unionByName(d)
+
+
+@query(
+    """WITH e AS (SELECT event_id, list_filter(['a', 'k', 'page', 'ref'], lambda k: json_extract_string(props, '$.' || k) IS NULL) AS m FROM events)
+    SELECT event_id, array_to_string(m, ',') AS missing, len(m) = 0 AS compatible FROM e"""
+)
+def required_fields(spark: SparkSession, sf: str) -> DataFrame:
+    need = ["a", "k", "page", "ref"]
+    missing = F.filter(F.array(*[F.when(F.get_json_object("props", f"$.{k}").isNull(), F.lit(k)) for k in need]), lambda x: x.isNotNull())
+    e = table(spark, sf, "events").select("event_id", missing.alias("m"))
+    return e.select("event_id", F.array_join("m", ",").alias("missing"), (F.size("m") == 0).alias("compatible"))
+
+
+_SECRETS = {
+    "token": r'(?:token|secret|password|api_key)\s*[:=]\s*"[^"]{8,}"',
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}",
+    "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----",
+    "drive_path": r"[A-Za-z]:\\[A-Za-z]",
+}
+
+
+@query(" UNION ALL ".join(f"SELECT doc_id, '{k}' AS code FROM documents WHERE regexp_matches(text, '{p}')" for k, p in _SECRETS.items()))
+def secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return rules.violations(table(spark, sf, "documents"), "doc_id", {k: F.col("text").rlike(p) for k, p in _SECRETS.items()})
+
+
+@query(
+    r"""SELECT page_id, CASE WHEN starts_with(u, '/') THEN 'absolute' WHEN regexp_matches(u, '^[A-Za-z]:') THEN 'drive' WHEN list_contains(string_split(u, '/'), '..') THEN 'parent'
+    WHEN contains(u, ':') THEN 'colon' WHEN len(list_filter(string_split(u, '/'), lambda p: regexp_matches(p, '^\.[A-Za-z]'))) > 0 THEN 'hidden'
+    WHEN regexp_matches(lower(u), '\.(key|pem|pfx|env)$') THEN 'denied_suffix' END AS reason
+    FROM (SELECT page_id, CASE page_id % 5 WHEN 0 THEN url WHEN 1 THEN '/' || url WHEN 2 THEN 'a/../b' WHEN 3 THEN 'c:/' || page_id ELSE 'notes/.git/x' || page_id END AS u FROM pages)"""
+)
+def path_safety(spark: SparkSession, sf: str) -> DataFrame:
+    i = F.col("page_id")
+    u = F.when(i % 5 == 0, F.col("url")).when(i % 5 == 1, F.concat(F.lit("/"), "url")).when(i % 5 == 2, "a/../b").when(i % 5 == 3, F.concat(F.lit("c:/"), i)).otherwise(F.concat(F.lit("notes/.git/x"), i))
+    return table(spark, sf, "pages").select("page_id", X.exclusion_reason(u).alias("reason"))
+
+
+_PREFIXES = r"""p AS (SELECT DISTINCT regexp_replace(regexp_extract(url, '^https?://([^?#]+)', 1), '/$', '') AS path FROM pages),
+q AS (SELECT path FROM p UNION SELECT regexp_extract(path, '^[^/]+', 0) FROM p WHERE length(path) % 4 = 0)"""
+
+
+@query(f"WITH {_PREFIXES} SELECT path FROM q WHERE NOT EXISTS (SELECT 1 FROM q o WHERE o.path <> q.path AND starts_with(q.path, o.path || '/'))")
+def prefix_dominance(spark: SparkSession, sf: str) -> DataFrame:
+    """Paths without an ancestor among them: each path's own ancestors are made, then one anti join."""
+    p = table(spark, sf, "pages").select(F.regexp_replace(F.regexp_extract("url", "^https?://([^?#]+)", 1), "/$", "").alias("path")).distinct()
+    q = p.unionByName(p.filter(F.length("path") % 4 == 0).select(F.regexp_extract("path", "^[^/]+", 0).alias("path"))).distinct()
+    return _undominated(q)
+
+
+def _undominated(q: DataFrame) -> DataFrame:
+    parts = F.split("path", "/")
+    above = q.filter(F.size(parts) > 1).select("path", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, 1, i), "/"))).alias("up"))
+    covered = above.join(q.select(F.col("path").alias("up")), "up", "left_semi").select("path").distinct()
+    return q.join(covered, "path", "left_anti")
+
+
+@query(
+    """WITH a AS (SELECT l_orderkey, l_linenumber::BIGINT AS line FROM lineitem), e AS (SELECT o_orderkey AS l_orderkey, unnest(generate_series(1, 4))::BIGINT AS line FROM orders)
+    SELECT 'missing' AS kind, * FROM (SELECT * FROM e EXCEPT SELECT * FROM a) UNION ALL SELECT 'extra', * FROM (SELECT * FROM a EXCEPT SELECT * FROM e)
+    UNION ALL SELECT 'duplicate', l_orderkey, line FROM a GROUP BY ALL HAVING count(*) > 1"""
+)
+def expected_vs_actual(spark: SparkSession, sf: str) -> DataFrame:
+    a = table(spark, sf, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("long").alias("line")).agg(F.count("*").alias("n"))
+    e = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.explode(F.sequence(F.lit(1).cast("long"), F.lit(4).cast("long"))).alias("line"), F.lit(True).alias("e"))
+    both = a.join(e, ["l_orderkey", "line"], "full")
+    kinds = {"missing": F.col("n").isNull(), "extra": F.col("e").isNull(), "duplicate": F.col("n") > 1}
+    found = F.filter(F.array(*[F.when(w, F.lit(k)) for k, w in kinds.items()]), lambda x: x.isNotNull())
+    return both.select(F.explode(found).alias("kind"), "l_orderkey", "line")
+
+
+@query("SELECT doc_id, source, n_chars FROM documents WHERE lang = 'en' AND source = 'src0' ORDER BY doc_id")
+def view_episodes(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents").filter("lang = 'en' and source = 'src0'").select("doc_id", "source", "n_chars").orderBy("doc_id")
+
+
+@query("SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH') AND (o_orderstatus IS NULL OR o_orderstatus <> 'F') ORDER BY o_orderdate DESC, o_orderkey")
+def view_undeposited(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").filter(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & (F.col("o_orderstatus").isNull() | (F.col("o_orderstatus") != "F")))
+    return o.orderBy(F.col("o_orderdate").desc(), "o_orderkey").select("o_orderkey", "o_orderstatus")
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderstatus <> 'P' ORDER BY o_orderdate DESC, o_orderkey LIMIT 10")
+def view_latest(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").filter("o_orderstatus <> 'P'").orderBy(F.col("o_orderdate").desc(), "o_orderkey").limit(10)
+    return o.select("o_orderkey", "o_custkey", "o_orderstatus")
+
+
+@query(
+    """WITH t AS (SELECT o_custkey, list(DISTINCT o_orderpriority ORDER BY o_orderpriority) AS kinds FROM orders GROUP BY 1)
+    SELECT o_custkey, array_to_string(kinds, ',') AS kinds FROM t WHERE len(kinds) > 1 AND list_contains(kinds, '1-URGENT')"""
+)
+def view_involved(spark: SparkSession, sf: str) -> DataFrame:
+    t = table(spark, sf, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_set("o_orderpriority")).alias("kinds"))
+    return t.filter((F.size("kinds") > 1) & F.array_contains("kinds", "1-URGENT")).select("o_custkey", F.array_join("kinds", ",").alias("kinds"))
+
+
+@query(
+    """SELECT conv_id, turn, regexp_extract(text, '([^.?!]*[?])', 1) AS task FROM conversations WHERE role = 'user' AND contains(text, '?') ORDER BY conv_id, turn"""
+)
+def view_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations").filter((F.col("role") == "user") & F.contains("text", F.lit("?")))
+    return c.select("conv_id", "turn", F.regexp_extract("text", "([^.?!]*[?])", 1).alias("task")).orderBy("conv_id", "turn")
+
+
+@query(
+    """SELECT lang, (arg_min(doc_id, (length(text), doc_id)))::BIGINT AS smallest, (arg_max(doc_id, (length(text), -doc_id)))::BIGINT AS largest FROM documents GROUP BY 1"""
+)
+def preference_argmin(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents").select("lang", "doc_id", F.length("text").alias("n"))
+    return d.groupBy("lang").agg(F.min_by("doc_id", F.struct("n", "doc_id")).alias("smallest"), F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("largest"))
+
+
+# --- extensions: not among the reference's operators ---------------------------------------------------------------
+
+
+@query(
+    """SELECT event_type, time_bucket(INTERVAL '1 hour', ts) AS start, count(*)::BIGINT AS n FROM events GROUP BY 1, 2"""
+)
+def tumbling_counts(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    return e.groupBy("event_type", F.date_trunc("hour", F.col("ts")).cast("timestamp_ntz").alias("start")).agg(F.count("*").alias("n"))
