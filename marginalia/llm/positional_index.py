@@ -77,7 +77,7 @@ def phrase_matches(index: DataFrame, tests: DataFrame, window: int = WINDOW) ->
     tests = materialize(tests, "tests")
     found = windows(tests, window).filter(~F.exists("terms", lambda t: t["freq"] == 0))
     ranked = F.array_sort("terms")
-    second = F.element_at(F.filter(ranked, lambda t: t["tid"] != F.element_at(ranked, 1)["tid"]), 1)
+    second = F.try_element_at(F.filter(ranked, lambda t: t["tid"] != F.element_at(ranked, 1)["tid"]), F.lit(1))
     found = found.select("item", F.element_at(ranked, 1).alias("a"), F.coalesce(second, F.element_at(ranked, -1)).alias("b"))
     found = found.select(
         "item", F.col("a.tid").alias("ta"), F.col("a.ipos").alias("pa"), F.col("b.tid").alias("tb"), (F.col("b.ipos") - F.col("a.ipos")).alias("gap")
