@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import struct
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,9 +51,9 @@ def _parsed(path: str, digest: str, text: str) -> dict:
     return {"props": props, "title": title, "body": body, "blocks": rows}
 
 
-@F.udf(NOTE, useArrow=True)
-def parse_note(path: str, digest: str, text: str) -> dict | None:
-    return None if text is None else _parsed(path, digest, text)
+def parse_note(path: str, digest: str, text: str) -> Column:
+    """The note in columns (path, digest, text) as one struct."""
+    return F.udf(lambda p, d, t: None if t is None else _parsed(p, d, t), NOTE, useArrow=True)(path, digest, text)
 
 
 def notes(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
@@ -155,8 +154,7 @@ def segment_index(blob: bytes) -> list[dict]:
     return out
 
 
-@F.pandas_udf(FRAGMENT)
-def fragments(blobs: pd.Series) -> pd.Series:
+def fragments(blob: str) -> Column:
     """``segment_index`` of a binary column; null where there is none."""
 
     def one(b: bytes | None) -> list[dict] | None:
@@ -165,7 +163,7 @@ def fragments(blobs: pd.Series) -> pd.Series:
         except (ValueError, struct.error):
             return None
 
-    return blobs.map(one)
+    return F.udf(one, FRAGMENT, useArrow=True)(blob)
 
 
 def select_fragments(rows: DataFrame, keys: list[str], start: float, end: float) -> DataFrame:
