@@ -5,8 +5,8 @@ between them (words: runs of letters and digits, A-Z lower-cased). The fit keeps
 each coordinate, so every coordinate has its own learning rate, and its L1 term leaves all but a few thousand weights
 at zero; only those are broadcast, and their number is bounded by ``max_weights``.
 
-The fit reads at most ``max_rows`` labelled rows (a bounded sample, see ``training_rows``); a row's features are at
-most ``2 ** bits`` integers, made on the executors. Scoring reads every whole text.
+The fit reads at most ``max_rows`` labelled rows (a bounded sample, see ``training_rows``) with ``max_features``
+features in all, made on the executors. Scoring reads every whole text.
 
 Defined cases: null and empty texts have no features and get the score of the intercept, as does any text without
 known features; with no labelled row at all every score is 0.5; documents with equal texts get equal scores; repeated
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import held_out, read, training_rows
+from marginalia.plans.storage import materialize
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Words hashed at once; bounds the memory that one very long text takes.
@@ -84,7 +85,8 @@ class Model:
 
 @dataclass(frozen=True)
 class Ftrl:
-    """The fit's parameters. ``max_rows`` bounds the labelled sample, ``max_weights`` what is broadcast.
+    """The fit's parameters. ``max_rows`` and ``max_features`` (numbers in all) bound the labelled sample that the
+    driver gets, in the order of the rows' hashes, and ``max_weights`` what is broadcast.
 
     ``l1_share`` is the L1 term for each labelled row, as sums of gradients grow with the rows; ``l1`` bounds it above.
     """
@@ -97,6 +99,7 @@ class Ftrl:
     l2: float = 0.0
     epochs: int = 3
     max_rows: int = 12_000
+    max_features: int = 24_000_000
     max_weights: int = 200_000
 
     def fit(self, rows: list[tuple[np.ndarray, int]]) -> Model:
@@ -140,7 +143,12 @@ def train(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), label: str
 
     rows = training_rows(docs.select("doc_id", "text"), labels, label, params.max_rows)
     rows = rows.select(F.xxhash64("doc_id", F.lit(7)).alias("h"), F.col("text").cast("binary").alias("text"), "y")
-    got = rows.mapInArrow(run, "h bigint, x binary, y int").toArrow().sort_by([("h", "ascending"), ("x", "ascending")])
+    rows = materialize(rows.mapInArrow(run, "h bigint, x binary, y int"), "features")
+    sizes = sorted((r.h, r.n) for r in rows.select("h", (F.octet_length("x") / 4).alias("n")).collect())
+    held = np.cumsum([n for _, n in sizes])
+    if len(sizes) and held[-1] > params.max_features:
+        rows = rows.filter(F.col("h") < sizes[int(np.searchsorted(held, params.max_features, side="right"))][0])
+    got = rows.toArrow().sort_by([("h", "ascending"), ("x", "ascending")])
     pairs = zip(got.column("x").to_pylist(), got.column("y").to_pylist(), strict=True)
     return params.fit([(np.frombuffer(x, dtype=np.int32), y) for x, y in pairs])
 
