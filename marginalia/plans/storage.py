@@ -7,25 +7,29 @@ later scans prune columns, and values that depend on task placement (row ids, pa
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+#: Folders chosen here for applications that set none, by application id.
+_own: dict[str, str] = {}
 
 
 def work_dir(spark: SparkSession) -> str:
     """The shared folder: ``spark.checkpoint.dir`` if set, else a local one in local mode or the warehouse."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        found = "file://" + tempfile.mkdtemp(prefix="marginalia-")
-        _made.append((spark, found))
-    else:
-        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_marginalia"
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    app = spark.sparkContext.applicationId
+    if app not in _own:
+        if re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            _own[app] = "file://" + tempfile.mkdtemp(prefix="marginalia-")
+            _made.append((spark, _own[app]))
+        else:
+            _own[app] = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_marginalia"
+    return _own[app]
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
