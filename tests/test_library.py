@@ -265,3 +265,81 @@ def test_query_equals_sql(spark, duck, name):
     a = sorted([tuple(plain(r[c]) for c in columns) for r in got.collect()])
     at = {c: i for i, c in enumerate(want.columns)}
     assert a == sorted([tuple(plain(r[at[c]]) for c in columns) for r in want.fetchall()])
+
+
+def test_routes_and_prompts(spark, tmp_path):
+    from marginalia.sources import library as L
+
+    (tmp_path / "map.md").write_text(
+        "---\n类型: 知识地图\n分类: 故事与剧本\n---\n# 图\n## 按创作问题调用\n### 冲突\n- **什么时候进入**：没有推进\n- **调用顺序**：[[因果冲突]] 再 [[a/代价.md|x]]\n- **何时停止或返回**：推进了\n### 空\n- 无\n## 阶段入口\n- 视觉设计：[[轴线与视线]]\n- 无链接：x\n"
+    )
+    notes, _ = N.notes(spark, str(tmp_path))
+    got = sorted((r.name, r.kind, r.enter, r.targets) for r in L.routes(notes).collect())
+    assert got == [("冲突", "problem", "没有推进", ["因果冲突", "代价"]), ("视觉设计", "stage", "", ["轴线与视线"])]
+    (tmp_path / "box").mkdir()
+    fields = "".join(f"- {f}：v\n" for f in L.PROMPT_FIELDS)
+    (tmp_path / "box/b.md").write_text(f"# box\n## 阅读与研究\n### one\n{fields}```text\ntidy\n```\n> raw\n### one\n- 用途：v\n## 其他\n### two\n{fields}")
+    entries = L.prompts(spark, str(tmp_path / "box")).cache()
+    first = entries.filter("organized = 'tidy'").first()
+    assert (first.category, first.title, first.original, first.missing) == ("阅读与研究", "one", "raw", [])
+    issues = {(r.code, r.value) for r in L.prompt_issues(entries).collect()}
+    assert {("duplicate_title", "one"), ("outside_category", "其他"), ("missing_field", "one: 标签"), ("missing_category", "影视创作")} <= issues
+    index = spark.createDataFrame([("one", "One", 1), ("gone", "gone", 2)], "title string, alias string, position int")
+    assert {(r.title, r.code) for r in L.index_differences(entries, index).collect()} == {("one", "alias"), ("gone", "stale"), ("two", "missing")}
+
+
+def test_files_scopes_and_leaves(spark, tmp_path):
+    from marginalia.sources import library as L
+
+    (tmp_path / "a/b").mkdir(parents=True)
+    (tmp_path / "a/b/x.TXT").write_text("12345")
+    (tmp_path / "y.md").write_text("1")
+    meta = L.file_metadata(spark, str(tmp_path)).cache()
+    assert sorted((r.path, r.extension, r.folder, r.size) for r in meta.collect()) == [("a/b/x.TXT", ".txt", "a/b", 5), ("y.md", ".md", "", 1)]
+    total = L.storage_report(meta, spark.createDataFrame([("y.md",)], "path string")).filter("folder is null and extension is null").first()
+    assert (total.files, total.bytes, total.referenced) == (2, 6, 1)
+    assert [r.path for r in L.changed_files(meta.filter("path = 'y.md'"), meta).collect()] == ["a/b/x.TXT"]
+    df = spark.createDataFrame([("z/a/1",), ("z/ab",), ("q",)], "p string")
+    assert [r.p for r in df.filter(L.scope(F.col("p"), ["z/a", "z/a/1/"])).collect()] == ["z/a/1"]
+    assert df.select(L.ancestors(F.col("p"))).first()[0] == ["z", "z/a"]
+    js = spark.createDataFrame([(1, '{"a": {"api_key": "x", "n": [1, {"Token": ""}]}}'), (2, "no")], "id int, j string")
+    assert [tuple(r) for r in L.secrets_in_json(js, "id", "j").collect()] == [(1, "a.api_key")]
+    notes = spark.createDataFrame([("p", "h")], "path string, doc_hash string")
+    assert L.signed_index(notes, str(tmp_path / "ix")).count() == L.signed_index(notes, str(tmp_path / "ix")).count() == 1
+
+
+def test_courses(spark):
+    from marginalia.operators import courses as C
+
+    e = spark.createDataFrame([("c", "p", 1, [1, 2]), ("c", "q", 3, [4, 3]), ("c", "r", 2, [2])], "course string, path string, first int, pages array<int>")
+    x = spark.createDataFrame([("c", i) for i in (1, 2, 3, 5)], "course string, page int")
+    assert {(r.code, r.page) for r in C.page_partition(e, x).collect()} == {("order", 3), ("first", 3), ("repeated", 2), ("missing", 5), ("extra", 4)}
+    f = spark.createDataFrame([(1, "a", "h", "m", 5), (1, "b", "h", "m", 3), (1, "c", "none", "m", 1)], "v int, format_id string, vcodec string, acodec string, filesize long")
+    assert C.smallest_muxed(f, "v").first()[:] == (1, "b")
+    assert C.preferred(spark.createDataFrame([(1, "en"), (1, "zh")], "v int, lang string"), "v", "lang", ["zh", "en"]).first().lang == "zh"
+    t = spark.createDataFrame([(1, i / 10) for i in range(11)] + [(2, 0.0), (2, 1.0)], "k int, t double")
+    assert {r.k: r.ok for r in C.frame_timeline(t, "k", "t", 1.0, 24).collect()} == {1: True, 2: False}
+    m = spark.createDataFrame([("a", ["b"]), ("b", ["a"]), ("c", ["d"])], "name string, requires array<string>")
+    chosen = spark.createDataFrame([("a",), ("c",), ("z",)], "name string")
+    assert {tuple(r) for r in C.selection_closure_errors(m, chosen).collect()} == {("a", "b"), ("c", "d"), ("z", "")}
+
+
+def test_plans_apply_once_and_only_to_what_they_saw(spark, tmp_path):
+    from marginalia.plans import upsert as U
+
+    lib = U.Library(spark, str(tmp_path / "lib"))
+    lib.create(spark.createDataFrame([("a", "mine"), ("b", "x <!-- managed:k:begin -->\nold\n<!-- managed:k:end --> y"), ("c", "<!-- managed:k:begin -->")], "path string, text string"))
+    change = spark.createDataFrame([("a", "k", "new"), ("b", "k", "new"), ("d", "k", "new")], "path string, key string, block string")
+    plan = U.build(lib.read(), change)
+    token = U.plan_id(plan)
+    assert lib.apply(plan, token) == 1
+    texts = {r.path: r.text for r in lib.read().collect()}
+    block = "<!-- managed:k:begin -->\nnew\n<!-- managed:k:end -->"
+    assert texts == {"a": f"mine\n\n{block}\n", "b": f"x {block} y", "c": "<!-- managed:k:begin -->", "d": f"{block}\n"}
+    with pytest.raises(ValueError):
+        lib.apply(plan, token)
+    again = U.build(lib.read(), change)
+    assert again.filter("before_hash != after_hash").count() == 0 and lib.version() == 1
+    broken = U.build(lib.read(), spark.createDataFrame([("c", "k", "new")], "path string, key string, block string"))
+    with pytest.raises(ValueError):
+        lib.apply(broken, U.plan_id(broken))
