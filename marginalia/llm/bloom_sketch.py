@@ -4,7 +4,9 @@ A text is a set of paragraph digests: its lines, a line of more than PIECE words
 sketch has three tables of cells; a digest enters one cell of each, where digests are counted, and they and their
 checksums are XORed. The sketch of one text minus that of another holds just the digests in which the two differ;
 peeling takes out cells that hold a single one, until all are recovered. Where that gets stuck, both sketches are
-built again four times as large, at most twice; differences beyond that are found from the digests themselves.
+built again four times as large, up to three times (the two largest forms in parts, each with its share of the
+digests, so that work grows with their number and not its square); differences beyond that are found from the
+digests themselves.
 
 Likeness is that of the digest sets: (common) / (all), from the sizes in the sketches and the recovered difference.
 
@@ -15,17 +17,19 @@ after the last is the first; a single document is its own next; further columns
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from marginalia.llm.common import read
 
-#: Words of a stretch, cells in each of the three tables of the sketch and of its two larger forms.
+#: Words of a stretch, and cells in each of the three tables of the sketch and of a part of the larger forms.
 PIECE = 32
-CELLS, LARGER = 8, (32, 128)
-#: Digests of both texts up to which a larger form is tried (beyond, it is sure or likely to fail).
-WORTH = {32: 400, 128: 220}
+CELLS, PART = 8, 32
+#: Parts of the larger forms, and digests of both texts up to which each is tried.
+LARGER = ((1, 400), (4, 800), (16, 1600))
 ROUNDS = 8
 
 
@@ -35,89 +39,108 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
 
 
-def _place(digest: Column, table: Column, cells: int) -> Column:
-    """The cell of a digest in one of the three tables."""
-    return F.pmod(F.shiftrightunsigned(digest, 1).bitwiseXOR(F.xxhash64(digest, table)), F.lit(cells)).cast("int")
+def _place(digest: Column, table: int, cells: int) -> Column:
+    """The cell of a digest in one of the three tables, from bits of its own; ``cells`` is a power of two."""
+    return F.shiftright(digest, 20 * table).bitwiseAND(F.lit(cells - 1))
 
 
 def _check(digest: Column) -> Column:
-    return F.xxhash64(digest, F.lit(-7)).bitwiseAND(F.lit(0xFFFFFFFF))
+    return F.xxhash64(digest).bitwiseAND(F.lit(0xFFFFFFFF))
+
+
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated one time, as the variable of a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def sketch(items: Column, cells: int) -> Column:
-    """3 * cells cells (c, k, h): how many digests, their XOR, the XOR of their checksums."""
+    """Three tables of ``cells`` cells (c, k, h): how many digests, their XOR, the XOR of their checksums."""
     none = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
+    spots = F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))
 
-    def placed(table: int) -> Column:
-        return F.transform(items, lambda d: F.struct(_place(d, F.lit(table), cells).alias("p"), d.alias("d"), _check(d).alias("h")))
-
-    def filled(table: Column) -> Column:
+    def filled(table: int) -> Column:
         cell = lambda j: F.aggregate(
-            F.filter(table, lambda x: x["p"] == j), none,
-            lambda a, x: F.struct((a["c"] + 1).alias("c"), a["k"].bitwiseXOR(x["d"]).alias("k"), a["h"].bitwiseXOR(x["h"]).alias("h")),
+            F.filter(items, lambda d: _place(d, table, cells) == j), none,
+            lambda a, d: F.struct((a["c"] + 1).alias("c"), a["k"].bitwiseXOR(d).alias("k"), a["h"].bitwiseXOR(_check(d)).alias("h")),
         )
-        return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), cell)
+        return F.transform(spots, cell)
 
-    return F.flatten(F.transform(F.array(*[placed(t) for t in range(3)]), filled))
+    return F.array(*[filled(t) for t in range(3)])
 
 
 def subtracted(a: Column, b: Column) -> Column:
-    return F.zip_with(a, b, lambda x, y: F.struct((x["c"] - y["c"]).alias("c"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h")))
+    less = lambda x, y: F.struct((x["c"] - y["c"]).alias("c"), x["k"].bitwiseXOR(y["k"]).alias("k"), x["h"].bitwiseXOR(y["h"]).alias("h"))
+    return F.zip_with(a, b, lambda s, t: F.zip_with(s, t, less))
 
 
-def peeled(cells: Column, per_table: int) -> Column:
+def peeled(tables: Column, cells: int) -> Column:
     """(ok, found): whether all of a subtracted sketch was recovered, and the digests (k, c: +1 or -1) that were.
 
     A step takes the single digests of one table, which are distinct, out of all three; three steps in a row without
     one mean that the sketch is empty or stuck, and later steps do nothing.
     """
-    state = F.struct(cells.alias("cells"), F.array().cast("array<struct<c:int,k:bigint,h:bigint>>").alias("found"), F.lit(0).alias("idle"))
+    state = F.struct(tables.alias("t"), F.array().cast("array<struct<c:int,k:bigint,h:bigint>>").alias("found"), F.lit(0).alias("idle"))
 
-    def step(s: Column, i: Column) -> Column:
-        table = F.pmod(i, F.lit(3))
-        part = F.slice(s["cells"], table * per_table + 1, per_table)
-        pure = F.filter(part, lambda x, j: (F.abs(x["c"]) == 1) & (x["h"] == _check(x["k"])) & (_place(x["k"], table, per_table) == j))
-
-        def taken(got: Column) -> Column:
-            spots = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda t: F.transform(got, lambda p: F.struct(_place(p["k"], t, per_table).alias("p"), p.alias("x"))))
-            less = F.transform(
-                s["cells"],
-                lambda cell, g: F.aggregate(
-                    F.filter(F.element_at(spots, (g / per_table).cast("int") + 1), lambda q: q["p"] == F.pmod(g, F.lit(per_table))), cell,
-                    lambda a, q: F.struct(
-                        (a["c"] - q["x"]["c"]).alias("c"), a["k"].bitwiseXOR(q["x"]["k"]).alias("k"), a["h"].bitwiseXOR(q["x"]["h"]).alias("h")
-                    ),
-                ),
+    def taken(s: Column, got: Column) -> Column:
+        def without(spots: Column, cell: Column, t: int, j: Column) -> Column:
+            return F.aggregate(
+                F.filter(spots, lambda q: _place(q["k"], t, cells) == j), cell,
+                lambda a, q: F.struct((a["c"] - q["c"]).alias("c"), a["k"].bitwiseXOR(q["k"]).alias("k"), a["h"].bitwiseXOR(q["h"]).alias("h")),
             )
-            kept = F.struct(s["cells"].alias("cells"), s["found"].alias("found"), (s["idle"] + 1).alias("idle"))
-            return F.when(F.size(got) == 0, kept).otherwise(F.struct(less.alias("cells"), F.concat(s["found"], got).alias("found"), F.lit(0).alias("idle")))
 
-        going = F.element_at(F.transform(F.array(pure), taken), 1)  # a lambda, so that ``pure`` is made once
-        return F.when(s["idle"] >= 3, s).otherwise(going)
+        def table(t: int) -> Column:
+            return F.transform(s["t"][t], lambda cell, j: without(got, cell, t, j))
+
+        left = F.array(*map(table, range(3)))
+        idle = F.struct(s["t"].alias("t"), s["found"].alias("found"), (s["idle"] + 1).alias("idle"))
+        return F.when(F.size(got) == 0, idle).otherwise(F.struct(left.alias("t"), F.concat(s["found"], got).alias("found"), F.lit(0).alias("idle")))
+
+    def step(s: Column, i: Column) -> Column:
+        def pure(t: int) -> Column:
+            return F.filter(s["t"][t], lambda x, j: (F.abs(x["c"]) == 1) & (_place(x["k"], t, cells) == j) & (x["h"] == _check(x["k"])))
+
+        got = F.when(i == 0, pure(0)).when(i == 1, pure(1)).otherwise(pure(2))
+        return F.when(s["idle"] >= 3, s).otherwise(once(got, lambda got: taken(s, got)))
 
     def result(s: Column) -> Column:
-        ok = F.forall(s["cells"], lambda x: (x["c"] == 0) & (x["k"] == 0) & (x["h"] == 0))
+        ok = F.forall(s["t"], lambda t: F.forall(t, lambda x: (x["c"] == 0) & (x["k"] == 0) & (x["h"] == 0)))
         return F.struct(ok.alias("ok"), s["found"].alias("found"))
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(3 * ROUNDS - 1)), state, step, result)
+    return F.aggregate(F.array(*[F.lit(i % 3) for i in range(3 * ROUNDS)]), state, step, result)
+
+
+def recovered(a: Column, b: Column, parts: int) -> Column:
+    """How many digests two sets differ in, by sketches in ``parts`` parts; null if one of the parts gets stuck."""
+
+    def part(items: Column, p: Column) -> Column:
+        return items if parts == 1 else F.filter(items, lambda d: F.shiftrightunsigned(d, 60).bitwiseAND(F.lit(parts - 1)) == p)
+
+    def one(p: Column) -> Column:
+        own = once(part(a, p), lambda x: sketch(x, PART))
+        other = once(part(b, p), lambda x: sketch(x, PART))
+        return once(peeled(subtracted(own, other), PART), lambda r: F.when(r["ok"], F.size(r["found"])))
+
+    if parts == 1:
+        return one(F.lit(0))
+    each = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")), one)
+    return F.aggregate(each, F.lit(0), lambda s, x: s + x)
 
 
-def text_of(cells: Column, size: Column) -> Column:
+def text_of(tables: Column, size: Column) -> Column:
     """The sketch as a string: the set's size, then count, XOR and checksum of every cell, in hexadecimal."""
     count = lambda c: F.lpad(F.right(F.hex(c), F.lit(4)), 4, "0")
-    each = F.transform(cells, lambda x: F.concat(count(x["c"]), F.lpad(F.hex(x["k"]), 16, "0"), F.lpad(F.hex(x["h"]), 8, "0")))
+    each = F.transform(F.flatten(tables), lambda x: F.concat(count(x["c"]), F.lpad(F.hex(x["k"]), 16, "0"), F.lpad(F.hex(x["h"]), 8, "0")))
     return F.lower(F.concat(F.lpad(F.hex(size), 8, "0"), F.lit(":"), F.array_join(each, "")))
 
 
 def with_difference(rows: DataFrame, a: str, b: str, cells_a: str, cells_b: str, name: str) -> DataFrame:
     """``rows`` with ``name``: how many digests the sets ``a`` and ``b`` differ in, by their sketches."""
     both = F.size(a) + F.size(b)
-    out = rows.withColumn("_p", peeled(subtracted(F.col(cells_a), F.col(cells_b)), CELLS))
-    out = out.withColumn(name, F.when(F.col("_p.ok"), F.size("_p.found"))).drop("_p")
-    for more in LARGER:
-        again = peeled(subtracted(sketch(F.col(a), more), sketch(F.col(b), more)), more)
-        out = out.withColumn("_p", F.when(F.col(name).isNull() & (both <= WORTH[more]), again))
-        out = out.withColumn(name, F.coalesce(F.col(name), F.when(F.col("_p.ok"), F.size("_p.found")))).drop("_p")
+    first = once(peeled(subtracted(F.col(cells_a), F.col(cells_b)), CELLS), lambda r: F.when(r["ok"], F.size(r["found"])))
+    out = rows.withColumn(name, first)
+    for parts, worth in LARGER:
+        again = F.when(both <= worth, recovered(F.col(a), F.col(b), parts))
+        out = out.withColumn(name, F.when(F.col(name).isNull(), again).otherwise(F.col(name)))
     exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
     return out.withColumn(name, F.coalesce(F.col(name), exact))
 
