@@ -343,3 +343,19 @@ def test_plans_apply_once_and_only_to_what_they_saw(spark, tmp_path):
     broken = U.build(lib.read(), spark.createDataFrame([("c", "k", "new")], "path string, key string, block string"))
     with pytest.raises(ValueError):
         lib.apply(broken, U.plan_id(broken))
+
+
+def test_review_packs_and_followups(library, spark):
+    from marginalia.plans import review as V
+
+    notes = library[0]
+    got = V.pack(notes, ["轴线混乱怎样恢复空间连续", "贝尔不等式"], budget=10).collect()
+    assert {r.facet for r in got} == {0} and got[0].path == "轴线与视线.md" and any(r.role == "primary" for r in got) and any(r.read_required for r in got)
+    rows = [("a.md", "1", {"来源材料": ["[[s]]"]}, "A", "x"), ("s.md", "2", {}, "S", "y"), ("b.md", "3", {"调用知识": ["[[a|z]]"]}, "A", "y")]
+    small = spark.createDataFrame([(p, h, m, t, b, [{"links": ["gone", "s"]}]) for p, h, m, t, b in rows], "path string, doc_hash string, props map<string,array<string>>, title string, body string, blocks array<struct<links:array<string>>>")
+    before = spark.createDataFrame([("a.md", "1"), ("s.md", "old"), ("c.md", "9")], "path string, doc_hash string")
+    changes, impact, issues = V.followup(small, before)
+    assert {r.path: r.kind for r in changes.collect()} == {"a.md": "unchanged", "s.md": "modified", "b.md": "added", "c.md": "removed"}
+    assert {(r.trigger, r.target, tuple(r.chain)) for r in impact.collect()} == {("s.md", "a.md", ("s.md", "a.md")), ("s.md", "b.md", ("s.md", "a.md", "b.md"))}
+    kinds = sorted((r.kind, r.path) for r in issues.collect())
+    assert kinds == [("broken_link", "a.md"), ("broken_link", "b.md"), ("broken_link", "s.md"), ("duplicate_title", "a.md"), ("exact_duplicate", "b.md")]
