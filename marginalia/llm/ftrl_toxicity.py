@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,12 +124,12 @@ class Ftrl:
                 s = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / self.alpha
                 z[i] += g - s * w
                 n[i] += g * g
-        every = np.arange(n_at)
-        w = weights(every)
-        at = np.nonzero(w)[0]
+        at = np.nonzero(np.abs(z[:n_at]) > least)[0]
+        w = weights(at)
         if len(at) > self.max_weights:
-            at = np.sort(at[np.argsort(-np.abs(w[at]), kind="stable")[: self.max_weights]])
-        return Model(self.bits, at.astype(np.int32), w[at], float(weights(np.array([n_at]))[0]))
+            best = np.sort(np.argsort(-np.abs(w), kind="stable")[: self.max_weights])
+            at, w = at[best], w[best]
+        return Model(self.bits, at.astype(np.int32), w, float(weights(np.array([n_at]))[0]))
 
 
 def train(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), label: str = "toxic") -> Model:
@@ -148,9 +149,14 @@ def train(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), label: str
     held = np.cumsum([n for _, n in sizes])
     if len(sizes) and held[-1] > params.max_features:
         rows = rows.filter(F.col("h") < sizes[int(np.searchsorted(held, params.max_features, side="right"))][0])
-    got = rows.toArrow().sort_by([("h", "ascending"), ("x", "ascending")])
-    pairs = zip(got.column("x").to_pylist(), got.column("y").to_pylist(), strict=True)
-    return params.fit([(np.frombuffer(x, dtype=np.int32), y) for x, y in pairs])
+    # The driver holds the features once: rows are views of the Arrow buffers, taken in the order of their hashes.
+    got = rows.toArrow().combine_chunks()
+    order = pc.sort_indices(got, sort_keys=[("h", "ascending"), ("x", "ascending")]).to_pylist()
+    x, y = got.column("x"), got.column("y").to_pylist()
+    model = params.fit([(np.frombuffer(x[i].as_buffer() or b"", dtype=np.int32), y[i]) for i in order])
+    del got, x
+    pa.default_memory_pool().release_unused()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
