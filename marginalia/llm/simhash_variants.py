@@ -4,10 +4,10 @@ A fingerprint of 64 bits is cut into two halves. Of two fingerprints that differ
 differs in at most one bit, so the two share that half as it is or with that one bit wiped out. Every distinct
 fingerprint is indexed under its halves and their 32 one-wildcard variants; equal keys meet in an aggregation.
 
-Buckets of two are a pair. Buckets up to ``PAIR_BUCKET`` are compared inside one row. A larger bucket goes one level
-deeper: its members already agree on one half, and are keyed again by the other half with the remaining bits wiped
-out, after which a key holds at most four distinct fingerprints, all of them linked. So the links of hot buckets are
-whole, and the rows made grow in proportion to the members, never with their square.
+Buckets of two are a pair. Buckets up to ``PAIR_BUCKET`` are compared inside one row. The members of larger buckets are
+keyed, each once, by themselves and the 64 values that are one bit away: two share such a value if and only if they
+are linked, so a key's members all are. So the links of hot buckets are whole, and the rows made grow in proportion
+to the members, never with their square.
 
 Defined cases: null and blank texts have fingerprint zero and link like any other; texts of fewer words than a
 shingle are one shingle; rows with equal text are one node; a null doc_id never is a component id unless it is all
@@ -86,16 +86,10 @@ def _variants() -> Column:
     return F.array(*out)
 
 
-def _deeper() -> Column:
-    """Keys of one member of a large bucket over the half that the bucket leaves open."""
-    side, wild = F.shiftright("key", 38), F.shiftright("key", 32).bitwiseAND(F.lit(63))
-    other = F.when(side == 0, _half(1)).otherwise(_half(0))
-    one = [1 << p for p in range(32)]
-    two = [a | b for i, a in enumerate(one) for b in one[:i]]
-    masks = F.when(wild < 32, F.array(*[F.lit(m).cast("long") for m in one])).otherwise(
-        F.array(*[F.lit(m).cast("long") for m in two])
-    )
-    return F.transform(masks, lambda m: F.struct(m.alias("mask"), other.bitwiseAND(F.bitwise_not(m)).alias("rest")))
+def _around() -> Column:
+    """A fingerprint and the 64 values one bit from it. Two fingerprints share one if and only if they are linked."""
+    masks = [0, *(1 << p for p in range(63)), -(1 << 63)]
+    return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: F.col("fp").bitwiseXOR(m))
 
 
 def links(fps: DataFrame) -> DataFrame:
@@ -120,8 +114,9 @@ def links(fps: DataFrame) -> DataFrame:
     )
     few = few.select(F.explode(found).alias("e")).select("e.a", "e.b")
 
-    deep = members.filter(F.col("n") > PAIR_BUCKET).select("fp", "key", F.explode(_deeper()).alias("d"))
-    deep = deep.groupBy("key", "d.mask", "d.rest").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("m"))
+    hot = members.filter(F.col("n") > PAIR_BUCKET).select("fp").distinct()
+    deep = hot.select("fp", F.explode(_around()).alias("near"))
+    deep = deep.groupBy("near").agg(F.min("fp").alias("a"), F.collect_list("fp").alias("m"))  # 65 at most
     deep = deep.filter(F.size("m") > 1).select("a", F.explode("m").alias("b")).filter((F.col("a") != F.col("b")) & near)
     return pairs.unionByName(few).unionByName(deep).distinct()
 
