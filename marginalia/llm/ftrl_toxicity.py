@@ -9,7 +9,7 @@ The fit reads at most ``max_rows`` labelled rows (a bounded sample, see ``traini
 features in all, made on the executors. Scoring reads every whole text.
 
 Defined cases: null and empty texts have no features and get the score of the intercept, as does any text without
-known features; with no labelled row at all every score is 0.5; documents with equal texts get equal scores; repeated
+known features; with no labelled row at all every score is 0.5 and ``keep_clean`` keeps every row; documents with equal texts get equal scores; repeated
 rows stay; further columns are not read.
 """
 
@@ -77,6 +77,8 @@ class Model:
     at: np.ndarray
     weight: np.ndarray
     intercept: float
+    #: False if there was no labelled row to fit: such a model scores 0.5 and rejects nothing.
+    fitted: bool = True
 
     def dense(self) -> np.ndarray:
         out = np.zeros(1 << self.bits)
@@ -129,7 +131,7 @@ class Ftrl:
         if len(at) > self.max_weights:
             best = np.sort(np.argsort(-np.abs(w), kind="stable")[: self.max_weights])
             at, w = at[best], w[best]
-        return Model(self.bits, at.astype(np.int32), w, float(weights(np.array([n_at]))[0]))
+        return Model(self.bits, at.astype(np.int32), w, float(weights(np.array([n_at]))[0]), bool(rows))
 
 
 def train(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), label: str = "toxic") -> Model:
@@ -176,7 +178,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model, reject_at: float = 0.5) -> DataFrame:
-    """``docs`` less the rows with a score of ``reject_at`` or more; columns and other rows as they are."""
+    """``docs`` less the rows with a score of ``reject_at`` or more; columns and other rows as they are.
+
+    A model that had no labelled row to learn from tells nothing, so all rows stay.
+    """
+    if not model.fitted:
+        return docs
     shared = docs.sparkSession.sparkContext.broadcast(model)
     least = float(np.log(reject_at / (1 - reject_at)))
     at = docs.columns.index("text")

@@ -402,3 +402,12 @@ def test_pages(spark):
 def test_open_blocks_follow_the_nearest_decided_one():
     assert html_blocks._inherit([None, True, None, None, False, None]) == [True, True, True, False, False, False]
     assert html_blocks._inherit([True, None, False]) == [True, True, False] and html_blocks._inherit([None]) == [True]
+
+
+def test_toxicity_without_training_rows_keeps_all(spark, clashing):
+    held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 0]
+    for given in ([], [(1, None), (2, None)], [(i, 1) for i in held]):
+        labels = spark.createDataFrame(given, "doc_id bigint, toxic int")
+        model = ftrl_toxicity.train(clashing, labels)
+        assert ftrl_toxicity.keep_clean(clashing, model).count() == len(rows())
+        assert {r.score for r in ftrl_toxicity.score(clashing, model).collect()} == {0.5}
