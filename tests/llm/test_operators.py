@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marginalia.llm import (
-    bloom_sketch, ftrl_toxicity, html_blocks, license_digest, line_dedup, pareto_mix, positional_index, rule_ensemble, simhash_variants,
+    bloom_sketch, ftrl_toxicity, html_blocks, license_digest, line_dedup, pareto_mix, positional_index, rule_ensemble, shingle_pairs, simhash_variants,
     token_counts,
 )
 
@@ -411,3 +411,43 @@ def test_toxicity_without_training_rows_keeps_all(spark, clashing):
         model = ftrl_toxicity.train(clashing, labels)
         assert ftrl_toxicity.keep_clean(clashing, model).count() == len(rows())
         assert {r.score for r in ftrl_toxicity.score(clashing, model).collect()} == {0.5}
+
+
+def test_pipeline_drops_edited_copies(spark, clashing, empty):
+    """Against a brute force over 5-word shingles, with a hot bucket whose members do not all match each other."""
+    import corpus_pipeline
+
+    r = random.Random(3)
+    long = [prose(400, 900 + i).split(" ") for i in range(3)]
+    texts = [" ".join(x) for x in long]
+    texts += [" ".join([*x[:200], "edited", *x[201:]]) for x in long] + [" ".join([*x[:100], *x[300:]]) for x in long]
+    body = prose(200, 950).split(" ")
+    for i in range(60):
+        at = r.randrange(200 - 25 * (i % 3))
+        texts.append(" ".join([*body[:at], *(f"n{i}_{k}" for k in range(25 * (i % 3))), *body[at + 25 * (i % 3) :]]))
+    texts += ["", None, " ", "a b", "A  b", "b a"]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            union = sets[i] | sets[j]
+            if not union or len(sets[i] & sets[j]) / len(union) >= 0.8:
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == [i for i in range(len(texts)) if root(i) == i]
+    assert not {3, 4, 5} & {r.doc_id for r in kept.collect()}
+    assert shingle_pairs.near_duplicates(clashing).columns == clashing.columns
+    assert shingle_pairs.near_duplicates(empty).count() == 0
+    edges = spark.createDataFrame([(r.randrange(300), r.randrange(300)) for _ in range(200)], "a long, b long").filter("a != b").cache()
+    assert {tuple(x) for x in shingle_pairs.components(edges).collect()} == {tuple(x) for x in simhash_variants.connected_components(edges).collect()}
