@@ -1,6 +1,6 @@
 """Licence scans by canonical digests (DataFrame operations only).
 
-A text is brought to canonical form: A-Z lower-cased, copyright lines dropped, everything in ASCII that is neither a
+A text is brought to canonical form: A-Z lower-cased, copyright notices dropped (lines; not a licence's own sentences), everything in ASCII that is neither a
 letter nor a digit turned into one space, and words of equivalent spelling written in one way. The SHA-256 of the
 whole canonical text, and of each of its lines, is looked up by a hash join among the digests of known licence texts
 and notices. The known table is built here from fixed texts and rules, has a fixed number of rows, and is broadcast.
@@ -18,7 +18,14 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import read
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
+#: Lines that begin with "copyright" or "(c)" and go on as a sentence of a licence are no notices.
+_SENTENCE = (
+    r"notices?|holders?|owners?|laws?|licen[cs]es?|statements?|and|or|in|is|are|to|of|on|for|as|under|if|any|this|that|you|a|an|with|which|by applicable"
+    r"|interests?|rights?|protection|permissions?|disclaimers?|treaty|treaties|may|shall|must|will|has|have|can|be"
+)
+COPYRIGHT = rf"(?m)^[^a-z0-9\n]*(?:(?:copyright|\(c\))(?![ \t]+(?:{_SENTENCE})\b)(?=[ \t:,]*[^\s:,])|©|all rights reserved)[^\n]*"
+#: The oracle's own rule, as it was: it drops every line that begins so.
+_SQL_COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
 NOT_WORD = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Spellings that count as equal, on words divided by single spaces.
@@ -119,7 +126,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_canonical(text: str) -> str:
-    got = f"regexp_replace(regexp_replace(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{COPYRIGHT}', '', 'g'), '{NOT_WORD}', ' ', 'g')"
+    got = f"regexp_replace(regexp_replace(translate(coalesce({text}, ''), '{UPPER}', '{LOWER}'), '{_SQL_COPYRIGHT}', '', 'g'), '{NOT_WORD}', ' ', 'g')"
     other = {a: b for a, b in SPELLINGS.items() if a != b}
     for a in sorted(other, key=lambda x: (-len(x), x)):
         got = f"regexp_replace({got}, '\\b{a}\\b', '{other[a]}', 'g')"

@@ -451,3 +451,15 @@ def test_pipeline_drops_edited_copies(spark, clashing, empty):
     assert shingle_pairs.near_duplicates(empty).count() == 0
     edges = spark.createDataFrame([(r.randrange(300), r.randrange(300)) for _ in range(200)], "a long, b long").filter("a != b").cache()
     assert {tuple(x) for x in shingle_pairs.components(edges).collect()} == {tuple(x) for x in simhash_variants.connected_components(edges).collect()}
+
+
+def test_wrapped_licences_keep_their_sentences(spark):
+    """Standard texts, wrapped at every width, under notices of several forms."""
+    import textwrap
+
+    heads = ["Copyright (c) 2001 Someone", "Copyright 2020, The Authors. All rights reserved.", "(c) 1999 A. Person", "© Someone", "Copyright Some Company", "COPYRIGHT: [yyyy] [name]", "All rights reserved."]
+    data = [(i, "\n".join(["// " + heads[(w + k) % len(heads)], "", *(x for part in t.split("\n") for x in textwrap.wrap(part, w))])) for w in range(40, 90, 3) for k, (i, ts) in enumerate(license_digest.TEXTS.items()) for t in ts]
+    usual = heads[0] + "\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.\n" + license_digest._WARRANTY_ISC
+    data.append(("ISC", usual))
+    got = license_digest.scan(spark.createDataFrame(list(enumerate(t for _, t in data)), "doc_id bigint, text string")).collect()
+    assert [r.license_id for r in sorted(got, key=lambda r: r.doc_id)] == [i for i, _ in data]
