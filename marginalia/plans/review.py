@@ -87,16 +87,23 @@ def dependencies(notes: DataFrame) -> DataFrame:
     return hit.select(F.col("link_id.path").alias("dependent"), F.col("target_id").alias("dependency"), F.col("link_id.field").alias("field")).distinct()
 
 
-def followup(notes: DataFrame, before: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(changes, impact, issues) of notes against a checkpoint (path, doc_hash).
+def followup(notes: DataFrame, before: DataFrame, edges: DataFrame | None = None, pending: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(changes, impact, issues) of notes against a checkpoint: (path, doc_hash) of its notes, the ``edges`` that
+    ``dependencies`` gave then, and the ``pending`` rows of impact that were not settled.
 
-    Impact starts at notes that were modified, removed or retired, over declared dependencies. Issues are broken
-    links, notes of equal text, and titles that repeat.
+    Impact starts at notes that were modified, removed or retired, over the dependencies declared now or then, and
+    names notes that are there; pending rows are carried over. Without ``edges`` nothing is known to have depended
+    on a removed note. Issues are broken links, notes of equal text, and titles that repeat.
     """
     changes = diff.snapshot_diff(before, notes, "path", "doc_hash")
     retired = notes.filter(F.coalesce(prop("状态").isin(*RETIRED), F.lit(False))).select(F.col("path").alias("node"))
     seeds = changes.filter(F.col("kind").isin("modified", "removed")).select(F.col("path").alias("node")).unionByName(retired)
-    impact = graph.impact(seeds, dependencies(notes)).filter("depth > 0")
+    now = dependencies(notes).select("dependent", "dependency")
+    now = now if edges is None else now.unionByName(edges.select("dependent", "dependency"))
+    impact = graph.impact(seeds, now).filter("depth > 0").join(notes.select(F.col("path").alias("target")).distinct(), "target", "left_semi")
+    impact = impact.select("trigger", "target", "depth", "chain")
+    if pending is not None:
+        impact = impact.unionByName(pending.select(*impact.columns).join(impact, ["trigger", "target"], "left_anti"))
     target = link_key(F.col("target"))
     links = blocks(notes).select("path", F.explode("links").alias("target")).select("path", "target", F.element_at(F.split(target, "/"), -1).alias("stem"))
     stems = notes.select(F.element_at(F.split(link_key(F.col("path")), "/"), -1).alias("stem")).distinct()

@@ -359,3 +359,24 @@ def test_review_packs_and_followups(library, spark):
     assert {(r.trigger, r.target, tuple(r.chain)) for r in impact.collect()} == {("s.md", "a.md", ("s.md", "a.md")), ("s.md", "b.md", ("s.md", "a.md", "b.md"))}
     kinds = sorted((r.kind, r.path) for r in issues.collect())
     assert kinds == [("broken_link", "a.md"), ("broken_link", "b.md"), ("broken_link", "s.md"), ("duplicate_title", "a.md"), ("exact_duplicate", "b.md")]
+
+
+def test_followup_walks_the_edges_of_the_checkpoint(spark):
+    from marginalia.plans import review as V
+
+    kind = "path string, doc_hash string, props map<string,array<string>>, title string, body string, blocks array<struct<links:array<string>>>"
+
+    def notes(rows):
+        return spark.createDataFrame([(p, h, m, p, p, []) for p, h, m in rows], kind)
+
+    on = lambda x: {"来源材料": [f"[[{x}]]"]}
+    old = notes([("gone.md", "1", {}), ("a.md", "2", on("gone")), ("b.md", "3", on("a")), ("c.md", "4", on("cut")), ("cut.md", "5", {})])
+    # gone.md is removed; c.md no longer declares cut.md, which has changed.
+    new = notes([("a.md", "2", on("gone")), ("b.md", "3", on("a")), ("c.md", "6", {}), ("cut.md", "7", {})])
+    pending = spark.createDataFrame([("z.md", "b.md", 1, ["z.md", "b.md"]), ("gone.md", "a.md", 9, ["old"])], "trigger string, target string, depth int, chain array<string>")
+    before = old.select("path", "doc_hash")
+    impact = V.followup(new, before, V.dependencies(old), pending)[1]
+    assert sorted((r.trigger, r.target, r.depth, r.chain) for r in impact.collect()) == [
+        ("cut.md", "c.md", 1, ["cut.md", "c.md"]), ("gone.md", "a.md", 1, ["gone.md", "a.md"]),
+        ("gone.md", "b.md", 2, ["gone.md", "a.md", "b.md"]), ("z.md", "b.md", 1, ["z.md", "b.md"]),
+    ]
