@@ -5,23 +5,25 @@ Frontiers are written to the shared folder level by level, so a lost executor re
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.plans.storage import materialize
 
 
-def impact(seeds: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def impact(seeds: DataFrame, edges: DataFrame) -> DataFrame:
     """(trigger, target, depth, chain) of all that depends on the seeds, over edges (dependent, dependency).
 
     The chain is the smallest of the shortest: each level keeps the least array for each (trigger, target). Targets
-    seen before are not entered again, so cycles end.
+    seen before are not entered again, so cycles end; levels go on until nothing is new.
     """
     back = edges.select(F.col("dependency").alias("_from"), F.col("dependent").alias("_to")).distinct()
     start = seeds.select(F.col("node").alias("trigger")).distinct()
     front = start.select("trigger", F.col("trigger").alias("target"), F.lit(0).alias("depth"), F.array("trigger").alias("chain"))
     seen = front = materialize(front, "front")
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         step = front.join(back, F.col("target") == F.col("_from"))
         step = step.select("trigger", F.col("_to").alias("target"), F.lit(depth).alias("depth"), F.concat("chain", F.array("_to")).alias("chain"))
         step = step.groupBy("trigger", "target", "depth").agg(F.min("chain").alias("chain"))
@@ -32,11 +34,11 @@ def impact(seeds: DataFrame, edges: DataFrame, max_depth: int = 64) -> DataFrame
     return seen
 
 
-def closure(edges: DataFrame, max_depth: int = 64) -> DataFrame:
+def closure(edges: DataFrame) -> DataFrame:
     """(a, b) for every b that a reaches by one edge (a, b) or more; a node on a cycle reaches itself."""
     step = edges.select("a", "b").distinct()
     seen = front = materialize(step, "closure")
-    for _ in range(max_depth):
+    while True:
         more = front.join(step.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").select("a", F.col("c").alias("b")).distinct()
         front = materialize(more.join(seen, ["a", "b"], "left_anti"), "closure")
         if front.isEmpty():

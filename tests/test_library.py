@@ -380,3 +380,9 @@ def test_followup_walks_the_edges_of_the_checkpoint(spark):
         ("cut.md", "c.md", 1, ["cut.md", "c.md"]), ("gone.md", "a.md", 1, ["gone.md", "a.md"]),
         ("gone.md", "b.md", 2, ["gone.md", "a.md", "b.md"]), ("z.md", "b.md", 1, ["z.md", "b.md"]),
     ]
+
+
+def test_graphs_are_walked_to_the_end(spark):
+    chain = spark.createDataFrame([(f"n{i + 1:03}", f"n{i:03}") for i in range(66)], "dependent string, dependency string")
+    seeds = spark.createDataFrame([("n000",)], "node string")
+    assert graph.impact(seeds, chain).agg(F.max("depth")).first()[0] == 66
