@@ -47,6 +47,57 @@ def closure(edges: DataFrame) -> DataFrame:
     return seen
 
 
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """``edges`` (a, b) less those that lead nowhere or come from nowhere, until none is left of that kind."""
+    left = edges.count()
+    while left:
+        nodes = edges.select(F.col("a").alias("n")).distinct().join(edges.select(F.col("b").alias("n")).distinct(), "n", "left_semi")
+        nodes = materialize(nodes, "inner")
+        kept = edges.join(nodes.withColumnRenamed("n", "a"), "a", "left_semi").join(nodes.withColumnRenamed("n", "b"), "b", "left_semi")
+        edges = materialize(kept.select("a", "b"), "trimmed")
+        if (now := edges.count()) == left:
+            break
+        left = now
+    return edges
+
+
+def _spread(start: DataFrame, steps: DataFrame, hops: int = 4) -> DataFrame:
+    """(node, mark) after the largest marks have gone along ``steps`` (a, b) as far as they can; ``hops`` edges a round."""
+    now, seen = materialize(start.select("node", "mark"), "marks"), None
+    while True:
+        total = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("node", "mark").cast("decimal(38,0)"))).first())
+        if total == seen:
+            return now
+        seen, out = total, now
+        for _ in range(hops):
+            more = out.join(steps, F.col("node") == F.col("a")).select(F.col("b").alias("node"), "mark")
+            out = out.unionByName(more).groupBy("node").agg(F.max("mark").alias("mark"))
+        now = materialize(out, "marks")
+
+
+def cycle_nodes(edges: DataFrame) -> DataFrame:
+    """(node) of every node on a cycle of the edges (a, b), loops of one node included.
+
+    Each node takes the largest node that reaches it as its colour; what reaches a colour's own node backwards within
+    that colour is one cycle's component. It is set aside with all edges between colours, and the rest goes on. Rows
+    grow with the edges, never with pairs of nodes.
+    """
+    edges = materialize(edges.select("a", "b").filter(F.col("a").isNotNull() & F.col("b").isNotNull()).distinct(), "edges")
+    found = edges.filter("a = b").select(F.col("a").alias("node"))
+    live = edges.filter("a != b")
+    while not (live := _trimmed(live)).isEmpty():
+        nodes = live.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        colours = _spread(nodes.withColumn("mark", F.col("node")), live)
+        of = lambda side: colours.select(F.col("node").alias(side), F.col("mark").alias(f"m{side}"))
+        live = materialize(live.join(of("a"), "a").join(of("b"), "b").filter("ma = mb").select("a", "b"), "coloured")
+        back = live.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        ring = materialize(_spread(colours.filter("node = mark"), back).join(live.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("node"), "ring")
+        found = found.unionByName(ring)
+        gone = ring.select(F.col("node").alias("a"))
+        live = materialize(live.join(gone, "a", "left_anti").join(gone.withColumnRenamed("a", "b"), "b", "left_anti"), "rest")
+    return found.distinct()
+
+
 def reciprocal(edges: DataFrame) -> DataFrame:
     """(a, b, mutual) of directed edges (a, b): whether the edge back is there."""
     e = edges.select("a", "b").distinct()

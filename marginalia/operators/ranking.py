@@ -38,6 +38,11 @@ def coverage(hits: Column, weights: dict[str, float]) -> Column:
     return got / F.lit(whole)
 
 
+def covered(text: Column, weights: dict[str, float]) -> Column:
+    """``coverage`` of the terms that ``text`` contains, each looked for once."""
+    return sum((F.when(F.contains(text, F.lit(t)), F.lit(w)).otherwise(F.lit(0.0)) for t, w in weights.items()), F.lit(0.0)) / F.lit(sum(weights.values()) or 1.0)
+
+
 def block_score(direct: Column, routing: Column, length: Column) -> Column:
     """Coverage of a block: its own terms, a fifth of those of its headings, damped by length."""
     return (direct + 0.2 * routing) / (1 + 0.08 * F.log(1 + length / 500.0))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Keys that are looked up by broadcast; any other key holds at most 1/HOT_KEYS of the rows.
 HOT_KEYS = 1024
-#: Rows of a lookup table that may be broadcast whole (checked by counting it).
-BROADCAST_ROWS = 200_000
+#: Rows and bytes of a lookup table that may be broadcast whole (both are measured).
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def attach(rows: DataFrame, lookup: DataFrame, key: str, values: list[str], count: str, spread: Column) -> DataFrame:
@@ -31,6 +32,22 @@ def attach(rows: DataFrame, lookup: DataFrame, key: str, values: list[str], coun
     return out.select(*rows.columns, *[got[v].alias(v) for v in values])
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (already materialized) with a broadcast hint if it has at most ``rows`` rows, else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def _bytes(kind: T.DataType, value: Column) -> Column:
+    """About how many bytes a value takes: texts and lists by what they hold, all else eight."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 8
+    if isinstance(kind, T.ArrayType):
+        fixed = not isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType, T.StructType, T.MapType))
+        inner = F.size(value) * 8 if fixed else F.aggregate(value, F.lit(0).cast("long"), lambda a, x: a + _bytes(kind.elementType, x))
+        return F.coalesce(inner.cast("long"), F.lit(0).cast("long")) + 8
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(f.dataType, value[f.name]) for f in kind.fields), F.lit(8).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (already materialized) with a broadcast hint if it has at most ``rows`` rows in ``most`` bytes, else as
+    it is, so that the join shuffles. Both are measured on ``rows`` + 1 rows at most."""
+    size = sum((_bytes(f.dataType, F.col(f"`{f.name}`")) for f in df.schema.fields), F.lit(0).cast("long"))
+    got = df.limit(rows + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if got.n <= rows and got.size <= most else df

@@ -14,8 +14,7 @@ from pyspark.sql.window import Window as W
 
 from marginalia.functions import text as X
 from marginalia.functions.similarity import similarity_to
-from marginalia.operators import diff, graph, intervals, ranking, rules
-from marginalia.plans.skew import small
+from marginalia.operators import containment, diff, graph, intervals, ranking, rules
 from marginalia.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,11 +192,12 @@ def facet_review(spark: SparkSession, sf: str) -> DataFrame:
     FROM b WHERE ({_coverage_sql('t')} + 0.2 * {_coverage_sql('head')}) / (1 + 0.08 * ln(1 + length(t) / 500.0::DOUBLE)) >= 0.025"""
 )
 def block_score(spark: SparkSession, sf: str) -> DataFrame:
-    low = F.lower("text")
-    d = table(spark, sf, "documents").select("doc_id", F.split(low, "\n")[0].alias("head"), F.posexplode(F.split(low, "\n")).alias("p", "t"))
-    score = ranking.block_score(ranking.coverage(ranking.matched(F.col("t"), TERMS), WEIGHTS), ranking.coverage(ranking.matched(F.col("head"), TERMS), WEIGHTS), F.length("t"))
-    d = d.select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), score.alias("score")).filter("score >= 0.025")
-    return d.withColumn("score", F.round("score", 6))
+    """Heads are scored once a document; a line's score leaves a generator, so the filter reads it and makes no second one."""
+    lines = F.split(F.lower("text"), "\n")
+    d = table(spark, sf, "documents").select("doc_id", ranking.covered(lines[0], WEIGHTS).alias("head"), F.posexplode(lines).alias("p", "t"))
+    score = ranking.block_score(ranking.covered(F.col("t"), WEIGHTS), F.col("head"), F.length("t"))
+    d = d.select("doc_id", (F.col("p") + 1).cast("long").alias("line_no"), F.explode(F.array(score)).alias("score"))
+    return d.filter("score >= 0.025").withColumn("score", F.round("score", 6))
 
 
 # --- duplicates and containment ------------------------------------------------------------------------------------
@@ -237,9 +237,9 @@ def X_key(value: str) -> str:
 
 @query("SELECT doc_id, item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text) WHERE b.text <> ''")
 def passage_containment(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents that hold a passage; the passages are a stated query set that every document is read against once."""
-    b = table(spark, sf, "benchmark").filter(F.length("text") > 0).select("item_id", F.col("text").alias("passage"))
-    return table(spark, sf, "documents").join(small(b, 20_000), F.contains("text", F.col("passage"))).select("doc_id", "item_id")
+    """Documents that hold a passage; see ``containment.contained``."""
+    b = table(spark, sf, "benchmark").select("item_id", "text")
+    return containment.contained(table(spark, sf, "documents").select("doc_id", "text"), b, "text").select("doc_id", "item_id")
 
 
 # --- intervals and coverage ----------------------------------------------------------------------------------------
@@ -493,7 +493,7 @@ def dependency_closure(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_RING} SELECT a AS node FROM walk WHERE a = b")
 def cycle_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.closure(_ring(spark, sf)).filter("a = b").select(F.col("a").alias("node"))
+    return graph.cycle_nodes(_ring(spark, sf))
 
 
 @query(
@@ -606,12 +606,12 @@ def priority_cascade(spark: SparkSession, sf: str) -> DataFrame:
     SELECT source, doc_id, rn::INT AS rank, (c - 2)::BIGINT AS deferred FROM s WHERE rn <= 2"""
 )
 def paged_followup(spark: SparkSession, sf: str) -> DataFrame:
+    """Two a source: ranks are cut to two before the shuffle, counts are combined before theirs."""
     d = table(spark, sf, "documents").select("source", "doc_id", F.length("text").alias("n"))
-    counts = d.groupBy("source").agg(F.count("*").alias("c"), F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("one"))
-    # Two a source: the largest, and the largest of what is left; both are aggregates, so a hot source is combined early.
-    rest = d.join(F.broadcast(counts), "source").filter(F.col("doc_id") != F.col("one")).groupBy("source").agg(F.max_by("doc_id", F.struct("n", -F.col("doc_id"))).alias("two"))
-    both = counts.join(rest, "source", "left").select("source", "c", F.posexplode(F.array("one", "two")).alias("p", "doc_id")).filter(F.col("doc_id").isNotNull())
-    return both.select("source", "doc_id", (F.col("p") + 1).alias("rank"), (F.col("c") - 2).alias("deferred"))
+    rank = F.row_number().over(W.partitionBy("source").orderBy(F.col("n").desc(), "doc_id"))
+    best = d.withColumn("rank", rank).filter("rank <= 2").select("source", "doc_id", "rank")
+    counts = d.groupBy(F.col("source").alias("s")).agg((F.count("*") - 2).alias("deferred"))
+    return best.join(counts, F.col("source").eqNullSafe(F.col("s"))).select("source", "doc_id", "rank", "deferred")
 
 
 @query(

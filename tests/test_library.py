@@ -386,3 +386,49 @@ def test_graphs_are_walked_to_the_end(spark):
     chain = spark.createDataFrame([(f"n{i + 1:03}", f"n{i:03}") for i in range(66)], "dependent string, dependency string")
     seeds = spark.createDataFrame([("n000",)], "node string")
     assert graph.impact(seeds, chain).agg(F.max("depth")).first()[0] == 66
+
+
+def test_cycles_are_found_without_pairs(spark):
+    import random
+
+    r = random.Random(2)
+    pairs = [(r.randrange(60), r.randrange(60)) for _ in range(75)] + [(100 + i, 100 + (i + 1) % 30) for i in range(30)] + [(200, 200), (300, 301), (None, 3)]
+    after = {}
+    for a, b in pairs:
+        after.setdefault(a, set()).add(b)
+
+    def returns(n):
+        seen, todo = set(), list(after.get(n, ()))
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += after.get(x, ())
+        return n in seen
+
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    assert {x.node for x in graph.cycle_nodes(edges).collect()} == {n for n in after if n is not None and returns(n)}
+    assert graph.cycle_nodes(edges.limit(0)).count() == 0 and graph.cycle_nodes(edges.filter("a >= 300")).count() == 0
+
+
+def test_containment_is_letter_by_letter(spark):
+    import random
+
+    from marginalia.operators import containment
+
+    r = random.Random(2)
+    words = ["a", "bb", "ccc", "dd", "e", "ff"]
+    texts = [(i, " ".join(r.choice(words) for _ in range(r.randint(0, 12)))) for i in range(60)] + [(98, None), (99, ""), (1, "xbbx"), (1, "xbbx")]
+    passages = list(enumerate(["bb", "b", "xbb", "b ccc", "bb ccc dd", "c dd e f", " ", "a  bb", "ccc dd e ff bb a", "", None, "bb", "dd\n"]))
+    got = containment.contained(spark.createDataFrame(texts, "doc_id int, text string"), spark.createDataFrame(passages, "item int, text string"), "text")
+    assert sorted((x.doc_id, x.item) for x in got.collect()) == sorted((d, i) for d, t in texts for i, p in passages if p and t and p in t)
+    none = spark.createDataFrame([], "item int, text string")
+    assert containment.contained(spark.createDataFrame(texts, "doc_id int, text string"), none, "text").count() == 0
+
+
+def test_broadcasts_are_bounded_by_rows_and_bytes(spark):
+    from marginalia.plans.skew import small
+
+    df = spark.createDataFrame([(i, "x" * 100, ["a", "bc"]) for i in range(50)], "i int, t string, l array<string>")
+    hinted = lambda d: "hint" in d._jdf.queryExecution().logical().toString().lower()
+    assert hinted(small(df, 50)) and not hinted(small(df, 49)) and not hinted(small(df, 50, 5000)) and hinted(small(df, 50, 10_000))
