@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.plans.skew import attach
-from marginalia.plans.storage import materialize
+from marginalia.plans.storage import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
         if mark[0] == 0 or tuple(mark) == seen:
             break
         seen = tuple(mark)
-        now = materialize(_star(_star(now, True), False), "edges")
+        was, now = now, materialize(_star(_star(now, True), False), "edges")
+        discard(was)
     else:
         raise RuntimeError("components did not settle")
     roots = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")

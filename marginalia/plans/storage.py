@@ -10,6 +10,8 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,12 +35,37 @@ def work_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read back; dropped when the driver's Python ends."""
+    """``df`` as a Parquet table in the shared folder, read back; dropped by ``discard`` or ``scratch``, or else when
+    the driver's Python ends."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _made.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.table_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Drop tables that ``materialize`` returned; nothing that is still to be computed may read them."""
+    for t in tables:
+        _made.remove((t.sparkSession, t.table_path))
+        drop(t.sparkSession, t.table_path)
+
+
+@contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Drops the tables that are made inside at its end, but for those given to the function it yields."""
+    before, kept = set(_made), set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add((table.sparkSession, table.table_path))
+        return table
+
+    yield keep
+    for spark, path in [m for m in _made if m not in before and m not in kept and m[1] not in _own.values()]:
+        _made.remove((spark, path))
+        drop(spark, path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
