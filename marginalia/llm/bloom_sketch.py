@@ -3,16 +3,19 @@
 A text is a set of paragraph digests: its lines, a line of more than PIECE words cut into stretches of so many. A
 sketch has three tables of cells; a digest enters one cell of each, where digests are counted, and they and their
 checksums are XORed. The sketch of one text minus that of another holds just the digests in which the two differ;
-peeling takes out cells that hold a single one, until all are recovered. Where that gets stuck, both sketches are
-built again four times as large, up to three times (the two largest forms in parts, each with its share of the
-digests, so that work grows with their number and not its square); differences beyond that are found from the
-digests themselves.
+peeling takes out cells that hold a single one, until all are recovered.
+
+Where that gets stuck (attempt 0 are the sketches that are returned), both sets are hashed anew and sketched again
+with twice the cells, and so on until everything is recovered: there is no attempt beyond which another method steps
+in. Sets of more digests than PART are dealt into parts by bits of the digests, as many as their sizes call for, each
+with sketches of its own, so that work grows with the digests and not their square; only parts that got stuck are
+tried again. The number of the attempt that recovered the last part is returned.
 
 Likeness is that of the digest sets: (common) / (all), from the sizes in the sketches and the recovered difference.
 
 Defined cases: null and blank texts have the empty set, all empty sets are alike (1.0); repeated paragraphs count
-once; rows with one doc_id follow each other in the order of their texts, null ids come first, and the document
-after the last is the first; a single document is its own next; further columns are not read.
+once; rows with one doc_id follow each other in the order of a hash of their texts, null ids come first, and the
+document after the last is the first; a single document is its own next; further columns are not read.
 """
 
 from __future__ import annotations
@@ -25,12 +28,14 @@ from pyspark.sql.window import Window as W
 
 from marginalia.llm.common import read
 
-#: Words of a stretch, and cells in each of the three tables of the sketch and of a part of the larger forms.
-PIECE = 32
-CELLS, PART = 8, 32
-#: Parts of the larger forms, and digests of both texts up to which each is tried.
-LARGER = ((1, 400), (4, 800), (16, 1600))
+#: Words of a stretch, and cells in each of the three tables of the returned sketch.
+PIECE, CELLS = 32, 8
+#: Digests of both sets that a part holds on average when sets are sketched again, and groups of parts are dealt in.
+PART, GROUP = 16, 32
+#: Times that each of the three tables is looked through for single digests.
 ROUNDS = 8
+#: Attempts, each of twice the cells; a part has about PART digests, and the last attempt half a million cells for them.
+ATTEMPTS = 16
 
 
 def digests(text: Column) -> Column:
@@ -39,9 +44,9 @@ def digests(text: Column) -> Column:
     return F.array_distinct(F.transform(found, lambda x: F.xxhash64(x)))
 
 
-def _place(digest: Column, table: int, cells: int) -> Column:
+def _place(digest: Column, table: int, cells: Column) -> Column:
     """The cell of a digest in one of the three tables, from bits of its own; ``cells`` is a power of two."""
-    return F.shiftright(digest, 20 * table).bitwiseAND(F.lit(cells - 1))
+    return F.shiftright(digest, 20 * table).bitwiseAND(cells - 1)
 
 
 def _check(digest: Column) -> Column:
@@ -53,10 +58,10 @@ def once(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def sketch(items: Column, cells: int) -> Column:
+def sketch(items: Column, cells: Column) -> Column:
     """Three tables of ``cells`` cells (c, k, h): how many digests, their XOR, the XOR of their checksums."""
     none = F.struct(F.lit(0).alias("c"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
-    spots = F.sequence(F.lit(0).cast("long"), F.lit(cells - 1).cast("long"))
+    spots = F.sequence(F.lit(0).cast("long"), cells - 1)
 
     def filled(table: int) -> Column:
         cell = lambda j: F.aggregate(
@@ -73,7 +78,7 @@ def subtracted(a: Column, b: Column) -> Column:
     return F.zip_with(a, b, lambda s, t: F.zip_with(s, t, less))
 
 
-def peeled(tables: Column, cells: int) -> Column:
+def peeled(tables: Column, cells: Column) -> Column:
     """(ok, found): whether all of a subtracted sketch was recovered, and the digests (k, c: +1 or -1) that were.
 
     A step takes the single digests of one table, which are distinct, out of all three; three steps in a row without
@@ -109,21 +114,52 @@ def peeled(tables: Column, cells: int) -> Column:
     return F.aggregate(F.array(*[F.lit(i % 3) for i in range(3 * ROUNDS)]), state, step, result)
 
 
-def recovered(a: Column, b: Column, parts: int) -> Column:
-    """How many digests two sets differ in, by sketches in ``parts`` parts; null if one of the parts gets stuck."""
+def dealt(a: Column, b: Column, parts: Column) -> Column:
+    """The sets ``a`` and ``b`` as an array of (a, b), dealt into ``parts`` (a power of two) by bits of the digests.
+
+    More than GROUP parts are dealt in two steps, so that a digest is looked at parts / GROUP + GROUP times.
+    """
+
+    def of(items: Column, shift: int, mask: Column, part: Column) -> Column:
+        return F.filter(items, lambda d: F.shiftrightunsigned(d, shift).bitwiseAND(mask) == part)
+
+    def split(a: Column, b: Column, shift: int, ways: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0).cast("long"), ways - 1), lambda p: F.struct(of(a, shift, ways - 1, p).alias("a"), of(b, shift, ways - 1, p).alias("b")))
+
+    within = F.least(parts, F.lit(GROUP).cast("long"))
+    groups = once(F.greatest(F.lit(1).cast("long"), F.shiftright(parts, GROUP.bit_length() - 1)), lambda ways: split(a, b, 55, ways))
+    return F.flatten(F.transform(groups, lambda g: split(g["a"], g["b"], 50, within)))
+
 
-    def part(items: Column, p: Column) -> Column:
-        return items if parts == 1 else F.filter(items, lambda d: F.shiftrightunsigned(d, 60).bitwiseAND(F.lit(parts - 1)) == p)
+def recovered(a: Column, b: Column) -> Column:
+    """(d, attempt): how many digests two sets differ in, by larger and larger sketches, and how many attempts it took."""
+    parts = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.size(a) + F.size(b), F.lit(1)) / float(PART)))).cast("long")
+    start = F.struct(F.lit(0).alias("d"), F.lit(0).alias("attempt"), dealt(a, b, F.greatest(parts, F.lit(1).cast("long"))).alias("left"))
+    again = lambda items: F.transform(items, lambda d: F.xxhash64(d))
 
-    def one(p: Column) -> Column:
-        own = once(part(a, p), lambda x: sketch(x, PART))
-        other = once(part(b, p), lambda x: sketch(x, PART))
-        return once(peeled(subtracted(own, other), PART), lambda r: F.when(r["ok"], F.size(r["found"])))
+    def one(part: Column, cells: Column) -> Column:
+        own = once(part["a"], lambda x: sketch(x, cells))
+        other = once(part["b"], lambda x: sketch(x, cells))
+        got = once(peeled(subtracted(own, other), cells), lambda r: F.when(r["ok"], F.size(r["found"])))
+        return F.struct(got.alias("d"), part.alias("part"))
 
-    if parts == 1:
-        return one(F.lit(0))
-    each = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")), one)
-    return F.aggregate(each, F.lit(0), lambda s, x: s + x)
+    def attempt(s: Column, i: Column) -> Column:
+        cells = F.element_at(F.array(*[F.lit(CELLS << k).cast("long") for k in range(1, ATTEMPTS + 1)]), i)
+        fresh = F.transform(s["left"], lambda p: F.struct(again(p["a"]).alias("a"), again(p["b"]).alias("b")))
+        tried = F.transform(fresh, lambda p: one(p, cells))
+
+        def after(tried: Column) -> Column:
+            more = F.aggregate(tried, s["d"], lambda n, t: n + F.coalesce(t["d"], F.lit(0)))
+            left = F.transform(F.filter(tried, lambda t: t["d"].isNull()), lambda t: t["part"])
+            return F.struct(more.alias("d"), i.alias("attempt"), left.alias("left"))
+
+        return F.when(F.size(s["left"]) == 0, s).otherwise(once(tried, after))
+
+    def result(s: Column) -> Column:
+        stuck = F.raise_error(F.lit("a sketch could not be peeled")).cast("int")
+        return F.struct(F.when(F.size(s["left"]) == 0, s["d"]).otherwise(stuck).alias("d"), s["attempt"].alias("attempt"))
+
+    return F.aggregate(F.array(*map(F.lit, range(1, ATTEMPTS + 1))), start, attempt, result)
 
 
 def text_of(tables: Column, size: Column) -> Column:
@@ -134,15 +170,11 @@ def text_of(tables: Column, size: Column) -> Column:
 
 
 def with_difference(rows: DataFrame, a: str, b: str, cells_a: str, cells_b: str, name: str) -> DataFrame:
-    """``rows`` with ``name``: how many digests the sets ``a`` and ``b`` differ in, by their sketches."""
-    both = F.size(a) + F.size(b)
-    first = once(peeled(subtracted(F.col(cells_a), F.col(cells_b)), CELLS), lambda r: F.when(r["ok"], F.size(r["found"])))
-    out = rows.withColumn(name, first)
-    for parts, worth in LARGER:
-        again = F.when(both <= worth, recovered(F.col(a), F.col(b), parts))
-        out = out.withColumn(name, F.when(F.col(name).isNull(), again).otherwise(F.col(name)))
-    exact = F.size(F.array_except(a, b)) + F.size(F.array_except(b, a))
-    return out.withColumn(name, F.coalesce(F.col(name), exact))
+    """``rows`` with ``name``: (d, attempt), how many digests the sets ``a`` and ``b`` differ in, and which attempt
+    recovered them; 0 is that of the sketches ``cells_a`` and ``cells_b``."""
+    first = once(peeled(subtracted(F.col(cells_a), F.col(cells_b)), F.lit(CELLS).cast("long")), lambda r: F.when(r["ok"], F.size(r["found"])))
+    again = once(first, lambda d: F.when(d.isNotNull(), F.struct(d.alias("d"), F.lit(0).alias("attempt"))).otherwise(recovered(F.col(a), F.col(b))))
+    return rows.withColumn(name, again)
 
 
 def likeness(a: str, b: str, difference: str) -> Column:
@@ -154,27 +186,36 @@ def likeness(a: str, b: str, difference: str) -> Column:
 def with_next(docs: DataFrame, ways: int | None = None) -> DataFrame:
     """(doc_id, text, items, next_text, next_items): every document with the one that follows by doc_id.
 
-    The ids are cut into ``ways`` ranges of about as many rows, each of which is sorted on its own, with the first
-    row of the next range (the last's: of the first) at its end. At most ``ways`` numbers and rows are broadcast.
+    The ids are cut into ``ways`` ranges of about as many rows; rows of one id (or none) that fill several ranges are
+    dealt among them by a hash of their texts, which orders them. Each range is sorted on its own, with the first row
+    of the next range (the last's: of the first) at its end. At most ``ways`` numbers and rows are broadcast.
     """
     spark = docs.sparkSession
     ways = ways or min(1024, max(16, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
     steps = F.array(*[F.lit(i / ways) for i in range(1, ways)])
-    cuts = sorted(set(docs.agg(F.percentile_approx("doc_id", steps, 10_000)).first()[0] or []))
-    at = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
-    at = F.when(F.col("doc_id").isNull(), 0).otherwise(at)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("part", at)
+    found = docs.agg(F.percentile_approx("doc_id", steps, 10_000), F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    cuts = found[0] or []
+    empty = max(1, round(ways * found[2] / max(1, found[1])))  # ranges of the null ids
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("text"), 33))
+    share = lambda n: F.floor(F.col("h") * n / float(1 << 31)).cast("int")
+    below = F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0)
+    hot = {c: n for c in set(cuts) if (n := cuts.count(c)) > 1}
+    within = F.lit(0)
+    for c, n in sorted(hot.items()):
+        within = F.when(F.col("doc_id") == c, share(n)).otherwise(within)
+    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), share(empty)).otherwise(F.lit(empty) + below + within))
 
     one = W.orderBy("part")
-    heads = rows.select("doc_id", "part").groupBy("part").agg(F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls"))
-    heads = heads.withColumn("low", F.when(F.col("nulls") > 0, None).otherwise(F.col("low")))
+    first = F.struct(F.col("doc_id").isNotNull().alias("some"), "doc_id", "h")
+    heads = rows.groupBy("part").agg(F.min(first).alias("low"))
     heads = heads.withColumn("to", F.lag("part").over(one)).withColumn("last", F.max("part").over(W.partitionBy()))
-    heads = heads.select(F.coalesce("to", "last").alias("to"), "low")
-    ends = rows.join(F.broadcast(heads), F.col("doc_id").eqNullSafe(F.col("low")))
+    heads = heads.select(F.coalesce("to", "last").alias("to"), F.col("part").alias("of"), "low")
+    ends = rows.join(F.broadcast(heads), (F.col("part") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("low.doc_id")) & (F.col("h") == F.col("low.h")))
     ends = ends.groupBy("to").agg(F.first("doc_id").alias("doc_id"), F.min("text").alias("text"))
-    ends = ends.select("doc_id", "text", F.col("to").alias("part"), F.lit(True).alias("end"))
+    ends = ends.select("doc_id", "text", F.lit(0).cast("long").alias("h"), F.col("to").alias("part"), F.lit(True).alias("end"))
     rows = rows.withColumn("end", F.lit(False)).unionByName(ends).withColumn("items", digests(F.col("text")))
-    order = W.partitionBy("part").orderBy("end", F.col("doc_id").asc_nulls_first(), "text")
+    order = W.partitionBy("part").orderBy("end", F.col("doc_id").asc_nulls_first(), "h", "text")
     rows = rows.withColumn("next", F.lead(F.struct("text", "items")).over(order)).filter(~F.col("end"))
     return rows.select("doc_id", "text", "items", F.col("next.text").alias("next_text"), F.col("next.items").alias("next_items"))
 
@@ -187,13 +228,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = rows.withColumn("edited", edited).withColumn("edited_items", digests(F.col("edited")))
     rows = rows.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "items", "edited_items", "next_items")
     for name in ("items", "edited_items", "next_items"):
-        rows = rows.withColumn(f"{name}_cells", sketch(F.col(name), CELLS))
-    rows = with_difference(rows, "items", "edited_items", "items_cells", "edited_items_cells", "d_edited")
-    rows = with_difference(rows, "items", "next_items", "items_cells", "next_items_cells", "d_next")
+        rows = rows.withColumn(f"{name}_cells", sketch(F.col(name), F.lit(CELLS).cast("long")))
+    rows = with_difference(rows, "items", "edited_items", "items_cells", "edited_items_cells", "edited")
+    rows = with_difference(rows, "items", "next_items", "items_cells", "next_items_cells", "next")
     return rows.select(
         "doc_id", "n_chars", "edited_sha256",
         text_of(F.col("items_cells"), F.size("items")).alias("fingerprint"),
         text_of(F.col("edited_items_cells"), F.size("edited_items")).alias("edited_fingerprint"),
-        likeness("items", "edited_items", "d_edited").alias("near_edited"),
-        likeness("items", "next_items", "d_next").alias("near_next"),
+        likeness("items", "edited_items", "edited.d").alias("near_edited"),
+        likeness("items", "next_items", "next.d").alias("near_next"),
+        F.col("edited.attempt").alias("edited_attempt"), F.col("next.attempt").alias("next_attempt"),
     )
