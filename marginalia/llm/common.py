@@ -12,6 +12,28 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The column in which ``tucked`` keeps a row as it came.
+ROW = "__row"
+
+
+def tucked(docs: DataFrame, **columns: Column) -> DataFrame:
+    """The named ``columns`` made from ``docs``, and each whole row as the struct ROW.
+
+    An operator adds what columns it likes to that; none can clash with those of ``docs``. ``untucked`` gives them back.
+    """
+    return docs.select(*[c.alias(n) for n, c in columns.items()], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(ROW))
+
+
+def untucked(rows: DataFrame, **changed: Column) -> DataFrame:
+    """The rows kept by ``tucked`` with all their columns in order; those named in ``changed`` have new values, or
+    come last if there were none of that name (in any case of letters)."""
+    names = [f.name for f in rows.schema[ROW].dataType.fields]
+    new = {n.lower(): c for n, c in changed.items()}
+    kept = [new[n.lower()].alias(n) if n.lower() in new else F.col(ROW).getField(n).alias(n) for n in names]
+    have = {n.lower() for n in names}
+    return rows.select(*kept, *[c.alias(n) for n, c in changed.items() if n.lower() not in have])
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for the fifth of the documents whose labels no fit may see; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0, F.lit(False))

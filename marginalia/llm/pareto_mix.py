@@ -1,20 +1,22 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 A source's target share follows its weight; a target stops at ``cap`` times the source's size, and the excess is
-shared anew by weight until no target is above (water filling). Every document of a source is expected to be taken
-target / size times: the whole copies in that are certain, and the fraction p, which differs from source to source, is the
-probability that the document enters the sample. Documents are ranked by q = (u / (1 - u)) / (p / (1 - p)), u a
-uniform number hashed from doc_id and seed, and the smallest are taken until the words that the source still lacks
-are there, to the nearest document; the sample's size is fixed, and with it how near the target comes.
-
-The order within a source is never gathered in one task: ranks are counted in ``BUCKETS`` buckets of the logarithm of
-q for each source, the sums of the buckets are added up, and only the documents of the bucket in which the target
-falls are ordered, in pieces of the next finer buckets.
-
-Defined cases: a null text has size 0; a null source is the last source; sources without words have target 0; sizes
-that are all 0 take nothing; a null doc_id has the same u as another, and rows with equal id are ordered by their
-size; repeated rows stay, each ranked on its own; an empty table gives an empty result; further columns pass through
-``mix`` untouched.
+shared anew by weight until no target is above (water filling). Within a source longer documents are likelier: a
+document of n words is expected ``level`` times the number of n's binary digits times, ``cap`` at most, with the level
+at which a source's expected words are its target. The whole copies in that are certain; the fraction p, which differs
+from one length class to the next, is the probability that the document enters the sample. Documents are ranked by
+q = (u / (1 - u)) / (p / (1 - p)), random odds over inclusion odds, and the smallest are taken until the words that the
+source still lacks are there, to the nearest document; so the sample's size is fixed, and with it how near the target
+comes. u is a uniform number hashed from doc_id, text, the occurrence among rows that are equal in both, and seed.
+
+The order within a source is never gathered in one task: words are counted in ``BUCKETS`` buckets of q for each
+source, the sums of the buckets are added up, and only the documents of the bucket in which the target falls are
+ordered, in pieces of the next finer buckets.
+
+Defined cases: a null text has size 0, and is the same as an empty one; a null source is the last source; sources
+without words have target 0 and take nothing; rows of equal id (or none) and text are numbered, so each has a u of its
+own; an empty table gives an empty result; further columns pass through ``mix`` untouched, but columns named ``size``
+and ``copies`` are replaced by the operator's.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from marginalia.llm.common import read
+from marginalia.llm.common import ROW, read, tucked, untucked
 from marginalia.plans.skew import small
 from marginalia.plans.storage import materialize
 
@@ -38,10 +40,37 @@ def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORDS)), F.lit(0)).cast("long")
 
 
+def digest_of(text: Column) -> Column:
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def class_of(size: Column) -> Column:
+    """The number of binary digits of a size: the class of a length, and how much more likely such documents are."""
+    return F.length(F.bin(size)).cast("long")
+
+
 def uniform(seed: int = 42) -> Column:
-    """A number in (0, 1) from doc_id: 52 bits of a SHA-256."""
-    digest = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(f"/{seed}")), 256)
-    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+    """A number in (0, 1) from doc_id, _digest and _copy: 52 bits of a SHA-256."""
+    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("_digest"), F.col("_copy").cast("string"), F.lit(str(seed)))
+    return (F.conv(F.substring(F.sha2(key, 256), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
+
+
+def numbered(rows: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``rows`` (materialized, with their number ``_row``) with ``_copy``: 0, 1, … among rows equal in doc_id and _digest.
+
+    ``repeated`` is (doc_id, _digest) of what occurs more than once. Rows are counted for each table partition (the
+    upper bits of ``_row``), so rows of one key are numbered within theirs and never gathered.
+    """
+    keys = small(materialize(repeated.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_d")), "repeated"))
+    found = rows.select("_row", "doc_id", "_digest").join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")))
+    found = materialize(found.select("_row", "_id", "_d", F.shiftrightunsigned("_row", 33).alias("_part")), "repeats")
+    parts = found.groupBy("_id", "_d", "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy("_id", "_d").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(F.col("_id").alias("_i"), F.col("_d").alias("_e"), F.col("_part").alias("_q"), before.alias("_before"))
+    place = F.row_number().over(W.partitionBy("_id", "_d", "_part").orderBy("_row")) - 1
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_d") == F.col("_e")) & (F.col("_part") == F.col("_q"))
+    number = found.withColumn("_place", place).join(small(materialize(parts, "parts")), same).select(F.col("_row").alias("_r"), (F.col("_before") + F.col("_place")).alias("_c"))
+    return rows.join(number, F.col("_row") == F.col("_r"), "left").withColumn("_copy", F.coalesce("_c", F.lit(0)).cast("long")).drop("_r", "_c")
 
 
 def targets(sizes: DataFrame, share: float = 1.0, cap: float = 3.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -71,9 +100,25 @@ def _prefix(sums: DataFrame, keys: list[str], bucket: str) -> DataFrame:
     return sums.withColumn("before", F.coalesce(F.sum("words").over(order), F.lit(0)))
 
 
+def levels(classes: DataFrame, cap: float = 3.0) -> DataFrame:
+    """``classes`` (source, target, class, words) with ``times``: how often a document of a class is expected.
+
+    Classes from the longest down stand at ``cap`` as long as the level of those that are left would carry them to it;
+    the first that is not full has the level of all that follow, as in ``targets``. A source has some 40 classes.
+    """
+    down = W.partitionBy("source").orderBy(F.col("class").desc())
+    above = F.coalesce(F.sum("words").over(down.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    rest = F.sum(F.col("class") * F.col("words")).over(down.rowsBetween(0, W.unboundedFollowing))
+    got = classes.withColumn("level", (F.col("target") - F.lit(cap) * above) / F.nullif(rest, F.lit(0)))
+    got = got.withColumn("full", F.coalesce(F.col("class") * F.col("level") >= F.lit(cap), F.lit(False)))
+    got = got.withColumn("water", F.max(F.when(~F.col("full"), F.col("level"))).over(W.partitionBy("source")))
+    times = F.when(F.col("full"), F.lit(cap)).otherwise(F.coalesce(F.col("class") * F.col("water"), F.lit(0.0)))
+    return got.select("source", "target", "class", "words", F.least(times, F.lit(cap)).alias("times"))
+
+
 def _ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
-    """``rows`` (with _size and _u) joined with their source's plan: rank _q and its buckets at two levels."""
-    out = rows.join(plan, F.col("source").eqNullSafe(F.col("_s")), "left")
+    """``rows`` (with _size and _u) joined with the plan of their source and class: rank _q and its buckets at two levels."""
+    out = rows.join(plan, F.col("source").eqNullSafe(F.col("_s")) & (class_of(F.col("_size")) == F.col("_class")), "left")
     odds = F.col("_u") / (1 - F.col("_u")) / (F.col("_p") / (1 - F.col("_p")))
     out = out.withColumn("_q", F.when(F.col("_p") > 0, odds))
     fine = F.col("_q") / (1 + F.col("_q")) * F.lit(float(BUCKETS))  # monotonic in q
@@ -87,16 +132,20 @@ def _crossing(sums: DataFrame) -> DataFrame:
 
 
 def planned(rows: DataFrame, share: float = 1.0, cap: float = 3.0, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
-    """One row for each source, from rows (doc_id, source, _size, _u): whole copies and where its sample ends.
+    """One row for each source and class, from rows (doc_id, source, _size, _u): whole copies and where samples end.
 
     ``rows`` is read four times; give a materialized table.
     """
-    sources = materialize(rows.groupBy("source").agg(F.sum("_size").alias("source_size")), "sources")
-    plan = targets(sources, share, cap, weights)
-    times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    plan = plan.withColumn("_whole", F.floor(times)).withColumn("_p", times - F.floor(times))
-    plan = plan.withColumn("_lack", F.col("target") - F.col("_whole") * F.col("source_size"))
-    plan = materialize(plan.withColumnRenamed("source", "_s"), "plan")
+    classes = rows.groupBy("source", class_of(F.col("_size")).alias("class")).agg(F.sum("_size").alias("words"))
+    classes = materialize(classes, "classes")
+    sources = targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), share, cap, weights)
+    sources = materialize(sources.withColumnRenamed("source", "_s"), "sources")
+    plan = classes.join(small(sources), F.col("source").eqNullSafe(F.col("_s")))
+    plan = levels(plan.select("source", "target", "class", "words"), cap).withColumn("_whole", F.floor("times")).withColumn("_p", F.col("times") - F.floor("times"))
+    lack = F.col("target") - F.sum(F.col("_whole") * F.col("words")).over(W.partitionBy("source"))
+    plan = plan.select(F.col("source").alias("_of"), F.col("class").alias("_class"), "_whole", "_p", lack.alias("_lack"))
+    plan = plan.join(small(sources), F.col("_of").eqNullSafe(F.col("_s"))).drop("_of")
+    plan = materialize(plan, "plan")
 
     live = _ranked(rows, small(plan)).filter(F.col("_q").isNotNull())
     one = live.groupBy("_s", "_lack", "_b1").agg(F.sum("_size").alias("words"))
@@ -115,7 +164,7 @@ def planned(rows: DataFrame, share: float = 1.0, cap: float = 3.0, weights: tupl
     out = plan.join(small(one), F.col("_s").eqNullSafe(F.col("_t")), "left")
     out = out.join(small(two), F.col("_s").eqNullSafe(F.col("_v")), "left")
     out = out.join(ends, F.col("_s").eqNullSafe(F.col("_e")), "left")
-    return materialize(out.select("_s", "source_size", "target", "_whole", "_p", "_c1", "_c2", "_end"), "plan")
+    return materialize(out.select("_s", "_class", "source_size", "target", "_whole", "_p", "_c1", "_c2", "_end"), "plan")
 
 
 def _place() -> Column:
@@ -132,30 +181,47 @@ def applied(rows: DataFrame, plan: DataFrame) -> DataFrame:
     return out.withColumn("copies", (F.col("_whole") + sampled).cast("long"))
 
 
+def prepared(rows: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (doc_id, source, _size, _digest, and ROW) with _u, and the same without ROW as a table of its own.
+
+    Only if rows repeat in both id and text are they written with a number, to be told apart.
+    """
+    slim = materialize(rows.drop(ROW), "sizes")
+    repeated = materialize(slim.groupBy("doc_id", "_digest").agg(F.count("*").alias("_n")).filter("_n > 1"), "repeated")
+    if repeated.isEmpty():
+        u = lambda d: d.withColumn("_copy", F.lit(0)).withColumn("_u", uniform(seed)).drop("_copy", "_digest")
+        return u(rows), u(slim)
+    kept = materialize(rows.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    kept = numbered(kept, repeated).withColumn("_u", uniform(seed)).drop("_row", "_copy", "_digest")
+    return kept, materialize(kept.drop(ROW), "sizes")
+
+
 def mix(docs: DataFrame, share: float = 1.0, cap: float = 3.0, weights: tuple[int, ...] = WEIGHTS, seed: int = 42) -> DataFrame:
     """``docs`` with ``size`` (words) and ``copies`` (how often the mix takes the document, 0 included)."""
-    rows = docs.withColumn("_size", size_of(F.col("text"))).withColumn("_u", uniform(seed))
-    slim = materialize(rows.select("doc_id", "source", "_size", "_u"), "sizes")
-    out = applied(rows, planned(slim, share, cap, weights))
-    return out.select(*docs.columns, F.col("_size").alias("size"), "copies")
+    text = F.col("text")
+    rows = tucked(docs, doc_id=F.col("doc_id"), source=F.col("source"), _size=size_of(text), _digest=digest_of(text))
+    rows, slim = prepared(rows, seed)
+    return untucked(applied(rows, planned(slim, share, cap, weights)), size=F.col("_size"), copies=F.col("copies"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op5: what the mix takes of every document."""
-    docs = read(spark, sf_dir, "documents")
-    rows = docs.select("doc_id", "source", size_of(F.col("text")).alias("_size"), uniform().alias("_u"))
-    rows = materialize(rows, "sizes")
-    out = applied(rows, planned(rows))
+    docs, text = read(spark, sf_dir, "documents"), F.col("text")
+    slim = prepared(docs.select("doc_id", "source", size_of(text).alias("_size"), digest_of(text).alias("_digest")))[1]
+    out = applied(slim, planned(slim))
     taken = (F.col("copies") * F.col("_size")).alias("taken")
     return out.select("doc_id", F.col("_size").alias("size"), "source_size", "target", taken, "source", "copies")
 
 
 ORACLE_SQL = r"""
-WITH d AS (
+WITH x AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
-]+')), 0)::BIGINT AS size,
-         (CAST('0x' || substr(sha256(coalesce(doc_id::VARCHAR, 'null') || '/42'), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
-  FROM documents),
+]+')), 0)::BIGINT AS size, sha256(coalesce(text, '')) AS digest FROM documents),
+y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, digest) - 1 AS copy FROM x),
+d AS (
+  SELECT doc_id, source, size, length(bin(size)) AS class,
+         (CAST('0x' || substr(sha256(coalesce(doc_id::VARCHAR, 'null') || '/' || digest || '/' || copy || '/42'), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
+  FROM y),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, ([5.0, 2.0, 1.0])[((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w, source_size * 3.0::DOUBLE AS most FROM s),
 l AS (SELECT *, (sum(source_size) OVER ())::DOUBLE
@@ -163,12 +229,18 @@ l AS (SELECT *, (sum(source_size) OVER ())::DOUBLE
              sum(w) OVER (ORDER BY most / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest FROM w),
 v AS (SELECT *, lef / rest AS level, most <= w * (lef / rest) AS full_ FROM l),
 t AS (SELECT source, source_size, coalesce(CASE WHEN full_ THEN most ELSE w * (max(CASE WHEN NOT full_ THEN level END) OVER ()) END, 0.0) AS target FROM v),
-p AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS times FROM t),
-q AS (SELECT *, floor(times) AS whole, times - floor(times) AS p, target - floor(times) * source_size AS lack FROM p),
+k AS (SELECT d.source, class, sum(size)::BIGINT AS words FROM d GROUP BY 1, 2),
+m AS (SELECT k.*, t.target, t.source_size,
+             (t.target - 3.0::DOUBLE * (coalesce(sum(words) OVER (PARTITION BY k.source ORDER BY class DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::DOUBLE)
+             / nullif((sum(class * words) OVER (PARTITION BY k.source ORDER BY class DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE, 0) AS level
+      FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source),
+n AS (SELECT *, coalesce(class * level >= 3.0::DOUBLE, false) AS full_ FROM m),
+p AS (SELECT *, least(CASE WHEN full_ THEN 3.0::DOUBLE ELSE coalesce(class * (max(CASE WHEN NOT full_ THEN level END) OVER (PARTITION BY source)), 0.0) END, 3.0::DOUBLE) AS times FROM n),
+q AS (SELECT *, floor(times) AS whole, times - floor(times) AS p, target - (sum(floor(times) * words) OVER (PARTITION BY source)) AS lack FROM p),
 r AS (SELECT d.*, q.source_size, q.target, q.whole, q.lack,
              CASE WHEN q.p > 0 THEN u / (1 - u) / (q.p / (1 - q.p)) END AS rank
-      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
+      FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source AND d.class = q.class),
 c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank NULLS LAST, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r),
-k AS (SELECT *, (whole + CASE WHEN rank IS NOT NULL AND before + size / 2.0 <= lack THEN 1 ELSE 0 END)::BIGINT AS copies FROM c)
-SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, source, copies FROM k
+z AS (SELECT *, (whole + CASE WHEN rank IS NOT NULL AND before + size / 2.0 <= lack THEN 1 ELSE 0 END)::BIGINT AS copies FROM c)
+SELECT doc_id, size, source_size, target, (copies * size)::BIGINT AS taken, source, copies FROM z
 """
