@@ -1,13 +1,22 @@
 """Main text of web pages by two passes of block rules.
 
-The page is cut into blocks at block-level tags. The first pass decides what it can: blocks inside regions that are
-never article text (navigation, page headers and footers, sidebars, forms, adverts, notices, reader comments) and
-blocks that are mostly links are boilerplate; of the others, long blocks with many stop words are text, long ones
-without are not, and short ones stay open. The second pass gives each open block the label of its nearest decided
-neighbours: of both if they agree, else of the nearer one, and at the same distance of the one before it (blocks of
-the named regions say nothing about their neighbours; with none decided, an open block is text). A block
-inside an ``article`` or ``main`` element is text unless the first pass called it boilerplate, and where a page has such an
-element nothing outside it is text.
+The page is cut into blocks at block-level tags. The first pass looks at each block alone. Regions that are no article
+text by their element (navigation, page headers and footers, sidebars, forms) or role go, as does all outside of an
+``article`` or ``main`` where a page has one. Of what is left, blocks of mostly linked characters are boilerplate; long
+blocks are text if they are dense in stop words, or, in a script that does not part words, if they are sentences;
+long blocks without either are boilerplate outside of an article; short ones, code, and all others stay open.
+
+The second pass gives each open block the label of its nearest decided neighbours: of both if they agree, else of the
+nearer one. At the same distance the one before counts, in an article the text; the ends of an article count as text.
+With none decided an open block is text. Blocks that a region or name has decided say nothing about their neighbours.
+
+Class and id names are evidence beside that. A name made of nothing but words for parts without article text
+("comments", "ad-box", "site-footer") makes a block boilerplate. A name that has other words too ("related-work",
+"legal-history") only asks for more: outside of an article such a block must be dense text, inside it is judged like any
+other. Where a page without an article has no other text, names of layout ("sidebar") say nothing.
+
+Reading a page takes time in proportion to its length, whatever its markup: stray and unclosed tags are looked up by
+name and never searched for.
 
 Defined cases: null and empty pages give an empty text; unclosed, stray and truncated markup is read as far as it
 goes; repeated rows stay; further columns are not read.
@@ -39,15 +48,21 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that a new one of the same kind (or a block, for p) closes.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-#: Words of class and id names that mark regions without article text.
-NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising adslot banner sponsor sponsored promo promotion promoted "
-    "nav navbar navigation menu breadcrumb breadcrumbs topbar toolbar header masthead footer sidebar aside widget widgets rail "
-    "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login paywall "
+#: Words of class and id names for layout without article text, and for what is shown beside an article.
+LAYOUT = frozenset("nav navbar navigation menu breadcrumb breadcrumbs topbar toolbar header masthead banner footer sidebar aside widgets rail modal overlay paywall".split())
+BESIDE = frozenset(
+    "ad ads adv advert adverts advertisement advertising adslot sponsor sponsored promo promotion promoted widget "
+    "cookie cookies consent gdpr notice notices alert popup newsletter subscribe subscription signup login "
     "comment comments commentlist respond disqus replies reply share sharing social related recommended recommendations "
     "pagination pager copyright legal disclaimer tags toc skip".split()
 )
-#: Those of them that also mark an article element as no article text.
+#: Words of names that say nothing, and those with which "header" is an article's own.
+NEUTRAL = frozenset(
+    "area bar block body bottom box btn button card col column container content cta form global group holder inner item items layer left line link links list main message mobile "
+    "module outer page panel part policy post posts primary reader right row secondary section site slot sticky tab text thread title top unit user users view wrap wrapper".split()
+)
+OWN = frozenset("post entry article story content main page".split())
+#: Words that also mark an article element as no article text.
 ASIDES = frozenset("comment comments reply replies respond related recommended teaser promo promoted sponsored ad advert".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 #: Frequent words of English, German, French and Spanish.
@@ -59,12 +74,20 @@ STOP_WORDS = frozenset(
 )
 
 TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?>\"[^\"]*+\"|'[^']*+')|[^>])*+)(?:>|\Z)", re.S
+    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?:.*?\]\]>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?>\"[^\"]*+\"|'[^']*+')|[^>])*+)(?:>|\Z)", re.S
 )
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
+HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
 COPYRIGHT = re.compile(r"©|^\W*copyright\b", re.I)
 WORD = re.compile(r"[^\W\d_]+")
-SPLIT = re.compile(r"[^a-z]+")
+NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Scripts that do not part words: Thai to Khmer, kana, CJK.
+UNPARTED = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
+SENTENCE = re.compile(r"[.!?…。！？؟।][\"'”’»)\]]*$")
+
+#: What names say: nothing, that a block must be dense text, that it is layout, or that it stands beside the article.
+PLAIN, DOUBTED, LAID_OUT, APART = range(4)
 
 
 @dataclass
@@ -72,73 +95,141 @@ class Block:
     text: str
     linked: int  # characters inside links
     inside: bool  # within article or main
-    outside: bool  # within a region without article text
-    heading: bool
+    outside: bool  # within an element or role without article text
+    name: int  # the most that names around it say
+    code: bool  # within pre
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds of the first pass: characters, share of stop words, share of linked characters."""
+    """Thresholds of the first pass: characters, shares of stop words and of linked characters, words of a sentence."""
 
     long: int = 80
     stops: float = 0.15
     stops_low: float = 0.05
     links: float = 0.5
+    sentence: int = 8
 
 
-def _marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is hidden, and whether it opens a region without article text."""
+def _said(value: str, tag: str, in_article: bool) -> int:
+    """What the names of a class or id attribute say about an element."""
+    most = PLAIN
+    for name in value.split():
+        words = {w.lower() for w in NAME_WORD.findall(name)}
+        if not words or name.lower().startswith(("has-", "with-", "no-", "is-", "has_", "no_")):
+            continue
+        if tag == "article":
+            most = APART if words & ASIDES else most
+            continue
+        if "header" in words and (in_article or words & OWN):
+            words.discard("header")
+        found = words & (LAYOUT | BESIDE)
+        if found:
+            rest = words - found - NEUTRAL
+            most = max(most, DOUBTED if any(len(w) > 1 for w in rest) else APART if found & BESIDE else LAID_OUT)
+    return most
+
+
+def _marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, int]:
+    """Whether an element is hidden, whether it opens a region without article text, and what its names say."""
     if tag in HIDDEN:
-        return True, False
-    outside = tag in OUTSIDE or (tag == "header" and not in_article)
+        return True, False, PLAIN
+    outside, name = tag in OUTSIDE or (tag == "header" and not in_article), PLAIN
     if attributes and tag not in ("html", "body", "main"):
-        names = ASIDES if tag == "article" else NAMES
-        for name, *values in ATTRIBUTE.findall(attributes):
-            name, value = name.lower(), next((v for v in values if v), "").lower()
-            if name == "hidden" or (name == "aria-hidden" and value == "true"):
-                return True, False
-            if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True, False
-            if name in ("class", "id"):
-                own = [v for v in value.split() if not v.startswith(("has-", "with-", "no-", "is-", "has_", "no_"))]
-                outside = outside or any(not names.isdisjoint(SPLIT.split(v)) for v in own)
-            elif name == "role":
-                outside = outside or value in ROLES
-    return False, outside
+        for key, *values in ATTRIBUTE.findall(attributes):
+            key, value = key.lower(), next((v for v in values if v), "")
+            if key == "hidden" or (key == "aria-hidden" and value.lower() == "true"):
+                return True, False, PLAIN
+            if key == "style" and UNSHOWN.search(value.lower()):
+                return True, False, PLAIN
+            if key in ("class", "id"):
+                name = max(name, _said(value, tag, in_article))
+            elif key == "role":
+                outside = outside or value.lower() in ROLES
+    return False, outside, name
+
+
+class _Stack:
+    """Open elements, by place and by name, with counts of what they say; every step takes constant time."""
+
+    def __init__(self) -> None:
+        self.open: list[list] = []  # [tag or None once it has ended, marks], marks are keys of ``count``
+        self.places: dict[str, list[int]] = {}
+        self.blocks: list[int] = []  # places of block elements
+        self.count = {"link": 0, "article": 0, "code": 0, "outside": 0, "form": 0, DOUBTED: 0, LAID_OUT: 0, APART: 0}
+        self.void = 0  # forms and layout names of elements before this place say nothing
+
+    def push(self, tag: str, marks: tuple) -> None:
+        for m in marks:
+            self.count[m] += 1
+        self.places.setdefault(tag, []).append(len(self.open))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.open))
+        self.open.append([tag, marks])
+
+    def top(self) -> str | None:
+        return self.open[-1][0] if self.open else None
+
+    def pop(self) -> None:
+        tag, marks = self.open.pop()
+        at = len(self.open)
+        if tag is None:
+            return
+        self.places[tag].pop()
+        if tag in BLOCKS:
+            self.blocks.pop()
+        self._uncount(marks, at)
+        self.void = min(self.void, at)
+
+    def _uncount(self, marks: tuple, at: int) -> None:
+        for m in marks:
+            if not (m in ("form", LAID_OUT) and at < self.void):
+                self.count[m] -= 1
+
+    def end(self, tag: str) -> None:
+        """An end tag: closes what stands above, but an inline element only ends and leaves the blocks above it open."""
+        places = self.places.get(tag)
+        if not places:
+            return
+        at = places[-1]
+        if tag not in BLOCKS and self.blocks and self.blocks[-1] > at:
+            self._uncount(self.open[at][1], at)
+            self.open[at] = [None, ()]
+            places.pop()
+            return
+        while len(self.open) > at:
+            self.pop()
+
+    def article(self) -> None:
+        """An article begins: forms and layout around the whole of it say nothing about it."""
+        if not self.count["article"] and not self.count["outside"]:
+            self.count["form"] = self.count[LAID_OUT] = 0
+            self.void = len(self.open)
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of a page with text, in page order."""
     out: list[Block] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool]] = []  # open elements, and whether each is a region without article text
-    linked = links = articles = regions = headings = 0
+    stack = _Stack()
+    count = stack.count
+    linked, headless = 0, False
 
     def end() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         if text:
-            out.append(Block(text, linked, articles > 0, regions > 0, headings > 0))
+            name = next((n for n in (APART, LAID_OUT, DOUBTED) if count[n] > 0), PLAIN)
+            out.append(Block(text, linked, count["article"] > 0, count["outside"] + count["form"] > 0, name, count["code"] > 0))
         parts.clear()
         linked = 0
 
-    def count(tag: str, outside: bool, by: int) -> None:
-        nonlocal links, articles, regions, headings
-        links += by * (tag == "a")
-        articles += by * (tag in ("article", "main"))
-        regions += by * outside
-        headings += by * (tag in ("h1", "h2", "h3", "h4", "h5", "h6"))
-
-    def shut(to: int) -> None:
-        while len(stack) > to:
-            count(*stack.pop(), -1)
-
     def say(text: str) -> None:
         nonlocal linked
         if text:
             text = html.unescape(text)
             parts.append(text)
-            if links:
+            if count["link"] > 0:
                 linked += len(text.strip())
 
     at = 0
@@ -155,35 +246,42 @@ def blocks(page: str) -> list[Block]:
         if closing:
             if tag in BLOCKS:
                 end()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    shut(k)
-                    break
+            stack.end(tag)
             continue
-        hidden, outside = _marks(tag, attributes, articles > 0)
-        if tag in ("script", "style", "noscript", "template", "textarea", "title", "iframe", "select", "svg", "head") or (hidden and tag not in VOID):
-            if tag != "head":
-                at = _after(page, at, tag) if not attributes.rstrip().endswith("/") or tag not in ("svg", "iframe") else at
-                if tag in BLOCKS:
-                    end()
-                continue
-            close = re.compile(r"</head\s*>|<body\b", re.I).search(page, at)
+        single = attributes.rstrip().endswith("/")
+        if tag == "head":
+            close = None if headless else HEAD_END.search(page, at)
+            headless = close is None
             if close:
                 at = close.start() if close[0][1] != "/" else close.end()
             continue
+        hidden, outside, name = _marks(tag, attributes, count["article"] > 0)
+        if hidden and tag not in VOID:
+            at = at if single and tag in ("svg", "iframe") else _after(page, at, tag)
+            if tag in BLOCKS:
+                end()
+            continue
         if tag in BLOCKS:
             end()
-            drop = CLOSES.get(tag, set())
-            if stack and (stack[-1][0] in drop or stack[-1][0] == "p"):
-                shut(len(stack) - 1)
+            if stack.top() in CLOSES.get(tag, ()) or stack.top() == "p":
+                stack.pop()
         elif tag == "br":
             parts.append(" ")
-        if tag in ("article", "main") and all(t == "form" for t, o in stack if o):  # a form around the whole page
-            regions = 0
-            stack[:] = [(t, False) for t, _ in stack]
-        if tag not in VOID and not attributes.rstrip().endswith("/"):
-            stack.append((tag, outside))
-            count(tag, outside, 1)
+        if tag in VOID or single:
+            continue
+        marks = []
+        if tag in ("article", "main") and name == PLAIN:
+            stack.article()
+            marks.append("article")
+        if tag == "a":
+            marks.append("link")
+        if tag == "pre":
+            marks.append("code")
+        if outside:
+            marks.append("form" if tag == "form" else "outside")
+        if name != PLAIN:
+            marks.append(name)
+        stack.push(tag, tuple(marks))
     end()
     return out
 
@@ -200,61 +298,96 @@ def _after(page: str, at: int, tag: str) -> int:
     return len(page)
 
 
-def labels(found: list[Block], rules: Rules = Rules()) -> list[bool]:
-    """True for text, for each block."""
-    within = any(b.inside and not b.outside for b in found)
-    first: list[bool | None] = []
-    for b in found:
+def dense(b: Block, rules: Rules) -> bool | None:
+    """Whether the words of a block are those of running text; None if they tell too little."""
+    letters = "".join(WORD.findall(b.text))
+    unparted = len(UNPARTED.findall(letters))
+    if 2 * unparted > len(letters):
+        sentences = 4 * len(b.text) >= rules.long and bool(SENTENCE.search(b.text))
+        return True if len(b.text) >= rules.long or sentences else None
+    if len(b.text) < rules.long or b.code:
+        return None
+    words = WORD.findall(b.text.lower())
+    stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+    if stops >= rules.stops:
+        return True
+    if len(words) >= rules.sentence and SENTENCE.search(b.text):
+        return None  # a sentence, maybe of a language without a list here
+    return False if stops < rules.stops_low else None
+
+
+def first_pass(found: list[Block], rules: Rules = Rules()) -> list[tuple[bool | None, str]]:
+    """(label, by what) for each block: True for text, False for boilerplate, None if it is open."""
+    within = any(b.inside and not b.outside and b.name < LAID_OUT for b in found)
+    words = [None if b.outside or (within and not b.inside) else dense(b, rules) for b in found]
+    other = within or any(d and b.name < LAID_OUT for b, d in zip(found, words, strict=True))
+    out: list[tuple[bool | None, str]] = []
+    for b, running in zip(found, words, strict=True):
         if b.outside or (within and not b.inside):
-            first.append(False)
+            out.append((False, "region"))
+        elif b.name == APART or (b.name == LAID_OUT and other):
+            out.append((False, "name"))
         elif b.linked > rules.links * len(b.text):
-            first.append(False)
+            out.append((False, "links"))
+        elif running:
+            out.append((True, "density"))
         elif within:
-            first.append(True)
+            out.append((None, "open"))
+        elif b.name == DOUBTED:
+            out.append((False, "name"))
         elif COPYRIGHT.search(b.text) and len(b.text) < rules.long:
-            first.append(False)
-        else:
-            words = WORD.findall(b.text.lower())
-            stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            if len(b.text) >= rules.long:
-                first.append(True if stops >= rules.stops else False if stops < rules.stops_low else None)
-            else:
-                first.append(None)
-    decided = [x if not b.outside else None for x, b in zip(first, found, strict=True)]
-    return [now and x is not False for now, x in zip(_inherit(decided), first, strict=True)]
-
-
-def _inherit(first: list[bool | None]) -> list[bool]:
-    """The second pass: open labels from the nearest decided neighbours; with none at all, text."""
-    n = len(first)
-    before: list[int] = [-1] * n
-    after: list[int] = [-1] * n
-    seen = -1
-    for i in range(n):
-        seen = i if first[i] is not None else seen
-        before[i] = seen
-    seen = -1
-    for i in range(n - 1, -1, -1):
-        seen = i if first[i] is not None else seen
-        after[i] = seen
-    out = []
-    for i in range(n):
-        a, b = before[i], after[i]
-        if a < 0 and b < 0:
-            out.append(True)
-        elif a < 0 or (b >= 0 and b - i < i - a):
-            out.append(bool(first[b]))
+            out.append((False, "copyright"))
+        elif running is False:
+            out.append((False, "density"))
         else:
-            out.append(bool(first[a]))
+            out.append((None, "open"))
     return out
 
 
+def judged(found: list[Block], rules: Rules = Rules()) -> list[tuple[bool, str]]:
+    """(text or not, by what) for each block after both passes; "neighbours" for those that inherit their label."""
+    first = first_pass(found, rules)
+    within = [i for i, b in enumerate(found) if b.inside]
+    decided: list[bool | None] = [None if why in ("region", "name") else label for label, why in first]
+    if within:  # the article's ends are text
+        inner = _inherit([True, *(decided[i] for i in within), True], True)[1:-1]
+        got = dict(zip(within, inner, strict=True))
+    else:
+        got = dict(enumerate(_inherit(decided)))
+    return [(bool(got.get(i)), "neighbours") if label is None else (label, why) for i, (label, why) in enumerate(first)]
+
+
+def _inherit(first: list[bool | None], tie: bool | None = None) -> list[bool]:
+    """The second pass: open labels from the nearest decided neighbours; with none at all, text.
+
+    Where two of the same distance differ, ``tie`` counts, or that of the one before if it is None.
+    """
+    before: list[tuple[int, bool] | None] = []
+    last = None
+    for i, x in enumerate(first):
+        last = (i, x) if x is not None else last
+        before.append(last)
+    out: list[bool] = []
+    last = None
+    for i in range(len(first) - 1, -1, -1):
+        last = (i, first[i]) if first[i] is not None else last
+        a, b = before[i], last
+        if a is None or b is None:
+            near = a or b
+            out.append(near[1] if near else True)
+        elif i - a[0] == b[0] - i and a[1] != b[1]:
+            out.append(a[1] if tie is None else tie)
+        else:
+            out.append(a[1] if i - a[0] <= b[0] - i else b[1])
+    return out[::-1]
+
+
 def extract(page: str | None, rules: Rules = Rules()) -> str:
     """The main text: its blocks, joined by line feeds."""
     if not page:
         return ""
     found = blocks(page)
-    return "\n".join(b.text for b, keep in zip(found, labels(found, rules), strict=True) if keep)
+    return "\n".join(b.text for b, (keep, _) in zip(found, judged(found, rules), strict=True) if keep)
 
 
 def with_main_text(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
