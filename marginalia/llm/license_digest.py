@@ -1,9 +1,10 @@
 """Licence scans by canonical digests (DataFrame operations only).
 
-A text is brought to canonical form: A-Z lower-cased, copyright notices dropped (lines; not a licence's own sentences), everything in ASCII that is neither a
-letter nor a digit turned into one space, and words of equivalent spelling written in one way. The SHA-256 of the
-whole canonical text, and of each of its lines, is looked up by a hash join among the digests of known licence texts
-and notices. The known table is built here from fixed texts and rules, has a fixed number of rows, and is broadcast.
+A text is brought to canonical form: A-Z lower-cased, copyright notices dropped (lines, told by their form from a
+licence's own sentences), everything in ASCII that is neither a letter nor a digit turned into one space, and words of
+equivalent spelling written in one way, also across lines. The SHA-256 of the whole canonical text, and of each of its
+lines, is looked up by a hash join among the digests of known licence texts and notices. The known table is built here
+from short texts, digests of long ones, names and forms; it has a fixed number of rows, and is broadcast.
 
 Defined cases: null and blank texts have the digest of the empty string, which no licence has; repeated rows stay,
 each with its own result; a text that is one notice and nothing else matches both as a whole and as a line; further
@@ -18,12 +19,19 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import read
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Lines that begin with "copyright" or "(c)" and go on as a sentence of a licence are no notices.
+#: Words that make a line which begins with "copyright" a sentence of a licence and no notice.
 _SENTENCE = (
-    r"notices?|holders?|owners?|laws?|licen[cs]es?|statements?|and|or|in|is|are|to|of|on|for|as|under|if|any|this|that|you|a|an|with|which|by applicable"
-    r"|interests?|rights?|protection|permissions?|disclaimers?|treaty|treaties|may|shall|must|will|has|have|can|be"
+    r"notices?|holders?|owners?|ownership|laws?|licen[cs]es?|statements?|and|or|in|is|are|to|of|on|for|as|under|if|any|this|that|you|a|an|with|which|by"
+    r"|interests?|rights?|protection|permissions?|disclaimers?|treaty|treaties|may|shall|must|will|has|have|can|be|not|also|from|work|works|software|library|program"
+)
+_YEAR = r"(?:(?:19|20)\d\d\b|[\[<{(]?(?:yyyy|years?)\b)"
+#: Notices, by form: copyright and a sign or year; a sign and a year (or © alone); copyright and a short name that ends
+#: the line; all rights reserved.
+COPYRIGHT = (
+    rf"(?m)^[^a-z0-9\n]*(?:copyright\b[ \t:,]*(?:\(c\)|©|{_YEAR})[^\n]*|(?:\(c\)[ \t]*{_YEAR}|©)[^\n]*"
+    rf"|copyright\b[ \t]*:?[ \t]+(?![^\n]*\b(?:{_SENTENCE})\b)[^\s]+(?:[ \t]+[^\s]+){{0,5}}(?:(?<=\b(?:inc|ltd|llc|co|corp)\.)|(?<![.,;:]))[ \t]*$"
+    r"|copyright\b[^\n]*\ball rights reserved[^\n]*|(?<![a-z0-9])all rights reserved[^\n]*)"
 )
-COPYRIGHT = rf"(?m)^[^a-z0-9\n]*(?:(?:copyright|\(c\))(?![ \t]+(?:{_SENTENCE})\b)(?=[ \t:,]*[^\s:,])|©|all rights reserved)[^\n]*"
 #: The oracle's own rule, as it was: it drops every line that begins so.
 _SQL_COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright|\(c\)|©|all rights reserved)[^\n]*"
 NOT_WORD = r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -51,13 +59,50 @@ _BSD_3 = """3. Neither the name of the copyright holder nor the names of its con
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
 """
+_UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+For more information, please refer to <https://unlicense.org>
+"""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:
+1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.
+2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.
+3. This notice may not be removed or altered from any source distribution.
+"""
+_BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.
+"""
 TEXTS = {
     "MIT": ["MIT License\n" + _MIT + _WARRANTY_MIT, _MIT + _WARRANTY_MIT, "The MIT License (MIT)\n" + _MIT + _WARRANTY_MIT],
     "BSD-2-Clause": [_BSD_2 + _WARRANTY_BSD, "BSD 2-Clause License\n" + _BSD_2 + _WARRANTY_BSD],
     "BSD-3-Clause": [_BSD_2 + _BSD_3 + _WARRANTY_BSD, "BSD 3-Clause License\n" + _BSD_2 + _BSD_3 + _WARRANTY_BSD],
     "ISC": [head + "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.\n" + _WARRANTY_ISC for head in ("", "ISC License\n")],
+    "Unlicense": [_UNLICENSE],
+    "Zlib": [head + _ZLIB for head in ("", "zlib License\n")],
+    "BSL-1.0": [_BOOST],
     "0BSD": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n" + _WARRANTY_ISC],
 }
+#: Digests of the canonical texts of longer licences: the whole file, and where it has one, all up to the
+#: end of its terms without the appendix behind them.
+DIGESTS = {
+    "Apache-2.0": ["45c5565dedc03ff2a570c67c5af611f8a3d0a0227c6e81d9fb11fbf0c004b959", "6530dac82be99e5bbcc128a6caf5bfdd0451a21fe23ac3df15ed85a1c550c859"],
+    "Artistic-1.0-Perl": ["08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"],
+    "CC0-1.0": ["96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f"],
+    "GFDL-1.2": ["5379e6f33e826ba185b23fd11a414555c2161fda481478babd1e73a3ae098a71"],
+    "GFDL-1.3": ["93d6108daecdddc5f284cf8f2512fb0d72f6e9ee12381feb9704ba194b00c3e6"],
+    "GPL-1.0": ["8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc"],
+    "GPL-2.0": ["efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34"],
+    "GPL-3.0": ["a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636"],
+    "LGPL-2.0": ["61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260"],
+    "LGPL-2.1": ["4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4"],
+    "LGPL-3.0": ["aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be"],
+    "MPL-1.1": ["26ba73e836ecb04fe87d5eca80ca27cff1afa2d7683455be1517bd23b8d27986"],
+    "MPL-2.0": ["9eab7902f21bef0326dee4ed0cae1402c781cbf1f8e3dbeed6fbe176d641bb13"],
+}
 #: Names that notices use, and the forms of notices.
 NAMES = {
     "Apache-2.0": ["the Apache License, Version 2.0", "Apache License 2.0", "the Apache 2.0 License", "Apache-2.0"],
@@ -77,23 +122,35 @@ NAMES = {
 FORMS = ["Licensed under {}.", "This work is licensed under {}.", "Released under {}.", "Distributed under {}.", "SPDX-License-Identifier: {}"]
 
 
+def _spelled(text: Column, spellings: dict[str, str]) -> Column:
+    """``text`` with each of ``spellings`` written in its one way, longer ones first; looked for before it is rewritten."""
+    out = text
+    for a in sorted(spellings, key=lambda x: (-len(x), x)):
+        out = F.regexp_replace(out, rf"\b{a}\b", spellings[a])
+    return F.when(text.rlike(rf"\b(?:{'|'.join(sorted(spellings))})\b"), out).otherwise(text)
+
+
 def canonical_lines(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``lines``: the canonical lines of ``text`` that are not empty."""
+    """``docs`` with ``lines``, the canonical lines of ``text`` that are not empty, and ``whole``, the lines joined.
+
+    Spellings of several words are looked for once more in ``whole``, where no line break parts them.
+    """
+    other = {a: b for a, b in SPELLINGS.items() if a != b}
     low = F.translate(F.coalesce(F.col(text), F.lit("")), UPPER, LOWER)
     out = docs.withColumn("_c", F.regexp_replace(F.regexp_replace(low, COPYRIGHT, ""), NOT_WORD, " "))
-    other = {a: b for a, b in SPELLINGS.items() if a != b}
-    each = F.col("_c")
-    for a in sorted(other, key=lambda x: (-len(x), x)):
-        each = F.regexp_replace(each, rf"\b{a}\b", other[a])
-    out = out.withColumn("_c", F.when(F.col("_c").rlike(rf"\b(?:{'|'.join(sorted(other))})\b"), each).otherwise(F.col("_c")))
-    return out.withColumn("lines", F.filter(F.transform(F.split("_c", "\n"), lambda x: F.trim(x)), lambda x: x != "")).drop("_c")
+    out = out.withColumn("_c", _spelled(F.col("_c"), other))
+    out = out.withColumn("lines", F.filter(F.transform(F.split("_c", "\n"), lambda x: F.trim(x)), lambda x: x != "")).drop("_c")
+    out = out.withColumn("whole", F.array_join("lines", " "))
+    return out.withColumn("whole", _spelled(F.col("whole"), {a: b for a, b in other.items() if " " in a}))
 
 
 def known(spark: SparkSession) -> DataFrame:
     """(digest, license_id): the fixed table, less than 300 rows; the first id of a digest counts."""
     rows = [(i, t) for i, ts in TEXTS.items() for t in ts] + [(i, f.format(n)) for i, ns in NAMES.items() for n in ns for f in FORMS]
     table = canonical_lines(spark.createDataFrame(rows, "license_id string, text string"))
-    return table.groupBy(F.sha2(F.array_join("lines", " "), 256).alias("digest")).agg(F.min("license_id").alias("license_id"))
+    table = table.select(F.sha2("whole", 256).alias("digest"), "license_id")
+    table = table.unionByName(spark.createDataFrame([(d, i) for i, ds in DIGESTS.items() for d in ds], "digest string, license_id string"))
+    return table.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -103,8 +160,8 @@ def scan(docs: DataFrame) -> DataFrame:
     texts, sorted.
     """
     rows = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))
-    rows = canonical_lines(rows).select("row", "doc_id", "lines")
-    whole = F.array(F.struct(F.lit(True).alias("whole"), F.sha2(F.array_join("lines", " "), 256).alias("d")))
+    rows = canonical_lines(rows).select("row", "doc_id", "lines", "whole")
+    whole = F.array(F.struct(F.lit(True).alias("whole"), F.sha2("whole", 256).alias("d")))
     each = F.transform("lines", lambda x: F.struct(F.lit(False).alias("whole"), F.sha2(x, 256).alias("d")))
     units = rows.select("row", "doc_id", F.explode(F.concat(whole, each)).alias("u"))
     table = F.broadcast(known(docs.sparkSession))
@@ -135,12 +192,18 @@ def _sql_canonical(text: str) -> str:
 
 def _sql_known() -> str:
     rows = [(i, t) for i, ts in TEXTS.items() for t in ts] + [(i, f.format(n)) for i, ns in NAMES.items() for n in ns for f in FORMS]
-    return ", ".join(f"('{i}', '{t}')" for i, t in rows)
+    return ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in rows)
+
+
+def _sql_digests() -> str:
+    return ", ".join(f"('{d}', '{i}')" for i, ds in DIGESTS.items() for d in ds)
 
 
 ORACLE_SQL = f"""
 WITH raw(license_id, text) AS (VALUES {_sql_known()}),
-kn AS (SELECT sha256(array_to_string({_sql_canonical('text')}, ' ')) AS digest, min(license_id) AS license_id FROM raw GROUP BY 1),
+dg(digest, license_id) AS (VALUES {_sql_digests()}),
+kn AS (SELECT digest, min(license_id) AS license_id
+       FROM (SELECT sha256(array_to_string({_sql_canonical('text')}, ' ')) AS digest, license_id FROM raw UNION ALL SELECT digest, license_id FROM dg) GROUP BY 1),
 c AS (SELECT doc_id, {_sql_canonical('text')} AS lines FROM documents),
 w AS (SELECT doc_id, sha256(coalesce(array_to_string(lines, ' '), '')) AS canonical_sha256 FROM c),
 l AS (SELECT doc_id, license_id FROM (SELECT doc_id, unnest(lines) AS line FROM c) JOIN kn ON sha256(line) = digest),

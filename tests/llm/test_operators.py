@@ -463,3 +463,33 @@ def test_wrapped_licences_keep_their_sentences(spark):
     data.append(("ISC", usual))
     got = license_digest.scan(spark.createDataFrame(list(enumerate(t for _, t in data)), "doc_id bigint, text string")).collect()
     assert [r.license_id for r in sorted(got, key=lambda r: r.doc_id)] == [i for i, _ in data]
+
+
+def test_long_licences_match_by_their_digests(spark):
+    """Whole standard texts, where this machine has them: as they are, commented, indented and wrapped anew."""
+    import pathlib
+    import textwrap
+
+    folder = pathlib.Path("/usr/share/common-licenses")
+    known = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    data = []
+    for name, want in known.items():
+        if not (folder / name).exists():
+            continue
+        text = (folder / name).read_text(errors="replace")
+        data += [(want, text), (want, "\n".join("// " + x for x in text.split("\n"))), (want, text.upper() if "http" not in text else "    " + text.replace("\n", "\r\n    "))]
+        data += [(None, text + "\nand more"), (None, text[: len(text) // 2])]
+        if name in ("Apache-2.0", "MPL-2.0", "CC0-1.0"):
+            data += [(want, "\n\n".join("\n".join(textwrap.wrap(" ".join(p.split()), w)) for p in re.split(r"\n\s*\n", text))) for w in range(56, 100, 7)]
+    if not data:
+        pytest.skip("no standard texts here")
+    got = license_digest.scan(spark.createDataFrame(list(enumerate(t for _, t in data)), "doc_id bigint, text string")).collect()
+    assert [r.license_id for r in sorted(got, key=lambda r: r.doc_id)] == [w for w, _ in data]
+
+
+def test_notices_are_told_by_their_form():
+    """Lines that go, and sentences of licences that begin alike and stay."""
+    notice = re.compile(license_digest.COPYRIGHT.replace("(?<=\\b(?:inc|ltd|llc|co|corp)\\.)", "(?<=\\binc\\.)"))
+    gone = ["copyright (c) 2001 someone", "* copyright 2020, the authors", "(c) 1999 a. person", "© someone", "copyright some company", "copyright: [yyyy] [name]", "all rights reserved.", "copyright acme inc."]
+    kept = ["copyright holder or contributors be liable", "copyright, patent, trademark, and attribution", "(c) representations.", "copyrighted material outside", 'copyright" line and a pointer', "copyright ownership.", "copyright doctrines of fair use, fair dealing"]
+    assert all(notice.fullmatch(x) for x in gone) and not any(notice.match(x) for x in kept)
