@@ -9,14 +9,15 @@ A run of lines is a repeat if it has ``min_words`` words and occurs earlier, in
 run is covered by repeated *minimal* runs, those that reach ``min_words`` at their last line, or, read backwards, at
 their first, and these have ``min_words`` lines at most; so the doubling ends after log2(min_words) levels. Two
 minimal runs of m lines are equal if they share the interval at their first and at their last 2**k lines (2**k <= m <
-2**(k+1)). Of equal runs the first stays whole; the lines of all others are deleted, and with a line the blank lines
-right behind it.
+2**(k+1)), and a digest of all their lines by another hash, so that no deletion rests on a single 64-bit id. Minimal
+runs that continue each other in both places make the maximal repeated runs (``maximal_runs``). Of equal runs the first
+stays whole; the lines of all others are deleted, and with a line the blank lines right behind it.
 
 Hot lines are counted before they are shuffled and looked up by broadcast (see ``attach``).
 
 Defined cases: null stays null and blank texts stay as they are; rows with the same doc_id and the same text are one
 document, edited alike; a null doc_id comes first; lines are compared without the white space around them; a text of
-which nothing is left is empty; further columns pass through ``deduplicated`` untouched. Ids are 64-bit hashes.
+which nothing is left is empty; further columns, whatever their names, pass through ``deduplicated`` untouched.
 """
 
 from __future__ import annotations
@@ -25,9 +26,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from marginalia.llm.common import read
+from marginalia.llm.common import ROW, read, tucked, untucked
 from marginalia.plans.skew import attach, small
-from marginalia.plans.storage import materialize
+from marginalia.plans.storage import discard, materialize
 
 MIN_WORDS = 50
 DOC = ["k1", "k2"]
@@ -44,9 +45,10 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def line_table(docs: DataFrame) -> DataFrame:
-    """(k1, k2, doc_id, i, h, wc): the non-blank lines; once for rows with the same doc_id and text."""
+    """(k1, k2, doc_id, i, h, g, wc): the non-blank lines by two hashes; once for rows with the same doc_id and text."""
     rows = _keyed(docs.select("doc_id", "text")).select(*DOC, "doc_id", F.posexplode(pieces(F.col("text"))).alias("i", "line"))
-    rows = rows.select(*DOC, "doc_id", "i", F.xxhash64(F.btrim("line", F.lit(SPACES))).alias("h"), F.regexp_count("line", F.lit(r"[^\s]+")).alias("wc"))
+    line = F.btrim("line", F.lit(SPACES))
+    rows = rows.select(*DOC, "doc_id", "i", F.xxhash64(line).alias("h"), F.xxhash64(F.lit(1), line).alias("g"), F.regexp_count("line", F.lit(r"[^\s]+")).alias("wc"))
     return materialize(rows.filter(F.col("wc") > 0), "lines")
 
 
@@ -63,21 +65,28 @@ def _named(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 
 
 def _minimal_runs(level: DataFrame, min_words: int) -> DataFrame:
-    """(doc, s, m): runs of repeated lines that reach ``min_words`` at their last line or, backwards, their first."""
-    island = level.withColumn("g", F.col("i") - F.row_number().over(W.partitionBy(*DOC).orderBy("i")))
-    order = W.partitionBy(*DOC, "g").orderBy("i")
+    """(doc, s, m, check): runs of repeated lines that reach ``min_words`` at their last line or, backwards, their
+    first; ``check`` is a digest of the run's lines."""
+    island = level.withColumn("g_", F.col("i") - F.row_number().over(W.partitionBy(*DOC).orderBy("i")))
+    order = W.partitionBy(*DOC, "g_").orderBy("i")
 
-    def length(words: Column) -> Column:
+    def length(lines: Column) -> Column:
         start = F.struct(F.lit(0).alias("w"), F.lit(0).alias("m"))
-        end = F.aggregate(words, start, lambda a, x: F.when(a["w"] >= min_words, a).otherwise(F.struct((a["w"] + x).alias("w"), (a["m"] + 1).alias("m"))))
+        end = F.aggregate(lines, start, lambda a, x: F.when(a["w"] >= min_words, a).otherwise(F.struct((a["w"] + x["wc"]).alias("w"), (a["m"] + 1).alias("m"))))
         return F.when(end["w"] >= min_words, end["m"])
 
-    ahead = F.collect_list("wc").over(order.rowsBetween(0, min_words - 1))
-    behind = F.reverse(F.collect_list("wc").over(order.rowsBetween(-(min_words - 1), 0)))
-    runs = island.select(*DOC, "doc_id", "i", length(ahead).alias("f"), length(behind).alias("b"))
-    both = F.array(F.struct(F.col("i").alias("s"), F.col("f").alias("m")), F.struct((F.col("i") - F.col("b") + 1).alias("s"), F.col("b").alias("m")))
-    runs = runs.select(*DOC, "doc_id", F.explode(F.filter(F.array_distinct(both), lambda x: x["m"].isNotNull())).alias("x"))
-    return runs.select(*DOC, "doc_id", "x.s", "x.m").distinct()
+    def check(lines: Column) -> Column:
+        return F.xxhash64(F.transform(lines, lambda x: x["g"]))
+
+    line = F.struct("wc", "g")
+    runs = island.withColumn("ahead", F.collect_list(line).over(order.rowsBetween(0, min_words - 1)))
+    runs = runs.withColumn("behind", F.reverse(F.collect_list(line).over(order.rowsBetween(-(min_words - 1), 0))))
+    runs = runs.withColumn("f", length(F.col("ahead"))).withColumn("b", length(F.col("behind")))
+    fore = F.struct(F.col("i").alias("s"), F.col("f").alias("m"), check(F.slice("ahead", 1, F.col("f"))).alias("check"))
+    back = F.struct((F.col("i") - F.col("b") + 1).alias("s"), F.col("b").alias("m"), check(F.reverse(F.slice("behind", 1, F.col("b")))).alias("check"))
+    both = F.array(F.when(F.col("f").isNotNull(), fore), F.when(F.col("b").isNotNull(), back))
+    runs = runs.select(*DOC, "doc_id", F.explode(F.filter(F.array_distinct(both), lambda x: x.isNotNull())).alias("x"))
+    return runs.select(*DOC, "doc_id", "x.s", "x.m", "x.check").distinct()
 
 
 def _at(runs: DataFrame, level: DataFrame, place: Column, name: str) -> DataFrame:
@@ -86,9 +95,12 @@ def _at(runs: DataFrame, level: DataFrame, place: Column, name: str) -> DataFram
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(k1, k2, s, m) for every minimal run that occurs earlier: m lines from line s on."""
-    level = materialize(_named(line_table(docs), "h", ["h"]).drop("h"), "level")
+    """(k1, k2, s, m, first) for every minimal run that occurs earlier: m lines from line s on, and where they are first."""
+    lines = line_table(docs)
+    level = materialize(_named(lines, "h", ["h"]).drop("h"), "level")
+    discard(lines)
     runs = materialize(_minimal_runs(level, min_words), "runs")
+    level = level.drop("g")
     named: list[DataFrame] = [_at(runs.filter("m = 1"), level, F.col("s"), "a").withColumn("b", F.col("a"))]
     k, longest = 0, runs.agg(F.max("m")).first()[0] or 0
     while longest >= 2:
@@ -105,30 +117,50 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
         pairs = inside.withColumn("r2", further).filter(F.col("r2").isNotNull()).withColumnRenamed("r", "r1")
         pairs = materialize(pairs.withColumn("h", F.xxhash64("r1", "r2")), "pairs")
         level = materialize(_named(pairs, "h", ["r1", "r2"]).select(*DOC, "doc_id", "i", "wc", "r"), "level")
+        discard(pairs)
         k += 1
     found = named[0]
     for more in named[1:]:
         found = found.unionByName(more)
     found = materialize(found.withColumn("key", F.xxhash64("m", "a", "b")).withColumn("at", F.struct("doc_id", "k2", "s")), "named")
-    first = found.groupBy("key").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1)
-    later = attach(found, materialize(first, "first"), "key", ["first"], "n", F.col("at"))
-    return later.filter(F.col("at") > F.col("first")).select(*DOC, "s", "m")
+    first = found.groupBy("key", "check").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter(F.col("n") > 1)
+    # Of one key there is one check, but for runs that share a key by chance.
+    first = first.groupBy("key").agg(F.collect_list(F.struct("check", "first")).alias("firsts"), F.sum("n").alias("n"))
+    later = attach(found, materialize(first, "first"), "key", ["firsts"], "n", F.col("at"))
+    later = later.withColumn("first", F.get(F.filter("firsts", lambda x: x["check"] == F.col("check")), F.lit(0))["first"])
+    return later.filter(F.col("at") > F.col("first")).select(*DOC, "doc_id", "s", "m", "first")
 
 
-def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(k1, k2, spans): for each text that loses lines, the places (first, last) of what goes, apart and in order."""
-    runs = repeated_runs(docs, min_words).withColumn("e", F.col("s") + F.col("m") - 1)
-    order = W.partitionBy(*DOC).orderBy("s", "e")
+def _joined(runs: DataFrame, line: list[str]) -> DataFrame:
+    """``runs`` (s, e) of each ``line`` made one where they overlap or meet."""
+    order = W.partitionBy(*line).orderBy("s", "e")
     reach = F.max("e").over(order.rowsBetween(W.unboundedPreceding, -1))
     runs = runs.withColumn("new", F.when(reach.isNull() | (F.col("s") > reach + 1), 1).otherwise(0))
-    runs = runs.withColumn("g", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
-    spans = runs.groupBy(*DOC, "g").agg(F.struct(F.min("s").alias("first"), F.max("e").alias("last")).alias("span"))
+    runs = runs.withColumn("part", F.sum("new").over(order.rowsBetween(W.unboundedPreceding, 0)))
+    return runs.groupBy(*line, "part").agg(F.min("s").alias("s"), F.max("e").alias("e")).drop("part")
+
+
+def maximal_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(k1, k2, s, e, first_doc_id, first_k2, by): the maximal runs, lines s to e, that repeat lines of an earlier place.
+
+    They are minimal runs that overlap or meet, at one distance ``by`` from where they are first: line s is the same as
+    line s - by of the document ``first_doc_id`` whose text has the hash ``first_k2``.
+    """
+    runs = repeated_runs(docs, min_words).withColumn("e", F.col("s") + F.col("m") - 1)
+    first = {"first_doc_id": F.col("first.doc_id"), "first_k2": F.col("first.k2"), "by": F.col("s") - F.col("first.s")}
+    return _joined(runs.withColumns(first), [*DOC, *first])
+
+
+def deletions(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(k1, k2, spans): for each text that loses lines, the places (first, last) of what goes, apart and in order."""
+    spans = _joined(maximal_runs(docs, min_words), DOC).select(*DOC, F.struct(F.col("s").alias("first"), F.col("e").alias("last")).alias("span"))
     return materialize(spans.groupBy(*DOC).agg(F.sort_array(F.collect_list("span")).alias("spans")), "deletions")
 
 
 def _edited(docs: DataFrame, min_words: int) -> DataFrame:
+    """``tucked`` rows with doc_id, text, _spans (what goes) and _new (what is left of the text)."""
     gone = deletions(docs, min_words).select(F.col("k1").alias("_d1"), F.col("k2").alias("_d2"), F.col("spans").alias("_spans"))
-    rows = docs.withColumn("_k1", F.xxhash64("doc_id")).withColumn("_k2", F.xxhash64("text"))
+    rows = tucked(docs, doc_id=F.col("doc_id"), text=F.col("text"), _k1=F.xxhash64("doc_id"), _k2=F.xxhash64("text"))
     rows = rows.join(small(gone), (F.col("_k1") == F.col("_d1")) & (F.col("_k2") == F.col("_d2")), "left")
     kept = F.filter(pieces(F.col("text")), lambda x, i: ~F.exists("_spans", lambda d: (i >= d["first"]) & (i <= d["last"])))
     return rows.withColumn("_new", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n")))
@@ -137,10 +169,11 @@ def _edited(docs: DataFrame, min_words: int) -> DataFrame:
 def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """``docs`` with later copies of repeated runs cut out of ``text``; ``n_chars`` follows, if there is one."""
     out = _edited(docs, min_words)
-    values = {"text": F.col("_new")} | ({"n_chars": F.length("_new").cast(dict(docs.dtypes)["n_chars"])} if "n_chars" in docs.columns else {})
-    if "n_chars" in values:
-        values["n_chars"] = F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(values["n_chars"])
-    return out.select(*[values[c].alias(c) if c in values else F.col(c) for c in docs.columns])
+    changed = {"text": F.col("_new")}
+    if kind := dict(docs.dtypes).get("n_chars"):
+        was = F.col(ROW).getField("n_chars")
+        changed["n_chars"] = F.when(F.col("_spans").isNull(), was).otherwise(F.length("_new").cast(kind))
+    return untucked(out, **changed)
 
 
 def query(spark: SparkSession, sf_dir: str, min_words: int = MIN_WORDS) -> DataFrame:

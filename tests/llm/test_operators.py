@@ -493,3 +493,29 @@ def test_notices_are_told_by_their_form():
     gone = ["copyright (c) 2001 someone", "* copyright 2020, the authors", "(c) 1999 a. person", "© someone", "copyright some company", "copyright: [yyyy] [name]", "all rights reserved.", "copyright acme inc."]
     kept = ["copyright holder or contributors be liable", "copyright, patent, trademark, and attribution", "(c) representations.", "copyrighted material outside", 'copyright" line and a pointer', "copyright ownership.", "copyright doctrines of fair use, fair dealing"]
     assert all(notice.fullmatch(x) for x in gone) and not any(notice.match(x) for x in kept)
+
+
+def test_maximal_runs_are_what_repeats(spark):
+    """Every maximal run equals its first place line by line, and can't be longer at either end as a repeat of that place."""
+    r = random.Random(21)
+    lines = [prose(r.choice([9, 20, 55]), 700 + i) for i in range(8)]
+    texts = ["\n".join(r.choice(lines) for _ in range(r.randint(0, 25))) for _ in range(25)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    keyed = docs.select("doc_id", F.xxhash64("doc_id").alias("k1"), F.xxhash64("text").alias("k2"))
+    found = line_dedup.maximal_runs(docs).join(keyed, ["k1", "k2"]).collect()
+    assert found
+    parsed = [t.split("\n") for t in texts]
+    for x in found:
+        own, other = parsed[x.doc_id][x.s : x.e + 1], parsed[x.first_doc_id][x.s - x.by : x.e - x.by + 1]
+        assert own == other and sum(len(t.split()) for t in own) >= 50
+        assert (x.first_doc_id, x.s - x.by) < (x.doc_id, x.s)
+
+
+def test_very_long_and_odd_texts_lose_their_lines(spark, clashing):
+    block = "\n".join(prose(12, 40 + i) for i in range(400))
+    texts = [block, "head\n" + block + "\ntail", "\n".join([block] * 3), "z " * 60_000]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(texts)], SCHEMA)
+    assert [x.text for x in line_dedup.deduplicated(docs).orderBy("doc_id").collect()] == [block, "head\ntail", "", texts[3]]
+    named = clashing.withColumn("_spans", F.lit("x")).withColumn("_new", F.lit(1)).withColumn("_k1", F.lit(2)).withColumn("__row", F.lit(3))
+    out = line_dedup.deduplicated(named)
+    assert out.columns == named.columns and {r["_spans"] for r in out.collect()} == {"x"}
