@@ -7,15 +7,15 @@ at which a source's expected words are its target. The whole copies in that are
 from one length class to the next, is the probability that the document enters the sample. Documents are ranked by
 q = (u / (1 - u)) / (p / (1 - p)), random odds over inclusion odds, and the smallest are taken until the words that the
 source still lacks are there, to the nearest document; so the sample's size is fixed, and with it how near the target
-comes. u is a uniform number hashed from doc_id, text, the occurrence among rows that are equal in both, and seed.
+comes. u is a uniform number hashed from doc_id, text, the number among rows equal in id, source and text, and seed.
 
 The order within a source is never gathered in one task: words are counted in ``BUCKETS`` buckets of q for each
 source, the sums of the buckets are added up, and only the documents of the bucket in which the target falls are
 ordered, in pieces of the next finer buckets.
 
 Defined cases: a null text has size 0, and is the same as an empty one; a null source is the last source; sources
-without words have target 0 and take nothing; rows of equal id (or none) and text are numbered, so each has a u of its
-own; an empty table gives an empty result; further columns pass through ``mix`` untouched, but columns named ``size``
+without words have target 0 and take nothing; rows of equal id (or none), source and text are numbered, so each has a u
+of its own; an empty table gives an empty result; further columns pass through ``mix`` untouched, but columns named ``size``
 and ``copies`` are replaced by the operator's.
 """
 
@@ -55,21 +55,26 @@ def uniform(seed: int = 42) -> Column:
     return (F.conv(F.substring(F.sha2(key, 256), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
+#: What tells rows apart that are to be sampled each on its own, but for their number among equals.
+NAME = ("doc_id", "source", "_digest")
+
+
 def numbered(rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``rows`` (materialized, with their number ``_row``) with ``_copy``: 0, 1, … among rows equal in doc_id and _digest.
+    """``rows`` (materialized, with their number ``_row``) with ``_copy``: 0, 1, … among rows equal in all of NAME.
 
-    ``repeated`` is (doc_id, _digest) of what occurs more than once. Rows are counted for each table partition (the
-    upper bits of ``_row``), so rows of one key are numbered within theirs and never gathered.
+    ``repeated`` are the names of what occurs more than once. Rows are counted for each table partition (the upper bits
+    of ``_row``), so rows of one name are numbered within theirs and never gathered.
     """
-    keys = small(materialize(repeated.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_d")), "repeated"))
-    found = rows.select("_row", "doc_id", "_digest").join(keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_d")))
-    found = materialize(found.select("_row", "_id", "_d", F.shiftrightunsigned("_row", 33).alias("_part")), "repeats")
-    parts = found.groupBy("_id", "_d", "_part").agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.partitionBy("_id", "_d").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    parts = parts.select(F.col("_id").alias("_i"), F.col("_d").alias("_e"), F.col("_part").alias("_q"), before.alias("_before"))
-    place = F.row_number().over(W.partitionBy("_id", "_d", "_part").orderBy("_row")) - 1
-    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_d") == F.col("_e")) & (F.col("_part") == F.col("_q"))
-    number = found.withColumn("_place", place).join(small(materialize(parts, "parts")), same).select(F.col("_row").alias("_r"), (F.col("_before") + F.col("_place")).alias("_c"))
+    same = lambda right: [F.col(c).eqNullSafe(F.col(f"{right}{c}")) for c in NAME]
+    keys = small(materialize(repeated.select(*[F.col(c).alias(f"k_{c}") for c in NAME]), "repeated"))
+    found = rows.select("_row", *NAME).join(keys, same("k_")).select("_row", *NAME, F.shiftrightunsigned("_row", 33).alias("_part"))
+    found = materialize(found, "repeats")
+    parts = found.groupBy(*NAME, "_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.partitionBy(*NAME).orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*[F.col(c).alias(f"p_{c}") for c in NAME], F.col("_part").alias("_q"), before.alias("_before"))
+    place = F.row_number().over(W.partitionBy(*NAME, "_part").orderBy("_row")) - 1
+    number = found.withColumn("_place", place).join(small(materialize(parts, "parts")), [*same("p_"), F.col("_part") == F.col("_q")])
+    number = number.select(F.col("_row").alias("_r"), (F.col("_before") + F.col("_place")).alias("_c"))
     return rows.join(number, F.col("_row") == F.col("_r"), "left").withColumn("_copy", F.coalesce("_c", F.lit(0)).cast("long")).drop("_r", "_c")
 
 
@@ -184,10 +189,10 @@ def applied(rows: DataFrame, plan: DataFrame) -> DataFrame:
 def prepared(rows: DataFrame, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """``rows`` (doc_id, source, _size, _digest, and ROW) with _u, and the same without ROW as a table of its own.
 
-    Only if rows repeat in both id and text are they written with a number, to be told apart.
+    Only if rows repeat in id, source and text are they written with a number, to be told apart.
     """
     slim = materialize(rows.drop(ROW), "sizes")
-    repeated = materialize(slim.groupBy("doc_id", "_digest").agg(F.count("*").alias("_n")).filter("_n > 1"), "repeated")
+    repeated = materialize(slim.groupBy(*NAME).agg(F.count("*").alias("_n")).filter("_n > 1"), "repeated")
     if repeated.isEmpty():
         u = lambda d: d.withColumn("_copy", F.lit(0)).withColumn("_u", uniform(seed)).drop("_copy", "_digest")
         return u(rows), u(slim)
@@ -217,7 +222,7 @@ ORACLE_SQL = r"""
 WITH x AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^ 	-
 ]+')), 0)::BIGINT AS size, sha256(coalesce(text, '')) AS digest FROM documents),
-y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, digest) - 1 AS copy FROM x),
+y AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, digest) - 1 AS copy FROM x),
 d AS (
   SELECT doc_id, source, size, length(bin(size)) AS class,
          (CAST('0x' || substr(sha256(coalesce(doc_id::VARCHAR, 'null') || '/' || digest || '/' || copy || '/42'), 1, 13) AS BIGINT)::DOUBLE + 0.5) / 4503599627370496.0 AS u
