@@ -61,45 +61,110 @@ class Block:
     context: list[int] = field(default_factory=list)
 
 
+def outline(lines: list[str]) -> list[tuple[int, str] | None | bool]:
+    """For each line the (level, text) of an ATX heading, True inside a code fence and at its marks, else None."""
+    out: list[tuple[int, str] | None | bool] = []
+    fence = ""
+    for line in lines:
+        mark = FENCE.match(line)
+        if mark and not fence:
+            fence = mark[1]
+            out.append(True)
+        elif fence:
+            if mark and mark[1].startswith(fence) and not line[mark.end() :].strip():
+                fence = ""
+            out.append(True)
+        else:
+            found = HEADING.match(line)
+            out.append((len(found[1]), found[2]) if found else None)
+    return out
+
+
+def _trimmed(lines: list[str], first: int, last: int) -> tuple[int, int]:
+    """The stretch of lines (last excluded) without the blank ones at its ends."""
+    while first < last and not lines[first].strip():
+        first += 1
+    while last > first and not lines[last - 1].strip():
+        last -= 1
+    return first, last
+
+
 def sections(text: str, skip: frozenset[str] = frozenset()) -> list[Block]:
     """The leaf sections under ATX headings outside code fences, with the headings above; blank ends are trimmed.
 
     Sections that are, or lie below, a heading in ``skip`` are left out.
     """
+    lines = text.split("\n")
+    marks = outline(lines)
+    heads = [i for i, m in enumerate(marks) if isinstance(m, tuple)]
     out: list[Block] = []
     above: list[tuple[int, str]] = []
-    body: list[tuple[int, str]] = []
-    fence = ""
-
-    def close() -> None:
-        while body and not body[0][1].strip():
-            body.pop(0)
-        while body and not body[-1][1].strip():
-            body.pop()
+    for at, end in zip([-1, *heads], [*heads, len(lines)], strict=True):
+        if at >= 0:
+            above = [h for h in above if h[0] < marks[at][0]] + [marks[at]]
+        first, last = _trimmed(lines, at + 1, end)
         names = [h for _, h in above]
-        if body and not skip.intersection(names):
-            out.append(Block(names[-1] if names else "", names[:-1], body[0][0], body[-1][0], "\n".join(x for _, x in body)))
-        body.clear()
+        if first < last and not skip.intersection(names):
+            out.append(Block(names[-1] if names else "", names[:-1], first + 1, last, "\n".join(lines[first:last])))
+    return out
 
-    for number, line in enumerate(text.split("\n"), 1):
-        mark = FENCE.match(line)
-        if mark and not fence:
-            fence = mark[1]
-        elif mark and line.strip().startswith(fence) and not line.strip().strip(fence[0]):
-            fence = ""
-        found = None if fence or mark else HEADING.match(line)
-        if found:
-            close()
-            level = len(found[1])
-            while above and above[-1][0] >= level:
-                above.pop()
-            above.append((level, found[2]))
-        else:
-            body.append((number, line))
-    close()
+
+#: Sections where methods begin, and those where they end.
+METHODS = frozenset(("知识单元", "方法与案例"))
+NO_METHODS = frozenset("来源差异与综合判断 外部补充与分歧 相关知识 我的默认做法 项目应用与验证 对我的创作有什么启发 我的理解、疑问与联想 复习区 学习材料 内容导览".split())
+
+
+def method_chunks(body: str) -> list[dict]:
+    """(heading, text, section) of a note's methods: the H3 parts of its method sections, or a section that has none.
+
+    Methods begin at a section in METHODS and go on until one in NO_METHODS; other sections change nothing.
+    """
+    lines = body.split("\n")
+    marks = [(i, m) for i, m in enumerate(outline(lines)) if isinstance(m, tuple) and m[0] <= 3]
+    out: list[dict] = []
+    within, section, parts = False, "", 0
+    for k, (at, (level, name)) in enumerate(marks):
+        end = marks[k + 1][0] if k + 1 < len(marks) else len(lines)
+        if level == 2:
+            within = (within or name in METHODS) and name not in NO_METHODS
+            stop = next((i for i, m in marks[k + 1 :] if m[0] <= 2), len(lines))
+            parts = sum(m[0] == 3 and at < i < stop and any(x.strip() for x in lines[i + 1 : _next(marks, i, len(lines))]) for i, m in marks)
+            section = name
+            end = end if parts else stop
+        elif level == 1:
+            section, parts = "", 0
+        keep = within and section and (level == 3 or (level == 2 and not parts))
+        first, last = _trimmed(lines, at + 1, end)
+        if keep and first < last and (level == 2 or parts):
+            out.append({"heading": name, "text": "\n".join(lines[first:last]), "section": section})
     return out
 
 
+def _next(marks: list[tuple[int, tuple[int, str]]], at: int, last: int) -> int:
+    """The line of the first of ``marks`` behind line ``at``."""
+    return next((i for i, _ in marks if i > at), last)
+
+
+def locate(text: str, heading: str) -> dict:
+    """Where the section of an H2 to H6 heading stands: its level, the offsets of its trimmed text, and its lines.
+
+    ``error`` is "missing" or "repeated" where no or more than one heading has that name; it is None otherwise.
+    """
+    lines = text.split("\n")
+    marks = [(i, m) for i, m in enumerate(outline(lines)) if isinstance(m, tuple)]
+    found = [(i, m[0]) for i, m in marks if m[1] == heading and m[0] >= 2]
+    if len(found) != 1:
+        return {"error": "repeated" if found else "missing"}
+    at, level = found[0]
+    end = next((i for i, m in marks if i > at and m[0] <= level), len(lines))
+    start = sum(len(x) + 1 for x in lines[: at + 1])
+    whole = "\n".join(lines[at + 1 : end])
+    body = whole.strip()
+    begin = start + len(whole) - len(whole.lstrip()) if body else start
+    first = text.count("\n", 0, begin) + 1
+    return {"error": None, "level": level, "start": begin, "end": begin + len(body), "line_start": first, "line_end": first + body.count("\n")}
+
+
 def cells(line: str) -> list[str]:
     """The cells of a table row: pipes inside [[links]] and escaped pipes do not divide; the latter lose the escape."""
     out, now, depth, i = [], "", 0, 0
@@ -128,40 +193,39 @@ def _is_rule(line: str) -> bool:
 def split_tables(block: Block) -> list[Block]:
     """The block itself, or, if it has a large or linked table, its parent, context, header and rows as blocks."""
     lines = block.text.split("\n")
-    heads = [i for i in range(len(lines) - 1) if "|" in lines[i] and _is_rule(lines[i + 1])]
+    fenced = [m is True for m in outline(lines)]
+    row = lambda i: i < len(lines) and not fenced[i] and lines[i].lstrip().startswith("|")
     tables: list[tuple[int, int]] = []
-    for h in heads:
-        end = h + 2
-        while end < len(lines) and "|" in lines[end] and lines[end].strip():
-            end += 1
-        tables.append((h, end))
+    at = 0
+    while at < len(lines):
+        end = at + 1
+        if row(at) and row(at + 1) and _is_rule(lines[at + 1]):
+            end = next((i for i in range(at + 2, len(lines) + 1) if not row(i)), len(lines))
+            tables.append((at, end))
+        at = end
     large = False
     for h, end in tables:
-        rows = lines[h + 2 : end]
-        large |= len(rows) > MANY_ROWS or len("\n".join(lines[h:end])) > LONG_TABLE or sum("[[" in r for r in rows) > LINKED_ROWS
+        large |= end - h - 2 > MANY_ROWS or len("\n".join(lines[h:end])) > LONG_TABLE or sum(bool(URL.search(r)) for r in lines[h + 2 : end]) > LINKED_ROWS
     if not large:
         return [block]
-    inside = {i for h, end in tables for i in range(h, end)}
 
-    def part(first: int, last: int, kind: str, routing: bool, context: list[int]) -> Block:
-        return Block(block.heading, block.parents, block.line_start + first, block.line_start + last, "\n".join(lines[first : last + 1]), kind, routing, context)
+    def part(first: int, last: int, label: str, kind: str, routing: bool, context: list[int]) -> Block:
+        heading = f"{block.heading} / {label}" if label else block.heading
+        return Block(heading, block.parents, block.line_start + first, block.line_start + last, "\n".join(lines[first : last + 1]), kind, routing, context)
 
-    out = [part(0, len(lines) - 1, "table_parent", True, [])]
-    prose = [i for i in range(len(lines)) if i not in inside and lines[i].strip()]
-    groups: list[list[int]] = []
-    for i in prose:
-        if groups and i == groups[-1][-1] + 1:
-            groups[-1].append(i)
-        else:
-            groups.append([i])
-    for g in groups:
-        out.append(part(g[0], g[-1], "table_context", False, []))
-    context = [i for i, b in enumerate(out) if b.kind == "table_context"]
+    out = [part(0, len(lines) - 1, "", "table_parent", True, [])]
+    edges = [0, *(x for t in tables for x in t), len(lines)]
+    for left, right in zip(edges[::2], edges[1::2], strict=True):
+        first, last = _trimmed(lines, left, right)
+        if first < last:
+            out.append(part(first, last - 1, "表格上下文", "table_context", False, []))
+    context = list(range(1, len(out)))
     for h, end in tables:
-        out.append(part(h, h + 1, "table_header", True, []))
+        out.append(part(h, h + 1, "表头", "table_header", True, []))
         head = len(out) - 1
         for i in range(h + 2, end):
-            out.append(part(i, i, "table_row", False, [*context, head]))
+            link = URL.search(lines[i])
+            out.append(part(i, i, link[1] if link else " · ".join(cells(lines[i])[:2]), "table_row", False, [*context, head]))
     return out
 
 

@@ -90,9 +90,58 @@ def note_rules() -> dict[str, Column]:
     return {k: F.coalesce(v, F.lit(False)) for k, v in out.items()}
 
 
-def validate(notes: DataFrame) -> DataFrame:
-    """(path, code) of every rule that a note violates."""
-    return rules.violations(notes, "path", note_rules())
+#: What an episode note must have, its heading, and those of a lesson note.
+EPISODE, TIMELINE, LESSON, LAYERED, THREADS = ("课程", "分集", "主题", "BV", "P"), "时间线笔记", "课", "课程分层", "分集脉络"
+#: Headings of topic notes by version, and the record that a checked topic must have.
+TOPIC_HEADINGS, V2_HEADINGS, V21_HEADING, CHECKED = ("学习材料", "内容导览"), ("核心命题", "适用边界", "知识单元", "项目应用与验证"), "外部补充与分歧", "内化检验记录"
+
+
+def _has_heading(name: str, level: int = 2) -> Column:
+    return F.col("body").rlike(rf"(?m)^#{{{level}}}[ \t]+\Q{name}\E[ \t]*$")
+
+
+def episode_rules() -> dict[str, Column]:
+    """Rules of episode notes, those of a whole lesson included: their pages ascend, repeat none, begin with P, and each
+    is linked."""
+    mine = prop("类型") == "分集笔记"
+    lesson = mine & (prop("聚合单位") == LESSON)
+    have = F.map_contains_key("props", "包含P")
+    pages = F.transform(F.regexp_extract_all(F.array_join(F.coalesce(F.col("props")["包含P"], F.array().cast("array<string>")), ","), F.lit(r"\d+"), F.lit(0)), lambda x: x.cast("int"))
+    some = lesson & have & (F.size(pages) > 0)
+    linked = F.transform(F.regexp_extract_all("body", F.lit(r"[?&]p=(\d+)"), F.lit(1)), lambda x: x.cast("int"))
+    out = {f"episode_missing:{p}": mine & ~F.map_contains_key("props", p) for p in EPISODE}
+    out["episode_page"] = mine & (F.trim(F.coalesce(prop("P"), F.lit(""))) == "")
+    out["episode_video"] = mine & ~F.col("body").rlike(r"(?m)^视频[:：]\s*\[[^\]]+\]\(https?://[^)]+\)")
+    out["episode_timeline"] = mine & ~_has_heading(TIMELINE)
+    out["lesson_layers"] = lesson & ~F.coalesce(prop("笔记架构") == LAYERED, F.lit(False))
+    out["lesson_missing:包含P"] = lesson & ~have
+    out["lesson_no_pages"] = lesson & have & (F.size(pages) == 0)
+    out["lesson_order"] = some & (pages != F.array_sort(pages))
+    out["lesson_repeated"] = some & (F.size(pages) != F.size(F.array_distinct(pages)))
+    out["lesson_first"] = some & ~F.coalesce(F.regexp_extract(F.coalesce(prop("P"), F.lit("")), r"\d+", 0).try_cast("int") == pages[0], F.lit(False))
+    out["lesson_threads"] = some & ~_has_heading(THREADS)
+    out["lesson_links"] = some & (F.size(F.array_except(pages, linked)) > 0)
+    return out
+
+
+def topic_rules() -> dict[str, Column]:
+    """Further rules of topic notes: headings by version, and states of mastery that go with dates and records."""
+    mine = prop("类型") == "主题笔记"
+    newer = mine & is_version("2", "2.0", "2.1")
+    level, date = F.map_contains_key("props", "掌握状态"), F.map_contains_key("props", "最近检验")
+    checked = mine & level & date & ((F.coalesce(prop("掌握状态"), F.lit("")) != "未检验") | (F.coalesce(prop("最近检验"), F.lit("")) != ""))
+    out = {f"topic_heading:{h}": mine & ~_has_heading(h) for h in TOPIC_HEADINGS}
+    out |= {f"topic_heading:{h}": newer & ~_has_heading(h) for h in V2_HEADINGS}
+    out[f"topic_heading:{V21_HEADING}"] = mine & is_version("2.1") & ~_has_heading(V21_HEADING)
+    out["mastery_pair"] = newer & (level != date)
+    out["mastery_record"] = newer & checked & ~_has_heading(CHECKED, 3)
+    return out
+
+
+def validate(notes: DataFrame, strict: bool = False) -> DataFrame:
+    """(path, code) of every rule that a note violates; ``strict`` adds those of episode and topic notes' headings."""
+    more = {k: F.coalesce(v, F.lit(False)) for k, v in (episode_rules() | topic_rules()).items()} if strict else {}
+    return rules.violations(notes, "path", note_rules() | more)
 
 
 def review_target(topics: DataFrame, focus: str = "", category: str = "") -> DataFrame:

@@ -44,13 +44,21 @@ def keyed_merge(current: DataFrame, update: DataFrame, key: str, managed: list[s
     return out.select(*[cols.get(c, F.col(c)).alias(c) for c in current.columns], action.alias("action"))
 
 
-def fingerprint(rows: DataFrame, group: list[str], digest: str) -> DataFrame:
-    """One order-free digest for each group: the SHA-256 of its sorted row digests, summed in two levels.
+def fingerprint(rows: DataFrame, group: list[str], digest: str, leaf: int = 1 << 20) -> DataFrame:
+    """One order-free digest for each group: a tree of SHA-256 over its sorted row digests.
 
-    Rows are folded into 4096 buckets first, so no task gathers a whole group.
+    Rows are folded by the first hexadecimal digits of their digests, three for up to ``leaf`` rows in the largest group
+    and three more for each further factor of 4096, level by level; no task gathers more than some thousand strings.
     """
-    bucket = F.substring(digest, 1, 3)
-    inner = rows.groupBy(*group, bucket.alias("_b")).agg(F.array_sort(F.collect_list(digest)).alias("_d"), F.count("*").alias("_n"))
+    most = rows.groupBy(*group).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    depth = 3
+    while most > leaf:
+        most, depth = most >> 12, depth + 3
+    inner = rows.groupBy(*group, F.substring(digest, 1, depth).alias("_b")).agg(F.array_sort(F.collect_list(digest)).alias("_d"), F.count("*").alias("_n"))
     inner = inner.select(*group, "_b", "_n", F.sha2(F.array_join("_d", "\n"), 256).alias("_h"))
-    outer = inner.groupBy(*group).agg(F.array_sort(F.collect_list(F.concat("_b", F.lit(":"), "_h"))).alias("_d"), F.sum("_n").alias("n_rows"))
+    child = F.array_sort(F.collect_list(F.concat("_b", F.lit(":"), "_h"))).alias("_d")
+    for level in range(depth - 3, 0, -3):
+        inner = inner.groupBy(*group, F.substring("_b", 1, level).alias("_c")).agg(child, F.sum("_n").alias("_n"))
+        inner = inner.select(*group, F.col("_c").alias("_b"), "_n", F.sha2(F.array_join("_d", "\n"), 256).alias("_h"))
+    outer = inner.groupBy(*group).agg(child, F.sum("_n").alias("n_rows"))
     return outer.select(*group, "n_rows", F.sha2(F.array_join("_d", "\n"), 256).alias("fingerprint"))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from marginalia.functions.text import lexical_text, link_key
+from marginalia.functions.text import folded_lexical, link_key
 from marginalia.operators import diff, graph, ranking
 from marginalia.plans.retrieve import RETIRED, Question, admissible, term_weights, within_budget
 from marginalia.sources.notes import blocks, prop
@@ -35,8 +35,11 @@ def candidates(notes: DataFrame, question: Question) -> DataFrame:
     """(id, path, heading, text, kind, score, own) of blocks that score LEAST_BLOCK before their kind is weighed."""
     live = notes.filter(~F.coalesce(prop("状态").isin(*RETIRED), F.lit(False)))
     rows = blocks(live).filter(~F.col("routing_only"))
-    body = lexical_text(F.regexp_replace(F.concat_ws(" ", "heading", "text"), r"\[\[[^\]]*\]\]", " "))
-    rows = rows.select("id", "path", "heading", "text", "line_start", body.alias("body"), lexical_text(F.concat_ws(" ", "title", F.array_join("parents", " "))).alias("above"))
+    body = folded_lexical(F.regexp_replace(F.concat_ws(" ", "heading", "text"), r"\[\[[^\]]*\]\]", " "))
+    owner = F.concat_ws(" ", F.element_at(F.split("title", "｜"), -1), "heading")
+    above = folded_lexical(F.concat_ws(" ", "title", F.array_join("parents", " ")))
+    rows = rows.select("id", "path", "heading", "text", "line_start", body.alias("body"), above.alias("above"), owner.alias("owner"), folded_lexical(owner).alias("lexical_owner"))
+    rows = rows.filter(question.owned(F.col("owner"), F.col("lexical_owner"), F.col("body"), F.col("text"))).drop("owner", "lexical_owner")
     weights = term_weights(rows.select(F.col("body").alias("text")), question)
     if not any(weights.values()):
         return rows.limit(0).select("id", "path", "heading", "text", "line_start", F.lit("").alias("kind"), F.lit(0.0).alias("score"), F.lit(False).alias("own"))

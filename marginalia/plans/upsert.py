@@ -1,8 +1,9 @@
 """Previewed writes of note tables: a plan with digests, applied only if nothing has changed since.
 
-A library is a table (path, text) in versions ``v=0, 1, …`` below one root; ``CURRENT`` names the live one. A plan
-lists the rows that change with the digests before and after; its id covers all of it. Applying writes the next
-version whole and then moves ``CURRENT``, so readers see the old or the new library and a failed write is discarded.
+A library is a table (path, text) in versions ``v=0, 1, …`` below one root; the largest number in ``pointers`` names the
+live one. A plan lists the rows that change with the digests before and after; its id covers all of it. Applying writes
+the next version whole and then its pointer, so readers see the old or the new library. What a crashed write has left
+above the live version is no one's, and the next write replaces it.
 """
 
 from __future__ import annotations
@@ -52,10 +53,14 @@ class Library:
         return self.spark.read.schema("path string, text string").parquet(f"{self.root}/v={self.version()}")
 
     def create(self, rows: DataFrame) -> None:
+        """The first version; raises ValueError if the library is there already."""
+        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointers/_SUCCESS")
+        if target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+            raise ValueError("the library exists")
         self._write(rows, 0)
 
     def _write(self, rows: DataFrame, version: int) -> None:
-        rows.select("path", "text").write.mode("errorifexists").parquet(f"{self.root}/v={version}")
+        rows.select("path", "text").write.mode("overwrite").parquet(f"{self.root}/v={version}")
         self.spark.createDataFrame([(version,)], "v int").coalesce(1).write.mode("append").json(f"{self.root}/pointers")
 
     def apply(self, plan: DataFrame, expected: str) -> int:

@@ -224,7 +224,9 @@ def similar_top5(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "text")
     first = d.orderBy("doc_id").limit(1).collect()
     candidate = X_key(first[0].text) if first else ""
-    got = d.select("doc_id", similarity_to(candidate, X.text_key(F.col("text")), 0.82).alias("ratio")).filter(F.col("ratio").isNotNull())
+    n, own = F.length("key"), len(candidate)
+    d = d.select("doc_id", X.text_key(F.col("text")).alias("key")).filter(2 * F.least(n, F.lit(own)) >= 0.82 * (n + own))
+    got = d.select("doc_id", similarity_to(candidate, F.col("key"), 0.82).alias("ratio")).filter(F.col("ratio").isNotNull())
     return got.orderBy(F.col("ratio").desc(), "doc_id").limit(5).withColumn("ratio", F.round("ratio", 4))
 
 

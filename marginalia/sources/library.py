@@ -16,7 +16,7 @@ PROMPT_CATEGORIES = ("思考与决策", "学习与内化", "阅读与研究", "
 PROMPT_FIELDS = ("用途", "标签", "来源", "收录日期", "适用场景", "适用边界", "验证状态")
 INDEX_START, INDEX_END = "<!-- prompt-box-index:start -->", "<!-- prompt-box-index:end -->"
 FENCED = re.compile(r"^(`{3,}|~{3,})[^\n]*\n(.*?)^\1[ \t]*$", re.S | re.M)
-ROUTE = "array<struct<name:string,kind:string,stage:string,enter:string,order:string,stop:string,targets:array<string>>>"
+ROUTE = "array<struct<name:string,kind:string,stage:string,enter:string,order:string,stop:string,targets:array<string>,position:int>>"
 PROMPT = "array<struct<category:string,title:string,body:string,organized:string,original:string,fenced:array<string>,missing:array<string>>>"
 
 
@@ -29,28 +29,33 @@ def _targets(text: str) -> list[str]:
     return list(dict.fromkeys(x[0].split("#")[0].removesuffix(".md").rsplit("/", 1)[-1].strip() for x in M.LINK.findall(text)))
 
 
-def route_rows(body: str) -> list[dict]:
-    """Route hints of a map note: problem sections, stage bullets and cross-domain bullets that link somewhere."""
+#: Sections of a map note that hold routes, the kind and the name of a cross route.
+BY_STAGE, BY_PROBLEM, ACROSS, ACROSS_NAME = "按创作阶段调用", "按创作问题调用", "跨子域总入口", "跨子域入口"
+
+
+def route_rows(body: str, category: str) -> list[dict]:
+    """Route hints of a map note that link somewhere: stage bullets, parts on problems, and cross-domain bullets."""
     out = []
     for b in M.sections(body):
-        if "按创作问题调用" in b.parents:
-            row = {"name": b.heading, "kind": "problem", "stage": "", "enter": _labelled(b.text, "什么时候进入"), "order": _labelled(b.text, "调用顺序"), "stop": _labelled(b.text, "何时停止或返回"), "targets": _targets(b.text)}
-            out.append(row)
-            continue
-        kind = "stage" if "阶段" in b.heading else "cross" if "跨" in b.heading else ""
-        for line in b.text.split("\n") if kind else []:
-            found = re.match(r"^[-*]\s+([^：:]+)[：:](.+)$", line)
-            if found:
-                name = found[1].strip(" *")
-                out.append({"name": name, "kind": kind, "stage": name if kind == "stage" else "", "enter": "", "order": found[2].strip(), "stop": "", "targets": _targets(found[2])})
-    return [r for r in out if r["targets"]]
+        bullets = [x.strip() for x in b.text.split("\n") if x.strip().startswith("-")]
+        if b.heading == BY_STAGE:
+            for name, order in (x[1:].replace("：", ":", 1).split(":", 1) for x in bullets if re.match(r"-\s+[^：:]+[：:]", x)):
+                out.append({"name": f"{category}｜{name.strip()}", "kind": "stage", "stage": name.strip(), "enter": "", "order": order.strip(), "stop": ""})
+        elif b.heading == ACROSS:
+            out += [{"name": ACROSS_NAME, "kind": "cross", "stage": "", "enter": "", "order": x.lstrip("- "), "stop": ""} for x in bullets]
+        elif BY_PROBLEM in b.parents:
+            labels = {k: _labelled(b.text, v) for k, v in {"enter": "什么时候进入", "order": "调用顺序", "stop": "何时停止或返回"}.items()}
+            out.append({"name": b.heading, "kind": "problem", "stage": ""} | labels)
+    rows = [r | {"targets": _targets(f"{r['enter']} {r['order']} {r['stop']}")} for r in out]
+    return [r | {"position": i} for i, r in enumerate(rows) if r["targets"]]
 
 
 def routes(notes: DataFrame) -> DataFrame:
-    """(path, category, and a route's fields) of map notes."""
-    maps = notes.filter(prop("类型") == "知识地图")
-    rows = F.udf(lambda b: route_rows(b or ""), ROUTE, useArrow=True)("body")
-    return maps.select("path", prop("分类").alias("category"), F.explode(rows).alias("r")).select("path", "category", "r.*")
+    """(path, category, and a route's fields) of map notes; a map without a category has that of its folder."""
+    folder = F.try_element_at(F.split("path", "/"), F.lit(-2))
+    maps = notes.filter(prop("类型") == "知识地图").withColumn("_category", F.coalesce(prop("分类"), folder, F.lit("")))
+    rows = F.udf(lambda b, c: route_rows(b or "", c), ROUTE, useArrow=True)("body", "_category")
+    return maps.select("path", F.col("_category").alias("category"), F.explode(rows).alias("r")).select("path", "category", "r.*")
 
 
 def prompt_rows(text: str) -> list[dict]:

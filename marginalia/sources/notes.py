@@ -6,17 +6,30 @@ a stack of headings and open fences and runs in an Arrow-batched UDF; all that f
 
 from __future__ import annotations
 
+import hashlib
 import struct
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.functions import markdown as M
+from marginalia.functions.terms import lexical
 
 #: Directories that no scan enters.
 SKIPPED = r"(^|/)(\.obsidian|\.git|\.trash|__pycache__)(/|$)"
 BLOCK = "heading string, parents array<string>, line_start int, line_end int, text string, kind string, routing_only boolean, id string, context_ids array<string>, links array<string>, references array<struct<title:string,url:string,recorded_support:string,limits:string,line:int>>"
-NOTE = f"props map<string,array<string>>, title string, body string, blocks array<struct<{', '.join(x.strip().replace(' ', ':', 1) for x in BLOCK.split(', '))}>>"
+#: A passage of methods; ``owner`` is the title behind its last bar and the heading, the ``lexical_`` columns are folded.
+CHUNK = "id string, heading string, text string, section string, owner string, lexical_owner string, lexical_heading string, lexical_text string"
+
+
+def _array(fields: str) -> str:
+    return f"array<struct<{', '.join(x.strip().replace(' ', ':', 1) for x in fields.split(', '))}>>"
+
+
+NOTE = f"props map<string,array<string>>, title string, body string, parts map<string,string>, chunks {_array(CHUNK)}, blocks {_array(BLOCK)}"
+#: Sections that a card of a topic shows.
+PARTS = ("核心命题", "一分钟核心摘要", "适用边界", "我的默认做法")
 HEADER_LIMIT = 65_536
 
 
@@ -48,7 +61,17 @@ def _parsed(path: str, digest: str, text: str) -> dict:
         }
         for b, i in zip(flat, ids, strict=True)
     ]
-    return {"props": props, "title": title, "body": body, "blocks": rows}
+    tail = title.rsplit("｜", 1)[-1]
+    chunks = [
+        {
+            "id": hashlib.sha256(f"{path}|{digest}|{i}|{c['heading']}".encode()).hexdigest()[:20], **c, "owner": f"{tail} {c['heading']}",
+            "lexical_owner": lexical(f"{tail} {c['heading']}"), "lexical_heading": lexical(c["heading"]), "lexical_text": lexical(c["text"]),
+        }
+        for i, c in enumerate(M.method_chunks(body))
+    ]
+    found = {p: M.locate(body, p) for p in PARTS}
+    parts = {p: body[f["start"] : f["end"]] for p, f in found.items() if f["error"] is None}
+    return {"props": props, "title": title, "body": body, "parts": parts, "chunks": chunks, "blocks": rows}
 
 
 def parse_note(path: str, digest: str, text: str) -> Column:
@@ -118,40 +141,44 @@ def cues(spark: SparkSession, rows: DataFrame, column: str = "payload") -> DataF
 FRAGMENT = "array<struct<index:int,first:bigint,last:bigint,start:double,end:double,sap:boolean>>"
 
 
+def _boxes(blob: bytes) -> list[tuple[bytes, int, int]]:
+    """(kind, first byte of the content, end) of the boxes that make up ``blob``; ValueError if they don't."""
+    out, at = [], 0
+    while at < len(blob):
+        size, kind = struct.unpack_from(">I4s", blob, at) if at + 8 <= len(blob) else (0, b"")
+        if size < 8 or at + size > len(blob):
+            raise ValueError("box")
+        out.append((kind, at + 8, at + size))
+        at += size
+    return out
+
+
 def segment_index(blob: bytes) -> list[dict]:
-    """The fragments of a flat segment index box: byte ranges and times by running sums.
+    """The fragments of the one flat segment index box: byte ranges and times by running sums.
 
-    Raises ValueError for anything else: no such box, cut short, nested or empty references.
+    Raises ValueError for anything else: no such box or two, a version besides 0 and 1, references cut short, nested,
+    empty, or followed by bytes of no meaning.
     """
-    at = 0
-    while at + 8 <= len(blob):
-        size, kind = struct.unpack_from(">I4s", blob, at)
-        if kind == b"sidx":
-            break
-        if size < 8:
-            raise ValueError("box")
-        at += size
-    else:
-        raise ValueError("no index")
-    end = at + size
-    if end > len(blob) or size < 32:
-        raise ValueError("cut short")
-    version, scale = blob[at + 8], struct.unpack_from(">I", blob, at + 16)[0]
-    wide = version != 0
-    tick, skip = struct.unpack_from(">QQ" if wide else ">II", blob, at + 20)
-    cursor = at + 20 + (16 if wide else 8)
-    count = struct.unpack_from(">HH", blob, cursor)[1]
-    cursor += 4
-    if not scale or not count or cursor + 12 * count > end:
+    found = [(first, end) for kind, first, end in _boxes(blob) if kind == b"sidx"]
+    if len(found) != 1:
+        raise ValueError("one index")
+    first, end = found[0]
+    layout = {0: ">BxxxIIIIxxH", 1: ">BxxxIIQQxxH"}.get(blob[first] if first < end else -1)
+    if layout is None or first + struct.calcsize(layout) > end:
+        raise ValueError("version")
+    _, _, scale, tick, skip, count = struct.unpack_from(layout, blob, first)
+    rows = blob[first + struct.calcsize(layout) : end]
+    if not scale or not count or len(rows) != 12 * count:
         raise ValueError("references")
-    out, place = [], end + skip
-    for i in range(count):
-        word, length, sap = struct.unpack_from(">III", blob, cursor + 12 * i)
-        if word >> 31 or not word or not length:
-            raise ValueError("reference")
-        out.append({"index": i, "first": place, "last": place + word - 1, "start": tick / scale, "end": (tick + length) / scale, "sap": bool(sap >> 31)})
-        place, tick = place + word, tick + length
-    return out
+    words, lengths, points = zip(*struct.iter_unpack(">III", rows), strict=True)
+    if any(w >> 31 or not w for w in words) or not all(lengths):
+        raise ValueError("reference")
+    places = list(accumulate(words, initial=end + skip))
+    times = list(accumulate(lengths, initial=tick))
+    return [
+        {"index": i, "first": places[i], "last": places[i + 1] - 1, "start": times[i] / scale, "end": times[i + 1] / scale, "sap": bool(points[i] >> 31)}
+        for i in range(count)
+    ]
 
 
 def fragments(blob: str) -> Column:

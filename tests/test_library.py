@@ -46,7 +46,7 @@ TOPIC = """---
 {method}
 """
 PROBLEMS = {
-    "轴线与视线": ("导演与视听语言", "轴线混乱时怎样恢复空间连续", "先确认轴线方向，再用中性镜头越过轴线。", "未检验"),
+    "轴线与视线": ("导演与视听语言", "轴线混乱时怎样恢复空间连续", "先确认轴线方向，再用中性镜头越过轴线，恢复空间连续。", "未检验"),
     "对白编辑": ("声音与后期", "对白底噪跳变", "铺设环境底噪并做交叉淡化，保留表演。", "能复述"),
     "因果冲突": ("故事与剧本", "冲突没有推进", "给阻力一个代价，让欲望升级。", "能迁移"),
 }
@@ -110,9 +110,13 @@ def test_terms():
 
 def test_markdown_tables_and_actions():
     assert M.cells(r"| a | [[b|c]] | d\|e |") == ["a", "[[b|c]]", "d|e"]
-    table = "## T\nintro\n\n| a | b |\n|--|--|\n" + "\n".join(f"| [[n{i}]] | x |" for i in range(3))
+    table = "## T\nintro\n\n| a | b |\n|--|--|\n" + "\n".join(f"| [n{i}](https://x.y/{i}) | x |" for i in range(3))
+    assert len(M.split_tables(M.sections(table.replace("](https://x.y/", "]]"))[0])) == 1  # links to notes don't cut a table
     parts = M.split_tables(M.sections(table)[0])
     assert [p.kind for p in parts] == ["table_parent", "table_context", "table_header", "table_row", "table_row", "table_row"] and parts[3].context == [1, 2]
+    assert [p.heading for p in parts] == ["T", "T / 表格上下文", "T / 表头", "T / n0", "T / n1", "T / n2"]
+    fenced = table + "\nend\n```\n| c | d |\n|--|--|\n| 1 | 2 |\n```"
+    assert [p.kind for p in M.split_tables(M.sections(fenced)[0])].count("table_row") == 3
     state = "## Q\n| 标识 | 事项 | 依据 |\n|--|--|--|\n| A1 | do | why |\n| — | | |\n"
     assert M.actions(state, "Q") == ([{"id": "A1", "title": "do", "basis": "why"}], [])
     assert M.actions(state + "| A1 | again | x |\n", "Q")[0] == [] and M.actions("", "Q")[1]
@@ -201,8 +205,15 @@ def test_segment_index_and_cues(spark):
     box = struct.pack(">I4sI", len(body) + 12, b"sidx", 0) + body
     got = N.segment_index(box)
     assert [(g["first"] - len(box), g["last"] - len(box), g["start"], g["end"], g["sap"]) for g in got] == [(0, 99, 0.0, 2.0, True), (100, 149, 2.0, 3.0, False)]
-    with pytest.raises(ValueError):
-        N.segment_index(box[:-3])
+    wide = struct.pack(">II", 1, 1000) + struct.pack(">QQ", 0, 7) + body[16:]
+    far = N.segment_index(struct.pack(">I4sI", len(wide) + 12, b"sidx", 1 << 24) + wide)
+    assert far[0]["first"] == len(wide) + 12 + 7 and far[1]["end"] == 3.0
+    cut = box[:-3]
+    odd = struct.pack(">I4sI", len(body) + 14, b"sidx", 0) + body + b"xx"
+    newer = struct.pack(">I4sI", len(body) + 12, b"sidx", 2 << 24) + body
+    for bad in (cut, odd, newer, box + box, box + b"tail", b""):
+        with pytest.raises(ValueError):
+            N.segment_index(bad)
     df = spark.createDataFrame([(1, bytearray(box)), (2, bytearray(b"x"))], "id int, blob binary").select("id", N.fragments("blob").alias("f"))
     rows = df.select("id", F.explode("f").alias("x")).select("id", "x.*")
     assert N.select_fragments(rows, ["id"], 0.5, 2.5).first()[:] == (1, len(box), len(box) + 149, 2, True, True, True)
@@ -271,11 +282,11 @@ def test_routes_and_prompts(spark, tmp_path):
     from marginalia.sources import library as L
 
     (tmp_path / "map.md").write_text(
-        "---\n类型: 知识地图\n分类: 故事与剧本\n---\n# 图\n## 按创作问题调用\n### 冲突\n- **什么时候进入**：没有推进\n- **调用顺序**：[[因果冲突]] 再 [[a/代价.md|x]]\n- **何时停止或返回**：推进了\n### 空\n- 无\n## 阶段入口\n- 视觉设计：[[轴线与视线]]\n- 无链接：x\n"
+        "---\n类型: 知识地图\n分类: 故事与剧本\n---\n# 图\n## 按创作问题调用\n### 冲突\n- **什么时候进入**：没有推进\n- **调用顺序**：[[因果冲突]] 再 [[a/代价.md|x]]\n- **何时停止或返回**：推进了\n### 空\n- 无\n## 按创作阶段调用\n- 视觉设计：[[轴线与视线]]\n- 无链接：x\n## 跨子域总入口\n- 见 [[代价]]\n"
     )
     notes, _ = N.notes(spark, str(tmp_path))
     got = sorted((r.name, r.kind, r.enter, r.targets) for r in L.routes(notes).collect())
-    assert got == [("冲突", "problem", "没有推进", ["因果冲突", "代价"]), ("视觉设计", "stage", "", ["轴线与视线"])]
+    assert got == [("冲突", "problem", "没有推进", ["因果冲突", "代价"]), ("故事与剧本｜视觉设计", "stage", "", ["轴线与视线"]), ("跨子域入口", "cross", "", ["代价"])]
     (tmp_path / "box").mkdir()
     fields = "".join(f"- {f}：v\n" for f in L.PROMPT_FIELDS)
     (tmp_path / "box/b.md").write_text(f"# box\n## 阅读与研究\n### one\n{fields}```text\ntidy\n```\n> raw\n### one\n- 用途：v\n## 其他\n### two\n{fields}")
@@ -432,3 +443,147 @@ def test_broadcasts_are_bounded_by_rows_and_bytes(spark):
     df = spark.createDataFrame([(i, "x" * 100, ["a", "bc"]) for i in range(50)], "i int, t string, l array<string>")
     hinted = lambda d: "hint" in d._jdf.queryExecution().logical().toString().lower()
     assert hinted(small(df, 50)) and not hinted(small(df, 49)) and not hinted(small(df, 50, 5000)) and hinted(small(df, 50, 10_000))
+
+
+ROLES = [
+    ("平台曝光少，是否能按调色曝光做传播原因依据？", "borrowed_reference", {"release"}, {"color"}),
+    ("参考知识：调色匹配。实际问题：播放量降低，能用调色匹配来解释平台曝光量吗？", "borrowed_reference", {"release"}, {"color"}),
+    ("调色曝光方法能否解释平台曝光少？", "borrowed_reference", {"release"}, {"color"}),
+    ("混音方法是否代表服装连续性？", "borrowed_reference", {"assets"}, {"sound"}),
+    ("借调色曝光打个比方：我实际要检查行动、失败和策略之间的变化。", "borrowed_reference", set(), {"color"}),
+    ("服装状态反复变化，能否用混音方法来判断服装连续性？", "borrowed_reference", {"assets"}, {"sound"}),
+    ("肤色偏绿，是否可以按平台曝光量来判断白平衡？", "borrowed_reference", {"color"}, {"release"}),
+    ("字幕错字很多，能否借用配乐方法作为字幕检查依据？", "borrowed_reference", {"text"}, {"music"}),
+    ("调色流程是否能用于？", "applicability_unresolved", set(), {"color"}),
+    ("比较平台曝光和镜头曝光各自的含义与适用条件。", "multiple_targets", {"release", "color"}, set()),
+    ("角色折返后画面方向变了，需要比较哪些具体线索？", "direct", {"camera_space"}, set()),
+    ("平台曝光少，怎样判断传播原因？", "direct", {"release"}, set()),
+]
+
+
+@pytest.mark.parametrize("question, mode, target, reference", ROLES)
+def test_a_reference_is_told_from_the_target(question, mode, target, reference):
+    from marginalia.functions.roles import reading
+
+    got = reading(question)
+    assert (got.mode, set(got.target_foci), set(got.reference_foci)) == (mode, target, reference)
+
+
+def test_sections_and_method_parts_are_located():
+    body = "# T\n## 知识单元\nintro\n### A\na1\n#### deep\nx\n```\n### no\n```\n### B\n\n## 别的\nmore\n## 相关知识\n### C\nc\n## 方法与案例\nonly text\n## A\n"
+    assert [(c["heading"], c["section"]) for c in M.method_chunks(body)] == [("A", "知识单元"), ("别的", "别的"), ("方法与案例", "方法与案例")]
+    deep = M.locate(body, "deep")
+    assert body[deep["start"] : deep["end"]] == "x\n```\n### no\n```" and (deep["level"], deep["line_start"], deep["line_end"]) == (4, 7, 10)
+    assert M.locate(body, "A") == {"error": "repeated"} and M.locate(body, "no") == {"error": "missing"} and M.locate(body, "T") == {"error": "missing"}
+
+
+def _library(spark, root, topics, extra=""):
+    for title, category, problem, methods in topics:
+        (root / f"{title}.md").write_text(f"---\n类型: 主题笔记\n分类: {category}\n解决问题: {problem}\n---\n# {title}\n## 知识单元\n{methods}\n")
+    if extra:
+        (root / "map.md").write_text(extra)
+    return N.notes(spark, str(root))[0].cache()
+
+
+def test_borrowed_words_do_not_answer(spark, tmp_path):
+    """The reference's domain is a gap for the target, and an answer for a question of its own."""
+    notes = _library(spark, tmp_path, [
+        ("曝光与肤色调色", "声音与后期", "曝光与肤色调色怎样判断", "### 曝光匹配方法\n先核对曝光和白平衡，再比较肤色与调色管线，保留混合光意图。"),
+        ("现场声音", "声音与后期", "", "### 声音记录方法\n先比较声音曝光记录，再核对底噪与空间。"),
+        ("行动失败与策略", "故事与剧本", "行动失败怎样改变策略", "### 行动检查方法\n先对照行动与失败结果，再检查下一次策略是否改变。"),
+        ("创作决策复盘", "创作实践与项目复盘", "怎样区分事实、解释假设与反证", "### 事实与解释方法\n先列事实和真实结果，再区分解释假设与反证；一次结果不能证明整套方法有效。"),
+    ])
+    found = R.topics(notes).cache()
+    first = lambda q: R.retrieve(found, R.Question(q)).first()
+    assert first("平台曝光少，是否能按调色曝光做传播原因依据？").gap and first("调色曝光方法能否解释平台曝光少？").gap
+    same = first("同一场戏肤色偏绿，是否可以按平台曝光量来判断白平衡？")
+    assert not same.gap and same.title == "曝光与肤色调色"
+    other = first("借调色曝光打个比方：我实际要检查行动、失败和策略之间的变化。")
+    assert not other.gap and other.title == "行动失败与策略"
+    neutral = first("一次短片播放量低，怎样区分作品、包装与发布条件的影响，避免凭一次结果改整套方法？")
+    assert not neutral.gap and neutral.title == "创作决策复盘"
+    wide = first("肤色与调色管线的白平衡ＬＯＯＫ")
+    assert wide.title == "曝光与肤色调色" and not wide.gap
+
+
+def test_routes_raise_and_never_make_a_match(spark, tmp_path):
+    from marginalia.sources import library as L
+
+    notes = _library(spark, tmp_path, [
+        ("动作接口", "导演与视听语言", "动作接口怎样保持连续", "### 接口方法\n对照动作接口与相邻镜头的运动线索。"),
+        ("动作节奏", "导演与视听语言", "动作节奏怎样保持连续", "### 节奏方法\n对照动作节奏与相邻镜头的运动线索。"),
+        ("无关主题", "故事与剧本", "另一件事", "### 别的\n毫不相干。"),
+    ], "---\n类型: 知识地图\n分类: 导演与视听语言\n---\n# 图\n## 按创作问题调用\n### 运动线索断裂\n- **什么时候进入**：动作线索断裂、运动线索断裂\n- **调用顺序**：[[动作节奏]] 再 [[无关主题]]\n- **何时停止或返回**：线索接上\n")
+    found, routes = R.topics(notes).cache(), L.routes(notes)
+    question = R.Question("动作线索断裂、运动线索断裂，怎样保持动作连续")
+    plain = {r.title: r.score for r in R.retrieve(found, question, 3).collect()}
+    led = {r.title: (r.score, r.route) for r in R.retrieve(found, question, 3, routes).collect()}
+    assert led["动作节奏"][1] == "运动线索断裂" and led["动作节奏"][0] > plain["动作节奏"] and "无关主题" not in led
+
+
+def test_cards_and_views(spark, tmp_path):
+    from marginalia.operators import cards as C
+    from marginalia.sources import library as L
+
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/map.md").write_text("---\n类型: 知识地图\n分类: 声音与后期\n---\n# 图\n## 知识骨架\n| 域 | 问题 | 答 | 状态 |\n|--|--|--|--|\n| x | 怎么做 | — | 待补 |\n| x | 已有 | 有 | 完成 |\n")
+    (tmp_path / "a/t.md").write_text("---\n类型: 主题笔记\n分类: 声音与后期\n解决问题: 底噪\n整理日期: 2026-01-02\n---\n# 题\n## 方法\n短\n## 长\n" + "长" * 1900 + "\n")
+    for p, pages in ((2, "[3, 4]"), (1, "[1, 2]")):
+        (tmp_path / f"a/e{p}.md").write_text(f"---\n类型: 分集笔记\n课程: 课\n聚合单位: 课\n分集: 一\n主题: t\nBV: b\nP: {p}\n包含P: {pages}\n---\n# e{p}\n视频：[x](https://v.x/?p=1)\n[y](https://v.x/?p=2)\n## 时间线笔记\nz\n")
+    notes = N.notes(spark, str(tmp_path))[0].cache()
+    assert [tuple(r) for r in C.gaps(notes, "声音与后期").collect()] == [("声音与后期", "怎么做", "a/map.md", "| x | 怎么做 | — | 待补 |")]
+    seen = {r.heading: (r.read_required, r.excerpt, r.source_type, r.note_date) for r in C.evidence(N.blocks(notes).filter("title = '题'"), notes).collect()}
+    assert seen == {"方法": (False, "短", "未标注", "2026-01-02"), "长": (True, "", "未标注", "2026-01-02")}
+    assert [r.path for r in C.lesson_units(notes, "课").collect()] == ["a/e1.md", "a/e2.md"]
+    assert [(r.name, r.folder, r["解决问题"]) for r in C.topics_of(notes, "声音与后期").collect()] == [("t.md", "a", "底噪")]
+    codes = {(r.path, r.code) for r in audit.validate(notes, strict=True).collect()}
+    assert {("a/e2.md", "lesson_first"), ("a/e2.md", "lesson_links"), ("a/e1.md", "lesson_layers"), ("a/e1.md", "lesson_threads"), ("a/t.md", "topic_heading:学习材料")} <= codes
+    assert not {("a/e1.md", c) for c in ("lesson_first", "lesson_links", "lesson_order", "episode_video", "episode_timeline")} & codes
+    files = N.manifest(spark, str(tmp_path)).cache()
+    assert C.manifest_totals(files).first()[0] == 4 and C.manifest_totals(files).first()[2] == 4
+    C.write_manifest(files, str(tmp_path / "out"))
+    with pytest.raises(Exception, match="(?i)exists"):
+        C.write_manifest(files, str(tmp_path / "out"))
+    fields = "".join(f"- {f}：v\n" for f in L.PROMPT_FIELDS)
+    (tmp_path / "box").mkdir()
+    (tmp_path / "box/b.md").write_text("# box\n## 阅读与研究\n" + "".join(f"### {t}\n{fields}```text\n{x}\n```\n" for t, x in {"same": "ABCD efgh", "near": "abcdefgx", "far": "zzzz"}.items()))
+    entries = L.prompts(spark, str(tmp_path / "box"))
+    assert {(r.title, r.similarity, r.exact) for r in C.best_matches(entries, "abcd-EFGH").collect()} == {("same", 1.0, True), ("near", 0.875, False)}
+    assert C.best_matches(entries, " - ").count() == 0
+
+
+def test_small_columns_of_cards(spark):
+    from marginalia.operators import cards as C
+
+    df = spark.createDataFrame([("1, 2.5", 10.0, "未检验", "", "题"), ("3,2", 0.5, "能辨析", "问", "题"), ("x", 4.0, "能复述", "问", "题"), (None, None, None, None, "题")], "c string, d double, m string, p string, t string")
+    got = df.select(C.clip(F.col("c")).alias("c"), C.clips(F.col("d"), 4).alias("d"), C.frame_times(F.lit(1.0), F.col("d")).alias("f"), C.question(F.col("m"), F.col("p"), F.col("t")).alias("q")).collect()
+    assert [tuple(r.c) if r.c else None for r in got] == [(1.0, 2.5), None, None, None]
+    assert [[tuple(x) for x in r.d] for r in got[:3]] == [[(0, 4), (4, 8), (8, 10)], [], [(0, 4)]]
+    assert got[0].f == [1.0, 5.5, 9.0] and got[1].f is None
+    assert "题" in got[0].q and "核心因果" in got[0].q and "第一步" in got[1].q and "失效" in got[2].q
+    refs = spark.createDataFrame([("refs/heads/main", "s1"), ("refs/tags/ok-1", "s1"), ("refs/heads/x", "s2")], "ref string, sha string")
+    assert [tuple(r) for r in C.known_head(refs, "main", [], "ok-").collect()] == [("s1", True)] and [tuple(r) for r in C.known_head(refs, "x", [], "ok-").collect()] == [("s2", False)]
+    rows = spark.createDataFrame([(1, None, "a|b\nc")], "z int, a string, t string")
+    assert C.rendered(rows, "z").first().json == '{"a":null,"t":"a|b\\nc","z":1}'
+    assert [r.line for r in C.report(rows, "R", {"z": "Z", "t": "T"}).orderBy("line_no").collect()] == ["# R", "", "| Z | T |", "|---|---|", "| 1 | a\\|b c |"]
+    modules = spark.createDataFrame([("m/x.md", {"name": ["m"], "description": ["d"]}), ("n/x.md", {"name": ["m"], "description": ["d"]}), ("B_/x.md", {"name": ["B_"], "description": ["d"]}), ("k/x.md", {"name": ["k"], "description": ["<d>"]})], "path string, props map<string,array<string>>")
+    assert {(r.path, r.code) for r in C.module_errors(modules).collect()} == {("n/x.md", "name_differs"), ("B_/x.md", "name"), ("k/x.md", "description")}
+
+
+def test_fingerprints_of_large_groups_are_deeper_trees(spark):
+    rows = spark.range(5000).select(F.lit("g").alias("g"), F.sha2(F.col("id").cast("string"), 256).alias("d"))
+    flat, deep = (diff.fingerprint(rows, ["g"], "d", leaf).first() for leaf in (1 << 20, 100))
+    again = diff.fingerprint(rows.repartition(5, "d"), ["g"], "d", 100).first()
+    assert flat.n_rows == deep.n_rows == 5000 and deep.fingerprint == again.fingerprint != flat.fingerprint
+
+
+def test_a_crashed_write_is_replaced(spark, tmp_path):
+    from marginalia.plans import upsert as U
+
+    lib = U.Library(spark, str(tmp_path / "lib"))
+    lib.create(spark.createDataFrame([("a", "x")], "path string, text string"))
+    spark.createDataFrame([("a", "half")], "path string, text string").write.parquet(str(tmp_path / "lib/v=1"))  # no pointer to it
+    plan = U.build(lib.read(), spark.createDataFrame([("a", "k", "new")], "path string, key string, block string"))
+    assert lib.apply(plan, U.plan_id(plan)) == 1 and "new" in lib.read().first().text
+    with pytest.raises(ValueError):
+        lib.create(lib.read())
