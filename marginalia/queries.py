@@ -14,8 +14,11 @@ from pyspark.sql.window import Window as W
 
 from marginalia.functions import text as X
 from marginalia.functions.similarity import similarity_to
-from marginalia.operators import containment, diff, graph, intervals, ranking, rules
+from marginalia.operators import audit, containment, diff, graph, intervals, ranking, rules
+from marginalia.plans import retrieve, review
+from marginalia.plans.storage import materialize
 from marginalia.session import table
+from marginalia.sources import notes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -200,6 +203,83 @@ def block_score(spark: SparkSession, sf: str) -> DataFrame:
     return d.filter("score >= 0.025").withColumn("score", F.round("score", 6))
 
 
+# --- the note engine: documents written as notes, read by the note parser --------------------------------------------
+
+
+def _notes(spark: SparkSession, sf: str, extra: str = "''", keep: str = "true") -> DataFrame:
+    """Documents as topic notes: their source is the category, their text the one section of methods.
+
+    ``extra`` is a SQL expression for further lines of the header, each with its line break.
+    """
+    d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").filter(keep)
+    head = F.concat(F.lit("---\n类型: 主题笔记\n分类: "), F.coalesce("source", F.lit("")), F.lit("\n"), F.expr(extra), F.lit("---\n# "))
+    note = F.concat(head, F.col("doc_id").cast("string"), F.lit("\n## 知识单元\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
+    d = d.select(F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), note.alias("note")).withColumn("doc_hash", F.sha2("note", 256))
+    return d.withColumn("n", notes.parse_note("path", "doc_hash", "note")).select("path", "doc_hash", "n.*")
+
+
+_ASKED = ["moron", "stupid", "idiot", "scum"]
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id::VARCHAR AS title, lower(replace(coalesce(text, ''), 'ß', 'ss')) AS t FROM documents),
+    c AS (SELECT * FROM d WHERE regexp_matches(t, '[^\\s]')), k AS (SELECT (SELECT count(*) FROM d) + (SELECT count(*) FROM c) AS n),
+    f AS (SELECT term, (SELECT count(*) FROM c WHERE contains(c.t, term)) AS df FROM (SELECT unnest({_list(_ASKED)}) AS term)),
+    w AS (SELECT term, CASE WHEN df = 0 THEN 0.0 ELSE (ln((n + 1) / (df + 1)) + 0.35) * 1.7 END::DOUBLE AS w FROM f, k),
+    h AS (SELECT title, sum(w) / (SELECT sum(w) FROM w) AS cover, count(*) AS n, string_agg(term, ',' ORDER BY length(term) DESC, term) AS hits FROM c JOIN w ON contains(c.t, term) GROUP BY 1),
+    s AS (SELECT title, hits, 28 * (0.35 * cover) AS score FROM h WHERE n >= 2), r AS (SELECT *, row_number() OVER (ORDER BY score DESC, title) AS rank FROM s WHERE score >= 4.5),
+    k3 AS (SELECT * FROM r WHERE rank <= 3), z AS (SELECT max(score) AS top, max(CASE WHEN rank = 2 THEN score END) AS second FROM k3)
+    SELECT 'notes/' || title || '.md' AS path, round(score, 6) AS score, hits, rank::INT AS rank, score >= greatest(4.5, 0.62 * top) AS kept, coalesce(second >= 0.88 * top, false) AS ambiguous, false AS gap FROM k3, z
+    UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, true WHERE NOT EXISTS (SELECT 1 FROM k3)"""
+)
+def notes_retrieve(spark: SparkSession, sf: str) -> DataFrame:
+    """The best notes for a question, by the whole of retrieval: roles, terms, passages, floors and the gap verdict."""
+    got = retrieve.retrieve(retrieve.topics(_notes(spark, sf)), retrieve.Question(" ".join(_ASKED)), 3)
+    for c, kind in (("score", "double"), ("hits", "array<string>"), ("rank", "int"), ("kept", "boolean"), ("ambiguous", "boolean")):
+        got = got if c in got.columns else got.withColumn(c, F.lit(None).cast(kind))
+    return got.select("path", F.round("score", 6).alias("score"), F.array_join("hits", ",").alias("hits"), "rank", "kept", "ambiguous", "gap")
+
+
+_HEADER = """concat(case when doc_id % 2 = 0 then '知识库版本: 2.1\\n' else '' end, case when quality = 0 then '证据状态: 传闻\\n' when quality = 1 then '证据状态: 单一来源\\n' else '' end,
+case when doc_id % 3 = 0 then '掌握状态: 能复述\\n' else '' end, case when doc_id % 4 = 0 then '最近检验: 2026-01-01\\n' else '' end)"""
+_NEWER = "doc_id % 2 = 0"
+_AUDIT = {
+    **{f"missing:{p}": "true" for p in ("状态", "材料类型", "信息来源", "完整程度", "整理日期")},
+    "missing:分类": "source IS NULL OR source = ''", "naked_url": "regexp_matches(text, 'https?://')",
+    **{f"topic_missing:{p}": _NEWER for p in ("解决问题", "适用阶段", "知识状态", "成熟度", "最后复核")},
+    "topic_sections": _NEWER, "state:证据状态": "quality = 0", "category": f"{_NEWER} AND source IS NOT NULL AND source <> ''",
+    "mastery_date": "doc_id % 3 = 0 AND doc_id % 4 <> 0", "mastery_pair": f"{_NEWER} AND (doc_id % 3 = 0) <> (doc_id % 4 = 0)",
+    "mastery_record": f"{_NEWER} AND doc_id % 3 = 0 AND doc_id % 4 = 0",
+    **{f"topic_heading:{h}": "true" for h in ("学习材料", "内容导览")}, **{f"topic_heading:{h}": _NEWER for h in ("核心命题", "适用边界", "项目应用与验证", "外部补充与分歧")},
+}
+
+
+@query("WITH j AS (SELECT d.*, quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id) " + " UNION ALL ".join(f"SELECT 'notes/' || doc_id || '.md' AS path, '{c}' AS code FROM j WHERE {w}" for c, w in _AUDIT.items()))
+def notes_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """The rules that notes violate, with those of their type."""
+    return audit.validate(_notes(spark, sf, _HEADER), strict=True)
+
+
+_NOW, _THEN = "doc_id % 11 <> 0", "doc_id % 13 <> 0"
+_PARENT = """case when doc_id >= 7 then concat('来源材料:\\n  - "[[', cast(doc_id div 7 as string), ']]"\\n') else '' end"""
+
+
+@query(
+    f"""WITH RECURSIVE d AS (SELECT doc_id, 'notes/' || doc_id || '.md' AS path, 'notes/' || (doc_id // 7) || '.md' AS parent FROM documents),
+    n AS (SELECT * FROM d WHERE {_NOW}), b AS (SELECT * FROM d WHERE {_THEN}),
+    e AS (SELECT path, parent FROM n WHERE doc_id >= 7 AND parent IN (SELECT path FROM n) UNION SELECT path, parent FROM b WHERE doc_id >= 7 AND parent IN (SELECT path FROM b)),
+    s AS (SELECT path FROM b WHERE path NOT IN (SELECT path FROM n) OR doc_id % 5 = 0),
+    w AS (SELECT path AS "trigger", path AS target, 0 AS depth, path AS chain FROM s UNION ALL SELECT w."trigger", e.path, depth + 1, chain || '>' || e.path FROM w JOIN e ON e.parent = w.target)
+    SELECT "trigger", target, depth, chain FROM w WHERE depth > 0 AND target IN (SELECT path FROM n)"""
+)
+def notes_followup(spark: SparkSession, sf: str) -> DataFrame:
+    """What changed, removed and retired notes have an effect on, over what is and was declared to depend on them."""
+    was = f"concat({_PARENT}, case when doc_id % 5 = 0 then '状态: 旧\\n' else '' end)"
+    now, then = (materialize(_notes(spark, sf, x, keep), "notes") for x, keep in ((_PARENT, _NOW), (was, _THEN)))
+    impact = review.followup(now, then.select("path", "doc_hash"), review.dependencies(then))[1]
+    return impact.withColumn("chain", F.array_join("chain", ">"))
+
+
 # --- duplicates and containment ------------------------------------------------------------------------------------
 
 
@@ -282,7 +362,8 @@ def coverage_status(spark: SparkSession, sf: str) -> DataFrame:
 )
 def interval_overlap_clip(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
-    c = c.select("conv_id", "turn", (intervals.running_before("n", ["conv_id"], "turn") / 10.0).alias("start"), (F.col("n") / 10.0).alias("len"))
+    c = intervals.running_before(c, ["conv_id"], "turn", "n", "before")
+    c = c.select("conv_id", "turn", (F.col("before") / 10.0).alias("start"), (F.col("n") / 10.0).alias("len"))
     c = c.filter(intervals.overlaps(F.col("start"), F.col("start") + F.col("len"), F.lit(10.0), F.lit(60.0)))
     return c.select("conv_id", "turn", F.round("start", 6).alias("start"), F.round(F.col("start") + F.col("len"), 6).alias("stop"))
 
@@ -290,7 +371,7 @@ def interval_overlap_clip(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT conv_id, turn, coalesce(sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM conversations")
 def running_offsets(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
-    return c.select("conv_id", "turn", intervals.running_before("n", ["conv_id"], "turn").cast("long").alias("offset"))
+    return intervals.running_before(c, ["conv_id"], "turn", "n", "before").select("conv_id", "turn", F.col("before").cast("long").alias("offset"))
 
 
 @query(
@@ -622,7 +703,8 @@ def paged_followup(spark: SparkSession, sf: str) -> DataFrame:
 )
 def budget_prefix(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "conversations").select("conv_id", "turn", F.length("text").alias("n"))
-    return c.withColumn("used", F.sum("n").over(W.partitionBy("conv_id").orderBy("turn"))).filter("used <= 400")
+    c = intervals.running_before(c, ["conv_id"], "turn", "n", "before")
+    return c.select("conv_id", "turn", "n", (F.col("before") + F.col("n")).alias("used")).filter("used <= 400")
 
 
 @query(
@@ -751,11 +833,12 @@ def view_involved(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    """SELECT conv_id, turn, regexp_extract(text, '([^.?!]*[?])', 1) AS task FROM conversations WHERE role = 'user' AND contains(text, '?') ORDER BY conv_id, turn"""
+    """SELECT conv_id, turn, regexp_extract(text, '([^.?!]*[,][^.?!]*[.?!])', 1) AS task FROM conversations WHERE role = 'user' AND contains(text, ',') ORDER BY conv_id, turn"""
 )
 def view_tasks(spark: SparkSession, sf: str) -> DataFrame:
-    c = table(spark, sf, "conversations").filter((F.col("role") == "user") & F.contains("text", F.lit("?")))
-    return c.select("conv_id", "turn", F.regexp_extract("text", "([^.?!]*[?])", 1).alias("task")).orderBy("conv_id", "turn")
+    """The first sentence with a comma of each turn that has one (no turn of the tables asks a question)."""
+    c = table(spark, sf, "conversations").filter((F.col("role") == "user") & F.contains("text", F.lit(",")))
+    return c.select("conv_id", "turn", F.regexp_extract("text", "([^.?!]*[,][^.?!]*[.?!])", 1).alias("task")).orderBy("conv_id", "turn")
 
 
 @query(

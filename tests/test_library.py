@@ -587,3 +587,16 @@ def test_a_crashed_write_is_replaced(spark, tmp_path):
     assert lib.apply(plan, U.plan_id(plan)) == 1 and "new" in lib.read().first().text
     with pytest.raises(ValueError):
         lib.create(lib.read())
+
+
+def test_hot_keys_are_summed_in_blocks(spark):
+    import random
+
+    r = random.Random(1)
+    data = [(k, i, r.randint(0, 9)) for k, n in (("hot", 3000), ("b", 20), (None, 700)) for i in r.sample(range(10 * n), n)]
+    rows = spark.createDataFrame(data, "k string, t int, v int")
+    plain, cut = ({(x.k, x.t): x.before for x in intervals.running_before(rows, ["k"], "t", "v", "before", hot).collect()} for hot in (10**6, 100))
+    assert plain == cut and cut["hot", max(t for k, t, _ in data if k == "hot")] == sum(v for k, _, v in data if k == "hot") - [v for k, t, v in data if k == "hot" and t == max(t for k, t, _ in data if k == "hot")][0]
+    assert intervals.blocked(rows, ["k"], "t", 100)[0].filter("k = 'hot'").select("_block").distinct().count() > 500
+    a, b = ({x.k: tuple(x) for x in intervals.gap_check(rows, ["k"], "t", 500, hot).collect()} for hot in (10**6, 100))
+    assert a == b and a["hot"][1] == 3000
