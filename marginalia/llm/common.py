@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.plans.skew import small
 from marginalia.plans.storage import materialize
 
 
@@ -34,6 +35,29 @@ def untucked(rows: DataFrame, **changed: Column) -> DataFrame:
     return rows.select(*kept, *[c.alias(n) for n, c in changed.items() if n.lower() not in have])
 
 
+#: Names of dropped rows that may be broadcast (24 bytes each).
+DROPPED = 1_000_000
+
+
+def keep_named(docs: DataFrame, rows: DataFrame, kept: DataFrame) -> DataFrame:
+    """``docs`` less the rows that ``kept`` (doc_id, h) doesn't name, h being the hash of a text; columns as they are.
+
+    ``rows`` is (doc_id, h) of every row. Of rows equal in both any one stays: they are put together in each partition
+    first, so that not even a hot one is gathered.
+    """
+    kept = kept.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"))
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))
+    counted = rows.groupBy("doc_id", "h").agg(F.count("*").alias("n")).join(kept, same, "left")
+    counted = materialize(counted.withColumn("kept", F.col("_h").isNotNull()).drop("_d", "_h"), "counted")
+    dropped = materialize(counted.filter("not kept").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")), "dropped")
+    repeated = materialize(counted.filter("kept and n > 1").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")), "repeated")
+    out = tucked(docs, doc_id=F.col("doc_id"), h=F.xxhash64("text")).join(small(dropped, DROPPED), same, "left_anti")
+    if not repeated.isEmpty():
+        again = small(repeated, DROPPED)
+        out = out.join(again, same, "left_anti").unionByName(out.join(again, same, "left_semi").dropDuplicates(["doc_id", "h"]))
+    return untucked(out)
+
+
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for the fifth of the documents whose labels no fit may see; a null id is not held out."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string") if isinstance(doc_id, str) else doc_id.cast("string")) % 5 == 0, F.lit(False))
