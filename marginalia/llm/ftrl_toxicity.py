@@ -3,10 +3,11 @@
 Features of a text are the distinct hashes of its words, its pairs of neighbouring words and its pairs with one word
 between them (words: runs of letters and digits, A-Z lower-cased). The fit keeps the two sums of FTRL-proximal for
 each coordinate, so every coordinate has its own learning rate, and its L1 term leaves all but a few thousand weights
-at zero; only those are broadcast, and their number is bounded by ``max_weights``.
+at zero; only those are broadcast (2**bits numbers at most).
 
 The fit reads at most ``max_rows`` labelled rows (a bounded sample, see ``training_rows``) with ``max_features``
-features in all, made on the executors. Scoring reads every whole text.
+features in all, and runs in one task of an executor, so that the driver gets nothing but the weights. Scoring reads
+every whole text.
 
 Defined cases: null and empty texts have no features and get the score of the intercept, as does any text without
 known features; with no labelled row at all every score is 0.5 and ``keep_clean`` keeps every row; documents with equal texts get equal scores; repeated
@@ -21,13 +22,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import held_out, read, training_rows
-from marginalia.plans.storage import materialize
+from marginalia.plans.storage import discard, materialize
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Words hashed at once; bounds the memory that one very long text takes.
@@ -89,7 +89,7 @@ class Model:
 @dataclass(frozen=True)
 class Ftrl:
     """The fit's parameters. ``max_rows`` and ``max_features`` (numbers in all) bound the labelled sample that the
-    driver gets, in the order of the rows' hashes, and ``max_weights`` what is broadcast.
+    fit reads, in the order of the rows' hashes.
 
     ``l1_share`` is the L1 term for each labelled row, as sums of gradients grow with the rows; ``l1`` bounds it above.
     """
@@ -103,7 +103,6 @@ class Ftrl:
     epochs: int = 3
     max_rows: int = 12_000
     max_features: int = 24_000_000
-    max_weights: int = 200_000
 
     def fit(self, rows: list[tuple[np.ndarray, int]]) -> Model:
         """FTRL-proximal over ``rows`` in the order given; coordinate 2**bits is the intercept, without L1."""
@@ -127,11 +126,7 @@ class Ftrl:
                 z[i] += g - s * w
                 n[i] += g * g
         at = np.nonzero(np.abs(z[:n_at]) > least)[0]
-        w = weights(at)
-        if len(at) > self.max_weights:
-            best = np.sort(np.argsort(-np.abs(w), kind="stable")[: self.max_weights])
-            at, w = at[best], w[best]
-        return Model(self.bits, at.astype(np.int32), w, float(weights(np.array([n_at]))[0]), bool(rows))
+        return Model(self.bits, at.astype(np.int32), weights(at), float(weights(np.array([n_at]))[0]), bool(rows))
 
 
 def train(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), label: str = "toxic") -> Model:
@@ -144,21 +139,30 @@ def train(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), label: str
             made = [features(t, bits, hashes).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary()), batch.column(2)], names=["h", "x", "y"])
 
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple[np.ndarray, int]] = []
+        held = 0
+        for batch in batches:  # in the order of the rows' hashes
+            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held += len(x) // 4
+                if held <= params.max_features:
+                    kept.append((np.frombuffer(x, dtype=np.int32), y))
+        m = params.fit(kept)
+        at = np.append(m.at, 1 << bits) if m.fitted else m.at
+        weight = np.append(m.weight, m.intercept) if m.fitted else m.weight
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(weight, pa.float64())], names=["at", "weight"])
+
     rows = training_rows(docs.select("doc_id", "text"), labels, label, params.max_rows)
     rows = rows.select(F.xxhash64("doc_id", F.lit(7)).alias("h"), F.col("text").cast("binary").alias("text"), "y")
     rows = materialize(rows.mapInArrow(run, "h bigint, x binary, y int"), "features")
-    sizes = sorted((r.h, r.n) for r in rows.select("h", (F.octet_length("x") / 4).alias("n")).collect())
-    held = np.cumsum([n for _, n in sizes])
-    if len(sizes) and held[-1] > params.max_features:
-        rows = rows.filter(F.col("h") < sizes[int(np.searchsorted(held, params.max_features, side="right"))][0])
-    # The driver holds the features once: rows are views of the Arrow buffers, taken in the order of their hashes.
-    got = rows.toArrow().combine_chunks()
-    order = pc.sort_indices(got, sort_keys=[("h", "ascending"), ("x", "ascending")]).to_pylist()
-    x, y = got.column("x"), got.column("y").to_pylist()
-    model = params.fit([(np.frombuffer(x[i].as_buffer() or b"", dtype=np.int32), y[i]) for i in order])
-    del got, x
-    pa.default_memory_pool().release_unused()
-    return model
+    # One task holds the sample, which its two bounds keep below 100 MB; feature 2**bits is the intercept.
+    one = rows.coalesce(1).sortWithinPartitions("h", "x", "y").select("x", "y")
+    model = materialize(one.mapInArrow(fit, "at int, weight double"), "weights")
+    got = model.orderBy("at").toPandas()
+    discard(rows, model)
+    if not len(got):
+        return Model(bits, np.zeros(0, dtype=np.int32), np.zeros(0), 0.0, False)
+    return Model(bits, got["at"].to_numpy(np.int32)[:-1], got["weight"].to_numpy()[:-1], float(got["weight"].iloc[-1]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
