@@ -4,10 +4,11 @@ A fingerprint of 64 bits is cut into two halves. Of two fingerprints that differ
 differs in at most one bit, so the two share that half as it is or with that one bit wiped out. Every distinct
 fingerprint is indexed under its halves and their 32 one-wildcard variants; equal keys meet in an aggregation.
 
-Buckets of two are a pair. Buckets up to ``PAIR_BUCKET`` are compared inside one row. The members of larger buckets are
-keyed, each once, by themselves and the 64 values that are one bit away: two share such a value if and only if they
-are linked, so a key's members all are. So the links of hot buckets are whole, and the rows made grow in proportion
-to the members, never with their square.
+Buckets of two are a pair. Buckets up to ``PAIR_BUCKET`` are verified inside one row. A larger bucket has more pairs
+than may be made, so its members meet by the exact way for hot buckets: each is keyed once more, by its whole segments
+with one bit wiped out on either side, that is by itself and the 64 values that are one bit away. Two share such a
+value if and only if they are linked, so a key's members all are. The links of hot buckets are whole, and the rows made
+grow in proportion to the members, never with their square.
 
 Defined cases: null and blank texts have fingerprint zero and link like any other; texts of fewer words than a
 shingle are one shingle; rows with equal text are one node; a null doc_id never is a component id unless it is all
@@ -24,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from marginalia.llm.common import keep_named
 from marginalia.plans.components import connected_components
 from marginalia.plans.skew import attach, small
 from marginalia.plans.storage import materialize
@@ -51,16 +53,16 @@ def simhash(text: bytes | None, width: int = 3) -> int:
 
 
 def with_fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """(doc_id, fp) for every row of ``docs``; fp is the fingerprint as a signed long."""
+    """(doc_id, h, fp) for every row of ``docs``: the hash of the text, and the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([simhash(t, width) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([simhash(t, width) for t in batch.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "h", "fp"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    slim = docs.select("doc_id", F.col("text").cast("binary").alias("text"))
-    return slim.mapInArrow(run, f"doc_id {kind}, fp bigint")
+    slim = docs.select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("text"))
+    return slim.mapInArrow(run, f"doc_id {kind}, h bigint, fp bigint")
 
 
 def _half(side: int) -> Column:
@@ -124,24 +126,29 @@ def links(fps: DataFrame) -> DataFrame:
 def components(docs: DataFrame, width: int = 3) -> DataFrame:
     """(doc_id, fp, component_id) for every row of ``docs``."""
     rows = materialize(with_fingerprints(docs, width), "fingerprints")
+    fps = rooted(rows).select("fp", "n", F.least("head", "low").alias("component_id"))
+    return attach(rows.select("doc_id", "fp"), fps, "fp", ["component_id"], "n", F.col("doc_id"))
+
+
+def rooted(rows: DataFrame) -> DataFrame:
+    """(fp, n, low, root, head) for every fingerprint of ``rows``: its rows, their smallest id, its component and the
+    smallest id of that; root and head are null for a fingerprint that nothing links."""
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), "distinct")
     roots = connected_components(links(fps)).withColumnRenamed("node", "fp")
     linked = materialize(roots.join(fps.select("fp", "low"), "fp"), "linked")
     heads = linked.groupBy("root").agg(F.min("low").alias("head"), F.count("*").alias("m"))
-    linked = attach(linked, heads, "root", ["head"], "m", F.col("fp")).select("fp", "head")
-    fps = fps.join(linked, "fp", "left").select("fp", "n", F.least("head", "low").alias("component_id"))
-    return attach(rows, fps, "fp", ["component_id"], "n", F.col("doc_id"))
+    linked = attach(linked, heads, "root", ["head"], "m", F.col("fp")).select("fp", "root", "head")
+    return fps.join(linked, "fp", "left")
 
 
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``docs`` less all rows but one of each component: the one with the smallest doc_id stays."""
-    found = components(docs, width)
-    kept = materialize(found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id"), "kept")
-    kept = kept.groupBy("doc_id").agg(F.count("*").alias("_copies"))
-    out = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept")))
-    if kept.filter("_copies > 1").isEmpty():
-        return out.select(*docs.columns)
-    return out.select(*docs.columns).dropDuplicates(["doc_id"])
+    """``docs`` less all rows but one of each component: the one with the smallest doc_id, and of those of that id in the
+    component the one of the smallest hash of its text. Other rows of the id are in components of their own."""
+    rows = materialize(with_fingerprints(docs, width), "fingerprints")
+    best = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best"))
+    found = best.join(rooted(rows).select("fp", F.coalesce("root", "fp").alias("root")), "fp")
+    kept = found.groupBy("root").agg(F.min("best").alias("best")).select("best.doc_id", "best.h")
+    return keep_named(docs, rows, kept)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
