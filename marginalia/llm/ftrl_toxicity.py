@@ -33,7 +33,7 @@ WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: Words hashed at once; bounds the memory that one very long text takes.
 BLOCK = 200_000
 #: Distinct words whose hashes a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 150_000
 
 
 class _Hashes(dict):
@@ -142,12 +142,16 @@ def train(docs: DataFrame, labels: DataFrame, params: Ftrl = Ftrl(), label: str
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[tuple[np.ndarray, int]] = []
         held = 0
-        for batch in batches:  # in the order of the rows' hashes
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held += len(x) // 4
+        for batch in batches:  # in the order of the rows' hashes; features stay where Arrow has them
+            for x, y in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                x = np.frombuffer(x.as_buffer() or b"", dtype=np.int32)
+                held += len(x)
                 if held <= params.max_features:
-                    kept.append((np.frombuffer(x, dtype=np.int32), y))
+                    kept.append((x, y))
         m = params.fit(kept)
+        kept.clear()
+        batch = x = None  # what held the features goes before other work of this process
+        pa.default_memory_pool().release_unused()
         at = np.append(m.at, 1 << bits) if m.fitted else m.at
         weight = np.append(m.weight, m.intercept) if m.fitted else m.weight
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(weight, pa.float64())], names=["at", "weight"])
