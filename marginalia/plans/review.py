@@ -14,6 +14,7 @@ from pyspark.sql.window import Window as W
 from marginalia.functions.text import folded_lexical, link_key
 from marginalia.operators import diff, graph, ranking
 from marginalia.plans.retrieve import RETIRED, Question, admissible, term_weights, within_budget
+from marginalia.plans.storage import materialize
 from marginalia.sources.notes import blocks, prop
 
 #: Blocks that score less go, the share of the best that a second primary needs, facets and budget.
@@ -56,22 +57,29 @@ def candidates(notes: DataFrame, question: Question) -> DataFrame:
 def pack(notes: DataFrame, questions: list[str], budget: int = BUDGET, limit: int = 12) -> DataFrame:
     """(facet, role, rank, id, path, heading, kind, score, excerpt, read_required); a facet without rows is a gap.
 
-    The first block of a kind that answers is primary, a second one too if it scores SECOND of it; boundaries are listed
-    as such, and the next two blocks as alternatives. Excerpts fill ``budget`` in that order over all facets.
+    The first block that answers is primary, a second one too if it scores SECOND of it, and the next two are
+    alternatives, among the ``limit`` best. Boundaries are all those of a primary's own note, whether or not they have
+    a word of the question. Excerpts fill ``budget`` in that order over all facets.
     """
     if not 0 < len(questions) <= FACETS:
         raise ValueError(f"1 to {FACETS} questions")
     out = None
     for i, q in enumerate(questions):
-        top = candidates(notes, Question(q)).orderBy(F.col("score").desc(), "path", "line_start").limit(limit).withColumn("facet", F.lit(i))
+        top = candidates(notes, Question(q)).filter("kind != 'boundary'").orderBy(F.col("score").desc(), "path", "line_start").limit(limit).withColumn("facet", F.lit(i))
         out = top if out is None else out.unionByName(top)
-    w = W.partitionBy("facet", "boundary").orderBy(F.col("score").desc(), "path", "line_start")
-    out = out.withColumn("boundary", F.col("kind") == "boundary").withColumn("rank", F.row_number().over(w)).withColumn("best", F.max("score").over(W.partitionBy("facet", "boundary")))
-    role = F.when(F.col("boundary"), F.when(F.col("rank") <= 2, "boundary")).when(F.col("rank") == 1, "primary")
-    role = role.when((F.col("rank") == 2) & (F.col("score") >= SECOND * F.col("best")), "primary").when(F.col("rank") <= 4, "alternative")
-    out = out.withColumn("role", role).filter(F.col("role").isNotNull()).withColumn("size", F.length("text"))
+    w = W.partitionBy("facet").orderBy(F.col("score").desc(), "path", "line_start")
+    out = out.withColumn("rank", F.row_number().over(w)).withColumn("best", F.max("score").over(W.partitionBy("facet")))
+    role = F.when(F.col("rank") == 1, "primary").when((F.col("rank") == 2) & (F.col("score") >= SECOND * F.col("best")), "primary").when(F.col("rank") <= 4, "alternative")
+    chosen = ["facet", "role", "rank", "id", "path", "heading", "kind", "score", "text"]
+    out = materialize(out.withColumn("role", role).filter(F.col("role").isNotNull()).select(*chosen), "chosen")  # four rows a facet at most
+    mine = out.filter("role = 'primary'").select("facet", F.col("path").alias("_path")).distinct()
+    limits = blocks(notes).filter(~F.col("routing_only")).withColumn("kind", kind_of(F.col("heading"))).filter("kind = 'boundary'")
+    limits = limits.join(F.broadcast(mine), F.col("path") == F.col("_path"))
+    limits = limits.withColumn("rank", F.row_number().over(W.partitionBy("facet").orderBy("path", "line_start")))
+    limits = limits.withColumn("role", F.lit("boundary")).withColumn("score", F.lit(None).cast("double"))
+    out = out.unionByName(limits.select(*chosen)).withColumn("size", F.length("text"))
     order = [F.when(F.col("role") == "primary", 0).when(F.col("role") == "boundary", 1).otherwise(2), F.col("facet"), F.col("rank"), F.col("id")]
-    out = within_budget(out, [], order, "size", budget)  # a few rows for each facet
+    out = within_budget(out, [], order, "size", budget)  # a few notes' blocks for each facet
     return out.select("facet", "role", "rank", "id", "path", "heading", "kind", "score", F.when(~F.col("read_required"), F.col("text")).alias("excerpt"), "read_required")
 
 
