@@ -217,6 +217,8 @@ def blocks(page: str) -> list[Block]:
 
     def end() -> None:
         nonlocal linked
+        if not parts:
+            return
         text = " ".join("".join(parts).split())
         if text:
             name = next((n for n in (APART, LAID_OUT, DOUBTED) if count[n] > 0), PLAIN)
@@ -300,9 +302,7 @@ def _after(page: str, at: int, tag: str) -> int:
 
 def dense(b: Block, rules: Rules) -> bool | None:
     """Whether the words of a block are those of running text; None if they tell too little."""
-    letters = "".join(WORD.findall(b.text))
-    unparted = len(UNPARTED.findall(letters))
-    if 2 * unparted > len(letters):
+    if UNPARTED.search(b.text) and 2 * len(UNPARTED.findall(b.text)) > sum(map(len, WORD.findall(b.text))):
         sentences = 4 * len(b.text) >= rules.long and bool(SENTENCE.search(b.text))
         return True if len(b.text) >= rules.long or sentences else None
     if len(b.text) < rules.long or b.code:
