@@ -19,10 +19,13 @@ WORDS, LETTERS = 3, 4
 
 
 def _runs(words: Column, width: int) -> Column:
-    """The distinct hashes of the runs of ``width`` words."""
-    starts = F.when(F.size(words) >= width, F.sequence(F.lit(1), F.size(words) - (width - 1))).otherwise(F.array().cast("array<int>"))
-    hashed = F.transform(starts, lambda i: F.xxhash64(F.lit(width), *[F.element_at(words, i + k) for k in range(width)]))
-    return F.array_distinct(hashed)
+    """The distinct hashes of the runs of ``width`` words. ``words`` is made once, as the variable of a lambda."""
+
+    def hashed(w: Column) -> Column:
+        starts = F.when(F.size(w) >= width, F.sequence(F.lit(1), F.size(w) - (width - 1))).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.lit(width), *[F.element_at(w, i + k) for k in range(width)]))
+
+    return F.array_distinct(F.flatten(F.transform(F.array(words), hashed)))
 
 
 def _letters(text: Column, width: int) -> Column:
