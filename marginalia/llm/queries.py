@@ -13,6 +13,7 @@ from marginalia.llm import (
     positional_index,
     rule_ensemble,
     simhash_variants,
+    token_alignment,
     token_counts,
 )
 
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_line_dedup": line_dedup.query,
     "op9_simhash_near_duplicates": simhash_variants.query,
     "op10_html_blocks": html_blocks.query,
+    "op11_segment_alignment": token_alignment.query,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
