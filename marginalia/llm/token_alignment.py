@@ -5,15 +5,17 @@ segments' alignments one after the other, and each distinct segment is tokenised
 
 1. Tasks write their documents in *chunks* of bounded size, each a dictionary of distinct segments with counts and the
    documents as codes of that dictionary.
-2. The dictionaries' segments are counted over the corpus, and each is tokenised by both vocabularies and cut into
-   groups at the byte offsets where tokens of both end.
+2. The dictionaries' entries are dealt by segment and sorted. Each segment is tokenised by both vocabularies and cut
+   into groups at the byte offsets where tokens of both end, and keeps the places (chunk, code) it came from, in runs
+   of bounded length.
 3. Counts of linked id pairs follow from segments and their counts. Of two tokens that end together one's bytes end
    with the other's, so a vocabulary has at most as many pairs as its tokens have bytes, about 850,000 here, whatever
    the corpus: the pairs are broadcast.
-4. Alignments are joined back to the dictionaries by segment, and each chunk composes its documents from its own.
+4. Alignments go back to the chunks by the places, those of one batch and chunk put together before they are dealt,
+   and each chunk composes its documents from its own.
 
-A segment has at most one row a chunk, so no key of the joins holds more than one row of each chunk, however often it
-occurs; a hot document id or text is spread over the chunks as its rows are read.
+A segment has at most one place a chunk, so no key holds more than one row of each chunk, however often it occurs; a
+hot document id or text is spread over the chunks as its rows are read.
 
 Defined cases: null and empty texts, and texts with U+2581 (their pieces' bytes are spaces), have no tokens: zeros and
 ''. Special strings are ordinary text. Repeated rows each have a result and count in the pairs; further columns are
@@ -38,9 +40,19 @@ from marginalia.llm.segments import MARK, ByteEncoder, PieceEncoder, byte_tokens
 from marginalia.plans.storage import materialize
 
 #: Characters of a chunk; a longer document is a chunk of its own.
-CHUNK = 32_000_000
-#: Segments tokenised at once.
-BATCH = 20_000
+CHUNK = 48_000_000
+#: Segments tokenised at once, and places of a segment in one row.
+BATCH, RUN = 20_000, 4096
+
+
+def squeezed(codes: np.ndarray) -> bytes:
+    """32-bit codes, their first bytes first, compressed."""
+    return pa.compress(codes.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True) if len(codes) else b""
+
+
+def unsqueezed(data: bytes, n: int) -> np.ndarray:
+    planes = pa.decompress(data, 4 * n, "zstd", asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
 
 class Chunk:
@@ -64,11 +76,16 @@ class Chunk:
         self.chars += len(text)
 
     def row(self, number: int, kind: pa.DataType) -> pa.RecordBatch:
+        """Frequent segments have small codes, so that the compressed codes take little."""
         codes = np.concatenate([np.empty(0, np.int32), *self.codes])
+        counts = np.bincount(codes, minlength=len(self.book))
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(order), np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
         columns = [
-            pa.array([number], pa.int64()), pa.array([list(self.book)], pa.list_(pa.string())),
-            pa.array([np.bincount(codes, minlength=len(self.book))], pa.list_(pa.int64())),
-            pa.array([self.ids], pa.list_(kind)), pa.array([np.array(self.sizes, np.int64)], pa.list_(pa.int64())), pa.array([codes.tobytes()], pa.binary()),
+            pa.array([number], pa.int64()), pa.array([pa.array(list(self.book), pa.string()).take(pa.array(order)).to_pylist()], pa.list_(pa.string())),
+            pa.array([counts[order]], pa.list_(pa.int64())),
+            pa.array([self.ids], pa.list_(kind)), pa.array([np.array(self.sizes, np.int64)], pa.list_(pa.int64())), pa.array([squeezed(rank[codes])], pa.binary()),
         ]
         return pa.RecordBatch.from_arrays(columns, names=["chunk", "segments", "counts", "ids", "sizes", "codes"])
 
@@ -111,32 +128,50 @@ def align(a: list[int], b: list[int], a_len: list[int], b_len: list[int]) -> tup
     return ";".join(groups), last_a, last_b
 
 
-def aligned(segments: DataFrame, a_path: str, b_path: str) -> DataFrame:
-    """``segments`` (segment: key, n) with the alignment of each: numbers of tokens, groups, linked ids."""
+def aligned(entries: DataFrame, a_path: str, b_path: str) -> DataFrame:
+    """The alignment of each segment of ``entries`` (segment: key, chunk, code, n): numbers of tokens, groups, linked ids,
+    with its places; a row for each RUN of these, ``n`` being theirs."""
     a_bytes, b_bytes = byte_tokens(a_path), piece_tokens(b_path)
-    shared = segments.sparkSession.sparkContext.broadcast((a_bytes, b_bytes))
+    shared = entries.sparkSession.sparkContext.broadcast((a_bytes, b_bytes))
+    names = ["n", "n_a", "n_b", "groups", "last_a", "last_b", "chunks", "codes"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int32())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a_of, b_of = shared.value
         a_len, b_len = list(map(len, a_of)), list(map(len, b_of))
         a_encoder, b_encoder = ByteEncoder(a_path, plain=True), PieceEncoder(b_path)
-        for whole in batches:
-            for at in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(at, BATCH)
-                texts = list(map(text_of, batch.column(0).to_pylist()))
-                a_ids, b_ids, found = a_encoder(texts), b_encoder(texts), []
-                for text, a, b in zip(texts, a_ids, b_ids, strict=True):
-                    if not b"".join(map(a_of.__getitem__, a)) == b"".join(map(b_of.__getitem__, b)) == text.encode():
-                        raise ValueError(f"the tokens of {text[:80]!r} are not its bytes")
-                    found.append(align(a, b, a_len, b_len))
-                groups, last_a, last_b = zip(*found, strict=True)
-                columns = [
-                    batch.column(0), batch.column(1), pa.array(list(map(len, a_ids)), pa.int64()), pa.array(list(map(len, b_ids)), pa.int64()),
-                    pa.array(groups, pa.string()), pa.array(last_a, pa.list_(pa.int32())), pa.array(last_b, pa.list_(pa.int32())),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["segment", "n", "n_a", "n_b", "groups", "last_a", "last_b"])
-
-    return segments.mapInArrow(run, "segment string, n bigint, n_a bigint, n_b bigint, groups string, last_a array<int>, last_b array<int>")
+
+        def made(held: list[tuple[str, list[list]]]) -> pa.RecordBatch:
+            texts, out = [text_of(k) for k, _ in held], []
+            for text, a, b, (_, runs) in zip(texts, a_encoder(texts), b_encoder(texts), held, strict=True):
+                if not b"".join(map(a_of.__getitem__, a)) == b"".join(map(b_of.__getitem__, b)) == text.encode():
+                    raise ValueError(f"the tokens of {text[:80]!r} are not its bytes")
+                found = align(a, b, a_len, b_len)
+                out += [(n, len(a), len(b), *found, chunk, code) for n, chunk, code in runs]
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
+        held: list[tuple[str, list[list]]] = []
+        for batch in batches:
+            for segment, chunk, code, n in zip(*(batch.column(c).to_pylist() for c in ("segment", "chunk", "code", "n")), strict=True):
+                if not held or held[-1][0] != segment:
+                    if len(held) >= BATCH:
+                        yield made(held)
+                        held = []
+                    held.append((segment, []))
+                runs = held[-1][1]
+                if not runs or len(runs[-1][1]) == RUN:
+                    if len(runs) == BATCH:  # what is full goes, so that a worker holds a bounded number of places
+                        yield made(held)
+                        held = [(segment, runs := [])]
+                    runs.append([0, [], []])
+                runs[-1][0] += n
+                runs[-1][1].append(chunk)
+                runs[-1][2].append(code)
+        if held:
+            yield made(held)
+
+    schema = "n bigint, n_a bigint, n_b bigint, groups string, last_a array<int>, last_b array<int>, chunks array<bigint>, codes array<int>"
+    return entries.repartition("segment").sortWithinPartitions("segment").mapInArrow(run, schema)
 
 
 def link_counts(segments: DataFrame) -> DataFrame:
@@ -147,7 +182,7 @@ def link_counts(segments: DataFrame) -> DataFrame:
 
 
 def weighed(segments: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``segments`` with the sum of their links' counts and how many of these are their b's best.
+    """What each chunk gets of ``segments``: codes, NUMBERS of each, sums of their links' counts, and groups.
 
     ``pairs`` comes to the driver as arrays; the vocabularies bound it.
     """
@@ -161,41 +196,55 @@ def weighed(segments: DataFrame, pairs: DataFrame) -> DataFrame:
         for batch in batches:
             ends = np.concatenate([[0], np.cumsum(batch.column("last_a").value_lengths().to_numpy())])
             at = np.searchsorted(known, batch.column("last_a").flatten().to_numpy().astype(np.int64) << 32 | batch.column("last_b").flatten().to_numpy())
-            sums = [np.diff(np.concatenate([[0], np.cumsum(v[at])])[ends]) for v in (links, best)] if len(at) else [np.zeros(len(ends) - 1, np.int64)] * 2
-            columns = [batch.column(c) for c in ("segment", "n_a", "n_b", "groups")] + [pa.array(v, pa.int64()) for v in (np.diff(ends), *sums)]
-            yield pa.RecordBatch.from_arrays(columns, names=["segment", "n_a", "n_b", "groups", "n_links", "count_sum", "n_best"])
-
-    return segments.mapInArrow(run, "segment string, n_a bigint, n_b bigint, groups string, n_links bigint, count_sum bigint, n_best bigint")
-
-
+            sums, n_best = (np.diff(np.concatenate([[0], np.cumsum(v[at])])[ends]) for v in (links, best))
+            numbers = np.stack([batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy(), np.diff(ends), n_best], 1).astype("<i8")
+            source = np.repeat(np.arange(batch.num_rows), batch.column("chunks").value_lengths().to_numpy())
+            place, code = batch.column("chunks").flatten().to_numpy(), batch.column("codes").flatten().to_numpy()
+            by = np.argsort(place, kind="stable")
+            bounds = np.flatnonzero(np.diff(place[by], prepend=-1, append=-1)).tolist()
+            rows, groups = [], np.array(batch.column("groups").to_pylist(), object)
+            for s, e in zip(bounds, bounds[1:], strict=False):
+                of = source[by[s:e]]
+                rows.append((int(place[by[s]]), code[by[s:e]].astype("<i4").tobytes(), numbers[of].tobytes(), sums[of].astype("<i8").tobytes(), "\n".join(groups[of])))
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["of", "codes", "numbers", "sums", "groups"])
+
+    return segments.mapInArrow(run, "of bigint, codes binary, numbers binary, sums binary, groups string")
+
+
+#: Of each code in a row of ``weighed``.
+NUMBERS = ["n_a", "n_b", "n_groups", "n_best"]
 SUMS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 
 
-def composed(chunk_rows: DataFrame, segments: DataFrame) -> DataFrame:
+def composed(chunk_rows: DataFrame, books: DataFrame) -> DataFrame:
     """Every document of the chunks from the alignments of its segments: numbers, and ``groups`` as a digest."""
     kind = chunk_rows.schema["ids"].dataType.elementType.simpleString()
 
     def run(rows: pa.Table, book: pa.Table) -> pa.Table:
         import hashlib
 
-        place = np.empty(book.num_rows, np.int64)
-        place[book["code"].to_numpy()] = np.arange(book.num_rows)
-        groups = book["groups"].combine_chunks().take(pa.array(place)).to_pylist() if book.num_rows else []
-        values = {c: book["n_links" if c == "n_groups" else c].to_numpy()[place] for c in SUMS}
+        def flat(column: str, kind: str) -> np.ndarray:
+            return np.frombuffer(b"".join(book[column].to_pylist()), kind)
+
+        places = np.argsort(flat("codes", "<i4"))
+        split = [g for text in book["groups"].to_pylist() for g in text.split("\n")]
+        groups = [split[k] for k in places.tolist()]
+        values = dict(zip(NUMBERS, flat("numbers", "<i8").reshape(-1, len(NUMBERS))[places].T, strict=True))
+        values |= {"n_links": values["n_groups"], "count_sum": flat("sums", "<i8")[places]}  # a group's last tokens are its link
         out = []
         for row in range(rows.num_rows):
             sizes = rows["sizes"][row].values.to_numpy()
-            codes = np.frombuffer(rows["codes"][row].as_py(), np.int32)
             ends = np.concatenate([[0], np.cumsum(sizes)])
+            codes = unsqueezed(rows["codes"][row].as_py(), int(ends[-1]))
             sums = [np.concatenate([[0], np.cumsum(values[c][codes])])[ends] for c in SUMS]
             digests = [
                 hashlib.sha256(";".join(map(groups.__getitem__, codes[s:e].tolist())).encode()).hexdigest() if s < e else ""
                 for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)
             ]
             out.append(pa.Table.from_arrays([rows["ids"][row].values, *[pa.array(np.diff(v), pa.int64()) for v in sums], pa.array(digests, pa.string())], names=["doc_id", *SUMS, "groups_sha256"]))
-        return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], rows.schema.field("ids").type.value_type), **{c: pa.array([], pa.int64()) for c in SUMS}, "groups_sha256": pa.array([], pa.string())})
+        return pa.concat_tables(out)
 
-    books = chunk_rows.select(F.col("chunk").alias("of"), F.posexplode("segments").alias("code", "segment")).join(segments, "segment").drop("segment")
     slim = chunk_rows.select("chunk", "ids", "sizes", "codes")
     return slim.groupBy("chunk").cogroup(books.groupBy("of")).applyInArrow(run, f"doc_id {kind}, {', '.join(f'{c} bigint' for c in SUMS)}, groups_sha256 string")
 
@@ -207,10 +256,10 @@ def alignments(docs: DataFrame, a_path: str, b_path: str, most: int = CHUNK) ->
     a SentencePiece BPE model, which adds that space itself.
     """
     rows = materialize(chunks(docs, most), "chunks")
-    counted = rows.select(F.explode(F.arrays_zip("segments", "counts")).alias("s")).groupBy(F.col("s.segments").alias("segment")).agg(F.sum("s.counts").alias("n"))
-    segments = materialize(aligned(counted, a_path, b_path), "segments")
-    pairs = link_counts(segments)
-    return composed(rows, weighed(segments, pairs))
+    entries = rows.select("chunk", F.posexplode(F.arrays_zip("segments", "counts")).alias("code", "s"))
+    entries = entries.select(F.col("s.segments").alias("segment"), "chunk", "code", F.col("s.counts").alias("n"))
+    segments = materialize(aligned(entries, a_path, b_path), "segments")
+    return composed(rows, weighed(segments, link_counts(segments)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
