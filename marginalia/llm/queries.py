@@ -6,6 +6,7 @@ import corpus_pipeline
 from marginalia.llm import (
     bloom_sketch,
     ftrl_toxicity,
+    histogram_packing,
     html_blocks,
     license_digest,
     line_dedup,
@@ -15,6 +16,7 @@ from marginalia.llm import (
     simhash_variants,
     token_alignment,
     token_counts,
+    turn_repair,
 )
 
 QUERIES = {
@@ -29,6 +31,8 @@ QUERIES = {
     "op9_simhash_near_duplicates": simhash_variants.query,
     "op10_html_blocks": html_blocks.query,
     "op11_segment_alignment": token_alignment.query,
+    "op12_histogram_packing": histogram_packing.query,
+    "op13_turn_repair": turn_repair.query,
     "pipeline": corpus_pipeline.run,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -36,4 +40,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_pareto_mix": pareto_mix.ORACLE_SQL,
     "op7_license_digest": license_digest.ORACLE_SQL,
     "op8_line_dedup": line_dedup.ORACLE_SQL,
+    "op13_turn_repair": turn_repair.ORACLE_SQL,
 }
