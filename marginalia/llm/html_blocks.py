@@ -2,9 +2,11 @@
 
 The page is cut into blocks at block-level tags. The first pass looks at each block alone. Regions that are no article
 text by their element (navigation, page headers and footers, sidebars, forms) or role go, as does all outside of an
-``article`` or ``main`` where a page has one. Of what is left, blocks of mostly linked characters are boilerplate; long
-blocks are text if they are dense in stop words, or, in a script that does not part words, if they are sentences;
-long blocks without either are boilerplate outside of an article; short ones, code, and all others stay open.
+``article`` or ``main`` where a page has one. Of what is left, blocks of mostly linked characters are boilerplate, but
+in an article only long ones that are no heading; long blocks are text if they are dense in stop words, or, in a script
+that does not part words, if they are sentences; long blocks without either are boilerplate outside of an article,
+where a dense block tells that the lists of stop words know the page's language; short ones, code, and all others stay
+open.
 
 The second pass gives each open block the label of its nearest decided neighbours: of both if they agree, else of the
 nearer one. At the same distance the one before counts, in an article the text; the ends of an article count as text.
@@ -13,13 +15,16 @@ With none decided an open block is text. Blocks that a region or name has decide
 Class and id names are evidence beside that. A name made of nothing but words for parts without article text
 ("comments", "ad-box", "site-footer") makes a block boilerplate. A name that has other words too ("related-work",
 "legal-history") only asks for more: outside of an article such a block must be dense text, inside it is judged like any
-other. Where a page without an article has no other text, names of layout ("sidebar") say nothing.
+other. Where a page without an article has no other text, names of layout ("sidebar") say nothing, nor do forms that
+hold all dense text of a page or article.
 
 Reading a page takes time in proportion to its length, whatever its markup: stray and unclosed tags are looked up by
 name and never searched for.
 
 Defined cases: null and empty pages give an empty text; unclosed, stray and truncated markup is read as far as it
-goes; repeated rows stay; further columns are not read.
+goes: what has no end tag ends where its parent does, a hidden element (a button) also where the next block begins, and
+only scripts, styles and others of raw text reach to the page's end; an attribute's value is never read as a name;
+repeated rows stay; further columns are not read.
 """
 
 from __future__ import annotations
@@ -37,6 +42,10 @@ from marginalia.llm.common import read
 
 #: Elements whose content is never shown as text.
 HIDDEN = frozenset("script style noscript template svg math iframe object canvas audio video head select textarea button datalist map title".split())
+#: Those whose content is no markup.
+RAW = frozenset("script style textarea title iframe".split())
+#: Headings.
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 caption legend summary".split())
 #: Regions that hold no article text.
 OUTSIDE = frozenset("nav footer aside form menu dialog".split())
 #: Elements that begin and end a block.
@@ -76,7 +85,7 @@ STOP_WORDS = frozenset(
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[(?:.*?\]\]>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*+(?>\"[^\"]*+\"|'[^']*+')|[^>])*+)(?:>|\Z)", re.S
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s>\"']+)))?")
 UNSHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 HEAD_END = re.compile(r"</head\s*>|<body\b", re.I)
 COPYRIGHT = re.compile(r"©|^\W*copyright\b", re.I)
@@ -84,6 +93,8 @@ WORD = re.compile(r"[^\W\d_]+")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Scripts that do not part words: Thai to Khmer, kana, CJK.
 UNPARTED = re.compile(r"[฀-໿က-႟ក-៿぀-ヿ㐀-鿿豈-﫿\U00020000-\U0003ffff]")
+#: Letters of the scripts that the stop words are written in.
+LISTED = re.compile(r"[A-Za-zÀ-ɏ]")
 SENTENCE = re.compile(r"[.!?…。！？؟।][\"'”’»)\]]*$")
 
 #: What names say: nothing, that a block must be dense text, that it is layout, or that it stands beside the article.
@@ -96,6 +107,8 @@ class Block:
     linked: int  # characters inside links
     inside: bool  # within article or main
     outside: bool  # within an element or role without article text
+    form: bool  # within a form
+    heading: bool
     name: int  # the most that names around it say
     code: bool  # within pre
 
@@ -132,8 +145,6 @@ def _said(value: str, tag: str, in_article: bool) -> int:
 
 def _marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool, int]:
     """Whether an element is hidden, whether it opens a region without article text, and what its names say."""
-    if tag in HIDDEN:
-        return True, False, PLAIN
     outside, name = tag in OUTSIDE or (tag == "header" and not in_article), PLAIN
     if attributes and tag not in ("html", "body", "main"):
         for key, *values in ATTRIBUTE.findall(attributes):
@@ -156,7 +167,8 @@ class _Stack:
         self.open: list[list] = []  # [tag or None once it has ended, marks], marks are keys of ``count``
         self.places: dict[str, list[int]] = {}
         self.blocks: list[int] = []  # places of block elements
-        self.count = {"link": 0, "article": 0, "code": 0, "outside": 0, "form": 0, DOUBTED: 0, LAID_OUT: 0, APART: 0}
+        self.count = {"link": 0, "article": 0, "code": 0, "hidden": 0, "heading": 0, "outside": 0, "form": 0, DOUBTED: 0, LAID_OUT: 0, APART: 0}
+        self.ends = True  # whether the last hidden element has an end tag
         self.void = 0  # forms and layout names of elements before this place say nothing
 
     def push(self, tag: str, marks: tuple) -> None:
@@ -213,7 +225,7 @@ def blocks(page: str) -> list[Block]:
     parts: list[str] = []
     stack = _Stack()
     count = stack.count
-    linked, headless = 0, False
+    linked, headless, closed = 0, False, {}
 
     def end() -> None:
         nonlocal linked
@@ -222,13 +234,13 @@ def blocks(page: str) -> list[Block]:
         text = " ".join("".join(parts).split())
         if text:
             name = next((n for n in (APART, LAID_OUT, DOUBTED) if count[n] > 0), PLAIN)
-            out.append(Block(text, linked, count["article"] > 0, count["outside"] + count["form"] > 0, name, count["code"] > 0))
+            out.append(Block(text, linked, count["article"] > 0, count["outside"] > 0, count["form"] > 0, count["heading"] > 0, name, count["code"] > 0))
         parts.clear()
         linked = 0
 
     def say(text: str) -> None:
         nonlocal linked
-        if text:
+        if text and not count["hidden"] > 0:
             text = html.unescape(text)
             parts.append(text)
             if count["link"] > 0:
@@ -257,14 +269,14 @@ def blocks(page: str) -> list[Block]:
             if close:
                 at = close.start() if close[0][1] != "/" else close.end()
             continue
-        hidden, outside, name = _marks(tag, attributes, count["article"] > 0)
-        if hidden and tag not in VOID:
-            at = at if single and tag in ("svg", "iframe") else _after(page, at, tag)
-            if tag in BLOCKS:
-                end()
+        if tag in RAW:
+            at = at if single and tag == "iframe" else _after_raw(page, at, tag)
             continue
+        hidden, outside, name = _marks(tag, attributes, count["article"] > 0)
         if tag in BLOCKS:
             end()
+            if stack.top() in HIDDEN and not stack.ends:
+                stack.pop()
             if stack.top() in CLOSES.get(tag, ()) or stack.top() == "p":
                 stack.pop()
         elif tag == "br":
@@ -272,7 +284,11 @@ def blocks(page: str) -> list[Block]:
         if tag in VOID or single:
             continue
         marks = []
-        if tag in ("article", "main") and name == PLAIN:
+        if hidden or tag in HIDDEN:
+            marks.append("hidden")
+        if tag in HEADINGS:
+            marks.append("heading")
+        if tag in ("article", "main") and name == PLAIN and not count["hidden"] > 0:
             stack.article()
             marks.append("article")
         if tag == "a":
@@ -284,20 +300,29 @@ def blocks(page: str) -> list[Block]:
         if name != PLAIN:
             marks.append(name)
         stack.push(tag, tuple(marks))
+        if tag in HIDDEN:
+            if tag not in closed:
+                closed[tag] = _closed(page, at, tag)
+            stack.ends = at in closed[tag]
     end()
     return out
 
 
-def _after(page: str, at: int, tag: str) -> int:
-    """The place after the end tag of a hidden element that begins before ``at``; nested ones of its kind count."""
-    depth = 1
+def _after_raw(page: str, at: int, tag: str) -> int:
+    """The place after the end tag of an element of raw text, or the page's end."""
+    found = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+    return found.end() if found else len(page)
+
+
+def _closed(page: str, at: int, tag: str) -> set[int]:
+    """The places from ``at`` on after those start tags of an element that have an end tag."""
+    begun, out = [at], set()
     for found in re.compile(rf"<(/?){re.escape(tag)}\b[^>]*>", re.I).finditer(page, at):
-        if tag in ("script", "style", "textarea", "title") and not found[1]:
-            continue
-        depth += -1 if found[1] else 1
-        if not depth:
-            return found.end()
-    return len(page)
+        if not found[1]:
+            begun.append(found.end())
+        elif begun:
+            out.add(begun.pop())
+    return out
 
 
 def dense(b: Block, rules: Rules) -> bool | None:
@@ -313,21 +338,31 @@ def dense(b: Block, rules: Rules) -> bool | None:
         return True
     if len(words) >= rules.sentence and SENTENCE.search(b.text):
         return None  # a sentence, maybe of a language without a list here
-    return False if stops < rules.stops_low else None
+    if stops >= rules.stops_low or 2 * len(LISTED.findall(b.text)) < sum(map(len, words)):
+        return None
+    return False
 
 
 def first_pass(found: list[Block], rules: Rules = Rules()) -> list[tuple[bool | None, str]]:
     """(label, by what) for each block: True for text, False for boilerplate, None if it is open."""
-    within = any(b.inside and not b.outside and b.name < LAID_OUT for b in found)
-    words = [None if b.outside or (within and not b.inside) else dense(b, rules) for b in found]
-    other = within or any(d and b.name < LAID_OUT for b, d in zip(found, words, strict=True))
+    inside = any(b.inside and not b.outside and b.name < LAID_OUT for b in found)
+    words = [None if b.outside or (inside and not b.inside) else dense(b, rules) for b in found]
+    runs = [d and b.name < LAID_OUT for b, d in zip(found, words, strict=True)]
+    formless = any(runs) and all(b.form for b, r in zip(found, runs, strict=True) if r)  # then forms say nothing
+    away = [b.outside or (b.form and not formless) for b in found]
+    within = any(b.inside and not a and b.name < LAID_OUT for b, a in zip(found, away, strict=True))
+    if inside and not within:  # all that the article holds is in forms
+        words = [None if b.outside else dense(b, rules) for b in found]
+    away = [a or (within and not b.inside) for b, a in zip(found, away, strict=True)]
+    known = any(d for d, a in zip(words, away, strict=True) if not a)
+    other = within or any(d and b.name < LAID_OUT for b, d, a in zip(found, words, away, strict=True) if not a)
     out: list[tuple[bool | None, str]] = []
-    for b, running in zip(found, words, strict=True):
-        if b.outside or (within and not b.inside):
+    for b, running, gone in zip(found, words, away, strict=True):
+        if gone:
             out.append((False, "region"))
         elif b.name == APART or (b.name == LAID_OUT and other):
             out.append((False, "name"))
-        elif b.linked > rules.links * len(b.text):
+        elif b.linked > rules.links * len(b.text) and not (within and (b.heading or len(b.text) < rules.long)):
             out.append((False, "links"))
         elif running:
             out.append((True, "density"))
@@ -337,7 +372,7 @@ def first_pass(found: list[Block], rules: Rules = Rules()) -> list[tuple[bool |
             out.append((False, "name"))
         elif COPYRIGHT.search(b.text) and len(b.text) < rules.long:
             out.append((False, "copyright"))
-        elif running is False:
+        elif running is False and known:
             out.append((False, "density"))
         else:
             out.append((None, "open"))
