@@ -15,6 +15,7 @@ from marginalia.functions import terms as T
 from marginalia.functions.roles import Reading, owns, reading, reviews
 from marginalia.functions.text import folded_key, folded_lexical, text_key
 from marginalia.operators import ranking
+from marginalia.plans.storage import materialize
 from marginalia.sources.notes import blocks, prop
 
 #: Weights of a topic's fields, of a chunk's parts, and the bonuses of stage and role.
@@ -27,7 +28,10 @@ MAX_RESULTS = 3
 
 
 def topics(notes: DataFrame, kind: str = "主题笔记") -> DataFrame:
-    """(path, title, category, problem, stages, summary, boundary, retired, chunks) of topic notes, and their folded texts."""
+    """(path, title, category, problem, stages, summary, boundary, retired, chunks) of topic notes, and their folded texts.
+
+    A written table: what reads topics several times, for statistics and scores, parses no note again.
+    """
     part = lambda h: F.coalesce(F.col("parts")[h], F.lit(""))
     values = lambda name: F.coalesce(F.col("props")[name], F.array().cast("array<string>"))
     aliases = F.when(F.size(values("aliases")) > 0, values("aliases")).otherwise(values("检索别名"))
@@ -38,10 +42,11 @@ def topics(notes: DataFrame, kind: str = "主题笔记") -> DataFrame:
         F.concat_ws(" ", "title", aliases).alias("named"),
     )
     tail = F.element_at(F.split("title", "｜"), -1)
-    return out.select(
+    out = out.select(
         "*", folded_lexical(F.col("named")).alias("lexical_title"), folded_lexical(F.col("problem")).alias("lexical_problem"),
         folded_lexical(F.col("summary")).alias("lexical_summary"), folded_lexical(tail).alias("lexical_owner"),
     ).drop("named")
+    return materialize(out, "topics")
 
 
 @dataclass

@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 from marginalia.functions import text as X
 from marginalia.functions.similarity import similarity_to
 from marginalia.operators import audit, containment, diff, graph, intervals, ranking, rules
-from marginalia.plans import retrieve, review
+from marginalia.plans import evaluate, retrieve, review
 from marginalia.plans.storage import materialize
 from marginalia.session import table
 from marginalia.sources import notes
@@ -240,6 +240,66 @@ def notes_retrieve(spark: SparkSession, sf: str) -> DataFrame:
     return got.select("path", F.round("score", 6).alias("score"), F.array_join("hits", ",").alias("hits"), "rank", "kept", "ambiguous", "gap")
 
 
+#: Words of three objects that questions name; what has one would ask for passages that own it.
+_NAMED = "sdh|vfx|alpha|foley"
+_CASES_SQL = f"""d AS (SELECT doc_id, doc_id::VARCHAR AS title, text, lower(replace(coalesce(text, ''), 'ß', 'ss')) AS t FROM documents),
+    k AS (SELECT doc_id, title, text, list_slice(list_sort(list_transform(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{{7,12}}'), lambda x: NOT regexp_matches(x, '{_NAMED}'))),
+    lambda x: lpad((99 - length(x))::VARCHAR, 2, '0') || x)), 1, 3) AS ws FROM d WHERE doc_id % 50 = 0),
+    a AS (SELECT doc_id, text, list_transform(ws, lambda x: substr(x, 3)) AS ws FROM k WHERE len(ws) >= 2),
+    q AS (SELECT doc_id * 2 AS question, text, ws AS terms, false AS expect_gap FROM a UNION ALL SELECT doc_id * 2 + 1, NULL, list_transform(ws, lambda x: 'zq' || reverse(x) || 'qz'), true FROM a)"""
+_VERDICTS_SQL = f"""{_CASES_SQL}, c AS (SELECT * FROM d WHERE regexp_matches(t, '[^\\s]')), n AS (SELECT (SELECT count(*) FROM d) + (SELECT count(*) FROM c) AS n),
+    u AS (SELECT question, unnest(terms) AS term FROM q), f AS (SELECT term, (SELECT count(*) FROM c WHERE contains(c.t, term)) AS df FROM (SELECT DISTINCT term FROM u)),
+    w AS (SELECT term, CASE WHEN df = 0 THEN 0.0 ELSE (ln((n + 1) / (df + 1)) + 0.35) * 1.7 END::DOUBLE AS w FROM f, n),
+    qw AS (SELECT question, sum(w) AS whole, list(term) FILTER (w > 0) AS living FROM u JOIN w USING (term) GROUP BY 1 HAVING sum(w) > 0),
+    kn AS (SELECT question, whole, len(list_filter(living, lambda x: len(list_filter(living, lambda y: y <> x AND contains(y, x))) = 0)) AS known FROM qw),
+    h AS (SELECT question, title, sum(w) AS got, list(term) AS hits FROM u JOIN w USING (term) JOIN c ON contains(c.t, term) GROUP BY 1, 2),
+    s AS (SELECT h.question, title, 28 * (0.35 * (got / whole)) AS score FROM h JOIN kn USING (question)
+    WHERE len(list_filter(hits, lambda x: len(list_filter(hits, lambda y: y <> x AND contains(y, x))) = 0)) >= CASE WHEN known < 2 THEN 1 ELSE 2 END),
+    r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY round(score, 9) DESC, title) AS rank FROM s WHERE score >= 4.5),
+    g AS (SELECT question, list(title ORDER BY rank) AS titles FROM r WHERE rank <= 3 GROUP BY 1),
+    e AS (SELECT q.question, expect_gap, list(d.title) FILTER (d.title IS NOT NULL) AS expected FROM q LEFT JOIN d ON d.text = q.text GROUP BY 1, 2),
+    v AS (SELECT e.question, coalesce(titles, []) AS titles, titles IS NULL AS gap, expect_gap, expect_gap OR coalesce(list_contains(expected, titles[1]), false) AS top1_ok,
+    expect_gap OR coalesce(len(list_intersect(expected, titles)) > 0, false) AS hit3_ok, (titles IS NULL) = expect_gap AS gap_ok FROM e LEFT JOIN g USING (question))"""
+
+
+def _cases(spark: SparkSession, sf: str) -> DataFrame:
+    """A question of each fiftieth document's longest words, which its copies answer, and one of words that none has."""
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{7,12})"))), lambda x: ~x.rlike(_NAMED))
+    longest = F.transform(F.slice(F.array_sort(F.transform(words, lambda x: F.concat(F.lpad((99 - F.length(x)).cast("string"), 2, "0"), x))), 1, 3), lambda x: F.substring(x, 3, 99))
+    a = d.filter("doc_id % 50 = 0").withColumn("ws", longest).filter(F.size("ws") >= 2).withColumn("key", F.sha2("text", 256))
+    same = d.select(F.sha2("text", 256).alias("key"), F.col("doc_id").cast("string").alias("title")).join(a.select("key").distinct(), "key")
+    same = same.groupBy("key").agg(F.collect_list("title").alias("expected_top1"))
+    asks = a.join(same, "key", "left").select((F.col("doc_id") * 2).alias("question"), F.array_join("ws", " ").alias("text"), "expected_top1", F.lit(False).alias("expect_gap"))
+    odd = F.array_join(F.transform("ws", lambda x: F.concat(F.lit("zq"), F.reverse(x), F.lit("qz"))), " ")
+    denies = a.select((F.col("doc_id") * 2 + 1).alias("question"), odd.alias("text"), F.lit(None).cast("array<string>").alias("expected_top1"), F.lit(True).alias("expect_gap"))
+    none = F.lit(None).cast("array<string>")
+    return materialize(asks.unionByName(denies).withColumn("expected_any", none).withColumn("forbidden", none), "cases")
+
+
+def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    cases = _cases(spark, sf)
+    return evaluate.verdicts(evaluate.retrieve_many(retrieve.topics(_notes(spark, sf)), cases, 3), cases)
+
+
+@query(f"WITH {_VERDICTS_SQL} SELECT question, array_to_string(titles, ',') AS titles, gap, expect_gap, top1_ok, hit3_ok, gap_ok, top1_ok AND hit3_ok AND gap_ok AS passed FROM v")
+def notes_evaluation(spark: SparkSession, sf: str) -> DataFrame:
+    """Retrieval for many questions in one plan, against what each should find."""
+    return _verdicts(spark, sf).withColumn("titles", F.array_join("titles", ",")).drop("forbidden_ok")
+
+
+@query(
+    f"""WITH {_VERDICTS_SQL}, m AS (SELECT count(*)::BIGINT AS cases, count(*) FILTER (NOT expect_gap)::BIGINT AS supported, count(*) FILTER (expect_gap)::BIGINT AS negatives,
+    count(*) FILTER (NOT expect_gap AND top1_ok) AS t, count(*) FILTER (NOT expect_gap AND hit3_ok) AS h, count(*) FILTER (expect_gap AND gap_ok) AS g,
+    count(*) FILTER (NOT (top1_ok AND hit3_ok AND gap_ok))::BIGINT AS failures FROM v),
+    x AS (SELECT *, CASE WHEN supported = 0 THEN 1.0 ELSE t::DOUBLE / supported END AS top1, CASE WHEN supported = 0 THEN 1.0 ELSE h::DOUBLE / supported END AS hit3, CASE WHEN negatives = 0 THEN 1.0 ELSE g::DOUBLE / negatives END AS gap FROM m)
+    SELECT cases, supported, negatives, round(top1, 6) AS top1, round(hit3, 6) AS hit3, round(gap, 6) AS gap, failures, top1 >= 0.9 AND hit3 >= 0.95 AND gap >= 0.95 AND failures = 0 AS accepted FROM x"""
+)
+def notes_evaluation_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """The rates of that evaluation against their thresholds."""
+    return evaluate.summary(_verdicts(spark, sf)).withColumns({c: F.round(c, 6) for c in ("top1", "hit3", "gap")})
+
+
 _HEADER = """concat(case when doc_id % 2 = 0 then '知识库版本: 2.1\\n' else '' end, case when quality = 0 then '证据状态: 传闻\\n' when quality = 1 then '证据状态: 单一来源\\n' else '' end,
 case when doc_id % 3 = 0 then '掌握状态: 能复述\\n' else '' end, case when doc_id % 4 = 0 then '最近检验: 2026-01-01\\n' else '' end)"""
 _NEWER = "doc_id % 2 = 0"
