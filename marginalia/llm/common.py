@@ -67,9 +67,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
     """Rows of ``docs`` with their 0/1 ``label`` as ``y``: at most ``max_rows``, held-out ids never among them.
 
     The sample is the ``max_rows`` ids with the smallest hashes, so reruns agree. An id that is labelled more than
-    once counts once, with its largest label. The ids (at most ``max_rows``) are broadcast, the texts are not moved.
+    once counts once, with its largest label, and of the rows of one id that of the smallest hash, found in each
+    partition first. The ids (at most ``max_rows``) are broadcast.
     """
     ids = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out("doc_id"))
     ids = ids.groupBy(F.col("doc_id").alias("_id")).agg(F.max(label).cast("int").alias("y"))
     ids = materialize(ids.orderBy(F.xxhash64("_id"), "_id").limit(max_rows), "labelled")
-    return docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).drop("_id")
+    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns], "y")
+    return rows.groupBy("_id").agg(F.min_by(whole, F.xxhash64(whole)).alias("_row")).select("_row.*")

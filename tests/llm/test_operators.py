@@ -721,6 +721,21 @@ def test_open_blocks_follow_the_nearest_decided_one():
     assert html_blocks._inherit([True, None, False]) == [True, True, False] and html_blocks._inherit([None]) == [True]
 
 
+def test_the_training_sample_has_one_row_of_an_id(spark):
+    from marginalia.llm.common import training_rows
+
+    ids = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5]
+    docs = spark.range(100_000).select(F.lit(ids[0]).cast("long").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 50).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(i, f"of {i}") for i in range(200)] + [(None, "x"), (ids[1], None)], "doc_id bigint, text string"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(ids[0], 1), (None, 1)], "doc_id bigint, toxic int")
+    got = training_rows(docs, labels, "toxic", 1000).collect()
+    assert sorted(r.doc_id for r in got) == ids and next(r.y for r in got if r.doc_id == ids[0]) == 1
+    assert len(training_rows(docs, labels, "toxic", 3).collect()) == 3
+    assert sorted(got) == sorted(training_rows(docs.repartition(7), labels, "toxic", 1000).collect())
+    model = ftrl_toxicity.train(docs, labels, params=ftrl_toxicity.Ftrl(max_rows=2))
+    assert model.fitted
+
+
 def test_toxicity_without_training_rows_keeps_all(spark, clashing):
     held = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5 == 0]
     for given in ([], [(1, None), (2, None)], [(i, 1) for i in held]):
