@@ -20,7 +20,6 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,41 +28,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import read
-from marginalia.llm.segments import ByteEncoder, keys, text_of
+from marginalia.llm.segments import RankEncoder, byte_ranks
 from marginalia.plans.storage import materialize
 
 CAPACITY = 2048
 #: The id that ends a document.
-END = b"\0\0\0\0"
-#: Segments whose ids a worker remembers, and the longest that it does.
-REMEMBERED, LONGEST = 400_000, 64
-#: Documents tokenised at once.
-BATCH = 500
-
-
-class Ids:
-    """Ids of whole texts, four little-endian bytes each; those of segments seen before are remembered."""
-
-    def __init__(self, path: str) -> None:
-        self.encode, self.seen = ByteEncoder(path, plain=False), {}
-
-    def _bytes(self, texts: list[str]) -> list[bytes]:
-        return [np.array(ids, "<u4").tobytes() for ids in self.encode(texts)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        cut = [keys(t) if t else [] for t in texts]
-        heads = [text_of(k.pop(0))[1:] if k else "" for k in cut]  # a text's own first segment has no space before it
-        if len(self.seen) > REMEMBERED:
-            self.seen = {}
-        fresh = list(set(chain.from_iterable(cut)).difference(self.seen))
-        made = dict(zip(fresh, self._bytes(list(map(text_of, fresh))), strict=True))
-        self.seen |= {k: v for k, v in made.items() if len(k) <= LONGEST}
-        long = {k: v for k, v in made.items() if len(k) > LONGEST}
-        if not long:
-            get = self.seen.__getitem__
-        else:
-            get = lambda k: self.seen[k] if k in self.seen else long[k]
-        return [b"".join([head, *map(get, k)]) for head, k in zip(self._bytes(heads), cut, strict=True)]
+END = 0
 
 
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -79,20 +49,20 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part, number = Ids(path), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        for whole in batches:
-            for at in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(at, BATCH)
-                row, out = [], []
-                for k, found in enumerate(ids([t or "" for t in batch.column(1).to_pylist()])):
-                    view = memoryview(found + END)
-                    for piece, (start, length) in enumerate(cuts(len(view) // 4, capacity)):
-                        row.append(k)
-                        out.append((piece, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), part, number[length]))
-                        number[length] += 1
+        ids, part, number = RankEncoder(path, *shared.value), TaskContext.get().partitionId(), [0] * (capacity + 1)
+        for batch in batches:
+            row, out = [], []
+            for k, text in enumerate(batch.column(1)):
+                view = memoryview(np.array([*ids(text.as_py() or ""), END], "<u4").tobytes())
+                for piece, (start, length) in enumerate(cuts(len(view) // 4, capacity)):
+                    row.append(k)
+                    out.append((piece, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), part, number[length]))
+                    number[length] += 1
+            if row:
                 columns = [pa.array(v, kind) for v, kind in zip(zip(*out, strict=True), KINDS.values(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *columns], names=["doc_id", *KINDS])
 
+    shared = docs.sparkSession.sparkContext.broadcast(byte_ranks(path))
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, part int, rank bigint")
 

@@ -92,6 +92,43 @@ class ByteEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
+#: Fixed value: the pattern by which byte-level vocabularies cut texts.
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+class RankEncoder:
+    """Ids of texts by a byte-level BPE file as the tokenizers library gives them by default, from its tokens as ranks.
+
+    A token's id must be its merge's place, as ``byte_ranks`` verifies; then the tiktoken library, which takes a
+    quarter of the time, gives the same ids. Texts that it can't take go to the tokenizers library.
+    """
+
+    def __init__(self, path: str, ranks: dict[bytes, int], special: dict[str, int]) -> None:
+        import tiktoken
+
+        self.path, self.special, self.slow = path, set(special), None
+        self.fast = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def __call__(self, text: str) -> list[int]:
+        try:
+            return self.fast.encode(text, allowed_special=self.special)
+        except ValueError:
+            self.slow = self.slow or ByteEncoder(self.path, plain=False)
+            return self.slow([text])[0]
+
+
+def byte_ranks(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """(id of each token's bytes, ids of special strings) of a byte-level BPE file whose ids are in order of merges."""
+    tokens = byte_tokens(path)
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+    if any(spec["model"]["vocab"]["".join(m)] != 256 + k for k, m in enumerate(merges)) or any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in spec["added_tokens"]):
+        raise ValueError("ids are not in the order of merges, or special strings take what is beside them")
+    return {b: i for i, b in enumerate(tokens) if i not in special.values()}, special
+
+
 class PieceEncoder:
     """Ids of segments by a SentencePiece model."""
 

@@ -190,6 +190,17 @@ def test_a_plan_is_as_small_for_many_as_for_few():
     assert len(histogram_packing.plan(large, 2048)[0]) < 3 * len(histogram_packing.plan(small, 2048)[0]) < 200_000
 
 
+def test_ranks_give_the_ids_of_the_library():
+    a, _ = plain_encoders()
+    mine = segments.RankEncoder(A, *segments.byte_ranks(A))
+    for t in [*texts(), " " * 3_000_000 + "x", "\n " * 100_000]:
+        assert mine(t or "") == a.encode(t or "", add_special_tokens=False).ids
+    points = [chr(c) for c in range(0x3100) if not 0xD800 <= c < 0xE000]
+    cases = [f"a{c}1{c} {c}!{c} b  {c} \n{c}{c}  c" for c in points]
+    assert [mine(t) for t in cases] == [e.ids for e in a.encode_batch_fast(cases, add_special_tokens=False)]
+    assert mine.slow is not None  # a run of white space that the fast one can't take
+
+
 def test_packing_of_nothing(spark):
     assert histogram_packing.packed(spark.createDataFrame([], SCHEMA), A).count() == 0
 
