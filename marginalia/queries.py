@@ -14,8 +14,8 @@ from pyspark.sql.window import Window as W
 
 from marginalia.functions import text as X
 from marginalia.functions.similarity import similarity_to
-from marginalia.operators import audit, containment, diff, graph, intervals, ranking, rules
-from marginalia.plans import evaluate, retrieve, review
+from marginalia.operators import audit, containment, diff, graph, integrity, intervals, ranking, rules
+from marginalia.plans import budget, evaluate, retrieve, review
 from marginalia.plans.storage import materialize
 from marginalia.session import table
 from marginalia.sources import notes
@@ -246,7 +246,7 @@ _CASES_SQL = f"""d AS (SELECT doc_id, doc_id::VARCHAR AS title, text, lower(repl
     k AS (SELECT doc_id, title, text, list_slice(list_sort(list_transform(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]{{7,12}}'), lambda x: NOT regexp_matches(x, '{_NAMED}'))),
     lambda x: lpad((99 - length(x))::VARCHAR, 2, '0') || x)), 1, 3) AS ws FROM d WHERE doc_id % 50 = 0),
     a AS (SELECT doc_id, text, list_transform(ws, lambda x: substr(x, 3)) AS ws FROM k WHERE len(ws) >= 2),
-    q AS (SELECT doc_id * 2 AS question, text, ws AS terms, false AS expect_gap FROM a UNION ALL SELECT doc_id * 2 + 1, NULL, list_transform(ws, lambda x: 'zq' || reverse(x) || 'qz'), true FROM a)"""
+    q AS (SELECT doc_id * 2 AS question, ws AS terms, false AS expect_gap FROM a UNION ALL SELECT doc_id * 2 + 1, list_transform(ws, lambda x: 'zq' || reverse(x) || 'qz'), true FROM a)"""
 _VERDICTS_SQL = f"""{_CASES_SQL}, c AS (SELECT * FROM d WHERE regexp_matches(t, '[^\\s]')), n AS (SELECT (SELECT count(*) FROM d) + (SELECT count(*) FROM c) AS n),
     u AS (SELECT question, unnest(terms) AS term FROM q), f AS (SELECT term, (SELECT count(*) FROM c WHERE contains(c.t, term)) AS df FROM (SELECT DISTINCT term FROM u)),
     w AS (SELECT term, CASE WHEN df = 0 THEN 0.0 ELSE (ln((n + 1) / (df + 1)) + 0.35) * 1.7 END::DOUBLE AS w FROM f, n),
@@ -257,20 +257,22 @@ _VERDICTS_SQL = f"""{_CASES_SQL}, c AS (SELECT * FROM d WHERE regexp_matches(t,
     WHERE len(list_filter(hits, lambda x: len(list_filter(hits, lambda y: y <> x AND contains(y, x))) = 0)) >= CASE WHEN known < 2 THEN 1 ELSE 2 END),
     r AS (SELECT *, row_number() OVER (PARTITION BY question ORDER BY round(score, 9) DESC, title) AS rank FROM s WHERE score >= 4.5),
     g AS (SELECT question, list(title ORDER BY rank) AS titles FROM r WHERE rank <= 3 GROUP BY 1),
-    e AS (SELECT q.question, expect_gap, list(d.title) FILTER (d.title IS NOT NULL) AS expected FROM q LEFT JOIN d ON d.text = q.text GROUP BY 1, 2),
+    e AS (SELECT q.question, expect_gap, list(d.title) FILTER (d.title IS NOT NULL) AS expected FROM q LEFT JOIN d ON NOT expect_gap AND len(list_filter(terms, lambda x: NOT contains(d.t, x))) = 0 GROUP BY 1, 2),
     v AS (SELECT e.question, coalesce(titles, []) AS titles, titles IS NULL AS gap, expect_gap, expect_gap OR coalesce(list_contains(expected, titles[1]), false) AS top1_ok,
     expect_gap OR coalesce(len(list_intersect(expected, titles)) > 0, false) AS hit3_ok, (titles IS NULL) = expect_gap AS gap_ok FROM e LEFT JOIN g USING (question))"""
 
 
 def _cases(spark: SparkSession, sf: str) -> DataFrame:
-    """A question of each fiftieth document's longest words, which its copies answer, and one of words that none has."""
+    """A question of each fiftieth document's longest words, which what has them all answers, and one of words that none has."""
     d = table(spark, sf, "documents").select("doc_id", "text")
     words = F.filter(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{7,12})"))), lambda x: ~x.rlike(_NAMED))
     longest = F.transform(F.slice(F.array_sort(F.transform(words, lambda x: F.concat(F.lpad((99 - F.length(x)).cast("string"), 2, "0"), x))), 1, 3), lambda x: F.substring(x, 3, 99))
-    a = d.filter("doc_id % 50 = 0").withColumn("ws", longest).filter(F.size("ws") >= 2).withColumn("key", F.sha2("text", 256))
-    same = d.select(F.sha2("text", 256).alias("key"), F.col("doc_id").cast("string").alias("title")).join(a.select("key").distinct(), "key")
-    same = same.groupBy("key").agg(F.collect_list("title").alias("expected_top1"))
-    asks = a.join(same, "key", "left").select((F.col("doc_id") * 2).alias("question"), F.array_join("ws", " ").alias("text"), "expected_top1", F.lit(False).alias("expect_gap"))
+    a = materialize(d.filter("doc_id % 50 = 0").select("doc_id", longest.alias("ws")).filter(F.size("ws") >= 2), "asked")
+    asked = a.select("doc_id", F.size("ws").alias("n"), F.explode("ws").alias("term"))
+    texts = d.select(F.col("doc_id").cast("string").alias("row"), F.lower(F.replace("text", F.lit("ß"), F.lit("ss"))).alias("text"))
+    held = evaluate.matches(texts, asked.select("term").distinct()).join(asked, "term").groupBy("doc_id", "row").agg(F.count("*").alias("held"), F.first("n").alias("n"))
+    held = held.filter("held = n").groupBy("doc_id").agg(F.collect_list("row").alias("expected_top1"))
+    asks = a.join(held, "doc_id", "left").select((F.col("doc_id") * 2).alias("question"), F.array_join("ws", " ").alias("text"), "expected_top1", F.lit(False).alias("expect_gap"))
     odd = F.array_join(F.transform("ws", lambda x: F.concat(F.lit("zq"), F.reverse(x), F.lit("qz"))), " ")
     denies = a.select((F.col("doc_id") * 2 + 1).alias("question"), odd.alias("text"), F.lit(None).cast("array<string>").alias("expected_top1"), F.lit(True).alias("expect_gap"))
     none = F.lit(None).cast("array<string>")
@@ -340,6 +342,144 @@ def notes_followup(spark: SparkSession, sf: str) -> DataFrame:
     return impact.withColumn("chain", F.array_join("chain", ">"))
 
 
+# --- paths, effects, integrity and budgets, by the library's operators -------------------------------------------------
+
+_PAGE_PATH = "regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/+$', '') || '.md'"
+
+
+@query(
+    f"""WITH c AS (SELECT page_id, {_PAGE_PATH} AS path, page_id % 5 <> 0 AS indexed, html FROM pages),
+    s AS (SELECT *, string_split(path, '/')[-1] AS name, string_split(path, '/')[-2] AS folder, substr(path, 1, length(path) - 3) AS bare FROM c),
+    l AS (SELECT page_id * 2 AS link_id, CASE page_id % 9 WHEN 3 THEN 'index.md' ELSE path END AS origin, CASE page_id % 9 WHEN 0 THEN bare WHEN 1 THEN './' || name WHEN 2 THEN '../' || folder || '/' || name WHEN 3 THEN name WHEN 4 THEN '../../../../' || name
+    WHEN 5 THEN '/' || path WHEN 6 THEN '#top' WHEN 7 THEN upper(bare) || '.MD#x' ELSE 'no\\such\\' || name END AS raw FROM s
+    UNION ALL SELECT page_id * 2 + 1, path, regexp_extract(html, 'href=["'']([^"'']*)', 1) FROM s),
+    t AS (SELECT link_id, origin, trim(replace(string_split(raw, '#')[1], '\\', '/')) AS raw FROM l),
+    p AS (SELECT *, CASE WHEN lower(raw) LIKE '%.md' THEN raw ELSE raw || '.md' END AS path, raw LIKE '/%' OR regexp_matches(raw, '^[a-zA-Z]:') AS away FROM t),
+    w AS (SELECT link_id, 1 AS way, path AS x FROM p WHERE raw <> '' AND NOT away UNION ALL SELECT link_id, 2, regexp_replace(origin, '[^/]*$', '') || path FROM p WHERE raw <> '' AND NOT away),
+    o AS (SELECT link_id, way, list_reduce([[]::VARCHAR[]] || list_transform(list_filter(string_split(x, '/'), lambda i: i <> '' AND i <> '.'), lambda i: [i]),
+    lambda a, e: CASE WHEN a = ['!'] THEN a WHEN e[1] <> '..' THEN a || e WHEN len(a) = 0 THEN ['!'] ELSE list_slice(a, 1, len(a) - 1) END) AS parts FROM w),
+    h AS (SELECT o.link_id, way, arg_min(c.path, (NOT indexed, c.path)) AS target, min(NOT indexed) AS out, 1 AS n FROM o JOIN c ON lower(c.path) = lower(array_to_string(parts, '/')) WHERE parts <> ['!'] GROUP BY 1, 2
+    UNION ALL SELECT p.link_id, 3, arg_min(s.path, (NOT indexed, s.path)), min(NOT indexed), count(*) FROM p JOIN s ON lower(s.name) = lower(p.path) WHERE p.raw <> '' AND NOT away AND NOT contains(p.path, '/') GROUP BY 1),
+    b AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY link_id ORDER BY way) = 1),
+    r AS (SELECT p.link_id, target, CASE WHEN raw = '' THEN 'empty' WHEN away THEN 'outside' WHEN b.link_id IS NULL THEN 'missing' WHEN way = 3 AND n > 1 THEN 'ambiguous' WHEN out THEN 'exists' ELSE ['root', 'relative', 'name'][way] END AS reason
+    FROM p LEFT JOIN b ON p.link_id = b.link_id)
+    SELECT link_id, CASE WHEN reason IN ('root', 'relative', 'name') THEN target END AS target, reason FROM r"""
+)
+def path_resolution(spark: SparkSession, sf: str) -> DataFrame:
+    """Links of pages, written in many ways and as they stand in the html, among the pages' own paths."""
+    c = table(spark, sf, "pages").select("page_id", F.expr(_PAGE_PATH).alias("path"), "html")
+    parts, k = F.split("path", "/"), F.col("page_id") % 9
+    name, folder, bare = F.element_at(parts, -1), F.element_at(parts, -2), F.expr("substring(path, 1, length(path) - 3)")
+    ways = [bare, F.concat(F.lit("./"), name), F.concat(F.lit("../"), folder, F.lit("/"), name), name, F.concat(F.lit("../../../../"), name), F.concat(F.lit("/"), "path"), F.lit("#top"), F.concat(F.upper(bare), F.lit(".MD#x"))]
+    raw = F.concat(F.lit("no\\such\\"), name)
+    for i, way in enumerate(ways):
+        raw = F.when(k == i, way).otherwise(raw)
+    links = c.select((F.col("page_id") * 2).alias("link_id"), raw.alias("raw"), F.when(k == 3, "index.md").otherwise(F.col("path")).alias("origin"))
+    links = links.unionByName(c.select((F.col("page_id") * 2 + 1).alias("link_id"), F.regexp_extract("html", "href=[\"']([^\"']*)", 1).alias("raw"), F.col("path").alias("origin")))
+    return graph.resolve_paths(links, c.select("path", (F.col("page_id") % 5 != 0).alias("indexed")))
+
+
+@query(
+    """WITH RECURSIVE n AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 11 <> 0), b AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 13 <> 0),
+    now AS (SELECT doc_id AS dependent, doc_id // 7 AS dependency, true AS current FROM n WHERE doc_id >= 7 UNION SELECT doc_id, doc_id // 3, true FROM n WHERE doc_id % 17 = 0 AND doc_id > 0),
+    then_ AS (SELECT doc_id AS dependent, doc_id // 7 AS dependency FROM b WHERE doc_id >= 7),
+    e AS (SELECT dependent, dependency, bool_or(current) AS current FROM (SELECT * FROM now UNION ALL SELECT *, false FROM then_) GROUP BY 1, 2),
+    fresh AS (SELECT dependent, dependency FROM now EXCEPT SELECT * FROM then_),
+    s AS (SELECT doc_id AS node, 'dependency_added' AS reason FROM n WHERE doc_id NOT IN (SELECT doc_id FROM b)
+    UNION ALL SELECT doc_id, 'dependency_changed_or_unavailable' FROM b WHERE doc_id NOT IN (SELECT doc_id FROM n) OR doc_id % 5 = 0),
+    w AS (SELECT node AS "trigger", NULL::BIGINT AS start, node AS target, 0 AS depth, [node] AS chain, reason FROM s
+    UNION ALL SELECT dependency, dependent, dependent, 1, [dependency, dependent], 'declared_dependency_added' FROM fresh),
+    walk AS (SELECT * FROM w UNION ALL SELECT k."trigger", k.start, e.dependent, k.depth + 1, k.chain || [e.dependent], k.reason FROM walk k JOIN e ON e.dependency = k.target
+    WHERE (k.start IS NULL OR e.current) AND e.dependent <> k."trigger"),
+    r AS (SELECT "trigger", target, arg_min(struct_pack(reason, depth, chain), (start IS NOT NULL, coalesce(start, 0), depth, chain)) AS x FROM walk WHERE depth > 0 AND target IN (SELECT doc_id FROM n) GROUP BY 1, 2)
+    SELECT "trigger", target, ['topic', 'application', 'source'][target % 3 + 1] AS kind, x.reason AS reason, x.depth AS depth, array_to_string(x.chain, '>') AS chain FROM r"""
+)
+def change_impact(spark: SparkSession, sf: str) -> DataFrame:
+    """What added, removed and modified documents and newly declared dependencies have an effect on."""
+    d = table(spark, sf, "documents").select("doc_id").distinct()
+    now, then = materialize(d.filter("doc_id % 11 <> 0"), "now"), materialize(d.filter("doc_id % 13 <> 0"), "then")
+    edges = lambda rows, keep, by: rows.filter(keep).select(F.col("doc_id").alias("dependent"), F.expr(f"doc_id div {by}").alias("dependency"), F.lit(f"by{by}").alias("field"))
+    kind = F.element_at(F.array(F.lit("topic"), F.lit("application"), F.lit("source")), (F.col("doc_id") % 3 + 1).cast("int"))
+    added = now.join(then, "doc_id", "left_anti").select(F.col("doc_id").alias("node"), F.lit("dependency_added").alias("reason"))
+    gone = then.join(now, "doc_id", "left_anti").unionByName(now.join(then, "doc_id", "left_semi").filter("doc_id % 5 = 0"))
+    seeds = added.unionByName(gone.select(F.col("doc_id").alias("node"), F.lit("dependency_changed_or_unavailable").alias("reason")))
+    current = edges(now, "doc_id >= 7", 7).unionByName(edges(now, "doc_id % 17 = 0 and doc_id > 0", 3))
+    got = graph.change_impact(now.select(F.col("doc_id").alias("node"), kind.alias("kind")), seeds, current, edges(then, "doc_id >= 7", 7))
+    return got.withColumn("chain", F.array_join("chain", ">"))
+
+
+_LINE = "split(text, '\n')"
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT doc_id, text, string_split(text, chr(10)) AS l, text || chr(10) || CASE WHEN doc_id % 10 = 3 THEN '' ELSE '<!-- source-evidence: s' || doc_id || ' -->' END AS note FROM documents WHERE text IS NOT NULL),
+    v AS (SELECT doc_id, 's' || doc_id AS source_id, l, CASE WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 5 = 0 THEN 'changed' ELSE 'matches' END AS note,
+    CASE WHEN doc_id % 4 = 0 OR strlen(l[1]) = 0 THEN 'none' WHEN doc_id % 13 = 0 THEN 'missing' WHEN doc_id % 9 = 0 THEN 'changed' ELSE 'matches' END AS prefix,
+    doc_id % 13 <> 0 AND contains(note, '<!-- source-evidence: s' || doc_id || ' -->') AS marker,
+    CASE WHEN doc_id % 8 = 0 THEN 'history_only' WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'changed' ELSE 'matches' END AS raw_source FROM d),
+    i AS (SELECT doc_id, 1 AS f, 2 AS t, left(l[1], 20) AS quote FROM v UNION ALL SELECT doc_id, 2, 3, CASE WHEN doc_id % 3 = 0 THEN left(l[1], 15) || '~' ELSE left(l[2], 15) END FROM v),
+    c AS (SELECT v.doc_id, count(*) AS n FROM v JOIN i USING (doc_id) WHERE raw_source = 'matches' AND (t > len(l) OR (quote IS NOT NULL AND NOT contains(array_to_string(list_slice(l, f, t), chr(10)), quote))) GROUP BY 1)
+    SELECT source_id, false AS repeated, note, prefix, marker, raw_source, coalesce(n, 0)::BIGINT AS bad_items FROM v LEFT JOIN c USING (doc_id)"""
+)
+def source_integrity(spark: SparkSession, sf: str) -> DataFrame:
+    """Records over documents as their own sources: stale notes and prefixes, missing and changed texts, wrong quotes."""
+    d = table(spark, sf, "documents").filter("text is not null").select("doc_id", "text").distinct().withColumn("source_id", F.concat(F.lit("s"), "doc_id")).withColumn("path", F.concat(F.lit("notes/"), "doc_id"))
+    note = F.concat("text", F.lit("\n"), F.when(F.col("doc_id") % 10 == 3, "").otherwise(F.concat(F.lit("<!-- source-evidence: "), "source_id", F.lit(" -->"))))
+    line = F.split("text", "\n")
+    d = d.withColumn("note", note).withColumn("first", line[0]).withColumn("second", F.try_element_at(line, F.lit(2)))
+    prefix = F.when((F.col("doc_id") % 4 != 0) & (F.octet_length("first") > 0), F.octet_length("first"))
+    records = d.select(
+        "source_id", F.sha2(F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("?"))).otherwise(F.col("text")), 256).alias("text_sha256"), (F.col("doc_id") % 8 != 0).alias("local"), F.col("path").alias("note_path"),
+        F.sha2(F.when(F.col("doc_id") % 5 == 0, F.concat("note", F.lit("x"))).otherwise(F.col("note")), 256).alias("note_sha256"), prefix.alias("prefix_bytes"),
+        F.sha2(F.when(F.col("doc_id") % 9 == 0, "zz").otherwise(F.col("first")), 256).alias("prefix_sha256"),
+    )
+    quote = F.when(F.col("doc_id") % 3 == 0, F.concat(F.left("first", F.lit(15)), F.lit("~"))).otherwise(F.left("second", F.lit(15)))
+    item = lambda i, a, b, q: d.select("source_id", F.lit(i).alias("id"), F.lit(a).alias("from"), F.lit(b).alias("to"), q.alias("quote"))
+    items = item("a", 1, 2, F.left("first", F.lit(20))).unionByName(item("b", 2, 3, quote))
+    notes_ = d.filter("doc_id % 13 <> 0").select("path", F.col("note").cast("binary").alias("content"))
+    return integrity.audited(records, items, notes_, d.filter("doc_id % 11 <> 0").select("source_id", F.col("text").cast("binary").alias("content")))
+
+
+_PACKS_SQL = """i AS (SELECT source, doc_id, coalesce(length(text), 0) AS len, coalesce(length(text), 0) - 120 AS gain FROM documents), k AS (SELECT source, d.doc_id, 40 + length(d.doc_id::VARCHAR) AS size FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+    p AS (SELECT source, (SELECT coalesce(sum(len + 60), 0) FROM i WHERE i.source IS NOT DISTINCT FROM d.source) + (SELECT coalesce(sum(size), 0) FROM k WHERE k.source IS NOT DISTINCT FROM d.source) AS size FROM (SELECT DISTINCT source FROM documents) d),
+    o AS (SELECT source, size, greatest(size - (0.6 * size)::BIGINT, 0) AS over FROM p),
+    lk AS (SELECT k.*, over, coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY doc_id DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < over AS dropped FROM k JOIN o ON k.source IS NOT DISTINCT FROM o.source),
+    o2 AS (SELECT o.source, o.size, over, greatest(over - coalesce((SELECT sum(lk.size) FROM lk WHERE dropped AND lk.source IS NOT DISTINCT FROM o.source), 0), 0) AS need FROM o),
+    x AS (SELECT i.*, need, coalesce(sum(gain) OVER (PARTITION BY i.source ORDER BY len DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) < need AND gain > 0 AND len > 0 AS deferred FROM i JOIN o2 ON i.source IS NOT DISTINCT FROM o2.source)"""
+
+
+def _packs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, F.Column]:
+    d = table(spark, sf, "documents").select("source", "doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("len"))
+    items = materialize(d.withColumn("gain", F.col("len") - 120), "items")
+    links = table(spark, sf, "labels").join(items, "doc_id").select("source", "doc_id", (40 + F.length(F.col("doc_id").cast("string"))).cast("long").alias("size"))
+    links = materialize(links, "links")
+    sizes = items.select("source", (F.col("len") + 60).alias("size")).unionByName(links.select("source", "size"))
+    packs = materialize(sizes.groupBy("source").agg(F.sum("size").alias("size")), "packs")
+    most = F.round(F.col("size") * 0.6).cast("long")
+    over = materialize(budget.excess(packs, ["source"], "size", most), "over")
+    links = materialize(budget.popped(links, over, ["source"], "doc_id", "size"), "links")
+    left = materialize(budget.left_over(over, links, ["source"], "size"), "over")
+    return packs, links, budget.deferred(items, left, ["source"], "doc_id", "len", "gain"), most
+
+
+@query(f"WITH {_PACKS_SQL} SELECT source, doc_id, len, deferred FROM x")
+def budget_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each source's documents as a pack, which go so that three fifths of it stay, the longest first."""
+    return _packs(spark, sf)[2].select("source", "doc_id", "len", "deferred")
+
+
+@query(
+    f"""WITH {_PACKS_SQL} SELECT source, (SELECT count(*) FROM lk WHERE NOT dropped AND lk.source IS NOT DISTINCT FROM o2.source)::BIGINT AS returned,
+    (SELECT count(*) FROM lk WHERE dropped AND lk.source IS NOT DISTINCT FROM o2.source)::BIGINT AS omitted, (SELECT count(*) FROM x WHERE deferred AND x.source IS NOT DISTINCT FROM o2.source)::BIGINT AS deferred,
+    (size - coalesce((SELECT sum(lk.size) FROM lk WHERE dropped AND lk.source IS NOT DISTINCT FROM o2.source), 0) - coalesce((SELECT sum(gain) FROM x WHERE deferred AND x.source IS NOT DISTINCT FROM o2.source), 0))::BIGINT AS size,
+    (size - coalesce((SELECT sum(lk.size) FROM lk WHERE dropped AND lk.source IS NOT DISTINCT FROM o2.source), 0) - coalesce((SELECT sum(gain) FROM x WHERE deferred AND x.source IS NOT DISTINCT FROM o2.source), 0)) > (0.6 * size)::BIGINT AS exceeded FROM o2"""
+)
+def budget_packs(spark: SparkSession, sf: str) -> DataFrame:
+    """What was left out of each of those packs, and whether it fits."""
+    packs, links, items, most = _packs(spark, sf)
+    return budget.report(packs, links, materialize(items, "deferred"), ["source"], "size", "size", "gain", most)
+
+
 # --- duplicates and containment ------------------------------------------------------------------------------------
 
 

@@ -82,3 +82,175 @@ def test_cases_are_judged(spark):
     total = E.summary(judged).first()
     assert (total.cases, total.supported, total.negatives, round(total.top1, 4), round(total.hit3, 4), total.gap, total.failures, total.accepted) == (5, 3, 2, 0.3333, 0.6667, 1.0, 2, False)
     assert E.summary(judged.limit(0)).first().accepted
+
+
+# --- budgets -----------------------------------------------------------------------------------------------------------
+
+
+def greedy(size, links, items, budget):
+    """Pop links from the end, then blank the longest excerpts, one by one."""
+    links, items, dropped, blank = list(links), dict(items), set(), set()
+    while links and size > budget:
+        k, n = links.pop()
+        dropped.add(k)
+        size -= n
+    while size > budget:
+        left = [(k, v) for k, v in sorted(items.items()) if v[0] and k not in blank]
+        if not left:
+            break
+        k, (_, gain) = max(left, key=lambda x: (x[1][0], -x[0]))
+        if gain <= 0:
+            break
+        blank.add(k)
+        size -= gain
+    return dropped, blank, size
+
+
+@pytest.mark.parametrize("hot", [4_000_000, 5])
+def test_packs_are_cut_as_one_by_one(spark, monkeypatch, hot):
+    """Also where a pack of more than five rows is summed by blocks."""
+    from marginalia.operators import intervals
+    from marginalia.plans import budget as B
+
+    monkeypatch.setattr(B, "running_before", lambda *a: intervals.running_before(*a, hot=hot))
+    r = random.Random(hot)
+    packs, links, items, want = [], [], [], {}
+    for p in [None, *range(60)]:
+        own_links = [(k, r.randint(5, 40)) for k in range(r.randint(0, 6))]
+        own = {k: (n, n - 30 if r.random() < 0.9 else r.choice([0, -3])) for k in range(r.randint(0, 14)) for n in [r.choice([0, 20, 31, 50, 50, 50, 80, 200, 200])]}
+        size = sum(n for _, n in own_links) + sum(n for n, _ in own.values()) + 100
+        packs.append((p, size))
+        links += [(p, k, n) for k, n in own_links]
+        items += [(p, k, n, g) for k, (n, g) in own.items()]
+        want[p] = greedy(size, own_links, own, 300)
+    packs = spark.createDataFrame(packs, "pack int, size long")
+    over = B.excess(packs, ["pack"], "size", 300)
+    got_links = B.popped(spark.createDataFrame(links, "pack int, place int, size long"), over, ["pack"], "place", "size").cache()
+    left = B.left_over(over, got_links, ["pack"], "size")
+    got = B.deferred(spark.createDataFrame(items, "pack int, place int, len long, gain long"), left, ["pack"], "place", "len", "gain").cache()
+    assert got.count() == len(items) and got_links.count() == len(links)
+    for p, (dropped, blank, _) in want.items():
+        assert {x.place for x in got_links.collect() if x.pack == p and x.dropped} == dropped
+        assert {x.place for x in got.collect() if x.pack == p and x.deferred} == blank, p
+    report = {x.pack: x for x in B.report(packs, got_links, got, ["pack"], "size", "size", "gain", 300).collect()}
+    assert {p: (x.size, x.exceeded, x.deferred) for p, x in report.items()} == {p: (s, s > 300, len(b)) for p, (_, b, s) in want.items()}
+
+
+# --- links, effects, integrity -------------------------------------------------------------------------------------------
+
+
+def plain_path(raw, origin, catalog):
+    """(target, reason) of one link."""
+    raw = (raw or "").split("#")[0].strip(" ").replace("\\", "/")
+    if not raw:
+        return None, "empty"
+    if raw.startswith("/") or re.match("[a-zA-Z]:", raw):
+        return None, "outside"
+    path = raw if raw.lower().endswith(".md") else raw + ".md"
+
+    def fold(p):
+        out = []
+        for x in p.split("/"):
+            if x == "..":
+                if not out:
+                    return None
+                out.pop()
+            elif x not in ("", "."):
+                out.append(x)
+        return "/".join(out).lower()
+
+    for reason, full in (("root", path), ("relative", re.sub("[^/]*$", "", origin or "") + path)):
+        hit = sorted((not indexed, p) for p, indexed in catalog if p.lower() == fold(full))
+        if hit:
+            return (hit[0][1], reason) if not hit[0][0] else (None, "exists")
+    hit = [] if "/" in path else sorted((not indexed, p) for p, indexed in catalog if p.lower().split("/")[-1] == path.lower())
+    if len(hit) > 1:
+        return None, "ambiguous"
+    return (None, "missing") if not hit else (None, "exists") if hit[0][0] else (hit[0][1], "name")
+
+
+def test_written_links_are_resolved(spark):
+    from marginalia.operators import graph
+
+    r = random.Random(3)
+    names = ["a.md", "B.md", "ü.md", "c d.md", "e.x.md"]
+    catalog = [(f"{d}{n}", r.random() < 0.8) for d in ("", "x/", "x/y/", "Z/") for n in names if r.random() < 0.7]
+    catalog += [("deep/Only.md", True), ("deep/hid.md", False), ("p/twice.md", True), ("q/Twice.md", False)]
+    raws = [None, "", "#h", " ", "a", "A.MD", "./a", "../a", "../../a", "../../../a", "x/./y/../a", "y/B", "Z\\B", "/a", "C:/a", "b", "nope", "x/nope", "e.x", "c d#part", "a#b#c", "..", ".", "x//y//a", "Ü", "only", "hid", "twice", "deep/../deep/only"]
+    links = [(i, raw, origin) for i, (raw, origin) in enumerate((raw, o) for raw in raws for o in ("", "x/o.md", "x/y/o.md", "q/w/e/o.md", None))] + [(9999, "a", "x/o.md"), (9999, "a", "x/o.md")]
+    got = graph.resolve_paths(spark.createDataFrame(links, "link_id int, raw string, origin string").limit(145), spark.createDataFrame(catalog, "path string, indexed boolean")).collect()
+    assert {x.link_id: (x.target, x.reason) for x in got} == {i: plain_path(raw, o, catalog) for i, raw, o in links[:145]}
+    assert {x.reason for x in got} == {"root", "relative", "name", "exists", "ambiguous", "missing", "outside", "empty"}
+
+
+def plain_impact(nodes, seeds, now, then):
+    """Seeds over all edges, then each new edge over current ones; the first to reach a target counts."""
+    found = {}
+
+    def spread(trigger, chain, edges, reason, own):
+        if own and chain[-1] in nodes:
+            found.setdefault((trigger, chain[-1]), (reason, chain))
+        queue, seen = [chain], set(chain)
+        while queue:
+            chain = queue.pop(0)
+            for t in sorted({a for a, b, _ in edges if b == chain[-1]} - seen):
+                seen.add(t)
+                if t in nodes:
+                    found.setdefault((trigger, t), (reason, [*chain, t]))
+                queue.append([*chain, t])
+
+    for s, reason in sorted(seeds):
+        spread(s, [s], now | then, reason, False)
+    for a, b, _ in sorted(now - then):
+        spread(b, [b, a], now, "declared_dependency_added", True)
+    return found
+
+
+def test_effects_start_at_nodes_and_at_new_edges(spark):
+    from marginalia.operators import graph
+
+    r = random.Random(9)
+    for _ in range(4):
+        every = [f"n{i}" for i in range(14)]
+        nodes = {n: r.choice(["topic", "application"]) for n in every if r.random() < 0.8}
+        edge = lambda: (r.choice(every), r.choice(every), r.choice(["f", "g"]))
+        then = {edge() for _ in range(14)}
+        now = {e for e in then if r.random() < 0.7} | {edge() for _ in range(5)}
+        seeds = {(n, "changed") for n in every if r.random() < 0.2}
+        frame = lambda rows: spark.createDataFrame(sorted(rows), "dependent string, dependency string, field string")
+        got = graph.change_impact(spark.createDataFrame(sorted(nodes.items()), "node string, kind string"), spark.createDataFrame(sorted(seeds), "node string, reason string"), frame(now), frame(then)).collect()
+        want = plain_impact(nodes, seeds, now, then)
+        assert {(x.trigger, x.target): x.reason for x in got} == {k: v[0] for k, v in want.items()}
+        assert {(x.trigger, x.target): x.chain for x in got} == {k: v[1] for k, v in want.items()}
+        assert all(x.kind == nodes[x.target] and x.depth == len(x.chain) - 1 for x in got)
+
+
+def test_records_are_held_against_bytes_and_lines(spark):
+    import hashlib
+
+    from marginalia.operators import integrity as I
+
+    sha = lambda b: hashlib.sha256(b).hexdigest()
+    note, text = "é one\ntwo\n<!-- source-evidence: s1 -->".encode(), "first line\nsecond\n\nfourth é".encode()
+    notes = spark.createDataFrame([("a.md", note), ("b.md", b"<!--source-evidence: s1--> <!-- source-evidence: s9 -->"), ("c.md", b"")], "path string, content binary")
+    raw = spark.createDataFrame([("s1", text), ("s2", b"other"), ("s5", None)], "source_id string, content binary")
+    records = [
+        ("s1", sha(text), True, "a.md", sha(note), 2, sha(note[:2])), ("s2", sha(text), True, "a.md", "0" * 64, 3, sha(note[:2])), ("s3", sha(text), False, "gone.md", sha(note), 4, "x"),
+        ("s4", sha(text), True, "c.md", sha(b""), 1, sha(b"")), ("s4", sha(text), None, "c.md", sha(b""), None, None), ("s5", sha(b""), True, "a.md", sha(note), 10_000, sha(note)),
+    ]
+    frame = spark.createDataFrame(records, "source_id string, text_sha256 string, local boolean, note_path string, note_sha256 string, prefix_bytes int, prefix_sha256 string")
+    got = sorted(tuple(r) for r in I.bindings(frame, notes, raw).collect())
+    assert got == sorted([
+        ("s1", False, "matches", "matches", True, "matches"), ("s2", False, "changed", "changed", False, "changed"), ("s3", False, "missing", "missing", False, "history_only"),
+        ("s4", True, "matches", "changed", False, "missing"), ("s4", True, "matches", "none", False, "history_only"), ("s5", False, "matches", "changed", False, "missing"),
+    ])
+    assert sorted(tuple(r) for r in I.stray_markers(frame, notes).collect()) == [("b.md", "s1"), ("b.md", "s9")]
+    items = [("s1", "ok", 1, 2, "line\nsecond"), ("s1", "end", 4, 4, "é"), ("s1", "quote", 1, 1, "second"), ("s1", "far", 4, 5, "x"), ("s1", "back", 3, 2, None), ("s1", "lines", 2, 3, None), ("s1", "null", None, 2, "x"), ("s7", "none", 1, 1, "x"), ("s1", "blank", 3, 3, "")]
+    asked = spark.createDataFrame(items, "source_id string, id string, from int, to int, quote string")
+    texts = raw.select("source_id", F.col("content").cast("string").alias("text"))
+    assert {r.id: r.code for r in I.checked_quotes(asked, texts, "source_id").collect()} == {
+        "ok": "ok", "end": "ok", "quote": "quote", "far": "range", "back": "range", "lines": "ok", "null": "range", "none": "missing", "blank": "ok",
+    }
+    assert {r.source_id: r.bad_items for r in I.audited(frame, asked, notes, raw).collect()}["s1"] == 4
+    lines = I.line_index(texts, "source_id").filter("source_id = 's1'").orderBy("line").collect()
+    assert [text[x.start : x.end].decode() for x in lines] == text.decode().split("\n") == [x.text for x in lines]
