@@ -210,9 +210,3 @@ def page(text: Column, offset: int, size: int) -> Column:
         shown.alias("shown"), F.size(F.split(F.substring(text, 1, offset), "\n")).alias("line"), F.length(text).alias("characters"),
         (F.length(text) > offset + size).alias("truncated"), F.when(F.length(text) > offset + size, end).alias("next_offset"),
     )
-
-
-def within_budget(items: DataFrame, keys: list[str], order: list[Column], size: str, budget: int) -> DataFrame:
-    """Items with ``read_required``: locators always stay, texts only while their running size is in the budget."""
-    used = F.sum(size).over(W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
-    return items.withColumn("used", used).withColumn("read_required", F.col("used") > budget)

@@ -1,7 +1,7 @@
 """Review packs for several facets, and follow-ups between two states of a library.
 
-A pack ranks blocks for each facet, picks primaries and alternatives, and keeps texts within a budget of characters;
-what is cut keeps its locator. A follow-up compares a library with its checkpoint: what changed, what depends on it,
+A pack ranks blocks for each facet, picks primaries with their supporting sources and boundaries, and alternatives, and
+keeps texts within a budget of characters; what is cut keeps its locator. A follow-up compares a library with its checkpoint: what changed, what depends on it,
 which links break or go one way, and which notes are equal.
 """
 
@@ -13,7 +13,9 @@ from pyspark.sql.window import Window as W
 
 from marginalia.functions.text import folded_lexical, link_key
 from marginalia.operators import diff, graph, ranking
-from marginalia.plans.retrieve import RETIRED, Question, admissible, term_weights, within_budget
+from marginalia.plans import budget
+from marginalia.plans.retrieve import RETIRED, Question, admissible, term_weights
+from marginalia.plans.skew import small
 from marginalia.plans.storage import materialize
 from marginalia.sources.notes import blocks, prop
 
@@ -21,6 +23,10 @@ from marginalia.sources.notes import blocks, prop
 LEAST_BLOCK, SECOND, FACETS, BUDGET = 0.025, 0.70, 8, 9000
 #: Kinds of blocks by words in their headings, and what each kind multiplies a score by.
 KINDS = (("navigation", "相关知识|入口|导览", 0.25), ("boundary", "边界|反例|不适用|误区|风险", 0.45), ("case", "案例", 0.65), ("overview", "概览|总览|结构", 0.65))
+#: The heading of a note's general boundaries, the field that names sources, types of notes that are sources.
+GENERAL, SOURCES, SOURCE_NOTES = "适用边界", "来源材料", ("材料总览", "分集笔记", "来源笔记", "来源地图")
+#: Characters that the locator of an excerpt left out takes: a mode, an id and a snapshot.
+CONTINUATION = 160
 #: Fields that declare what a note depends on.
 DEPENDS_ON = ("来源材料", "派生自", "调用知识")
 
@@ -54,33 +60,91 @@ def candidates(notes: DataFrame, question: Question) -> DataFrame:
     return rows.select("id", "path", "heading", "text", "line_start", "kind", "score", "own")
 
 
-def pack(notes: DataFrame, questions: list[str], budget: int = BUDGET, limit: int = 12) -> DataFrame:
-    """(facet, role, rank, id, path, heading, kind, score, excerpt, read_required); a facet without rows is a gap.
+def pack(notes: DataFrame, questions: list[str], most: int = BUDGET, limit: int = 12) -> DataFrame:
+    """(facet, role, rank, id, of, path, heading, kind, score, excerpt, read_required); a facet without rows is a gap.
 
     The first block that answers is primary, a second one too if it scores SECOND of it, and the next two are
-    alternatives, among the ``limit`` best. Boundaries are all those of a primary's own note, whether or not they have
-    a word of the question. Excerpts fill ``budget`` in that order over all facets.
+    alternatives, among the ``limit`` best. For each primary (``of``) there is at most one supporting block, the best
+    among the notes that its own note names as sources, never of that note itself; and of its note's boundaries the first
+    general one and the best specific one, or the two best specific ones where there is no general one. A specific one
+    must answer, the general one needn't have a word of the question.
+
+    Alternatives are locators. The other excerpts are left out, the longest first, until the pack fits ``most``
+    characters of JSON (``plans.budget``); what is left out keeps its locator.
     """
     if not 0 < len(questions) <= FACETS:
         raise ValueError(f"1 to {FACETS} questions")
-    out = None
+    rows = None
     for i, q in enumerate(questions):
-        top = candidates(notes, Question(q)).filter("kind != 'boundary'").orderBy(F.col("score").desc(), "path", "line_start").limit(limit).withColumn("facet", F.lit(i))
-        out = top if out is None else out.unionByName(top)
-    w = W.partitionBy("facet").orderBy(F.col("score").desc(), "path", "line_start")
-    out = out.withColumn("rank", F.row_number().over(w)).withColumn("best", F.max("score").over(W.partitionBy("facet")))
-    role = F.when(F.col("rank") == 1, "primary").when((F.col("rank") == 2) & (F.col("score") >= SECOND * F.col("best")), "primary").when(F.col("rank") <= 4, "alternative")
-    chosen = ["facet", "role", "rank", "id", "path", "heading", "kind", "score", "text"]
-    out = materialize(out.withColumn("role", role).filter(F.col("role").isNotNull()).select(*chosen), "chosen")  # four rows a facet at most
-    mine = out.filter("role = 'primary'").select("facet", F.col("path").alias("_path")).distinct()
-    limits = blocks(notes).filter(~F.col("routing_only")).withColumn("kind", kind_of(F.col("heading"))).filter("kind = 'boundary'")
-    limits = limits.join(F.broadcast(mine), F.col("path") == F.col("_path"))
-    limits = limits.withColumn("rank", F.row_number().over(W.partitionBy("facet").orderBy("path", "line_start")))
-    limits = limits.withColumn("role", F.lit("boundary")).withColumn("score", F.lit(None).cast("double"))
-    out = out.unionByName(limits.select(*chosen)).withColumn("size", F.length("text"))
-    order = [F.when(F.col("role") == "primary", 0).when(F.col("role") == "boundary", 1).otherwise(2), F.col("facet"), F.col("rank"), F.col("id")]
-    out = within_budget(out, [], order, "size", budget)  # a few notes' blocks for each facet
-    return out.select("facet", "role", "rank", "id", "path", "heading", "kind", "score", F.when(~F.col("read_required"), F.col("text")).alias("excerpt"), "read_required")
+        found = candidates(notes, Question(q)).withColumn("facet", F.lit(i))
+        rows = found if rows is None else rows.unionByName(found)
+    rows = materialize(rows, "candidates")
+    best = [F.col("score").desc(), "path", "line_start"]
+    out = rows.filter("kind != 'boundary'").withColumn("rank", F.row_number().over(W.partitionBy("facet").orderBy(*best))).filter(F.col("rank") <= min(limit, 4))
+    out = out.withColumn("top", F.max("score").over(W.partitionBy("facet")))
+    role = F.when((F.col("rank") == 1) | ((F.col("rank") == 2) & (F.col("score") >= SECOND * F.col("top"))), "primary").otherwise("alternative")
+    chosen = ["facet", "role", "rank", "id", "of", "path", "heading", "kind", "score", "text"]
+    out = out.withColumn("role", role).withColumn("of", F.when(role == "primary", F.col("id")))
+    out = materialize(out.select(*chosen), "chosen")  # four rows a facet at most
+    mine = F.broadcast(out.filter("role = 'primary'").select(F.col("facet").alias("_facet"), "of", F.col("path").alias("_path")))
+    out = out.unionByName(_supporting(notes, rows, mine).select(*chosen)).unionByName(_boundaries(notes, rows, mine).select(*chosen))
+    return _fitted(materialize(out, "pack"), most)
+
+
+def _supporting(notes: DataFrame, rows: DataFrame, mine: DataFrame) -> DataFrame:
+    """For each primary the best candidate of its facet in the notes that its note names as sources: two hops, topic to
+    link and link to source."""
+    sources = dependencies(notes).filter(F.col("field") == SOURCES).select("dependent", "dependency")
+    near = materialize(sources.join(mine, F.col("dependent") == F.col("_path")).filter("dependency != dependent").select("_facet", "of", "dependency").distinct(), "sources")
+    out = rows.join(small(near), (F.col("facet") == F.col("_facet")) & (F.col("path") == F.col("dependency")))
+    first = W.partitionBy("facet", "of").orderBy(F.col("score").desc(), "path", "line_start")
+    return out.withColumn("rank", F.row_number().over(first)).filter("rank = 1").withColumn("role", F.lit("support"))
+
+
+def _boundaries(notes: DataFrame, rows: DataFrame, mine: DataFrame) -> DataFrame:
+    """For each primary its note's first general boundary and best specific one, or two specific ones."""
+    own = blocks(notes).filter(~F.col("routing_only") & (F.col("heading") == GENERAL)).join(mine, F.col("path") == F.col("_path"))
+    own = own.groupBy(F.col("_facet").alias("facet"), "of").agg(F.min_by(F.struct("id", "path", "heading", "text"), "line_start").alias("b"))
+    own = own.select("facet", "of", "b.*").withColumn("rank", F.lit(1)).withColumn("kind", F.lit("boundary")).withColumn("score", F.lit(None).cast("double"))
+    own = materialize(own, "general")
+    some = rows.filter((F.col("kind") == "boundary") & (F.col("heading") != GENERAL)).join(mine, (F.col("facet") == F.col("_facet")) & (F.col("path") == F.col("_path")))
+    some = some.withColumn("rank", F.row_number().over(W.partitionBy("facet", "of").orderBy(F.col("score").desc(), "line_start"))).filter("rank <= 2")
+    has = F.broadcast(own.select(F.col("facet").alias("_f"), F.col("of").alias("_of")))  # a row a primary at most
+    some = some.join(has, (F.col("facet") == F.col("_f")) & (F.col("of") == F.col("_of")), "left").filter(F.col("_of").isNull() | (F.col("rank") == 1))
+    some = some.withColumn("rank", F.col("rank") + F.when(F.col("_of").isNull(), 0).otherwise(1))
+    columns = ["facet", "rank", "id", "of", "path", "heading", "kind", "score", "text"]
+    return own.select(*columns).unionByName(some.select(*columns)).withColumn("role", F.lit("boundary"))
+
+
+def _fitted(out: DataFrame, most: int) -> DataFrame:
+    """The rows of a pack with excerpts as far as ``most`` characters of JSON go; a few rows for each facet."""
+    turn = F.when(F.col("role") == "primary", 0).when(F.col("role") == "support", 1).when(F.col("role") == "boundary", 2).otherwise(3)
+    out = out.withColumn("place", F.row_number().over(W.orderBy(turn, "facet", "of", "rank", "id"))).withColumn("pack", F.lit(0))
+    fields = ["facet", "role", "rank", "id", "of", "path", "heading", "kind", "score"]
+    full = F.length(F.to_json(F.struct(*fields, F.col("text").alias("excerpt"))))
+    short = F.length(F.to_json(F.struct(*fields, F.lit("").alias("excerpt"), F.lit(True).alias("read_required")))) + CONTINUATION
+    shown = F.col("role") != "alternative"
+    out = out.withColumn("size", F.when(shown, full).otherwise(short).cast("long")).withColumn("gain", (full - short).cast("long"))
+    out = materialize(out.withColumn("len", F.when(shown, F.length("text")).otherwise(0).cast("long")), "sized")
+    over = materialize(budget.excess(out.groupBy("pack").agg(F.sum("size").alias("size")), ["pack"], "size", most), "over")
+    out = budget.deferred(out, over, ["pack"], "place", "len", "gain").withColumn("read_required", F.col("deferred") | (F.col("role") == "alternative"))
+    return out.select(*fields, F.when(~F.col("read_required"), F.col("text")).alias("excerpt"), "read_required").orderBy("place")
+
+
+def pack_counts(notes: DataFrame, packed: DataFrame, questions: list[str]) -> DataFrame:
+    """(facet, status, primaries, supporting, boundaries, alternatives, source_gap) of each question of a pack: gap or
+    needs_review, and whether neither a supporting block nor a primary is of a source."""
+    spark = packed.sparkSession
+    every = spark.createDataFrame([(i,) for i in range(len(questions))], "facet int")
+    kinds = notes.select(F.col("path").alias("_path"), prop("类型").isin(*SOURCE_NOTES).alias("source"))
+    got = packed.join(kinds, F.col("path") == F.col("_path"), "left")
+    n = lambda role: F.count_if(F.col("role") == role)
+    sound = F.bool_or((F.col("role") == "support") | ((F.col("role") == "primary") & F.coalesce("source", F.lit(False))))
+    got = got.groupBy(F.col("facet").alias("_facet")).agg(n("primary").alias("primaries"), n("support").alias("supporting"), n("boundary").alias("boundaries"), n("alternative").alias("alternatives"), sound.alias("sound"))
+    out = every.join(got, F.col("facet") == F.col("_facet"), "left")
+    zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("primaries", "supporting", "boundaries", "alternatives")]
+    status = F.when(F.coalesce("primaries", F.lit(0)) > 0, "needs_review").otherwise("gap")
+    return out.select("facet", status.alias("status"), *zero, (~F.coalesce("sound", F.lit(False))).alias("source_gap"))
 
 
 def dependencies(notes: DataFrame) -> DataFrame:

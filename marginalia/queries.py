@@ -206,14 +206,14 @@ def block_score(spark: SparkSession, sf: str) -> DataFrame:
 # --- the note engine: documents written as notes, read by the note parser --------------------------------------------
 
 
-def _notes(spark: SparkSession, sf: str, extra: str = "''", keep: str = "true") -> DataFrame:
+def _notes(spark: SparkSession, sf: str, extra: str = "''", keep: str = "true", below: str = "''") -> DataFrame:
     """Documents as topic notes: their source is the category, their text the one section of methods.
 
-    ``extra`` is a SQL expression for further lines of the header, each with its line break.
+    ``extra`` is a SQL expression for further lines of the header, each with its line break, ``below`` for sections behind.
     """
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").filter(keep)
     head = F.concat(F.lit("---\n类型: 主题笔记\n分类: "), F.coalesce("source", F.lit("")), F.lit("\n"), F.expr(extra), F.lit("---\n# "))
-    note = F.concat(head, F.col("doc_id").cast("string"), F.lit("\n## 知识单元\n"), F.coalesce("text", F.lit("")), F.lit("\n"))
+    note = F.concat(head, F.col("doc_id").cast("string"), F.lit("\n## 知识单元\n"), F.coalesce("text", F.lit("")), F.lit("\n"), F.expr(below))
     d = d.select(F.concat(F.lit("notes/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), note.alias("note")).withColumn("doc_hash", F.sha2("note", 256))
     return d.withColumn("n", notes.parse_note("path", "doc_hash", "note")).select("path", "doc_hash", "n.*")
 
@@ -342,6 +342,43 @@ def notes_followup(spark: SparkSession, sf: str) -> DataFrame:
     return impact.withColumn("chain", F.array_join("chain", ">"))
 
 
+_FACETS = [["moron", "stupid", "idiot", "scum"], ["tion", "ing", "auf"], ["zzzzzz", "qqqqqq"]]
+_LIMITS = """concat(case when doc_id % 2 = 1 then '## 适用边界\\nLimits of this one.\\n' else '' end, case when doc_id % 3 > 0 then '## 风险\\nA stupid moron is a risk.\\n' else '' end)"""
+
+
+@query(
+    f"""WITH q AS (SELECT * FROM (VALUES {", ".join(f"({i}, {_list(t)})" for i, t in enumerate(_FACETS))}) v(facet, terms)), t AS (SELECT facet, unnest(terms) AS term FROM q),
+    d AS (SELECT DISTINCT doc_id, 'notes/' || doc_id || '.md' AS path, regexp_replace(regexp_replace(coalesce(text, ''), '^(\\s*\\n)+', ''), '(\\n\\s*)+$', '') AS text FROM documents),
+    b AS (SELECT doc_id, path, 1 AS k, '知识单元' AS heading, 'method' AS kind, text FROM d WHERE regexp_matches(text, '[^\\s]')
+    UNION ALL SELECT doc_id, path, 2, '适用边界', 'boundary', 'Limits of this one.' FROM d WHERE doc_id % 2 = 1 UNION ALL SELECT doc_id, path, 3, '风险', 'boundary', 'A stupid moron is a risk.' FROM d WHERE doc_id % 3 > 0),
+    l AS (SELECT *, lower(replace(text, 'ß', 'ss')) AS t FROM b), n AS (SELECT count(*) AS n FROM b),
+    f AS (SELECT facet, term, (SELECT count(*) FROM l WHERE contains(l.t, term)) AS df FROM t), w AS (SELECT facet, term, CASE WHEN df = 0 THEN 0.0 ELSE (ln((n + 1) / (df + 1)) + 0.35) * (1 + 0.35 * least(greatest(length(term) - 2, 0), 2)) END::DOUBLE AS w FROM f, n),
+    z AS (SELECT facet, sum(w) AS whole FROM w GROUP BY 1),
+    s AS (SELECT w.facet, doc_id, path, k, heading, kind, text, sum(w.w) / any_value(whole) / (1 + 0.08 * ln(1 + length(text) / 500.0)) AS base, count(*) AS hits FROM l JOIN w ON contains(l.t, w.term) JOIN z ON z.facet = w.facet GROUP BY 1, 2, 3, 4, 5, 6, 7),
+    c AS (SELECT *, CASE WHEN kind = 'boundary' THEN base * 0.45 ELSE base END AS score FROM s WHERE hits >= 2 AND base >= 0.025),
+    r AS (SELECT *, row_number() OVER (PARTITION BY facet ORDER BY score DESC, path) AS rank, max(score) OVER (PARTITION BY facet) AS top FROM c WHERE kind <> 'boundary'),
+    m AS (SELECT *, CASE WHEN rank = 1 OR (rank = 2 AND score >= 0.7 * top) THEN 'primary' ELSE 'alternative' END AS role FROM r WHERE rank <= 4), p AS (SELECT facet, doc_id, path FROM m WHERE role = 'primary'),
+    u AS (SELECT c.*, p.path AS of, row_number() OVER (PARTITION BY c.facet, p.path ORDER BY score DESC, c.path, k) AS rank FROM p JOIN c ON c.facet = p.facet AND p.doc_id >= 7 AND c.doc_id = p.doc_id // 7),
+    g AS (SELECT p.facet, p.path AS of, b.* FROM p JOIN b ON b.doc_id = p.doc_id AND k = 2), x AS (SELECT c.*, p.path AS of, p.doc_id % 2 = 1 AS general FROM p JOIN c ON c.facet = p.facet AND c.doc_id = p.doc_id AND c.k = 3)
+    SELECT facet, role, rank::INT AS rank, CASE WHEN role = 'primary' THEN path END AS of, path, heading, kind, round(score, 6) AS score, length(text)::INT AS chars FROM m
+    UNION ALL SELECT facet, 'support', 1, of, path, heading, kind, round(score, 6), length(text) FROM u WHERE rank = 1
+    UNION ALL SELECT facet, 'boundary', 1, of, path, heading, kind, NULL, length(text) FROM g UNION ALL SELECT facet, 'boundary', CASE WHEN general THEN 2 ELSE 1 END, of, path, heading, kind, round(score, 6), length(text) FROM x"""
+)
+def notes_review(spark: SparkSession, sf: str) -> DataFrame:
+    """A review pack for three questions: primaries, their supporting sources and boundaries, and alternatives."""
+    found = materialize(_notes(spark, sf, _PARENT, below=_LIMITS), "notes")
+    got = materialize(review.pack(found, [" ".join(t) for t in _FACETS], most=1 << 40), "pack")
+    whole = blocks_of(found)
+    of = got.filter("role = 'primary'").select(F.col("of").alias("_of"), F.col("path").alias("of_path")).distinct()
+    got = got.join(of, F.col("of") == F.col("_of"), "left").join(whole, "id", "left")
+    return got.select("facet", "role", "rank", F.col("of_path").alias("of"), "path", "heading", "kind", F.round("score", 6).alias("score"), "chars")
+
+
+def blocks_of(found: DataFrame) -> DataFrame:
+    """(id, chars) of the blocks of notes."""
+    return notes.blocks(found).select("id", F.length("text").alias("chars"))
+
+
 # --- paths, effects, integrity and budgets, by the library's operators -------------------------------------------------
 
 _PAGE_PATH = "regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/+$', '') || '.md'"
@@ -700,17 +737,14 @@ def link_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return graph.resolve_links(links, targets)
 
 
-_PAIRS = """e AS (SELECT DISTINCT l_suppkey % 50 AS a, l_partkey % 50 AS b FROM lineitem WHERE l_suppkey % 50 <> l_partkey % 50 AND l_linenumber = 1)"""
-
+_PAIRS = "e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem WHERE l_suppkey <> l_partkey)"
 
-def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "lineitem").filter("l_linenumber = 1").select((F.col("l_suppkey") % 50).alias("a"), (F.col("l_partkey") % 50).alias("b"))
-    return e.filter("a != b").distinct()
 
-
-@query(f"WITH {_PAIRS} SELECT a, b, EXISTS (SELECT 1 FROM e r WHERE r.a = e.b AND r.b = e.a) AS mutual FROM e")
+@query(f"WITH {_PAIRS} SELECT e.a, e.b, r.a IS NOT NULL AS mutual FROM e LEFT JOIN e r ON r.a = e.b AND r.b = e.a")
 def reciprocal_edges(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.reciprocal(_pairs(spark, sf))
+    """Suppliers and parts as nodes of one graph, by their numbers."""
+    e = table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b"))
+    return graph.reciprocal(e.filter("a != b"))
 
 
 @query(
@@ -760,23 +794,25 @@ def impact_propagation(spark: SparkSession, sf: str) -> DataFrame:
     return got.withColumn("chain", F.array_join("chain", ">"))
 
 
-_RING = """g AS (SELECT DISTINCT n_nationkey::BIGINT AS a, ((n_nationkey * 7 + 3) % 25)::BIGINT AS b FROM nation UNION SELECT n_nationkey, n_nationkey + 1 FROM nation WHERE n_nationkey % 6 < 3 AND n_nationkey < 24),
-walk AS (SELECT a, b FROM g UNION SELECT walk.a, g.b FROM walk JOIN g ON walk.b = g.a)"""
-
-
-def _ring(spark: SparkSession, sf: str) -> DataFrame:
-    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("a"))
-    return n.select("a", ((F.col("a") * 7 + 3) % 25).alias("b")).unionByName(n.filter("a % 6 < 3 and a < 24").select("a", (F.col("a") + 1).alias("b")))
-
-
-@query(f"WITH RECURSIVE {_RING} SELECT a, b FROM walk")
+@query(
+    """WITH RECURSIVE g AS (SELECT p_partkey AS a, p_partkey // 5 AS b FROM part WHERE p_partkey >= 5 UNION SELECT p_partkey, p_partkey // 2 FROM part WHERE p_partkey % 97 = 0),
+    walk AS (SELECT a, b FROM g UNION SELECT walk.a, g.b FROM walk JOIN g ON walk.b = g.a) SELECT a, b FROM walk"""
+)
 def dependency_closure(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.closure(_ring(spark, sf))
+    """Parts that are made of each other, by their numbers: pairs grow with the parts times the depth."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("a"))
+    return graph.closure(p.filter("a >= 5").selectExpr("a", "a div 5 as b").unionByName(p.filter("a % 97 = 0").selectExpr("a", "a div 2 as b")))
 
 
-@query(f"WITH RECURSIVE {_RING} SELECT a AS node FROM walk WHERE a = b")
+@query(
+    """WITH RECURSIVE g AS (SELECT p_partkey AS a, p_partkey // 10 * 10 + (p_partkey * 7 + 3) % 10 AS b FROM part WHERE p_partkey % 10 NOT IN (7, 9) UNION SELECT p_partkey, p_partkey // 10 FROM part WHERE p_partkey % 10 = 6),
+    walk AS (SELECT a, b FROM g UNION SELECT walk.a, g.b FROM walk JOIN g ON walk.b = g.a) SELECT DISTINCT a AS node FROM walk WHERE a = b"""
+)
 def cycle_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.cycle_nodes(_ring(spark, sf))
+    """Parts in rings of their ten, and ways from one ten to another that close none."""
+    p = table(spark, sf, "part").select(F.col("p_partkey").alias("a"))
+    ring = p.filter("a % 10 not in (7, 9)").selectExpr("a", "a div 10 * 10 + (a * 7 + 3) % 10 as b")
+    return graph.cycle_nodes(ring.unionByName(p.filter("a % 10 = 6").selectExpr("a", "a div 10 as b")))
 
 
 @query(

@@ -360,7 +360,7 @@ def test_review_packs_and_followups(library, spark):
     from marginalia.plans import review as V
 
     notes = library[0]
-    got = V.pack(notes, ["轴线混乱怎样恢复空间连续", "贝尔不等式"], budget=10).collect()
+    got = V.pack(notes, ["轴线混乱怎样恢复空间连续", "贝尔不等式"], most=10).collect()
     assert {r.facet for r in got} == {0} and got[0].path == "轴线与视线.md" and any(r.role == "primary" for r in got) and any(r.read_required for r in got)
     assert [(r.path, r.heading) for r in got if r.role == "boundary"] == [(p, "适用边界") for p in sorted({r.path for r in got if r.role == "primary"})]
     rows = [("a.md", "1", {"来源材料": ["[[s]]"]}, "A", "x"), ("s.md", "2", {}, "S", "y"), ("b.md", "3", {"调用知识": ["[[a|z]]"]}, "A", "y")]

@@ -254,3 +254,37 @@ def test_records_are_held_against_bytes_and_lines(spark):
     assert {r.source_id: r.bad_items for r in I.audited(frame, asked, notes, raw).collect()}["s1"] == 4
     lines = I.line_index(texts, "source_id").filter("source_id = 's1'").orderBy("line").collect()
     assert [text[x.start : x.end].decode() for x in lines] == text.decode().split("\n") == [x.text for x in lines]
+
+
+def test_packs_support_bound_and_fit(spark, tmp_path):
+    from marginalia.plans import review as V
+
+    note = lambda kind, links, body: f"---\n类型: {kind}\n来源材料:\n" + "".join(f'  - "[[{x}]]"\n' for x in links) + f"---\n{body}\n"
+    files = {
+        "顶.md": note("主题笔记", ["源", "顶", "无"], "# 顶\n## 知识单元\n轴线混乱时恢复空间连续的方法：先核对轴线与空间连续。\n## 适用边界\n一般限制。\n## 适用边界\n又一条。\n## 风险\n轴线混乱的风险与空间连续。\n## 反例\n轴线混乱与空间连续的反例，轴线混乱。\n## 误区\n毫不相干。"),
+        "次.md": note("主题笔记", [], "# 次\n## 知识单元\n轴线混乱时恢复空间连续的另一种方法：先核对轴线与空间连续。\n## 风险\n轴线混乱的风险与空间连续。\n## 反例\n轴线混乱与空间连续的反例，恢复。\n## 误区\n轴线混乱与空间连续的误区。"),
+        "源.md": note("来源笔记", [], "# 源\n## 记录\n轴线混乱与空间连续的来源记录。\n## 别的\n轴线混乱，空间连续，恢复。"),
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(re.sub("轴线混乱[^。]*。", lambda m: m[0] + "镜头与方向。", text))
+    found = N.notes(spark, str(tmp_path))[0].cache()
+    questions = ["轴线混乱怎样恢复空间连续", "贝尔不等式"]
+    rows = V.pack(found, questions, most=1 << 30).collect()
+    assert {r.facet for r in rows} == {0}
+    primaries = {r.id: r.path for r in rows if r.role == "primary"}
+    assert all((r.of in primaries) == (r.role != "alternative") for r in rows)
+    support = [r for r in rows if r.role == "support"]
+    assert all(r.path == "源.md" and primaries[r.of] == "顶.md" for r in support) and len(support) == ("顶.md" in primaries.values())
+    for of, path in primaries.items():
+        limits = sorted((r.rank, r.heading) for r in rows if r.role == "boundary" and r.of == of)
+        if path == "顶.md":
+            assert limits[0] == (1, "适用边界") and len(limits) == 2 and limits[1][1] in ("风险", "反例")
+            assert next(r.excerpt for r in rows if r.role == "boundary" and r.of == of and r.rank == 1) == "一般限制。"
+        elif path == "次.md":
+            assert len(limits) == 2 and "适用边界" not in {h for _, h in limits}
+    assert all((r.excerpt is None) == r.read_required == (r.role == "alternative") for r in rows)
+    counts = V.pack_counts(found, V.pack(found, questions, most=1 << 30), questions).orderBy("facet").collect()
+    assert [(c.status, c.source_gap) for c in counts] == [("needs_review", False), ("gap", True)]
+    longest = sorted((len(r.excerpt) for r in rows if r.excerpt), reverse=True)
+    tight = V.pack(found, questions, most=100).collect()
+    assert [r.id for r in tight] == [r.id for r in rows] and all(r.excerpt is None or len(r.excerpt) <= longest[0] for r in tight)
