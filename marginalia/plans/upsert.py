@@ -1,18 +1,21 @@
 """Previewed writes of note tables: a plan with digests, applied only if nothing has changed since.
 
-A library is a table (path, text) in versions ``v=0, 1, …`` below one root; the largest number in ``pointers`` names the
-live one. A plan lists the rows that change with the digests before and after; its id covers all of it. Applying writes
-the next version whole and then its pointer, so readers see the old or the new library. What a crashed write has left
-above the live version is no one's, and the next write replaces it.
+A library is a table (path, text) in versions below one root; the largest number in ``pointers`` names the live one and its
+folder. A plan lists the rows that change with the digests before and after; its id covers all of it. Applying writes
+the next version whole, in a folder of its own, and then its pointer, which only one writer can create: readers see the
+old or the new library, and of two writers one fails. What a crashed or beaten write has left is no one's.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.operators.diff import fingerprint
-
+from marginalia.plans.storage import create_once, listed, read_text
 
 
 def with_block(text: str, key: str, block: str):
@@ -46,22 +49,24 @@ class Library:
         self.spark, self.root = spark, root.rstrip("/")
 
     def version(self) -> int:
-        pointers = self.spark.read.schema("v int").json(f"{self.root}/pointers")
-        return pointers.agg(F.max("v")).first()[0]
+        """The live version, or -1."""
+        return max((int(n.removesuffix(".json")) for n in listed(self.spark, f"{self.root}/pointers") if n.endswith(".json")), default=-1)
 
     def read(self) -> DataFrame:
-        return self.spark.read.schema("path string, text string").parquet(f"{self.root}/v={self.version()}")
+        folder = json.loads(read_text(self.spark, f"{self.root}/pointers/{self.version()}.json"))["folder"]
+        return self.spark.read.schema("path string, text string").parquet(f"{self.root}/{folder}")
 
     def create(self, rows: DataFrame) -> None:
         """The first version; raises ValueError if the library is there already."""
-        target = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/pointers/_SUCCESS")
-        if target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        if self.version() >= 0:
             raise ValueError("the library exists")
         self._write(rows, 0)
 
     def _write(self, rows: DataFrame, version: int) -> None:
-        rows.select("path", "text").write.mode("overwrite").parquet(f"{self.root}/v={version}")
-        self.spark.createDataFrame([(version,)], "v int").coalesce(1).write.mode("append").json(f"{self.root}/pointers")
+        folder = f"v={version}-{uuid.uuid4().hex}"
+        rows.select("path", "text").write.parquet(f"{self.root}/{folder}")
+        if not create_once(self.spark, f"{self.root}/pointers/{version}.json", json.dumps({"v": version, "folder": folder})):
+            raise ValueError("the library has changed")
 
     def apply(self, plan: DataFrame, expected: str) -> int:
         """The new version; raises ValueError, and writes nothing, if the plan or the library is another by now."""

@@ -6,6 +6,7 @@ TPC-H-like tables an entity graph and manifests, conversations transcripts and e
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,12 @@ from pyspark.sql.window import Window as W
 from marginalia.functions import text as X
 from marginalia.functions.similarity import similarity_to
 from marginalia.operators import audit, containment, diff, graph, integrity, intervals, ranking, rules
-from marginalia.plans import budget, evaluate, retrieve, review
-from marginalia.plans.storage import materialize
+from marginalia.plans import budget, evaluate, lookups, retrieve, review
+from marginalia.plans.deltas import NoteIndex
+from marginalia.plans.storage import materialize, work_dir
 from marginalia.session import table
 from marginalia.sources import notes
+from marginalia.streaming.changes import ChangeFeed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -416,6 +419,61 @@ def path_resolution(spark: SparkSession, sf: str) -> DataFrame:
     return graph.resolve_paths(links, c.select("path", (F.col("page_id") % 5 != 0).alias("indexed")))
 
 
+@query(
+    f"""WITH c AS (SELECT page_id, {_PAGE_PATH} AS path FROM pages), s AS (SELECT *, string_split(path, '/')[-1] AS name, string_split(path, '/')[1] AS host FROM c),
+    l AS (SELECT path AS origin, name AS raw FROM s UNION SELECT path, host || '/nowhere' FROM s WHERE page_id % 4 = 0 UNION SELECT path, 'x' || name FROM s WHERE page_id % 3 = 0),
+    u AS (SELECT name, count(*) AS n, min(path) AS path FROM s GROUP BY 1), t AS (SELECT s.path AS origin, x.path AS target FROM s JOIN s x ON x.page_id = s.page_id // 2),
+    e AS (SELECT DISTINCT origin, target FROM t WHERE origin <> target), lost AS (SELECT origin AS path, count(*) AS n FROM l WHERE raw <> string_split(origin, '/')[-1] GROUP BY 1)
+    SELECT c.path, (SELECT count(*) FROM e WHERE e.origin = c.path)::BIGINT AS links, (SELECT count(*) FROM e WHERE e.target = c.path)::BIGINT AS backlinks, coalesce(lost.n, 0)::BIGINT AS unresolved,
+    NOT EXISTS (SELECT 1 FROM e WHERE e.target = c.path) AS orphan, NOT EXISTS (SELECT 1 FROM e WHERE e.origin = c.path) AS dead_end FROM (SELECT DISTINCT path FROM c) c LEFT JOIN lost ON lost.path = c.path"""
+)
+def note_graph(spark: SparkSession, sf: str) -> DataFrame:
+    """Links, backlinks, orphans, dead ends and unresolved links of pages that link to themselves, to others and nowhere."""
+    c = table(spark, sf, "pages").select("page_id", F.expr(_PAGE_PATH).alias("path"))
+    parts = F.split("path", "/")
+    name = F.element_at(parts, -1)
+    to = c.select(F.col("page_id").alias("_id"), F.col("path").alias("_to"))
+    rows = c.join(to, F.col("page_id").cast("long") == F.col("_id") * 2).select("path", "_to").unionByName(c.join(to, F.col("page_id").cast("long") == F.col("_id") * 2 + 1).select("path", "_to"))
+    links = c.select(F.col("path").alias("origin"), name.alias("raw")).unionByName(c.filter("page_id % 4 = 0").select(F.col("path").alias("origin"), F.concat(parts[0], F.lit("/nowhere")).alias("raw")))
+    links = links.unionByName(c.filter("page_id % 3 = 0").select(F.col("path").alias("origin"), F.concat(F.lit("x"), name).alias("raw"))).unionByName(rows.select(F.col("path").alias("origin"), F.col("_to").alias("raw")))
+    links = materialize(links.select(F.struct("origin", "raw").alias("link_id"), "raw", "origin").distinct().withColumn("link_id", F.to_json("link_id")), "links")
+    got = graph.resolve_paths(links, c.select("path", F.lit(True).alias("indexed"))).join(links.select("link_id", "origin"), "link_id")
+    return lookups.note_graph(c, got)
+
+
+@query(
+    """WITH d AS (SELECT DISTINCT 'notes/' || doc_id AS path, lower(text) AS t FROM documents WHERE doc_id % 11 <> 0 AND text IS NOT NULL)
+    SELECT path, len(list_distinct(list_transform(range(1, greatest(length(t) - 1, 1)), lambda i: substr(t, i, 3))))::INT AS n_grams, contains(t, 'the ') AS found FROM d"""
+)
+def index_by_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """An inverted table of an older state of the documents, brought to the present one by what differs, and a search in it."""
+    d = table(spark, sf, "documents").filter("text is not null").select("doc_id", F.concat(F.lit("notes/"), "doc_id").alias("path"), "text").distinct()
+    now = d.filter("doc_id % 11 != 0").withColumn("doc_hash", F.sha2("text", 256))
+    then = d.filter("doc_id % 13 != 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("old "), "text")).otherwise(F.col("text"))).withColumn("doc_hash", F.sha2("text", 256))
+    index = NoteIndex(spark, f"{work_dir(spark)}/index-{uuid.uuid4().hex}")
+    index.update(then, F.col("text"))
+    index.update(now, F.col("text"))
+    hits = lookups.find(index, now, "the ").select(F.col("path").alias("_path"))
+    got = index.table.read().join(hits, F.col("path") == F.col("_path"), "left")
+    return got.select("path", F.size("grams").alias("n_grams"), F.col("_path").isNotNull().alias("found"))
+
+
+@query(
+    """WITH e AS (SELECT user_id::VARCHAR AS key, event_id AS seq, CASE WHEN value < 5 THEN NULL ELSE event_type END AS hash FROM events WHERE user_id IS NOT NULL)
+    SELECT key, max(seq) AS seq, arg_max(struct_pack(hash), seq).hash AS hash, true AS pending, arg_max(struct_pack(hash), seq).hash AS pending_hash FROM e GROUP BY 1"""
+)
+def change_feed(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as changes of their users, in three batches out of order, the second of which comes twice; and what waits for review."""
+    e = table(spark, sf, "events").filter("user_id is not null")
+    e = e.select(F.col("user_id").cast("string").alias("key"), F.col("event_id").alias("seq"), F.when(F.col("value") < 5, None).otherwise(F.col("event_type")).alias("hash"))
+    feed = ChangeFeed(spark, f"{work_dir(spark)}/feed-{uuid.uuid4().hex}")
+    for batch, third in ((0, 1), (1, 0), (1, 0), (2, 2)):
+        feed(e.filter(F.col("seq") % 3 == third), batch)
+    waits = feed.pending().select(F.col("key").alias("_key"), F.col("hash").alias("pending_hash"))
+    got = feed.state(2).join(waits, F.col("key") == F.col("_key"), "left")
+    return got.select("key", "seq", "hash", F.col("_key").isNotNull().alias("pending"), "pending_hash")
+
+
 @query(
     """WITH RECURSIVE n AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 11 <> 0), b AS (SELECT DISTINCT doc_id FROM documents WHERE doc_id % 13 <> 0),
     now AS (SELECT doc_id AS dependent, doc_id // 7 AS dependency, true AS current FROM n WHERE doc_id >= 7 UNION SELECT doc_id, doc_id // 3, true FROM n WHERE doc_id % 17 = 0 AND doc_id > 0),
