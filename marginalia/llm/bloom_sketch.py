@@ -132,7 +132,10 @@ def dealt(a: Column, b: Column, parts: Column) -> Column:
 
 
 def recovered(a: Column, b: Column) -> Column:
-    """(d, attempt): how many digests two sets differ in, by larger and larger sketches, and how many attempts it took."""
+    """(d, attempt): how many digests two sets differ in, by larger and larger sketches, and how many attempts it took.
+
+    A part that not even the last attempt peels, half a million cells for about PART digests, counts as different whole.
+    """
     parts = F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.size(a) + F.size(b), F.lit(1)) / float(PART)))).cast("long")
     start = F.struct(F.lit(0).alias("d"), F.lit(0).alias("attempt"), dealt(a, b, F.greatest(parts, F.lit(1).cast("long"))).alias("left"))
     again = lambda items: F.transform(items, lambda d: F.xxhash64(d))
@@ -156,8 +159,8 @@ def recovered(a: Column, b: Column) -> Column:
         return F.when(F.size(s["left"]) == 0, s).otherwise(once(tried, after))
 
     def result(s: Column) -> Column:
-        stuck = F.raise_error(F.lit("a sketch could not be peeled")).cast("int")
-        return F.struct(F.when(F.size(s["left"]) == 0, s["d"]).otherwise(stuck).alias("d"), s["attempt"].alias("attempt"))
+        stuck = F.aggregate(s["left"], s["d"], lambda n, p: n + F.size(p["a"]) + F.size(p["b"]))
+        return F.struct(stuck.alias("d"), s["attempt"].alias("attempt"))
 
     return F.aggregate(F.array(*map(F.lit, range(1, ATTEMPTS + 1))), start, attempt, result)
 

@@ -68,6 +68,15 @@ def pieces(text):
     return set(re.findall(r"(?:[^\s]+[^\S\n]*){1,32}", text, re.A))
 
 
+def test_a_sketch_that_is_never_peeled_counts_as_different(spark, monkeypatch):
+    monkeypatch.setattr(bloom_sketch, "ATTEMPTS", 1)
+    monkeypatch.setattr(bloom_sketch, "CELLS", 2)
+    rows = [(list(range(0, n)), list(range(k, n + k))) for n, k in ((300, 250), (40, 3), (0, 0), (5, 0))]
+    got = spark.createDataFrame(rows, "a array<bigint>, b array<bigint>").select("a", "b", bloom_sketch.recovered(F.col("a"), F.col("b")).alias("r")).collect()
+    true = [len(set(x.a) ^ set(x.b)) for x in got]
+    assert all(t <= x.r.d <= len(x.a) + len(x.b) for t, x in zip(true, got, strict=True)) and got[0].r.d > true[0]
+
+
 def test_sketch_compares_every_pair(spark, docs, tmp_path):
     clean = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
     save(clean, tmp_path / "documents.parquet")
