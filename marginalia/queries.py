@@ -15,7 +15,7 @@ from pyspark.sql.window import Window as W
 
 from marginalia.functions import text as X
 from marginalia.functions.similarity import similarity_to
-from marginalia.operators import audit, containment, diff, graph, integrity, intervals, ranking, rules
+from marginalia.operators import audit, cards, containment, diff, graph, integrity, intervals, ranking, rules
 from marginalia.plans import budget, evaluate, lookups, retrieve, review
 from marginalia.plans.deltas import NoteIndex
 from marginalia.plans.storage import materialize, work_dir
@@ -575,6 +575,50 @@ def budget_packs(spark: SparkSession, sf: str) -> DataFrame:
     return budget.report(packs, links, materialize(items, "deferred"), ["source"], "size", "size", "gain", most)
 
 
+# --- text functions, totals and views, by the library's operators ------------------------------------------------------
+
+
+@query(
+    r"""WITH d AS (SELECT doc_id, text, string_split(text, chr(10))[1] AS head, strlen(text) AS n, left(text, 200) AS h FROM documents),
+    c AS (SELECT *, 200 - least(CASE WHEN instr(reverse(h), '。') > 0 THEN instr(reverse(h), '。') ELSE 201 END, CASE WHEN instr(reverse(h), '；') > 0 THEN instr(reverse(h), '；') ELSE 201 END,
+    CASE WHEN instr(reverse(h), chr(10)) > 0 THEN instr(reverse(h), chr(10)) ELSE 201 END) + 1 AS last FROM d)
+    SELECT doc_id, sha256(regexp_replace(lower(text), '[^0-9a-z一-鿿]+', '', 'g')) AS key, sha256(regexp_replace(lower(replace(text, 'ß', 'ss')), '[^0-9a-z一-鿿]+', '', 'g')) AS prompt_key,
+    CASE WHEN length(text) <= 200 THEN text WHEN last > 130 THEN rtrim(left(h, last)) ELSE rtrim(h) || '…' END AS clipped,
+    CASE WHEN n < 1024 THEN n || ' B' WHEN n < 1048576 THEN printf('%.1f KiB', floor(n / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.1f MiB', floor(n / 1048576.0 * 10 + 0.5) / 10) END AS size,
+    coalesce(nullif(rtrim(left(trim(regexp_replace(regexp_replace(head, '[<>:"/\\|?*\x00-\x1f]', ' ', 'g'), '\s+', ' ', 'g')), 80)), ''), 'untitled') AS name,
+    coalesce(TRY_CAST('2020-02-' || lpad((doc_id % 40)::VARCHAR, 2, '0') AS DATE), DATE '0001-01-01')::VARCHAR AS day,
+    CASE WHEN doc_id % 7 <= doc_id % 11 THEN array_to_string(list_concat(range(doc_id % 7, doc_id % 11 + 1), [3]), ' ') END AS pages,
+    '{"doc_id":' || doc_id || ',"lang":' || coalesce('"' || lang || '"', 'null') || ',"source":' || coalesce('"' || source || '"', 'null') || '}' AS json FROM c JOIN (SELECT DISTINCT doc_id, lang, source FROM documents) USING (doc_id)"""
+)
+def text_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys, clipped texts, sizes, file names, dates, ranges and canonical JSON of documents."""
+    d = table(spark, sf, "documents")
+    text = F.col("text")
+    day = X.date_or_least(F.concat(F.lit("2020-02-"), F.lpad((F.col("doc_id") % 40).cast("string"), 2, "0")))
+    ranges = X.page_ranges(F.concat((F.col("doc_id") % 7).cast("string"), F.lit("-"), (F.col("doc_id") % 11).cast("string"), F.lit(", 3")))
+    json = cards.rendered(d.select("doc_id", "lang", "source"), "doc_id").withColumnRenamed("doc_id", "_id")
+    rows = d.select(
+        "doc_id", F.sha2(X.text_key(text), 256).alias("key"), F.sha2(X.folded_key(text), 256).alias("prompt_key"), X.clip(text, 200).alias("clipped"), X.byte_size(F.octet_length(text)).alias("size"),
+        X.safe_name(F.split(text, "\n")[0]).alias("name"), day.cast("string").alias("day"), F.array_join(ranges.cast("array<string>"), " ").alias("pages"),
+    )
+    return rows.join(json, F.col("doc_id") == F.col("_id")).drop("_id")
+
+
+@query("SELECT count(*)::BIGINT AS file_count, coalesce(sum(strlen(text)), 0)::BIGINT AS total_bytes, count(*) FILTER (doc_id % 3 = 0)::BIGINT AS markdown_count FROM documents")
+def manifest_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as the files of a manifest, a third of them Markdown."""
+    name = F.concat(F.lit("x/"), "doc_id", F.when(F.col("doc_id") % 3 == 0, ".MD").otherwise(".txt"))
+    return cards.manifest_totals(table(spark, sf, "documents").select(name.alias("path"), F.octet_length("text").cast("long").alias("size")))
+
+
+@query("SELECT doc_id || '.md' AS name, 'notes' AS folder, 'problem ' || doc_id AS problem, CASE WHEN doc_id % 2 = 0 THEN 'one, two' END AS stages FROM documents WHERE source = 'src1'")
+def notes_topics_of(spark: SparkSession, sf: str) -> DataFrame:
+    """The topic notes of a category, with their folder and fields."""
+    header = "concat('解决问题: problem ', cast(doc_id as string), '\\n', case when doc_id % 2 = 0 then '适用阶段:\\n  - one\\n  - two\\n' else '' end)"
+    got = cards.topics_of(_notes(spark, sf, header), "src1")
+    return got.select("name", "folder", F.col("解决问题").alias("problem"), F.col("适用阶段").alias("stages"))
+
+
 # --- duplicates and containment ------------------------------------------------------------------------------------
 
 
