@@ -127,7 +127,7 @@ def _reviews(owner: Column, body: Column) -> Column:
     return F.col("review") & F.coalesce(some(owner, roles.REVIEWER) & ~foreign & (shared >= 2), F.lit(False))
 
 
-def _routed(routes: DataFrame, asked: DataFrame, terms: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _routed(routes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Routes as texts (row, text), and those rows with what is needed to weigh them later."""
     text = folded_lexical(F.concat_ws(" ", "category", "name", "stage", "enter", "order", "stop"))
     rows = routes.select("path", "position", "name", "targets", folded_key(F.col("stage")).alias("_stage"), text.alias("text"))
@@ -152,7 +152,7 @@ def retrieve_many(found: DataFrame, questions: DataFrame, limit: int = 3, routes
     texts = head.unionByName(body)
     every = texts.select("row", "text")
     if routes is not None:
-        route_texts, route_rows = _routed(routes, asked, terms)
+        route_texts, route_rows = _routed(routes)
         every = every.unionByName(route_texts)
     hit = materialize(matches(every, terms.select("term")), "matches")
     weighed = materialize(weights(hit, every, terms), "weights")
