@@ -5,11 +5,13 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOKEN = r"[^0-9a-z一-鿿]+"
+#: All but digits, small letters and CJK characters, written as what it holds: Java takes six times as long over the negation.
+TOKEN = r"[\x00-\x2F\x3A-\x60\x7B-" + "䷿ꀀ-\U0010ffff]+"
 
 
 def text_key(value: Column) -> Column:
@@ -22,15 +24,34 @@ def lexical_text(value: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(value), TOKEN, " "))
 
 
+#: Bytes of texts that a Python worker turns into its own strings at once, whatever the rows of a batch.
+PIECE = 1 << 20
+
+
+def pieces(texts: pa.Array, most: int = PIECE) -> Iterator[tuple[int, int]]:
+    """(start, stop) of the stretches that a batch's ``texts`` are worked on in: ``most`` bytes each, or one longer text."""
+    start = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > start and size + n > most:
+            yield start, i
+            start, size = i, 0
+        size += n + 64
+    yield start, len(texts)
+
+
 def folded(value: Column) -> Column:
-    """NFKC and full case folding, which no built-in has: an Arrow-batched function, for the texts of notes."""
+    """NFKC and full case folding, which no built-in has: an Arrow-batched function, for texts beyond ASCII. In ASCII that
+    is lower case, so no other text goes to Python; there it is folded in ``pieces``."""
 
-    @F.pandas_udf("string")
-    def fold(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("string")
+    def fold(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield batch.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v).casefold())
+            for start, stop in pieces(batch):
+                part = batch.slice(start, stop - start).to_pylist()
+                yield pa.array([None if v is None else unicodedata.normalize("NFKC", v).casefold() for v in part], pa.string())
 
-    return fold(value)
+    odd = F.octet_length(value) > F.length(value)
+    return F.when(odd, fold(F.when(odd, value))).otherwise(F.lower(value))
 
 
 def folded_key(value: Column) -> Column:
