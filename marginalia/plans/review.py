@@ -38,19 +38,28 @@ def kind_of(heading: Column) -> Column:
     return out
 
 
-def candidates(notes: DataFrame, question: Question) -> DataFrame:
-    """(id, path, heading, text, kind, score, own) of blocks that score LEAST_BLOCK before their kind is weighed."""
+def passages(notes: DataFrame) -> DataFrame:
+    """(id, path, heading, text, line_start, body, above, owner, lexical_owner) of the blocks that may answer, folded once for
+    all questions and written."""
     live = notes.filter(~F.coalesce(prop("状态").isin(*RETIRED), F.lit(False)))
     rows = blocks(live).filter(~F.col("routing_only"))
     body = folded_lexical(F.regexp_replace(F.concat_ws(" ", "heading", "text"), r"\[\[[^\]]*\]\]", " "))
     owner = F.concat_ws(" ", F.element_at(F.split("title", "｜"), -1), "heading")
     above = folded_lexical(F.concat_ws(" ", "title", F.array_join("parents", " ")))
     rows = rows.select("id", "path", "heading", "text", "line_start", body.alias("body"), above.alias("above"), owner.alias("owner"), folded_lexical(owner).alias("lexical_owner"))
+    return materialize(rows, "passages")
+
+
+def candidates(rows: DataFrame, question: Question) -> DataFrame:
+    """(id, path, heading, text, line_start, kind, score, own) of ``passages`` that score LEAST_BLOCK before their kind is
+    weighed."""
     rows = rows.filter(question.owned(F.col("owner"), F.col("lexical_owner"), F.col("body"), F.col("text"))).drop("owner", "lexical_owner")
     weights = term_weights(rows.select(F.col("body").alias("text")), question)
     if not any(weights.values()):
         return rows.limit(0).select("id", "path", "heading", "text", "line_start", F.lit("").alias("kind"), F.lit(0.0).alias("score"), F.lit(False).alias("own"))
-    rows = rows.withColumn("hits", ranking.matched(F.col("body"), question.terms)).withColumn("far", ranking.matched(F.col("above"), question.terms))
+    # the terms hit leave a generator, so that the filter below reads them and doesn't look for them again at each mention
+    met = F.struct(ranking.matched(F.col("body"), question.terms).alias("hits"), ranking.matched(F.col("above"), question.terms).alias("far"))
+    rows = rows.select("*", F.explode(F.array(met)).alias("met")).select("*", "met.*").drop("met")
     score = ranking.block_score(ranking.coverage(F.col("hits"), weights), ranking.coverage(F.array_except("far", "hits"), weights), F.length("text"))
     rows = rows.withColumn("base", score).withColumn("own", admissible(F.col("hits"), question, weights)).filter((F.col("base") >= LEAST_BLOCK) & F.col("own"))
     factor = F.lit(1.0)
@@ -74,9 +83,10 @@ def pack(notes: DataFrame, questions: list[str], most: int = BUDGET, limit: int
     """
     if not 0 < len(questions) <= FACETS:
         raise ValueError(f"1 to {FACETS} questions")
+    read = passages(notes)
     rows = None
     for i, q in enumerate(questions):
-        found = candidates(notes, Question(q)).withColumn("facet", F.lit(i))
+        found = candidates(read, Question(q)).withColumn("facet", F.lit(i))
         rows = found if rows is None else rows.unionByName(found)
     rows = materialize(rows, "candidates")
     best = [F.col("score").desc(), "path", "line_start"]
@@ -94,7 +104,7 @@ def pack(notes: DataFrame, questions: list[str], most: int = BUDGET, limit: int
 def _supporting(notes: DataFrame, rows: DataFrame, mine: DataFrame) -> DataFrame:
     """For each primary the best candidate of its facet in the notes that its note names as sources: two hops, topic to
     link and link to source."""
-    sources = dependencies(notes).filter(F.col("field") == SOURCES).select("dependent", "dependency")
+    sources = dependencies(notes, mine.select(F.col("_path").alias("path"))).filter(F.col("field") == SOURCES).select("dependent", "dependency")
     near = materialize(sources.join(mine, F.col("dependent") == F.col("_path")).filter("dependency != dependent").select("_facet", "of", "dependency").distinct(), "sources")
     out = rows.join(small(near), (F.col("facet") == F.col("_facet")) & (F.col("path") == F.col("dependency")))
     first = W.partitionBy("facet", "of").orderBy(F.col("score").desc(), "path", "line_start")
@@ -147,12 +157,14 @@ def pack_counts(notes: DataFrame, packed: DataFrame, questions: list[str]) -> Da
     return out.select("facet", status.alias("status"), *zero, (~F.coalesce("sound", F.lit(False))).alias("source_gap"))
 
 
-def dependencies(notes: DataFrame) -> DataFrame:
-    """(dependent, dependency, field) of declared links that name another note by path or by a title of its own."""
+def dependencies(notes: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(dependent, dependency, field) of declared links that name another note by path or by a title of its own; of the notes
+    ``of`` (path) alone, if given."""
     stem = F.element_at(F.split("key", "/"), -1)
     rows = None
+    own = notes if of is None else notes.join(of, "path", "left_semi")
     for f in DEPENDS_ON:
-        part = notes.select("path", F.explode(F.coalesce(F.col("props")[f], F.array().cast("array<string>"))).alias("v")).withColumn("field", F.lit(f))
+        part = own.select("path", F.explode(F.coalesce(F.col("props")[f], F.array().cast("array<string>"))).alias("v")).withColumn("field", F.lit(f))
         rows = part if rows is None else rows.unionByName(part)
     found = rows.select("path", "field", link_key(F.regexp_extract("v", r"\[\[([^\]|]+)", 1)).alias("key")).filter(F.col("key").isNotNull())
     found = found.select(F.struct("path", "field").alias("link_id"), F.col("key").alias("full"), F.lit(None).cast("string").alias("partial"), stem.alias("stem"))
@@ -162,14 +174,8 @@ def dependencies(notes: DataFrame) -> DataFrame:
     return hit.select(F.col("link_id.path").alias("dependent"), F.col("target_id").alias("dependency"), F.col("link_id.field").alias("field")).distinct()
 
 
-def followup(notes: DataFrame, before: DataFrame, edges: DataFrame | None = None, pending: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(changes, impact, issues) of notes against a checkpoint: (path, doc_hash) of its notes, the ``edges`` that
-    ``dependencies`` gave then, and the ``pending`` rows of impact that were not settled.
-
-    Impact starts at notes that were modified, removed or retired, over the dependencies declared now or then, and
-    names notes that are there; pending rows are carried over. Without ``edges`` nothing is known to have depended
-    on a removed note. Issues are broken links, notes of equal text, and titles that repeat.
-    """
+def effects(notes: DataFrame, before: DataFrame, edges: DataFrame | None = None, pending: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(changes, impact) of ``followup``, from the paths, hashes and properties of notes alone."""
     changes = diff.snapshot_diff(before, notes, "path", "doc_hash")
     retired = notes.filter(F.coalesce(prop("状态").isin(*RETIRED), F.lit(False))).select(F.col("path").alias("node"))
     seeds = changes.filter(F.col("kind").isin("modified", "removed")).select(F.col("path").alias("node")).unionByName(retired)
@@ -179,6 +185,18 @@ def followup(notes: DataFrame, before: DataFrame, edges: DataFrame | None = None
     impact = impact.select("trigger", "target", "depth", "chain")
     if pending is not None:
         impact = impact.unionByName(pending.select(*impact.columns).join(impact, ["trigger", "target"], "left_anti"))
+    return changes, impact
+
+
+def followup(notes: DataFrame, before: DataFrame, edges: DataFrame | None = None, pending: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(changes, impact, issues) of notes against a checkpoint: (path, doc_hash) of its notes, the ``edges`` that
+    ``dependencies`` gave then, and the ``pending`` rows of impact that were not settled.
+
+    Impact starts at notes that were modified, removed or retired, over the dependencies declared now or then, and
+    names notes that are there; pending rows are carried over. Without ``edges`` nothing is known to have depended
+    on a removed note. Issues are broken links, notes of equal text, and titles that repeat.
+    """
+    changes, impact = effects(notes, before, edges, pending)
     target = link_key(F.col("target"))
     links = blocks(notes).select("path", F.explode("links").alias("target")).select("path", "target", F.element_at(F.split(target, "/"), -1).alias("stem"))
     stems = notes.select(F.element_at(F.split(link_key(F.col("path")), "/"), -1).alias("stem")).distinct()
