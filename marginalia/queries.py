@@ -18,6 +18,7 @@ from marginalia.functions.similarity import similarity_to
 from marginalia.operators import audit, cards, containment, diff, graph, integrity, intervals, ranking, rules
 from marginalia.plans import budget, evaluate, lookups, retrieve, review
 from marginalia.plans.deltas import NoteIndex
+from marginalia.plans.skew import small
 from marginalia.plans.storage import materialize, work_dir
 from marginalia.session import table
 from marginalia.sources import notes
@@ -275,7 +276,8 @@ def _cases(spark: SparkSession, sf: str) -> DataFrame:
     a = materialize(d.filter("doc_id % 50 = 0").select("doc_id", longest.alias("ws")).filter(F.size("ws") >= 2), "asked")
     asked = a.select("doc_id", F.size("ws").alias("n"), F.explode("ws").alias("term"))
     texts = d.select(F.col("doc_id").cast("string").alias("row"), F.lower(F.replace("text", F.lit("ß"), F.lit("ss"))).alias("text"))
-    held = evaluate.matches(texts, asked.select("term").distinct()).join(asked, "term").groupBy("doc_id", "row").agg(F.count("*").alias("held"), F.first("n").alias("n"))
+    met = evaluate.matches(texts, asked.select("term").distinct()).repartition("row")  # a text's terms stand together: its pairs are counted there
+    held = met.join(small(materialize(asked, "asked")), "term").groupBy("doc_id", "row").agg(F.count("*").alias("held"), F.first("n").alias("n"))
     held = held.filter("held = n").groupBy("doc_id").agg(F.collect_list("row").alias("expected_top1"))
     asks = a.join(held, "doc_id", "left").select((F.col("doc_id") * 2).alias("question"), F.array_join("ws", " ").alias("text"), "expected_top1", F.lit(False).alias("expect_gap"))
     odd = F.array_join(F.transform("ws", lambda x: F.concat(F.lit("zq"), F.reverse(x), F.lit("qz"))), " ")
