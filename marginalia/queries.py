@@ -386,6 +386,14 @@ def blocks_of(found: DataFrame) -> DataFrame:
     return notes.blocks(found).select("id", F.length("text").alias("chars"))
 
 
+def _unrepeated(rows: DataFrame, key: str) -> DataFrame:
+    """Distinct ``rows``: those of keys that repeat alone are put together, no other text is moved."""
+    again = rows.groupBy(F.col(key).alias("_again")).agg(F.count("*").alias("n")).filter("n > 1").select("_again")
+    again = small(materialize(again, "again"))
+    same = F.col(key).eqNullSafe(F.col("_again"))
+    return rows.join(again, same, "left_anti").unionByName(rows.join(again, same, "left_semi").distinct())
+
+
 # --- paths, effects, integrity and budgets, by the library's operators -------------------------------------------------
 
 _PAGE_PATH = "regexp_replace(regexp_replace(regexp_replace(url, '^https?://', ''), '[?#].*$', ''), '/+$', '') || '.md'"
@@ -451,15 +459,15 @@ def note_graph(spark: SparkSession, sf: str) -> DataFrame:
 )
 def index_by_changes(spark: SparkSession, sf: str) -> DataFrame:
     """An inverted table of an older state of the documents, brought to the present one by what differs, and a search in it."""
-    d = table(spark, sf, "documents").filter("text is not null").select("doc_id", F.concat(F.lit("notes/"), "doc_id").alias("path"), "text").distinct()
+    d = _unrepeated(table(spark, sf, "documents").filter("text is not null").select("doc_id", F.concat(F.lit("notes/"), "doc_id").alias("path"), "text"), "doc_id")
     now = d.filter("doc_id % 11 != 0").withColumn("doc_hash", F.sha2("text", 256))
     then = d.filter("doc_id % 13 != 0").withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("old "), "text")).otherwise(F.col("text"))).withColumn("doc_hash", F.sha2("text", 256))
     index = NoteIndex(spark, f"{work_dir(spark)}/index-{uuid.uuid4().hex}")
     index.update(then, F.col("text"))
     index.update(now, F.col("text"))
     hits = lookups.find(index, now, "the ").select(F.col("path").alias("_path"))
-    got = index.table.read().join(hits, F.col("path") == F.col("_path"), "left")
-    return got.select("path", F.size("grams").alias("n_grams"), F.col("_path").isNotNull().alias("found"))
+    got = index.table.read().select("path", F.size("grams").alias("n_grams")).join(hits, F.col("path") == F.col("_path"), "left")
+    return got.select("path", "n_grams", F.col("_path").isNotNull().alias("found"))
 
 
 @query(
@@ -522,7 +530,7 @@ _LINE = "split(text, '\n')"
 )
 def source_integrity(spark: SparkSession, sf: str) -> DataFrame:
     """Records over documents as their own sources: stale notes and prefixes, missing and changed texts, wrong quotes."""
-    d = table(spark, sf, "documents").filter("text is not null").select("doc_id", "text").distinct().withColumn("source_id", F.concat(F.lit("s"), "doc_id")).withColumn("path", F.concat(F.lit("notes/"), "doc_id"))
+    d = _unrepeated(table(spark, sf, "documents").filter("text is not null").select("doc_id", "text"), "doc_id").withColumn("source_id", F.concat(F.lit("s"), "doc_id")).withColumn("path", F.concat(F.lit("notes/"), "doc_id"))
     note = F.concat("text", F.lit("\n"), F.when(F.col("doc_id") % 10 == 3, "").otherwise(F.concat(F.lit("<!-- source-evidence: "), "source_id", F.lit(" -->"))))
     line = F.split("text", "\n")
     d = d.withColumn("note", note).withColumn("first", line[0]).withColumn("second", F.try_element_at(line, F.lit(2)))
