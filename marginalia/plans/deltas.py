@@ -76,6 +76,10 @@ class DeltaTable:
         base = self._segment(entry["base"]).filter(cut) if entry["base"] else self.spark.createDataFrame([], T.StructType([*self.schema.fields, T.StructField("_bucket", T.IntegerType())]))
         if not entry["deltas"]:
             return base
+        if len(entry["deltas"]) == 1:  # its keys are unique: nothing is to be gathered
+            one = self._segment(entry["deltas"][0]).filter(cut)
+            kept = base.join(small(one.select(F.col(self.key).alias("_key"))), F.col(self.key) == F.col("_key"), "left_anti")
+            return kept.unionByName(one.filter("not _gone").drop("_gone"))
         deltas = None
         for i, name in enumerate(entry["deltas"]):
             one = self._segment(name).filter(cut).withColumn("_at", F.lit(i))
@@ -91,10 +95,14 @@ class DeltaTable:
 
     def of_keys(self, keys: DataFrame, number: int | None = None) -> DataFrame:
         """The rows of ``keys`` (the key's column), read from their buckets."""
+        return self._of(keys, self.entry(number), [F.col(f"`{c}`") for c in self.columns])
+
+    def _of(self, keys: DataFrame, entry: dict, columns: list[Column]) -> DataFrame:
+        """``columns`` of the rows of ``keys``; what they are made from isn't moved."""
         keys = materialize(keys.select(F.col(self.key).alias("_want")).distinct(), "keys")
         within = [r.b for r in keys.select(F.pmod(F.xxhash64("_want"), F.lit(self.buckets)).cast("int").alias("b")).distinct().collect()]  # numbers of buckets
-        rows = self._rows(self.entry(number), within)
-        return rows.join(small(keys), F.col(self.key) == F.col("_want"), "left_semi").select(*[F.col(f"`{c}`") for c in self.columns])
+        rows = self._rows(entry, within).select(F.col(self.key).alias("_own"), *columns)
+        return rows.join(small(keys), F.col("_own") == F.col("_want"), "left_semi").drop("_own")
 
     # --- writes
 
@@ -124,7 +132,8 @@ class DeltaTable:
             raise ValueError("a key has more than one row")
         after = {**entry, "batch": entry["batch"] if batch is None else batch}
         if size:
-            digests = self._digests(new.filter("not _gone"), 1) + self._digests(self.of_keys(new, number).withColumn("_bucket", self._bucket()), -1)
+            hashed = ["_bucket", self._hash().alias("_hash")]
+            digests = self._digests(new.filter("not _gone").select(*hashed), 1) + self._digests(self._of(new, entry, [F.col("_bucket"), hashed[1]]), -1)
             after["digests"] = list(entry["digests"])
             for bucket, change in digests:
                 after["digests"][bucket] = (after["digests"][bucket] + change) % (1 << 64)
@@ -135,8 +144,8 @@ class DeltaTable:
         return number + 1
 
     def _digests(self, rows: DataFrame, sign: int) -> list[tuple[int, int]]:
-        """(bucket, sum of the hashes of its rows); as many as there are buckets."""
-        return [(r["_bucket"], sign * int(r["s"])) for r in rows.groupBy("_bucket").agg(F.sum(self._hash()).alias("s")).collect()]
+        """(bucket, sum of its hashes) of (_bucket, _hash); as many as there are buckets."""
+        return [(r["_bucket"], sign * int(r["s"])) for r in rows.groupBy("_bucket").agg(F.sum("_hash").alias("s")).collect()]
 
     def _merged(self, entry: dict, number: int) -> dict:
         name = f"base-{number}-{uuid.uuid4().hex}"
