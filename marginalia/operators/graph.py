@@ -141,9 +141,14 @@ def cycle_nodes(edges: DataFrame) -> DataFrame:
 
 def reciprocal(edges: DataFrame) -> DataFrame:
     """(a, b, mutual) of directed edges (a, b): whether the edge back is there."""
-    e = edges.select("a", "b").distinct()
-    back = e.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("_m"))
-    return e.join(back, ["a", "b"], "left").select("a", "b", F.coalesce("_m", F.lit(False)).alias("mutual"))
+    # both ways of a pair are one group: nothing is joined or sorted, and a pair is one row of one hash table
+    ways = edges.select(F.least("a", "b").alias("_lo"), F.greatest("a", "b").alias("_hi"), (F.col("a") <= F.col("b")).alias("up"))
+    known = ways.filter("up is not null").groupBy("_lo", "_hi").agg(F.max("up").alias("up"), F.min("up").alias("down"))
+    both = (F.col("_lo") == F.col("_hi")) | (F.col("up") & ~F.col("down"))
+    sides = F.array(F.when(F.col("up"), F.struct(F.col("_lo").alias("a"), F.col("_hi").alias("b"))), F.when(~F.col("down"), F.struct(F.col("_hi").alias("a"), F.col("_lo").alias("b"))))
+    out = known.select(F.explode(F.filter(sides, lambda e: e.isNotNull())).alias("e"), both.alias("mutual")).select("e.*", "mutual")
+    lone = edges.select("a", "b").filter("a is null or b is null").distinct().withColumn("mutual", F.lit(False))
+    return out.unionByName(lone)
 
 
 def one_way(declared: DataFrame, citing: DataFrame) -> DataFrame:
