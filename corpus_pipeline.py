@@ -2,8 +2,8 @@
 
 Toxic documents go; later copies of repeated line runs are cut; of near-duplicates one stays; documents contaminated
 by the benchmark go; and the rest is mixed to the sources' target weights. Every stage works on all that the one
-before kept, at the settings of the operators' own queries, but for near-duplicates: ``op9`` links what is 2 bits
-apart, the stage here what has a Jaccard similarity of 0.8 or more in 5-word shingles. All stages but the last return
+before kept, at the settings of the operators' own queries. Near-duplicates are what ``op9`` links, 2 bits apart or less, and
+besides that what has a Jaccard similarity of 0.8 or more in 5-word shingles. All stages but the last return
 the columns of ``documents``.
 """
 
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import ftrl_toxicity, line_dedup, pareto_mix, positional_index, shingle_pairs
+from marginalia.llm import ftrl_toxicity, line_dedup, pareto_mix, positional_index, shingle_pairs, simhash_variants
 from marginalia.llm.common import read
 from marginalia.plans.storage import materialize, scratch
 
@@ -31,8 +31,10 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of the documents linked by a Jaccard similarity of 0.8 or more (5-word shingles) the one of the smallest id stays."""
-    return shingle_pairs.near_duplicates(docs.select(*COLUMNS))
+    """Of the documents that ``op9``'s fingerprints link, or a Jaccard similarity of 0.8 or more (5-word shingles), the one of
+    the smallest id stays; a component may have links of both."""
+    docs = docs.select(*COLUMNS)
+    return shingle_pairs.near_duplicates(docs, simhash_variants.grouped(docs))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

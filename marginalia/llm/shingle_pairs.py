@@ -267,13 +267,28 @@ def links(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.unionByName(verified(leftover(hot, found, docs, nodes), docs, nodes))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``docs`` less all rows but one of each component of texts with SIMILAR sets or more; ``docs`` is read several times."""
+def _among(rows: DataFrame, groups: DataFrame) -> DataFrame:
+    """Edges (a, b) that make the nodes of each group one component: all lead to its smallest node."""
+    own = rows.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), "node").distinct()
+    found = groups.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))).select("root", "node").distinct()
+    found = materialize(found, "grouped")
+    low = found.groupBy("root").agg(F.min("node").alias("a"), F.count("*").alias("n"))
+    return attach(found, low, "root", ["a"], "n", F.col("node")).filter("a != node").select("a", F.col("node").alias("b"))
+
+
+def near_duplicates(docs: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """``docs`` less all rows but one of each component of texts with SIMILAR sets or more; ``docs`` is read several times.
+
+    ``groups`` (doc_id, h, root), if given, links the rows of a root as well, h being the hash of a text.
+    """
     rows = signed(docs)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h", "size", "bands"))
     nodes = materialize(rows.groupBy("node").agg(best.alias("b")).select("node", "b.*"), "nodes")
 
-    linked = components(links(docs, nodes)).join(nodes.select("node", "none", "doc_id", "h"), "node")
+    edges = links(docs, nodes)
+    if groups is not None:
+        edges = materialize(edges.unionByName(_among(rows, groups)), "links")
+    linked = components(edges).join(nodes.select("node", "none", "doc_id", "h"), "node")
     linked = materialize(linked.select("node", "root", F.struct("none", "doc_id", "h").alias("id")), "linked")
     heads = linked.groupBy("root").agg(F.min("id").alias("head"), F.count("*").alias("m"))
     gone = attach(linked, heads, "root", ["head"], "m", F.col("node")).filter("id != head").select("node")

@@ -141,6 +141,12 @@ def rooted(rows: DataFrame) -> DataFrame:
     return fps.join(linked, "fp", "left")
 
 
+def grouped(docs: DataFrame, width: int = 3) -> DataFrame:
+    """(doc_id, h, root) of every row of ``docs``: rows of one root are those of one component."""
+    rows = materialize(with_fingerprints(docs, width), "fingerprints")
+    return attach(rows, rooted(rows).select("fp", "n", F.coalesce("root", "fp").alias("root")), "fp", ["root"], "n", F.col("doc_id")).select("doc_id", "h", "root")
+
+
 def near_duplicates(docs: DataFrame, width: int = 3) -> DataFrame:
     """``docs`` less all rows but one of each component: the one with the smallest doc_id, and of those of that id in the
     component the one of the smallest hash of its text. Other rows of the id are in components of their own."""
