@@ -1,14 +1,16 @@
 """Retrieval for a table of questions at once, and its evaluation against expected answers.
 
 One plan serves all questions, where ``retrieve`` is a plan for each. Notes are turned into an inverted table of their
-fields: windows of the folded texts, as long as the questions' terms, joined with these by equality. From it come the
-terms' document frequencies, for each question its candidate topics, those with terms enough to be admissible, and what
-each field of them hits, so that no text is read again or moved. Candidates are counted where a topic's rows stand
-together. They are scored by ``retrieve``'s rules, with the question's terms and weights as columns; the best of each
-question are cut before they are shuffled.
+fields: windows of the folded texts' distinct words, as long as the questions' terms, joined with these by equality. From
+it come the terms' document frequencies, for each question its candidate topics, those with terms enough to be
+admissible, and what each field of them hits, so that no text is read again or moved. Candidates are counted where a
+topic's rows stand together. Those that hit the same in all fields score the same, so that only the first of them by
+title go on (``_first``). They are scored by ``retrieve``'s rules, with the question's terms and weights as columns; the
+best of each question are cut before they are shuffled.
 
 Grams of the questions and their profiles are broadcast while they are small (both measured), else shuffled, where
-Spark splits the partitions of a frequent gram. Rows grow with matches, never with questions times notes.
+Spark splits the partitions of a frequent gram. Rows grow with matches, never with questions times notes, and what is
+counted of them is neither written nor, but for the first of their kind, shuffled.
 """
 
 from __future__ import annotations
@@ -30,6 +32,10 @@ from marginalia.plans.storage import materialize
 
 #: The longest windows that the inverted table has; longer terms are verified in the text.
 LONGEST = 20
+#: Rows of a narrow lookup (a term, a question, a path) that may be broadcast; its bytes have the bound of all others.
+NARROW_ROWS = 1_000_000
+#: Terms of a question that a mask has places for, and rows of matches that one task counts.
+MASK, COUNTED = 63, 2_000_000
 #: The thresholds of an evaluation.
 TOP1, HIT3, GAP, CHARS = 0.90, 0.95, 0.95, 4000
 
@@ -65,18 +71,25 @@ def matches(texts: DataFrame, terms: DataFrame) -> DataFrame:
     """(row, term) for every one of ``terms`` (term; distinct, of two characters or more) that a text of ``texts``
     (row, text; lexical) contains.
 
-    Windows have the lengths of the terms, up to LONGEST, and don't reach across white space where no term does, so that
-    equality is the verdict where the text is read. Only what begins like a longer term is verified in the text.
+    Windows have the lengths of the terms, up to LONGEST, so that equality is the verdict where the text is read. Where no
+    term has white space they are of a text's words, each looked at once, those that are shorter than all terms never.
+    Only what begins like a longer term is verified in the text.
     """
     book = terms.select("term", F.substring("term", 1, LONGEST).alias("gram"))
     book = materialize(book, "grams")
     lengths = book.groupBy(F.length("gram").alias("n")).agg(F.bool_or(F.rlike("term", F.lit(r"\s"))).alias("wide")).collect()  # LONGEST rows at most
     if not lengths:
         return texts.select("row", F.lit("").alias("term")).limit(0)
-    unit = "." if any(r.wide for r in lengths) else r"\S"
-    parts = [F.regexp_extract_all("text", F.lit(f"(?=({unit}{{{r.n}}}))"), F.lit(1)) for r in sorted(lengths)]
-    grams = texts.select("row", F.explode(F.array_distinct(F.concat(*parts))).alias("gram"))
-    found = grams.join(small(book), "gram").select("row", "term")
+    widths = sorted(r.n for r in lengths)
+    rows = texts
+    if any(r.wide for r in lengths):
+        parts = [F.regexp_extract_all("text", F.lit(f"(?=(.{{{n}}}))"), F.lit(1)) for n in widths]
+    else:
+        words = F.filter(F.array_distinct(F.split("text", " ")), lambda w: F.length(w) >= widths[0])
+        rows = texts.select("row", F.explode(F.array(words)).alias("words"))  # they leave a generator, so that they are made once
+        parts = [F.regexp_extract_all(F.array_join(F.filter("words", lambda w: F.length(w) >= n), " "), F.lit(rf"(?=(\S{{{n}}}))"), F.lit(1)) for n in widths]
+    grams = rows.select("row", F.explode(F.array_distinct(F.concat(*parts))).alias("gram"))
+    found = grams.join(small(book, NARROW_ROWS), "gram").select("row", "term")
     if not any(r.n == LONGEST for r in lengths):
         return found
     sure, open_ = found.filter(F.length("term") <= LONGEST), found.filter(F.length("term") > LONGEST)
@@ -154,45 +167,44 @@ def retrieve_many(found: DataFrame, questions: DataFrame, limit: int = 3, routes
     terms = asked.select(F.explode("terms").alias("term"), "generic").select("term", F.array_contains("generic", F.col("term")).alias("general"))
     terms = materialize(terms.groupBy("term").agg(F.bool_or("general").alias("general")), "terms")
     live = found.filter(~F.col("retired"))
-    body = live.select("path", F.posexplode("chunks").alias("k", "b"))
+    body = live.select("path", "title", F.posexplode("chunks").alias("k", "b"))
     field = lambda name, text: F.struct(F.lit(name).alias("field"), F.col(text).alias("text"))
-    head = live.select("path", F.lit(-1).alias("k"), F.explode(F.array(field("a", "lexical_title"), field("p", "lexical_problem"), field("u", "lexical_summary"))).alias("f"))
-    parts = head.unionByName(body.select("path", "k", F.explode(F.array(field("h", "b.lexical_heading"), field("t", "b.lexical_text"))).alias("f")))
-    texts = parts.select(F.struct("path", "k", "f.field").alias("row"), "f.text")
+    head = live.select("path", "title", F.lit(-1).alias("k"), F.explode(F.array(field("a", "lexical_title"), field("p", "lexical_problem"), field("u", "lexical_summary"))).alias("f"))
+    parts = head.unionByName(body.select("path", "title", "k", F.explode(F.array(field("h", "b.lexical_heading"), field("t", "b.lexical_text"))).alias("f")))
+    texts = parts.select(F.struct("path", "title", "k", "f.field").alias("row"), "f.text")
     every = live.select("path").unionByName(body.select("path"))
     if routes is not None:
         route_texts, route_rows = _routed(routes)
-        texts = texts.unionByName(route_texts.select(F.struct(F.col("row").alias("path"), F.lit(-2).alias("k"), F.lit("r").alias("field")).alias("row"), "text"))
+        texts = texts.unionByName(route_texts.select(F.struct(F.col("row").alias("path"), F.lit(None).cast("string").alias("title"), F.lit(-2).alias("k"), F.lit("r").alias("field")).alias("row"), "text"))
         every = every.unionByName(route_texts.select("row"), allowMissingColumns=True)
     hit = materialize(matches(texts, terms.select("term")).select("row.*", "term"), "matches")
     weighed = materialize(weights(hit.select("path", "k", "term").distinct(), every, terms), "weights")
 
     # profiles with their weights: as wide as a question has terms
-    w = asked.select("question", F.explode("terms").alias("term")).join(small(weighed), "term")
+    w = asked.select("question", F.explode("terms").alias("term")).join(small(weighed, NARROW_ROWS), "term")
     w = w.groupBy("question").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("weight"), F.sum("weight").alias("_sum"))
     asked = asked.join(w, "question").filter("_sum > 0").withColumn("whole", F.col("_sum")).drop("_sum")
     living = F.filter("terms", lambda t: F.col("weight")[t] > 0)
     asked = materialize(asked.withColumn("known", F.size(_specific(living))), "asked")
 
-    # of a topic's rows, that stand together: two terms of a question that aren't general, or one where one may do
-    pairs = asked.select("question", F.explode(F.array_except("terms", "generic")).alias("term"), ((F.col("known") < 2) | F.col("lookup")).alias("one"))
-    near = hit.filter("field != 'r'").select("path", "term").repartition("path").join(small(materialize(pairs, "pairs")), "term")
-    pairs = near.groupBy("path", "question").agg(F.min("term").alias("x"), F.max("term").alias("y"), F.max("one").alias("one"))
-    pairs = materialize(pairs.filter("one or x < y").select("question", "path"), "candidates")
-    met = pairs.join(hit.filter("field != 'r'"), "path").join(small(materialize(asked.select("question", F.explode("terms").alias("term")), "asked_terms")), ["question", "term"])
+    limit = min(max(limit, 1), R.MAX_RESULTS)
+    pairs = materialize(_first(hit.filter("field != 'r'"), asked, limit, routes is not None), "candidates")
+    near = small(pairs, NARROW_ROWS)
+    met = near.join(hit.filter("field != 'r'").drop("title"), "path").join(small(materialize(asked.select("question", F.explode("terms").alias("term")), "asked_terms"), NARROW_ROWS), ["question", "term"])
     met = met.groupBy("question", "path", "k").agg(*[F.collect_set(F.when(F.col("field") == f, F.col("term"))).alias(f"_{f}") for f in "apuht"])
     met = materialize(met, "met")
     asked = small(asked)
 
     owner = F.struct(_held(F.col("lexical_owner"), F.lit("")).alias("natural"))
-    heads = pairs.join(live.select("path", "title", "category", "stages", "lexical_owner").withColumn("o", owner).drop("lexical_owner"), "path")
+    heads = near.join(live.select("path", "title", "category", "stages", "lexical_owner").withColumn("o", owner).drop("lexical_owner"), "path")
     rows = heads.join(met.filter("k = -1").select("question", "path", "_a", "_p", "_u"), ["question", "path"], "left").join(asked, "question")
 
-    about = body.select(
-        "path", "k", "b.id", "b.heading", _held(F.col("b.lexical_owner"), F.lit("")).alias("natural"), _held(F.col("b.lexical_owner"), F.col("b.lexical_text")).alias("held"),
-        _reviewed(F.col("b.owner"), F.col("b.text")).alias("reviewed"),
-    )
-    chunk = pairs.join(about, "path").join(met.filter("k >= 0").select("question", "path", "k", "_h", "_t"), ["question", "path", "k"], "left")
+    # texts are only asked what they own where a question names an object
+    flags = {"natural": _held(F.col("b.lexical_owner"), F.lit("")), "held": _held(F.col("b.lexical_owner"), F.col("b.lexical_text")), "reviewed": _reviewed(F.col("b.owner"), F.col("b.text"))}
+    if asked.filter(F.size("foci") > 0).isEmpty():
+        flags = {"natural": F.lit(None).cast("array<string>"), "held": F.lit(None).cast("array<string>"), "reviewed": F.lit(None).cast("array<int>")}
+    about = body.select("path", "k", "b.id", "b.heading", *[c.alias(name) for name, c in flags.items()])
+    chunk = near.join(about, "path").join(met.filter("k >= 0").select("question", "path", "k", "_h", "_t"), ["question", "path", "k"], "left")
     chunk = chunk.join(met.filter("k = -1").select("question", "path", "_a"), ["question", "path"], "left").join(asked, "question")
     reviews = F.col("review") & F.coalesce(F.size(F.array_intersect("review_kinds", "reviewed")) >= 2, F.lit(False))
     chunk = chunk.filter(_owned("held") | reviews).withColumn("native", _owned("natural") | reviews)
@@ -222,7 +234,34 @@ def retrieve_many(found: DataFrame, questions: DataFrame, limit: int = 3, routes
     fits = (stage != "") & F.exists("stages", lambda s: F.contains(text_key(s), stage) | F.contains(stage, text_key(s)))
     bonus = F.when(F.coalesce(fits, F.lit(False)), R.STAGE_BONUS).otherwise(0) + F.when(F.array_contains("categories", F.col("category")), R.ROLE_BONUS).otherwise(0)
     out = out.withColumn("score", F.col("semantic") + F.when(F.col("semantic") >= R.BONUS_FROM, bonus).otherwise(0))
-    return _ranked(out, questions, min(max(limit, 1), R.MAX_RESULTS))
+    return _ranked(out, questions, limit)
+
+
+def _first(hit: DataFrame, asked: DataFrame, limit: int, routed: bool) -> DataFrame:
+    """(question, path) of the topics that can be among the ``limit`` best of a question.
+
+    They hit two terms that aren't general, or one where one may do. Of a question without objects, stage and categories
+    the terms that the fields hit decide the score: they are masks, one place a term, and of the topics that are alike in
+    all masks the first by title and path are the best. All topics are kept where more decides: routes, hits in several
+    passages, a question with more terms than a mask has places.
+    """
+    free = (F.size("foci") == 0) & (F.col("stage") == "") & (F.size("categories") == 0) & (F.size("terms") <= MASK) & F.lit(not routed)
+    slots = asked.select("question", "generic", ((F.col("known") < 2) | F.col("lookup")).alias("one"), free.alias("free"), F.posexplode("terms").alias("slot", "term"))
+    own = F.when(~F.array_contains("generic", F.col("term")), F.col("slot")).alias("own")
+    slots = materialize(slots.select("question", "term", "one", "free", own, F.expr("shiftleft(1L, slot)").alias("bit")), "slots")
+    # as many rows as a task can count, whatever the most frequent terms and the questions that share them
+    rows = hit.groupBy("term").agg(F.count("*").alias("n")).join(slots.groupBy("term").agg(F.count("*").alias("q")), "term").agg(F.sum(F.col("n") * F.col("q")).alias("rows")).first().rows
+    tasks = (rows or 0) // COUNTED + 1
+    hit = hit.repartition(tasks, "path") if tasks > int(hit.sparkSession.conf.get("spark.sql.shuffle.partitions")) else hit.repartition("path")
+    masks = [F.coalesce(F.bit_or(F.when(F.col("field") == f, F.col("bit"))), F.lit(0)).alias(f"_{f}") for f in "apuht"]
+    passage = F.when(F.col("k") >= 0, F.col("k"))
+    near = hit.join(small(slots, NARROW_ROWS), "term").groupBy("path", "title", "question", "one", "free")
+    near = near.agg(F.min("own").alias("lo"), F.max("own").alias("hi"), (F.min(passage) < F.max(passage)).alias("several"), *masks)
+    near = near.filter("lo is not null and (one or lo < hi)")
+    alike = F.when(~F.col("free") | F.coalesce("several", F.lit(False)), F.col("path")).alias("apart")
+    near = near.select("question", "path", "title", *[f"_{f}" for f in "apuht"], alike)
+    place = F.row_number().over(W.partitionBy("question", *[f"_{f}" for f in "apuht"], "apart").orderBy("title", "path"))
+    return near.withColumn("place", place).filter(F.col("place") <= limit).select("question", "path")
 
 
 def _by_route(hit: DataFrame, routes: DataFrame, asked: DataFrame) -> DataFrame:
@@ -259,9 +298,9 @@ def verdicts(answers: DataFrame, cases: DataFrame) -> DataFrame:
     on titles whatever they are.
     """
     none = F.array().cast("array<string>")
-    got = answers.filter("rank is not null").groupBy("question").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "title"))), lambda x: x["title"]).alias("titles"))
-    told = answers.groupBy("question").agg(F.bool_and("gap").alias("gap"))
-    out = cases.join(told, "question", "left").join(got, "question", "left")
+    ranked = F.collect_list(F.when(F.col("rank").isNotNull(), F.struct("rank", "title")))
+    told = answers.groupBy("question").agg(F.bool_and("gap").alias("gap"), F.transform(F.array_sort(ranked), lambda x: x["title"]).alias("titles"))
+    out = cases.join(told, "question", "left")
     out = out.withColumn("titles", F.coalesce("titles", none)).withColumn("gap", F.coalesce("gap", F.lit(True))).withColumn("expect_gap", F.coalesce("expect_gap", F.lit(False)))
     first = F.coalesce("expected_top1", none)
     top1 = F.col("expect_gap") | F.coalesce(F.array_contains(first, F.try_element_at("titles", F.lit(1))), F.lit(False))
